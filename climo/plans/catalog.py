@@ -48,3 +48,162 @@ r AS (SELECT *,
   FROM t)
 SELECT station, date, day_of_year, max_temp, min_temp, high_rank, low_rank
 FROM r WHERE high_rank = 1 OR low_rank = 1""")(doy_record_highs)
+
+
+# ---------------------------------------------------------------------------
+# SQL helpers shared by the oracle twins
+
+def _stack_sql(mode: str = "decade", src: str = "silver") -> str:
+    """DuckDB twin of reshape.stack_calendars + precip_long (CTEs sc, stk, long)."""
+    if mode == "decade":
+        cal_lo, cal_hi = "(floor(cy / 10) * 10 - 29)", "(floor(cy / 10) * 10)"
+        wat_lo, wat_hi = "(floor(cwy / 10) * 10 - 29)", "(floor(cwy / 10) * 10)"
+        sn_lo, sn_hi = f"(css - (cy - {cal_lo}))", f"(css - (cy - {cal_hi}))"
+    else:
+        cal_lo, cal_hi, wat_lo, wat_hi = "(cy - 30)", "cy", "(cwy - 30)", "cwy"
+        sn_lo, sn_hi = "(css - 29)", "(css - 1)"
+    base = f"SELECT s.*, sc.cy, sc.cwy, sc.css FROM {src} s JOIN sc USING (station)"
+    return f"""
+, sc AS (SELECT station, max(year) AS cy, max(water_year) AS cwy, max(season_start) AS css FROM {src} GROUP BY station),
+b AS ({base}),
+stk AS (
+  SELECT *, 'calendar_year' AS year_type, year AS year_num, CAST(year AS VARCHAR) AS year_for_dash,
+         CAST(cy AS VARCHAR) AS current_year, year = cy AS is_current,
+         year BETWEEN {cal_lo} AND {cal_hi} AS norm_range, {doy_sql('date')} AS day_of_year_dash FROM b
+  UNION ALL
+  SELECT *, 'water_year', water_year, CAST(water_year AS VARCHAR), CAST(cwy AS VARCHAR), water_year = cwy,
+         water_year BETWEEN {wat_lo} AND {wat_hi}, {doy_sql('date', 92)} FROM b
+  UNION ALL
+  SELECT *, 'snow_season', season_start, snow_season, CAST(css AS VARCHAR) || '-' || CAST(css + 1 AS VARCHAR),
+         season_start = css, season_start BETWEEN {sn_lo} AND {sn_hi}, {doy_sql('date', 153)} FROM b),
+long AS (
+  SELECT *, 'precip' AS metric_name, CAST(precip AS DOUBLE) AS metric_value FROM stk
+  UNION ALL SELECT *, 'snow', CAST(snow AS DOUBLE) FROM stk
+  UNION ALL SELECT *, 'rain', CAST(rain AS DOUBLE) FROM stk
+  UNION ALL SELECT *, 'precip_day', CAST(precip_day AS DOUBLE) FROM stk)"""
+
+
+def _pct_cols(expr: str, suffix: str, probs=(0.1, 0.25, 0.5, 0.75, 0.9)) -> str:
+    return ", ".join(f"quantile_cont({expr}, {p}) AS p{int(round(p * 100))}_{suffix}" for p in probs)
+
+
+def _last_month_end(d: str) -> str:
+    return (f"(CASE WHEN {d} = last_day({d}) THEN {d} "
+            f"ELSE CAST(date_trunc('month', {d}) - INTERVAL 1 DAY AS DATE) END)")
+
+
+# ---------------------------------------------------------------------------
+# Silver table
+
+@register("precip_silver", with_fixtures("precip_silver") + "\nSELECT * FROM silver")
+def q_precip_silver(spark, sf_dir):
+    """Raw daily precipitation → silver table with calendar attributes and rain/snow split."""
+    return fx.precip_silver(spark, sf_dir)
+
+
+@register("calendar_indexes", f"""
+WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders),
+x AS (SELECT date, {doy_sql('date')} AS doy_calendar, {doy_sql('date', 92)} AS doy_water,
+             {doy_sql('date', 153)} AS doy_snow FROM d),
+y AS (SELECT *, CASE WHEN doy_calendar = 59.5 THEN 'Feb 29'
+                ELSE strftime(DATE '2025-01-01' + CAST(floor(doy_calendar) - 1 AS INTEGER), '%b %d') END AS doy_label,
+             CAST(floor(((doy_snow - 154) % 365.0 + 365.0) % 365.0 + 1) AS INTEGER) AS snow_to_calendar
+      FROM x)
+SELECT *, {doy_sql("CAST(strptime(doy_label || ' 2024', '%b %d %Y') AS DATE)")} AS label_roundtrip FROM y""")
+def q_calendar_indexes(spark, sf_dir):
+    """F1 (three calendars), F3 label, F4 season→calendar, F23 label→index round trip."""
+    d = (spark.read.parquet(f"{sf_dir}/orders.parquet")
+         .select(F.to_date("o_orderdate").alias("date")).distinct())
+    x = d.select("date", cal.doy_index("date").alias("doy_calendar"),
+                 cal.doy_index("date", "water_year").alias("doy_water"),
+                 cal.doy_index("date", "snow_season").alias("doy_snow"))
+    x = x.withColumns({"doy_label": cal.doy_label("doy_calendar"),
+                       "snow_to_calendar": cal.season_doy_to_calendar("doy_snow")})
+    return x.withColumn("label_roundtrip", cal.doy_from_label("doy_label"))
+
+
+# ---------------------------------------------------------------------------
+# A5: monthly precipitation normals
+
+@register("precip_monthly_normals", with_fixtures("precip_silver") + """
+, cy AS (SELECT station, max(year) AS cy FROM silver GROUP BY station),
+m AS (SELECT s.station, s.year, s.month, coalesce(sum(precip), 0.0) AS precip, coalesce(sum(snow), 0.0) AS snow,
+             coalesce(sum(rain), 0.0) AS rain, avg(precip_day) AS precip_day
+      FROM silver s JOIN cy USING (station) WHERE s.year BETWEEN cy.cy - 30 AND cy.cy - 1 GROUP BY 1, 2, 3)
+SELECT station, month, avg(precip) AS norm_precip, avg(snow) AS norm_snow, avg(rain) AS norm_rain,
+       avg(precip_day) AS norm_precip_perc FROM m GROUP BY 1, 2""")
+def q_precip_monthly_normals(spark, sf_dir):
+    from climo.operators import normals
+    return normals.precip_monthly_normals(fx.precip_silver(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# V12 = A1 + A2 + W2 (+ P8, U1, R1, U2): monthly precipitation rank
+
+@register("monthly_precip_rank", with_fixtures("precip_silver") + _stack_sql("trailing") + f"""
+, mx AS (SELECT station, max(date) AS mx FROM silver GROUP BY station),
+lm AS (SELECT l.* FROM long l JOIN mx USING (station) WHERE l.date <= {_last_month_end('mx.mx')}),
+mt AS (SELECT station, year_type, metric_name, year_for_dash, month, coalesce(sum(metric_value), 0.0) AS total
+       FROM lm GROUP BY ALL),
+yt AS (SELECT station, year_type, metric_name, year_for_dash, 'Year' AS month, sum(total) AS total
+       FROM mt GROUP BY station, year_type, metric_name, year_for_dash HAVING count(*) = 12),
+u AS (SELECT * FROM mt UNION ALL SELECT * FROM yt)
+SELECT *, CAST(rank() OVER (PARTITION BY station, year_type, metric_name, month ORDER BY total ASC) AS INTEGER) AS rank
+FROM u""")
+def q_monthly_precip_rank(spark, sf_dir):
+    from climo.plans import views
+    return views.monthly_precip_rank(fx.precip_silver(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Month-to-date normals
+
+@register("mtd_normals", with_fixtures("precip_silver") + _stack_sql("decade") + f"""
+, c AS (SELECT *, dayofmonth(date) AS day_of_month,
+          sum(coalesce(metric_value, 0.0)) OVER (PARTITION BY station, metric_name, year_for_dash, month
+                                         ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mtd
+        FROM long WHERE year_type = 'calendar_year')
+SELECT station, metric_name, month, CAST(day_of_month AS INTEGER) AS day_of_month,
+       avg(CASE WHEN norm_range THEN mtd END) AS avg_precip_mtd, min(mtd) AS min_precip_mtd,
+       max(mtd) AS max_precip_mtd, {_pct_cols('CASE WHEN norm_range THEN mtd END', 'precip_mtd')}
+FROM c WHERE NOT is_current GROUP BY 1, 2, 3, 4""")
+def q_mtd_normals(spark, sf_dir):
+    from climo.operators import normals
+    return normals.mtd_normals(fx.precip_silver(spark, sf_dir))
+
+
+# Year-to-date normals
+
+@register("ytd_normals", with_fixtures("precip_silver") + _stack_sql("decade") + f"""
+, c AS (SELECT *, sum(coalesce(metric_value, 0.0)) OVER (PARTITION BY station, year_type, metric_name, year_for_dash
+                   ORDER BY day_of_year_dash, date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ytd FROM long),
+bad AS (SELECT station, year_type, year_for_dash FROM long GROUP BY ALL HAVING min(day_of_year_dash) <> 1),
+k AS (SELECT c.* FROM c ANTI JOIN bad USING (station, year_type, year_for_dash) WHERE NOT is_current)
+SELECT station, year_type, metric_name, day_of_year, day_of_year_dash,
+       avg(CASE WHEN norm_range THEN ytd END) AS avg_precip_ytd, min(ytd) AS min_precip_ytd, max(ytd) AS max_precip_ytd,
+       {_pct_cols('CASE WHEN norm_range THEN ytd END', 'precip_ytd')},
+       CASE WHEN day_of_year = 59.5 THEN 'Feb 29'
+            ELSE strftime(DATE '2025-01-01' + CAST(floor(day_of_year) - 1 AS INTEGER), '%b %d') END AS dashboard_date
+FROM k GROUP BY 1, 2, 3, 4, 5 HAVING day_of_year % 1 = 0""")
+def q_ytd_normals(spark, sf_dir):
+    from climo.operators import normals
+    return normals.ytd_normals(fx.precip_silver(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# V4 = A3 + A4 + W2: monthly temperature rank
+
+@register("monthly_temp_rank", with_fixtures("daily_temps") + f"""
+, mx AS (SELECT station, max(date) AS mx FROM daily_temps GROUP BY station),
+d AS (SELECT t.* FROM daily_temps t JOIN mx USING (station) WHERE t.date <= {_last_month_end('mx.mx')}),
+l AS (SELECT station, CAST(year(date) AS INTEGER) AS year, strftime(date, '%b') AS month, 'max_temp' AS metric, max_temp AS temp FROM d
+      UNION ALL SELECT station, CAST(year(date) AS INTEGER), strftime(date, '%b'), 'min_temp', min_temp FROM d
+      UNION ALL SELECT station, CAST(year(date) AS INTEGER), strftime(date, '%b'), 'avg_temp', avg_temp FROM d),
+m AS (SELECT station, year, month, metric, avg(temp) AS mean FROM l GROUP BY ALL),
+y AS (SELECT station, year, 'Year' AS month, metric, avg(mean) AS mean FROM m GROUP BY station, year, metric
+      HAVING count(mean) = 12),
+u AS (SELECT * FROM m UNION ALL SELECT * FROM y)
+SELECT *, CAST(rank() OVER (PARTITION BY station, month, metric ORDER BY mean ASC) AS INTEGER) AS rank FROM u""")
+def q_monthly_temp_rank(spark, sf_dir):
+    from climo.plans import views
+    return views.monthly_temp_rank(fx.daily_temps(spark, sf_dir))

@@ -25,7 +25,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return float(f"{v:.6g}") if v != 0 else 0.0
+        return v
     if isinstance(v, _dt.datetime):
         return v.replace(tzinfo=None).isoformat()
     if isinstance(v, _dt.date):
@@ -35,10 +35,32 @@ def norm(v):
     return v
 
 
+def _sortkey(x):
+    if isinstance(x, float):
+        return (x is None, f"{x:.4g}")
+    return (x is None, str(x))
+
+
 def canon(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     out = [tuple(norm(r[i]) for i in order) for r in rows]
-    return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
+    return sorted(out, key=lambda t: tuple(_sortkey(x) for x in t))
+
+
+def close(a, b):
+    if len(a) != len(b):
+        return False
+    for ra, rb in zip(a, b):
+        for x, y in zip(ra, rb):
+            if isinstance(x, float) and isinstance(y, (float, int)) and not isinstance(y, bool):
+                if not math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9):
+                    return False
+            elif isinstance(y, float) and isinstance(x, int) and not isinstance(x, bool):
+                if not math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9):
+                    return False
+            elif x != y:
+                return False
+    return True
 
 
 def duck_con(sf_dir):
@@ -84,7 +106,7 @@ def main():
             continue
         ok_cols = sorted(cols) == sorted(dcols)
         ok_rows = len(srows) == len(drows)
-        ok_vals = ok_cols and canon(cols, srows) == canon(dcols, drows)
+        ok_vals = ok_cols and close(canon(cols, srows), canon(dcols, drows))
         tag = "OK  " if (ok_cols and ok_rows and ok_vals) else "FAIL"
         if tag == "FAIL":
             bad += 1
