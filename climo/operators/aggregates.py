@@ -271,19 +271,29 @@ def labelled_bin_percent(df: DataFrame, label_col: Column, keys: Sequence[str] =
     return counts.withColumn("percent", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(*keys)))
 
 
+def bucket(x, lo: float, hi: float, n: int) -> Column:
+    """Equal-width bucket 1..n of [lo, hi); 0 below, n+1 at or above ``hi``."""
+    v = F.col(x) if isinstance(x, str) else x
+    w = (hi - lo) / n
+    return (F.when(v < lo, F.lit(0)).when(v >= hi, F.lit(n + 1))
+            .otherwise(F.floor((v - lo) / w).cast("int") + 1)).cast("long")
+
+
 def density_2d(df: DataFrame, x: str, y: str, x_range: tuple, y_range: tuple,
                nx: int = 100, ny: int = 100, keys: Sequence[str] = ()) -> DataFrame:
-    """2-D histogram on an nx × ny grid plus both marginals in one
-    aggregate (grouping sets (bx, by), (bx), (by)); ``grouping_id`` tells
-    cells (0), x marginal (1) and y marginal (2) apart."""
-    bx = F.width_bucket(F.col(x), F.lit(x_range[0]), F.lit(x_range[1]), F.lit(nx))
-    by = F.width_bucket(F.col(y), F.lit(y_range[0]), F.lit(y_range[1]), F.lit(ny))
-    binned = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, bx.alias("bx"), by.alias("by"))
-    cells = binned.groupBy(*keys, "bx", "by").agg(F.count(F.lit(1)).alias("n"))
-    # grouping sets on the (already small) cell table: marginals are sums of cells
-    return (cells.cube("bx", "by").agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
-            .filter(F.col("level") < 3)) if not keys else (
-        cells.groupBy(*keys, "bx", "by").agg(F.sum("n").alias("n")).withColumn("level", F.lit(0)))
+    """2-D histogram on an nx × ny grid plus both marginals.
+
+    Rows are first reduced to cells (partial + final aggregation); the
+    marginals are grouping sets over the cell table, so the facts are read
+    and shuffled once.  ``level``: 0 = cell, 1 = x marginal, 2 = y marginal.
+    """
+    binned = (df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+              .select(*keys, bucket(x, *x_range, nx).alias("x_bin"), bucket(y, *y_range, ny).alias("y_bin")))
+    cells = binned.groupBy(*keys, "x_bin", "y_bin").agg(F.count(F.lit(1)).alias("n"))
+    k = list(keys)
+    sets = [[*k, "x_bin", "y_bin"], [*k, "x_bin"], [*k, "y_bin"]]
+    return (cells.groupingSets([[F.col(c) for c in s_] for s_ in sets], *k, "x_bin", "y_bin")
+            .agg(F.sum("n").alias("n"), F.grouping_id("x_bin", "y_bin").cast("int").alias("level")))
 
 
 def grouped_avg(df: DataFrame, category: str, measure: str) -> DataFrame:

@@ -207,3 +207,320 @@ SELECT *, CAST(rank() OVER (PARTITION BY station, month, metric ORDER BY mean AS
 def q_monthly_temp_rank(spark, sf_dir):
     from climo.plans import views
     return views.monthly_temp_rank(fx.daily_temps(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Daily temperature summaries
+
+_NORMAL_YEARS = (fx.NORMAL_START, fx.NORMAL_END)
+_YR = "CAST(year(date) AS INTEGER)"
+
+
+@register("month_climate_summary", with_fixtures("daily_temps") + f"""
+SELECT station, strftime(date, '%b') AS month,
+  avg(CASE WHEN year(date) BETWEEN {fx.NORMAL_START} AND {fx.NORMAL_END} THEN max_temp END) AS normal_high,
+  avg(CASE WHEN year(date) BETWEEN {fx.NORMAL_START} AND {fx.NORMAL_END} THEN min_temp END) AS normal_low,
+  avg(CASE WHEN year(date) BETWEEN {fx.NORMAL_START} AND {fx.NORMAL_END} THEN avg_temp END) AS normal_temp,
+  quantile_cont(max_temp, 0.9) AS max_temp_p90, quantile_cont(min_temp, 0.1) AS min_temp_p10,
+  max(max_temp) AS record_high, min(min_temp) AS record_low,
+  first(date ORDER BY max_temp DESC, date ASC) AS record_high_date,
+  first(date ORDER BY min_temp ASC, date ASC) AS record_low_date
+FROM daily_temps GROUP BY 1, 2""")
+def q_month_climate_summary(spark, sf_dir):
+    """Per-month normals (window years), p90/p10 bands, records and their dates."""
+    from climo.operators import aggregates as agg
+    return agg.month_climate_summary(fx.daily_temps(spark, sf_dir), normal_years=_NORMAL_YEARS, dp=None)
+
+
+@register("yearly_extremes", with_fixtures("daily_temps") + f"""
+SELECT station, {_YR} AS year, max(max_temp) AS max_high, first(date ORDER BY max_temp DESC, date) AS max_high_date,
+       min(min_temp) AS min_low, first(date ORDER BY min_temp ASC, date) AS min_low_date
+FROM daily_temps GROUP BY 1, 2""")
+def q_yearly_extremes(spark, sf_dir):
+    from climo.operators import aggregates as agg
+    return agg.yearly_extremes(fx.daily_temps(spark, sf_dir))
+
+
+@register("monthly_extremes", with_fixtures("daily_temps") + """
+SELECT station, CAST(month(date) AS INTEGER) AS month_num, max(max_temp) AS max_high, min(min_temp) AS min_low
+FROM daily_temps GROUP BY 1, 2""")
+def q_monthly_extremes(spark, sf_dir):
+    from climo.operators import aggregates as agg
+    return agg.monthly_extremes(fx.daily_temps(spark, sf_dir))
+
+
+@register("threshold_day_counts", with_fixtures("daily_temps") + f"""
+SELECT station, {_YR} AS year, count_if(max_temp >= {fx.HOT_THRESHOLD}) AS hot_days,
+       count_if(min_temp < 10000.0) AS cold_days, count_if(min_temp <= {fx.FREEZE_THRESHOLD}) AS freeze_days
+FROM daily_temps GROUP BY 1, 2""")
+def q_threshold_day_counts(spark, sf_dir):
+    from climo.operators import aggregates as agg
+    return agg.threshold_day_counts(fx.daily_temps(spark, sf_dir), fx.HOT_THRESHOLD, 10000.0, fx.FREEZE_THRESHOLD)
+
+
+@register("yearly_means_multi", with_fixtures("daily_temps") + f"""
+SELECT station, {_YR} AS year, avg(dew_point) AS dew_point, avg(cloud_cover) AS cloud_cover,
+       avg(pressure) AS pressure, avg(wind_speed) AS wind_speed FROM daily_temps GROUP BY 1, 2""")
+def q_yearly_means_multi(spark, sf_dir):
+    from climo.operators import aggregates as agg
+    return agg.yearly_means_multi(fx.daily_temps(spark, sf_dir), ["dew_point", "cloud_cover", "pressure", "wind_speed"])
+
+
+@register("temp_year_metrics", with_fixtures("daily_temps") + f"""
+, y AS (SELECT station, {_YR} AS year, CAST(max(max_temp) AS DOUBLE) AS full_max, CAST(min(min_temp) AS DOUBLE) AS full_min,
+          CAST(count_if(max_temp >= {fx.HOT_THRESHOLD}) AS DOUBLE) AS days_100,
+          CAST(count_if(min_temp <= {fx.FREEZE_THRESHOLD}) AS DOUBLE) AS frost_days,
+          avg(max_temp - min_temp) AS diurnal_temp_range FROM daily_temps GROUP BY 1, 2),
+l AS (SELECT station, year, 'full_max' AS metric_name, full_max AS total FROM y
+      UNION ALL SELECT station, year, 'full_min', full_min FROM y
+      UNION ALL SELECT station, year, 'days_100', days_100 FROM y
+      UNION ALL SELECT station, year, 'frost_days', frost_days FROM y
+      UNION ALL SELECT station, year, 'diurnal_temp_range', diurnal_temp_range FROM y),
+r AS (SELECT *, CAST(rank() OVER (PARTITION BY station, metric_name ORDER BY total DESC NULLS LAST) AS INTEGER) AS rank FROM l),
+mx AS (SELECT station, max(year(date)) AS maxy FROM daily_temps GROUP BY 1)
+SELECT r.* FROM r JOIN mx USING (station) WHERE r.year < mx.maxy""")
+def q_temp_year_metrics(spark, sf_dir):
+    from climo.operators import aggregates as agg
+    return agg.temp_year_metrics(fx.daily_temps(spark, sf_dir), fx.HOT_THRESHOLD, fx.FREEZE_THRESHOLD)
+
+
+@register("frost_dates", with_fixtures("daily_temps") + f"""
+SELECT station, {_YR} AS year,
+  max(CASE WHEN min_temp <= {fx.FREEZE_THRESHOLD} AND {doy_sql('date')} < 200 THEN {doy_sql('date')} END) AS last_frost,
+  min(CASE WHEN min_temp <= {fx.FREEZE_THRESHOLD} AND {doy_sql('date')} > 200 THEN {doy_sql('date')} END) AS first_frost
+FROM daily_temps GROUP BY 1, 2""")
+def q_frost_dates(spark, sf_dir):
+    from climo.operators import aggregates as agg
+    return agg.frost_dates(fx.daily_temps(spark, sf_dir), fx.FREEZE_THRESHOLD)
+
+
+def _season_bounds_sql(src: str) -> str:
+    return f"""bounds AS (SELECT station,
+    CASE WHEN month(min(date)) >= 8 THEN year(min(date)) + 1 ELSE year(min(date)) END AS min_season,
+    CASE WHEN month(max(date)) < 7 THEN year(max(date)) - 1 ELSE year(max(date)) END AS max_season
+  FROM {src} GROUP BY station)"""
+
+
+def _season_events_sql(src: str, cond: str, prefix: str) -> str:
+    ss = "CAST(year(date) - CASE WHEN month(date) >= 8 THEN 0 ELSE 1 END AS INTEGER)"
+    return f""", {_season_bounds_sql(src)},
+ev AS (SELECT station, {ss} AS season_start, date, {doy_sql('date', 153)} AS sdoy FROM {src} WHERE {cond}),
+g AS (SELECT station, CAST(season_start AS VARCHAR) || '-' || CAST(season_start + 1 AS VARCHAR) AS snow_season,
+        season_start, min(sdoy) AS first_{prefix}_doy, min(date) AS first_{prefix}_date, max(sdoy) AS last_{prefix}_doy
+      FROM ev GROUP BY station, season_start),
+se AS (SELECT g.* FROM g JOIN bounds USING (station)
+       WHERE g.season_start >= bounds.min_season AND g.season_start < bounds.max_season)"""
+
+
+@register("freeze_dates", with_fixtures("daily_temps")
+          + _season_events_sql("daily_temps", f"min_temp <= {fx.FREEZE_THRESHOLD}", "freeze") + "\nSELECT * FROM se")
+def q_freeze_dates(spark, sf_dir):
+    """First / last freeze per complete snow season."""
+    from climo.operators import aggregates as agg
+    return agg.season_event_dates(fx.daily_temps(spark, sf_dir), F.col("min_temp") <= fx.FREEZE_THRESHOLD,
+                                  prefix="freeze")
+
+
+@register("snow_dates", with_fixtures("precip_silver")
+          + _season_events_sql("silver", "snow > 0", "snow") + "\nSELECT * FROM se")
+def q_snow_dates(spark, sf_dir):
+    """First / last snow per complete snow season."""
+    from climo.operators import aggregates as agg
+    return agg.season_event_dates(fx.precip_silver(spark, sf_dir), F.col("snow") > 0, prefix="snow")
+
+
+def _label_sql(d: str) -> str:
+    return (f"CASE WHEN {d} = 59.5 THEN 'Feb 29' "
+            f"ELSE strftime(DATE '2025-01-01' + CAST(floor({d}) - 1 AS INTEGER), '%b %d') END")
+
+
+_QS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+
+
+def _event_pct_sql(src_col: str, metric: str) -> str:
+    parts = []
+    for p in _QS:
+        q = f"quantile_cont({src_col}, {p})"
+        cal_idx = f"CAST(floor((({q} - 154) % 365.0 + 365.0) % 365.0 + 1) AS INTEGER)"
+        parts.append(f"SELECT station, '{metric}' AS metric, '{int(p * 100)}th Percentile' AS percentile, "
+                     f"{q} AS season_doy, {_label_sql(cal_idx)} AS date FROM se GROUP BY station")
+    return "\nUNION ALL ".join(parts)
+
+
+@register("freeze_date_percentiles", with_fixtures("daily_temps")
+          + _season_events_sql("daily_temps", f"min_temp <= {fx.FREEZE_THRESHOLD}", "freeze")
+          + "\n" + _event_pct_sql("first_freeze_doy", "first_freeze")
+          + "\nUNION ALL " + _event_pct_sql("last_freeze_doy", "last_freeze"))
+def q_freeze_date_percentiles(spark, sf_dir):
+    """Quantiles of first / last freeze index as calendar labels."""
+    from climo.operators import aggregates as agg
+    fd = agg.season_event_dates(fx.daily_temps(spark, sf_dir), F.col("min_temp") <= fx.FREEZE_THRESHOLD,
+                                prefix="freeze")
+    return (agg.event_date_percentiles(fd, "first_freeze_doy", "first_freeze")
+            .unionByName(agg.event_date_percentiles(fd, "last_freeze_doy", "last_freeze")))
+
+
+@register("season_snow_summary", with_fixtures("precip_silver") + """
+, g AS (SELECT station, CAST(year(date) - CASE WHEN month(date) >= 9 THEN 0 ELSE 1 END AS INTEGER) AS season_year,
+          coalesce(sum(snow), 0.0) AS total_snow, min(CASE WHEN snow > 0 THEN date END) AS first_snow,
+          max(CASE WHEN snow > 0 THEN date END) AS last_snow FROM silver GROUP BY 1, 2)
+SELECT *, CAST(floor(rank() OVER (PARTITION BY station ORDER BY total_snow DESC)
+              + (count(*) OVER (PARTITION BY station, total_snow) - 1) / 2.0) AS INTEGER) AS snow_rank FROM g""")
+def q_season_snow_summary(spark, sf_dir):
+    from climo.operators import aggregates as agg
+    return agg.season_snow_summary(fx.precip_silver(spark, sf_dir))
+
+
+@register("snow_to_date_median", with_fixtures("precip_silver") + f"""
+, c AS (SELECT station, snow_season, {doy_sql('date', 153)} AS snow_day_of_year,
+          sum(coalesce(snow, 0.0)) OVER (PARTITION BY station, snow_season ORDER BY date
+                                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS snow_to_date FROM silver)
+SELECT station, snow_day_of_year, median(snow_to_date) AS median_to_date FROM c GROUP BY 1, 2""")
+def q_snow_to_date_median(spark, sf_dir):
+    """W9 + A23: season-to-date snow and its median across seasons per season day."""
+    from climo.operators import accumulate
+    s = fx.precip_silver(spark, sf_dir).withColumn("snow_day_of_year", cal.doy_index("date", "snow_season"))
+    s = accumulate.season_to_date(s, "snow")
+    return accumulate.to_date_median(s, "snow_to_date", ["station", "snow_day_of_year"])
+
+
+# ---------------------------------------------------------------------------
+# Hourly (A24-A27), wind rose (A28), distributions (A29-A32), departures
+
+_HOURLY_METRICS = ["temp", "humidity", "wind_speed", "dew_point", "precip", "cloud_cover"]
+
+
+def _hourly_attr_sql() -> str:
+    season = ("CASE WHEN month(timestamp) IN (12, 1, 2) THEN 'winter' WHEN month(timestamp) IN (3, 4, 5) THEN 'spring' "
+              "WHEN month(timestamp) IN (6, 7, 8) THEN 'summer' ELSE 'fall' END")
+    return f""", h AS (SELECT *, CAST(hour(timestamp) AS INTEGER) AS hour, CAST(year(timestamp) AS INTEGER) AS year,
+       strftime(timestamp, '%b') AS month, CAST(month(timestamp) AS INTEGER) AS month_num,
+       {doy_sql('CAST(timestamp AS DATE)')} AS day_of_year,
+       CASE WHEN precip > 0 THEN 1.0 ELSE 0.0 END AS precip_chance, {season} AS season FROM hourly)"""
+
+
+def _hourly_long_sql(metrics) -> str:
+    sel = "\n  UNION ALL ".join(
+        f"SELECT station, timestamp, month, month_num, hour, year, day_of_year, season, '{m}' AS metric_name, "
+        f"CAST({m} AS DOUBLE) AS metric_value FROM h" for m in metrics)
+    return f", hl AS ({sel})"
+
+
+@register("hourly_means", with_fixtures("hourly") + _hourly_attr_sql() + f"""
+SELECT station, hour, {', '.join(f'avg({m}) AS {m}' for m in _HOURLY_METRICS)} FROM h GROUP BY 1, 2""")
+def q_hourly_means(spark, sf_dir):
+    from climo.operators import aggregates as agg
+    return agg.hourly_means(fx.hourly(spark, sf_dir), _HOURLY_METRICS)
+
+
+@register("hourly_season_means", with_fixtures("hourly") + _hourly_attr_sql() + f"""
+SELECT station, hour, season, {', '.join(f'avg({m}) AS {m}' for m in _HOURLY_METRICS)} FROM h GROUP BY 1, 2, 3""")
+def q_hourly_season_means(spark, sf_dir):
+    from climo.operators import aggregates as agg
+    return agg.hourly_means(fx.hourly(spark, sf_dir), _HOURLY_METRICS, by_season=True)
+
+
+_HM = _HOURLY_METRICS + ["precip_chance"]
+
+
+@register("hourly_by_month", with_fixtures("hourly") + _hourly_attr_sql() + _hourly_long_sql(_HM) + """
+, my AS (SELECT station, year, month, month_num, hour, metric_name, avg(metric_value) AS metric_value FROM hl GROUP BY ALL)
+SELECT station, month, month_num, hour, metric_name, avg(metric_value) AS metric_value,
+  CASE WHEN month_num IN (12, 1, 2) THEN 'winter' WHEN month_num IN (3, 4, 5) THEN 'spring'
+       WHEN month_num IN (6, 7, 8) THEN 'summer' ELSE 'fall' END AS season
+FROM my GROUP BY 1, 2, 3, 4, 5""")
+def q_hourly_by_month(spark, sf_dir):
+    """Hourly means per (year, month) → per month (mean of yearly means)."""
+    from climo.operators import aggregates as agg
+    return agg.hourly_cascade(fx.hourly(spark, sf_dir), _HM)[1]
+
+
+@register("hourly_season_deviation", with_fixtures("hourly") + _hourly_attr_sql() + _hourly_long_sql(_HM) + """
+, my AS (SELECT station, year, month, month_num, hour, metric_name, avg(metric_value) AS metric_value FROM hl GROUP BY ALL),
+mo AS (SELECT station, month_num, hour, metric_name, avg(metric_value) AS metric_value FROM my GROUP BY ALL),
+se AS (SELECT station, CASE WHEN month_num IN (12, 1, 2) THEN 'winter' WHEN month_num IN (3, 4, 5) THEN 'spring'
+           WHEN month_num IN (6, 7, 8) THEN 'summer' ELSE 'fall' END AS season, hour, metric_name,
+         avg(metric_value) AS metric_value FROM mo GROUP BY ALL)
+SELECT *, metric_value - avg(metric_value) OVER (PARTITION BY station, season, metric_name) AS avg_deviation FROM se""")
+def q_hourly_season_deviation(spark, sf_dir):
+    """V6/V7: season × hour means (mean of monthly means) and deviation from the season mean."""
+    from climo.plans import views
+    return views.hourly_season_deviation(fx.hourly(spark, sf_dir), _HM)
+
+
+@register("hourly_heatmap", with_fixtures("hourly") + _hourly_attr_sql() + _hourly_long_sql(_HM) + f"""
+SELECT station, day_of_year, hour, metric_name, avg(metric_value) AS metric_value,
+       {_label_sql('day_of_year')} AS doy_label FROM hl GROUP BY 1, 2, 3, 4""")
+def q_hourly_heatmap(spark, sf_dir):
+    from climo.operators import aggregates as agg
+    return agg.hourly_heatmap(fx.hourly(spark, sf_dir), _HM)
+
+
+@register("hourly_year_summary", with_fixtures("hourly") + """
+SELECT station, CAST(year(timestamp) AS INTEGER) AS year, min(temp) AS min_temp, max(temp) AS max_temp,
+       coalesce(sum(precip), 0.0) AS total_precip, coalesce(sum(snow), 0.0) AS total_snow,
+       avg(cloud_cover) AS cloud_cover_avg FROM hourly GROUP BY 1, 2""")
+def q_hourly_year_summary(spark, sf_dir):
+    from climo.operators import aggregates as agg
+    return agg.hourly_year_summary(fx.hourly(spark, sf_dir))
+
+
+_SPEED_LABEL_SQL = """CASE WHEN wind_speed > 0 AND wind_speed <= 10 THEN '0-10'
+  WHEN wind_speed > 10 AND wind_speed <= 15 THEN '10-15' WHEN wind_speed > 15 AND wind_speed <= 20 THEN '15-20'
+  WHEN wind_speed > 20 AND wind_speed <= 30 THEN '20-30' WHEN wind_speed > 30 AND wind_speed <= 40 THEN '30-40'
+  WHEN wind_speed > 40 AND wind_speed <= maxs THEN '40+' END"""
+
+
+@register("wind_rose", with_fixtures("wind") + f"""
+, mx AS (SELECT station, max(wind_speed) AS maxs FROM wind GROUP BY 1),
+b AS (SELECT w.station, {_SPEED_LABEL_SQL} AS wind_speed_cat,
+        ((round_even(wind_direction / 22.5, 0) * 22.5) % 360.0 + 360.0) % 360.0 AS wind_direction_cat
+      FROM wind w JOIN mx USING (station)),
+c AS (SELECT station, wind_speed_cat, wind_direction_cat, count(*) AS frequency FROM b
+      WHERE wind_speed_cat IS NOT NULL AND wind_direction_cat IS NOT NULL GROUP BY 1, 2, 3)
+SELECT *, frequency / sum(frequency) OVER (PARTITION BY station) AS share FROM c""")
+def q_wind_rose(spark, sf_dir):
+    """Speed bin × 16-point direction counts and share of total."""
+    from climo.operators import aggregates as agg
+    return agg.wind_rose(fx.wind(spark, sf_dir))
+
+
+@register("record_day_counts", with_fixtures("daily_temps") + f"""
+, t AS (SELECT *, {doy_sql('date')} AS day_of_year FROM daily_temps),
+r AS (SELECT *, rank() OVER (PARTITION BY station, day_of_year ORDER BY max_temp DESC NULLS LAST) AS hi,
+             rank() OVER (PARTITION BY station, day_of_year ORDER BY max_temp ASC NULLS LAST) AS lo FROM t)
+SELECT station, {_YR} AS year, count_if(hi = 1) AS record_highs, -count_if(lo = 1) AS record_lows FROM r GROUP BY 1, 2""")
+def q_record_day_counts(spark, sf_dir):
+    """Per year, days setting a day-of-year record high (+) / low (−) of the daily high."""
+    from climo.operators import aggregates as agg
+    return agg.record_day_counts(fx.daily_temps(spark, sf_dir), "max_temp")
+
+
+@register("histogram_percent", with_fixtures("daily_temps") + """
+, b AS (SELECT station, floor((min_temp - 0.0) / 25000.0) * 25000.0 + 0.0 AS bin_start, count(*) AS n
+        FROM daily_temps WHERE min_temp IS NOT NULL GROUP BY 1, 2)
+SELECT *, n * 100.0 / sum(n) OVER (PARTITION BY station) AS percent FROM b""")
+def q_histogram_percent(spark, sf_dir):
+    """Percent of days per fixed-width bin of the daily low."""
+    from climo.operators import aggregates as agg
+    return agg.histogram_percent(fx.daily_temps(spark, sf_dir), "min_temp", 25000.0, keys=["station"])
+
+
+@register("density_2d", with_fixtures("hourly") + """
+, b AS (SELECT CASE WHEN temp < 0 THEN 0 WHEN temp >= 100 THEN 101 ELSE CAST(floor((temp - 0.0) / 1.0) AS BIGINT) + 1 END AS x_bin,
+               CASE WHEN humidity < 0 THEN 0 WHEN humidity >= 100 THEN 101 ELSE CAST(floor((humidity - 0.0) / 1.0) AS BIGINT) + 1 END AS y_bin
+        FROM hourly WHERE temp IS NOT NULL AND humidity IS NOT NULL),
+c AS (SELECT x_bin, y_bin, count(*) AS n FROM b GROUP BY 1, 2)
+SELECT x_bin, y_bin, sum(n) AS n, CAST(grouping(x_bin, y_bin) AS INTEGER) AS level FROM c
+GROUP BY GROUPING SETS ((x_bin, y_bin), (x_bin), (y_bin))""")
+def q_density_2d(spark, sf_dir):
+    """100 × 100 grid of (temp, humidity) counts plus both marginals."""
+    from climo.operators import aggregates as agg
+    return agg.density_2d(fx.hourly(spark, sf_dir), "temp", "humidity", (0.0, 100.0), (0.0, 100.0))
+
+
+@register("grouped_avg", with_fixtures("category_measures") + """
+SELECT continent, avg(measure) AS avg_measure FROM category_measures GROUP BY 1""")
+def q_grouped_avg(spark, sf_dir):
+    from climo.operators import aggregates as agg
+    return agg.grouped_avg(fx.category_measures(spark, sf_dir), "continent", "measure")

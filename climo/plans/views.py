@@ -34,3 +34,11 @@ def monthly_temp_rank(daily: DataFrame, keys: Sequence[str] = ("station",),
     yearly = agg.yearly_means(monthly, keys)
     both = monthly.unionByName(yearly)
     return ranks.rank_over(both, [*keys, "month", "metric"], "mean", True, "rank")
+
+
+def hourly_season_deviation(hourly: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("station",)) -> DataFrame:
+    """V6/V7: season × hour means (cascade of unweighted means) and each hour's
+    deviation from its season mean."""
+    from climo.operators import windows
+    season = agg.hourly_cascade(hourly, metrics, keys)[2]
+    return windows.deviation_from_group_mean(season, "metric_value", [*keys, "season", "metric_name"])
