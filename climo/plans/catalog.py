@@ -19,10 +19,11 @@ ORACLE: dict[str, str] = {}
 
 
 def register(name: str, sql: str | None = None):
+    if sql is not None:
+        ORACLE[name] = sql
+
     def deco(fn):
         QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
         return fn
     return deco
 
@@ -524,3 +525,123 @@ SELECT continent, avg(measure) AS avg_measure FROM category_measures GROUP BY 1"
 def q_grouped_avg(spark, sf_dir):
     from climo.operators import aggregates as agg
     return agg.grouped_avg(fx.category_measures(spark, sf_dir), "continent", "measure")
+
+
+# ---------------------------------------------------------------------------
+# Records (V29-V32)
+
+_N = 15
+_SS = "CAST(year(date) - CASE WHEN month(date) >= 8 THEN 0 ELSE 1 END AS INTEGER)"
+
+
+def _rec_sel(rank: str, date: str, metric: str, value: str, month: str, record: str) -> str:
+    return (f"SELECT station, CAST({rank} AS INTEGER) AS rank, CAST({date} AS VARCHAR) AS date, "
+            f"{metric} AS metric_name, CAST({value} AS DOUBLE) AS metric_value, {month} AS month, {record} AS record")
+
+
+_TEMP_RECORDS_SQL = with_fixtures("daily_temps") + f"""
+, d AS (SELECT *, strftime(date, '%b') AS month, {_SS} AS season_start, {doy_sql('date', 153)} AS sdoy FROM daily_temps),
+l AS (SELECT station, date, month, 'max_temp' AS metric_name, max_temp AS metric_value FROM d
+      UNION ALL SELECT station, date, month, 'min_temp', min_temp FROM d),
+r AS (SELECT *, rank() OVER (PARTITION BY station, metric_name, month ORDER BY metric_value DESC) AS wm,
+              rank() OVER (PARTITION BY station, metric_name ORDER BY metric_value DESC) AS wo,
+              rank() OVER (PARTITION BY station, metric_name, month ORDER BY metric_value ASC) AS cm,
+              rank() OVER (PARTITION BY station, metric_name ORDER BY metric_value ASC) AS co
+      FROM l WHERE metric_value IS NOT NULL),
+fam AS (
+  {_rec_sel('wm', 'date', 'metric_name', 'metric_value', 'month', "'hottest_day (' || month || ')'")} FROM r WHERE metric_name = 'max_temp' AND wm <= {_N}
+  UNION ALL {_rec_sel('wo', 'date', 'metric_name', 'metric_value', 'month', "'hottest_day'")} FROM r WHERE metric_name = 'max_temp' AND wo <= {_N}
+  UNION ALL {_rec_sel('cm', 'date', 'metric_name', 'metric_value', 'month', "'coldest_day (' || month || ')'")} FROM r WHERE metric_name = 'min_temp' AND cm <= {_N}
+  UNION ALL {_rec_sel('co', 'date', 'metric_name', 'metric_value', 'month', "'coldest_day'")} FROM r WHERE metric_name = 'min_temp' AND co <= {_N}
+  UNION ALL {_rec_sel('co', 'date', 'metric_name', 'metric_value', 'month', "'coldest_maximum'")} FROM r WHERE metric_name = 'max_temp' AND co <= {_N}
+  UNION ALL {_rec_sel('wo', 'date', 'metric_name', 'metric_value', 'month', "'hottest_minimum'")} FROM r WHERE metric_name = 'min_temp' AND wo <= {_N}),
+hy AS (SELECT station, year(date) AS year, CAST(count_if(max_temp >= {fx.HOT_THRESHOLD}) AS DOUBLE) AS v FROM d GROUP BY 1, 2),
+hyr AS (SELECT *, rank() OVER (PARTITION BY station ORDER BY v DESC) AS rk FROM hy),
+{_season_bounds_sql('daily_temps')},
+fz AS (SELECT * FROM d WHERE min_temp <= {fx.FREEZE_THRESHOLD}),
+ff AS (SELECT fz.*, rank() OVER (PARTITION BY station, season_start ORDER BY sdoy ASC) AS fn,
+              rank() OVER (PARTITION BY station, season_start ORDER BY sdoy DESC) AS ln FROM fz),
+ff1 AS (SELECT ff.*, rank() OVER (PARTITION BY station ORDER BY sdoy ASC) AS rk FROM ff JOIN bounds USING (station)
+        WHERE fn = 1 AND season_start >= min_season),
+lf1 AS (SELECT ff.*, rank() OVER (PARTITION BY station ORDER BY sdoy DESC) AS rk FROM ff JOIN bounds USING (station)
+        WHERE ln = 1 AND season_start < max_season)
+SELECT * FROM fam
+UNION ALL {_rec_sel('rk', 'year', "'100 Degree Days'", 'v', "'Year'", "'100_degree_days'")} FROM hyr WHERE rk <= {_N}
+UNION ALL {_rec_sel('rk', 'date', "'Freeze'", 'min_temp', "'Year'", "'first_freeze'")} FROM ff1 WHERE rk <= {_N}
+UNION ALL {_rec_sel('rk', 'date', "'Freeze'", 'min_temp', "'Year'", "'last_freeze'")} FROM lf1 WHERE rk <= {_N}"""
+
+
+@register("temp_records", _TEMP_RECORDS_SQL)
+def q_temp_records(spark, sf_dir):
+    """All temperature record families, top 15 with ties, per station."""
+    from climo.operators import records
+    return records.temp_records(fx.daily_temps(spark, sf_dir), _N, fx.HOT_THRESHOLD, fx.FREEZE_THRESHOLD)
+
+
+@register("daily_precip_records", with_fixtures("precip_silver") + f"""
+, wet AS (SELECT station, date, month, year, season_start, 'rain' AS metric_name, rain AS metric_value FROM silver WHERE rain > 0
+          UNION ALL SELECT station, date, month, year, season_start, 'snow', snow FROM silver WHERE snow > 0),
+w AS (SELECT *, {doy_sql('date', 153)} AS day_of_year,
+        rank() OVER (PARTITION BY station, metric_name, month ORDER BY metric_value DESC) AS rm,
+        rank() OVER (PARTITION BY station, metric_name ORDER BY metric_value DESC) AS ro FROM wet),
+es AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY day_of_year ASC, date ASC) AS rn,
+              rank() OVER (PARTITION BY station ORDER BY day_of_year ASC) AS rk FROM w WHERE metric_name = 'snow'),
+my AS (SELECT station, min(year) AS min_year FROM wet GROUP BY 1),
+ls AS (SELECT w.*, row_number() OVER (PARTITION BY station ORDER BY day_of_year DESC, date ASC) AS rn,
+              rank() OVER (PARTITION BY station ORDER BY day_of_year DESC) AS rk
+       FROM w JOIN my USING (station) WHERE metric_name = 'snow' AND season_start >= min_year),
+gaps AS (SELECT station, date, datediff('day', lag(date) OVER (PARTITION BY station ORDER BY date), date) - 1 AS gap
+         FROM silver WHERE precip_day = 1),
+gr AS (SELECT *, rank() OVER (PARTITION BY station ORDER BY gap DESC) AS rk FROM gaps WHERE gap IS NOT NULL)
+{_rec_sel('rm', 'date', 'metric_name', 'metric_value', 'month', "metric_name || 'iest day (' || month || ')'")} FROM w WHERE rm <= {_N}
+UNION ALL {_rec_sel('ro', 'date', 'metric_name', 'metric_value', "'ALL'", "metric_name || 'iest day'")} FROM w WHERE ro <= {_N}
+UNION ALL {_rec_sel('rk', 'date', "'precip'", 'gap', "'ALL'", "'consecutive_days_dry'")} FROM gr WHERE rk <= {_N} AND gap > 0
+UNION ALL {_rec_sel('rk', 'date', 'metric_name', 'metric_value', "'ALL'", "'latest_snow'")} FROM ls WHERE rn <= {_N}
+UNION ALL {_rec_sel('rk', 'date', 'metric_name', 'metric_value', "'ALL'", "'earliest_snow'")} FROM es WHERE rn <= {_N}""")
+def q_daily_precip_records(spark, sf_dir):
+    """Wettest days, longest dry gaps (W10), earliest / latest snow."""
+    from climo.operators import records
+    return records.daily_precip_records(fx.precip_silver(spark, sf_dir), _N)
+
+
+def _mpr_sql() -> str:
+    return ORACLE["monthly_precip_rank"]
+
+
+register("monthly_precip_records", "WITH pr AS (" + _mpr_sql() + f"""),
+sy AS (SELECT * FROM pr WHERE year_type = 'snow_season' AND month = 'Year' AND metric_name = 'snow'),
+sy2 AS (SELECT *, rank() OVER (PARTITION BY station ORDER BY total DESC) AS rw FROM sy),
+ry AS (SELECT *, rank() OVER (PARTITION BY station ORDER BY total DESC) AS rw FROM pr
+       WHERE year_type = 'calendar_year' AND month = 'Year' AND metric_name = 'rain'),
+mo AS (SELECT *, month || ' ' || year_for_dash AS month_year,
+         rank() OVER (PARTITION BY station, metric_name ORDER BY total DESC) AS rw,
+         rank() OVER (PARTITION BY station, metric_name ORDER BY total ASC) AS rd
+       FROM pr WHERE year_type = 'calendar_year' AND metric_name IN ('rain', 'snow', 'precip') AND month <> 'Year')
+SELECT station, CAST(rw AS INTEGER) AS rank, month_year AS date, total AS metric_value, metric_name || 'iest_month' AS record
+  FROM mo WHERE rw <= {_N} AND metric_name <> 'precip'
+UNION ALL SELECT station, CAST(rd AS INTEGER), month_year, total, 'driest_month' FROM mo WHERE rd <= {_N} AND metric_name = 'precip'
+UNION ALL SELECT station, CAST(rank AS INTEGER), year_for_dash, total, 'least_snow_year' FROM sy WHERE rank <= {_N}
+UNION ALL SELECT station, CAST(rw AS INTEGER), year_for_dash, total, 'most_snow_year' FROM sy2 WHERE rw <= {_N}
+UNION ALL SELECT station, CAST(rw AS INTEGER), year_for_dash, total, 'most_rain_year' FROM ry WHERE rw <= {_N}""")
+
+
+@(lambda fn: QUERIES.__setitem__("monthly_precip_records", fn) or fn)
+def q_monthly_precip_records(spark, sf_dir):
+    """Rainiest / snowiest / driest months, snowiest and least snowy seasons, rainiest years."""
+    from climo.operators import records
+    from climo.plans import views
+    return records.monthly_precip_records(views.monthly_precip_rank(fx.precip_silver(spark, sf_dir)), _N)
+
+
+@register("records_page_hottest_day", "WITH rec AS (" + _TEMP_RECORDS_SQL + """),
+f AS (SELECT * FROM rec WHERE record = 'hottest_day'),
+a AS (SELECT station, max(CAST(regexp_extract(date, '(\\d{4})', 1) AS INTEGER)) AS as_of_year FROM f GROUP BY 1)
+SELECT station, rank, date, round_even(metric_value, 2) AS metric_value,
+  (contains(date, CAST(as_of_year AS VARCHAR)) OR contains(date, CAST(as_of_year - 1 AS VARCHAR))
+   OR contains(date, CAST(as_of_year - 2 AS VARCHAR))) AS recent
+FROM f JOIN a USING (station)""")
+def q_records_page_hottest_day(spark, sf_dir):
+    """One record family as a page with the 'set in the last 3 years' flag."""
+    from climo.operators import records
+    rec = records.temp_records(fx.daily_temps(spark, sf_dir), _N, fx.HOT_THRESHOLD, fx.FREEZE_THRESHOLD)
+    return records.records_page(rec, "hottest_day")
