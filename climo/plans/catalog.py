@@ -645,3 +645,143 @@ def q_records_page_hottest_day(spark, sf_dir):
     from climo.operators import records
     rec = records.temp_records(fx.daily_temps(spark, sf_dir), _N, fx.HOT_THRESHOLD, fx.FREEZE_THRESHOLD)
     return records.records_page(rec, "hottest_day")
+
+
+# ---------------------------------------------------------------------------
+# Sequence windows (W10-W15), top-k
+
+@register("dry_gaps", with_fixtures("precip_silver") + """
+SELECT station, date, precip_day,
+       CAST(datediff('day', lag(date) OVER (PARTITION BY station ORDER BY date), date) - 1 AS INTEGER) AS dry_days
+FROM silver WHERE precip_day = 1""")
+def q_dry_gaps(spark, sf_dir):
+    """Days between consecutive wet days."""
+    from climo.operators import windows
+    s = fx.precip_silver(spark, sf_dir).select("station", "date", "precip_day")
+    return windows.gap_since_previous(s, F.col("precip_day") == 1)
+
+
+@register("precip_streaks", with_fixtures("precip_silver") + """
+, s AS (SELECT station, date, CASE WHEN snow > 0 THEN 1 ELSE 0 END AS state FROM silver),
+c AS (SELECT *, CASE WHEN lag(state) OVER (PARTITION BY station ORDER BY date) IS NOT DISTINCT FROM state
+                     THEN 0 ELSE 1 END AS chg FROM s),
+i AS (SELECT *, sum(chg) OVER (PARTITION BY station ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+              AS streak_id FROM c)
+SELECT station, streak_id, state, min(date) AS start, max(date) AS "end", count(*) AS length FROM i GROUP BY 1, 2, 3""")
+def q_precip_streaks(spark, sf_dir):
+    """Islands of consecutive rows with / without snow (row-based, Q19)."""
+    from climo.operators import windows
+    s = fx.precip_silver(spark, sf_dir)
+    st = windows.state_streaks(s, F.when(F.col("snow") > 0, 1).otherwise(0))
+    return windows.streak_summary(st)
+
+
+@register("rolling_mean_365", with_fixtures("daily_temps") + """
+SELECT station, date, avg_temp,
+  CASE WHEN count(avg_temp) OVER w >= 180 THEN avg(avg_temp) OVER w END AS avg_temp_rolling
+FROM daily_temps WINDOW w AS (PARTITION BY station ORDER BY date ROWS BETWEEN 364 PRECEDING AND CURRENT ROW)""")
+def q_rolling_mean_365(spark, sf_dir):
+    """365-row trailing mean with at least 180 observations."""
+    from climo.operators import windows
+    return windows.rolling_mean(fx.daily_temps(spark, sf_dir).select("station", "date", "avg_temp"), "avg_temp")
+
+
+@register("hottest_hour_by_month", ORACLE["hourly_by_month"].replace(
+    "SELECT station, month, month_num, hour, metric_name, avg(metric_value) AS metric_value,",
+    ", mm AS (SELECT station, month, month_num, hour, metric_name, avg(metric_value) AS metric_value,", 1) + """)
+SELECT station, month, first(hour ORDER BY metric_value DESC, hour ASC) AS hour,
+       max(metric_value) AS metric_value FROM mm WHERE metric_name = 'temp' GROUP BY 1, 2""")
+def q_hottest_hour_by_month(spark, sf_dir):
+    """Hour with the highest mean temperature per month (max_by, no sort)."""
+    from climo.operators import aggregates as agg
+    from climo.operators import windows
+    month = agg.hourly_cascade(fx.hourly(spark, sf_dir), _HM)[1].filter(F.col("metric_name") == "temp")
+    return windows.argmax_row(month, ["station", "month"], "metric_value", ["hour", "metric_value"],
+                              largest=True, tie_col="hour")
+
+
+@register("top_temperature_swings", """
+WITH d AS (SELECT CAST(o_orderdate AS DATE) AS date, max(o_totalprice) - min(o_totalprice) AS swing FROM orders GROUP BY 1)
+SELECT date, swing FROM d ORDER BY swing DESC, date ASC LIMIT 10""")
+def q_top_temperature_swings(spark, sf_dir):
+    """The 10 days with the largest high−low swing (TakeOrderedAndProject)."""
+    from climo.functions import derive as dv
+    d = fx.daily_temps(spark, sf_dir, dense=True)
+    d = d.select("date", dv.diurnal_range("max_temp", "min_temp").alias("swing"))
+    return ranks.top_k(d, "swing", 10, ascending=False, tie_break=["date"])
+
+
+@register("temps_with_precip", with_fixtures("daily_temps", "precip_silver") + """
+SELECT t.station, t.date, t.max_temp, t.min_temp, t.avg_temp, s.precip, s.rain, s.snow
+FROM daily_temps t LEFT JOIN silver s ON t.station = s.station AND t.date = s.date""")
+def q_temps_with_precip(spark, sf_dir):
+    """Daily temperatures ⟕ daily precipitation on (station, date)."""
+    t = fx.daily_temps(spark, sf_dir).select("station", "date", "max_temp", "min_temp", "avg_temp")
+    s = fx.precip_silver(spark, sf_dir).select("station", "date", "precip", "rain", "snow")
+    return t.join(s, ["station", "date"], "left")
+
+
+# ---------------------------------------------------------------------------
+# Normals joins and departures (J1, F16, A35, V1, V3), pivot (R2)
+
+_DOY_NORMALS_SQL = f"""
+, tn AS (SELECT *, {doy_sql('date')} AS day_of_year FROM daily_temps),
+nrm AS (SELECT station, day_of_year, avg(max_temp) AS normal_high, avg(min_temp) AS normal_low,
+               avg(avg_temp) AS normal_temp
+        FROM tn WHERE year(date) BETWEEN {fx.NORMAL_START} AND {fx.NORMAL_END} GROUP BY 1, 2),
+j AS (SELECT tn.*, nrm.normal_high, nrm.normal_low, nrm.normal_temp FROM tn
+      LEFT JOIN nrm ON tn.station = nrm.station AND tn.day_of_year = nrm.day_of_year)"""
+
+
+def _doy_normals(spark, sf_dir):
+    from climo.plans import views
+    return views.normals_from_doy_means(fx.daily_temps(spark, sf_dir), _NORMAL_YEARS)
+
+
+@register("departure_month_mean", with_fixtures("daily_temps") + _DOY_NORMALS_SQL + """
+SELECT station, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month_num,
+       avg(max_temp - normal_high) AS departure_high, avg(min_temp - normal_low) AS departure_low,
+       avg(avg_temp - normal_temp) AS departure_mean FROM j GROUP BY 1, 2, 3""")
+def q_departure_month_mean(spark, sf_dir):
+    """Facts ⟕ day-of-year normals (J1) → departures (F16) → monthly mean."""
+    from climo.plans import views
+    return views.departure_month_mean(fx.daily_temps(spark, sf_dir), _doy_normals(spark, sf_dir))
+
+
+@register("temp_band_window", with_fixtures("daily_temps") + _DOY_NORMALS_SQL + """
+, r AS (SELECT *, CAST(rank() OVER (PARTITION BY station, day_of_year ORDER BY max_temp DESC) AS INTEGER) AS high_rank,
+              CAST(rank() OVER (PARTITION BY station, day_of_year ORDER BY min_temp ASC) AS INTEGER) AS low_rank FROM j),
+w AS (SELECT * FROM r WHERE year(date) BETWEEN 1997 AND 2001)
+SELECT station, date, max_temp, min_temp, normal_high, normal_low, high_rank, low_rank,
+       high_rank = 1 AS record_high, low_rank = 1 AS record_low,
+       low_rank = max(low_rank) OVER (PARTITION BY station) AS warmest_low,
+       high_rank = max(high_rank) OVER (PARTITION BY station) AS coldest_high FROM w""")
+def q_temp_band_window(spark, sf_dir):
+    """V1: five-year window with normals, record flags and window extremes."""
+    from climo.plans import views
+    return views.temp_band_window(fx.daily_temps(spark, sf_dir), _doy_normals(spark, sf_dir), 1997)
+
+
+@register("calendar_departure", with_fixtures("daily_temps") + _DOY_NORMALS_SQL + """
+SELECT station, date, max_temp AS value, max_temp - normal_high AS departure FROM j
+WHERE year(date) BETWEEN 1997 AND 2001""")
+def q_calendar_departure(spark, sf_dir):
+    """V3: daily departure of the high from normal over five years."""
+    from climo.plans import views
+    return views.calendar_departure(fx.daily_temps(spark, sf_dir), _doy_normals(spark, sf_dir), "max_temp", 1997)
+
+
+_PIVOT_YEARS = list(range(1995, 2002))
+
+
+@register("monthly_mean_pivot", """
+WITH d AS (SELECT CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS max_temp FROM orders GROUP BY 1),
+m AS (SELECT strftime(date, '%b') AS month, CAST(year(date) AS INTEGER) AS year, avg(max_temp) AS mean FROM d GROUP BY 1, 2)
+SELECT month, """ + ", ".join(f'first(mean) FILTER (WHERE year = {y}) AS "{y}"' for y in _PIVOT_YEARS)
+          + " FROM m GROUP BY month")
+def q_monthly_mean_pivot(spark, sf_dir):
+    """R2: month × year matrix of monthly mean highs."""
+    from climo.operators import aggregates as agg
+    from climo.operators import reshape
+    m = agg.monthly_means(fx.daily_temps(spark, sf_dir, dense=True), ["max_temp"], keys=[])
+    return reshape.pivot_years(m, "month", "year", "mean", _PIVOT_YEARS)

@@ -42,3 +42,154 @@ def hourly_season_deviation(hourly: DataFrame, metrics: Sequence[str], keys: Seq
     from climo.operators import windows
     season = agg.hourly_cascade(hourly, metrics, keys)[2]
     return windows.deviation_from_group_mean(season, "metric_value", [*keys, "season", "metric_name"])
+
+
+# ---- fixed values ---------------------------------------------------------
+SNOW_BIN_EDGES = [0, 1, 3, 5, 8, 12, 18]
+SNOW_BIN_LABELS = ["0in", "0-1in", "1-3in", "3-5in", "5-8in", "8-12in", "12-18in", "18+in"]
+RAIN_BIN_EDGES = [0, 0.25, 0.5, 0.75, 1, 2]
+RAIN_BIN_LABELS = ["0in", "0-0.25in", "0.25-0.5in", "0.5-0.75in", "0.75-1in", "1-2in", "2+in"]
+CLOUD_BIN_WIDTH = 10.0
+# ---------------------------------------------------------------------------
+
+
+def doy_key(col: str = "day_of_year"):
+    """Integer join key for the fractional day index (59.5 → 119)."""
+    return (F.col(col) * 2).cast("int")
+
+
+def normals_from_doy_means(daily: DataFrame, years: tuple, keys: Sequence[str] = ("station",)) -> DataFrame:
+    """Daily normals table (station, day_of_year, normal_high/low/temp) as plain
+    day-of-year means over a window of years (A6) — the unsmoothed variant of
+    the spline normals."""
+    d = daily.withColumn("day_of_year", cal.doy_index("date"))
+    m = normals.doy_means(d, ["max_temp", "min_temp", "avg_temp"], keys, year_range=years)
+    return m.withColumnsRenamed({"max_temp": "normal_high", "min_temp": "normal_low", "avg_temp": "normal_temp"})
+
+
+def join_normals(daily: DataFrame, daily_normals: DataFrame, keys: Sequence[str] = ("station",)) -> DataFrame:
+    """Facts ⟕ daily normals on (station, day of year), joined on the integer
+    key 2·doy.  The normals side is one row per station-day-of-year; AQE
+    broadcasts it when its measured size allows, else sort-merge."""
+    d = daily.withColumn("day_of_year", cal.doy_index("date")).withColumn("_dk", doy_key())
+    n = daily_normals.withColumn("_dk", doy_key()).drop("day_of_year")
+    return d.join(n, [*keys, "_dk"], "left").drop("_dk")
+
+
+def departures(joined: DataFrame) -> DataFrame:
+    """F16: departure of high / low / mean from the normals."""
+    from climo.functions import derive as dv
+    return joined.withColumns({
+        "departure_high": dv.departure("max_temp", "normal_high"),
+        "departure_low": dv.departure("min_temp", "normal_low"),
+        "departure_mean": dv.departure("avg_temp", "normal_temp")})
+
+
+def departure_month_mean(daily: DataFrame, daily_normals: DataFrame, keys: Sequence[str] = ("station",)) -> DataFrame:
+    """Mean daily departure per (year, month)."""
+    d = departures(join_normals(daily, daily_normals, keys))
+    return (d.groupBy(*keys, F.year("date").alias("year"), F.month("date").alias("month_num"))
+            .agg(F.avg("departure_high").alias("departure_high"), F.avg("departure_low").alias("departure_low"),
+                 F.avg("departure_mean").alias("departure_mean")))
+
+
+def temp_band_window(daily: DataFrame, daily_normals: DataFrame, start_year: int,
+                     keys: Sequence[str] = ("station",)) -> DataFrame:
+    """V1: five years of days with their normals, day-of-year ranks over all
+    years and flags: record high / low (rank 1) and the window's coldest high
+    / warmest low (largest rank inside the window)."""
+    from pyspark.sql import Window
+    d = join_normals(daily, daily_normals, keys)
+    d = ranks.doy_rank(d, "max_temp", ascending=False, keys=keys, rank_col="high_rank")
+    d = ranks.doy_rank(d, "min_temp", ascending=True, keys=keys, rank_col="low_rank")
+    d = d.filter(F.year("date").between(start_year, start_year + 4))
+    w = Window.partitionBy(*keys)
+    return d.select(*keys, "date", "max_temp", "min_temp", "normal_high", "normal_low", "high_rank", "low_rank",
+                    (F.col("high_rank") == 1).alias("record_high"), (F.col("low_rank") == 1).alias("record_low"),
+                    (F.col("low_rank") == F.max("low_rank").over(w)).alias("warmest_low"),
+                    (F.col("high_rank") == F.max("high_rank").over(w)).alias("coldest_high"))
+
+
+def calendar_departure(daily: DataFrame, daily_normals: DataFrame, metric: str, start_year: int,
+                       keys: Sequence[str] = ("station",)) -> DataFrame:
+    """V3: daily departure of one metric from normal over a five-year window."""
+    normal_of = {"max_temp": "normal_high", "min_temp": "normal_low", "avg_temp": "normal_temp"}[metric]
+    d = join_normals(daily.filter(F.year("date").between(start_year, start_year + 4)), daily_normals, keys)
+    return d.select(*keys, "date", F.col(metric).alias("value"), (F.col(metric) - F.col(normal_of)).alias("departure"))
+
+
+def observed_vs_normal(silver: DataFrame, monthly_normals: DataFrame, keys: Sequence[str] = ("station",)) -> DataFrame:
+    """Calendar-year monthly totals next to the monthly normal, long form
+    (type observed / normal).  Inner join on (month, metric) drops metrics
+    without a normal (precip_day, Q17)."""
+    long = normals.precip_long(silver, keys, mode="trailing").filter(F.col("year_type") == "calendar_year")
+    totals = agg.monthly_totals(long, keys, by=("metric_name", "month", "year_for_dash"))
+    norm_long = (monthly_normals.withColumnsRenamed({"norm_precip": "precip", "norm_snow": "snow",
+                                                     "norm_rain": "rain", "norm_precip_perc": "precip_perc"})
+                 .unpivot([*keys, "month"], ["precip", "snow", "rain", "precip_perc"], "metric_name", "normal"))
+    j = totals.withColumnRenamed("total", "observed").join(norm_long, [*keys, "month", "metric_name"], "inner")
+    return j.unpivot([*keys, "metric_name", "month", "year_for_dash"], ["observed", "normal"], "type", "metric_value")
+
+
+def on_this_day(df: DataFrame, label: str) -> DataFrame:
+    """Rows whose day index equals that of a 'Mon DD' label."""
+    target = cal.doy_from_label(F.lit(label))
+    d = df if "day_of_year" in df.columns else df.withColumn("day_of_year", cal.doy_index("date"))
+    return d.filter(F.col("day_of_year") == target)
+
+
+def on_this_day_histogram(df: DataFrame, label: str, metric: str, width: float, origin: float = 0.0,
+                          keys: Sequence[str] = ("station",)) -> DataFrame:
+    """Percent of years per value bin on one calendar day."""
+    return agg.histogram_percent(on_this_day(df, label), metric, width, origin, keys)
+
+
+def on_this_day_binned(df: DataFrame, label: str, metric: str, edges, labels,
+                       keys: Sequence[str] = ("station",)) -> DataFrame:
+    """Percent of years per labelled step bin (F10) on one calendar day."""
+    from climo.functions import derive as dv
+    d = on_this_day(df, label)
+    return agg.labelled_bin_percent(d, dv.step_bin(metric, edges, labels, labels[-1], null_label="missing"), keys)
+
+
+def on_this_day_trend(df: DataFrame, label: str, metrics: Sequence[str], keys: Sequence[str] = ("station",)) -> DataFrame:
+    """The value of each metric on one calendar day, by year."""
+    d = on_this_day(df, label)
+    return d.select(*keys, F.year("date").alias("year"), *metrics)
+
+
+def yearly_trend_table(daily: DataFrame, silver: DataFrame, hot: float, freeze: float,
+                       keys: Sequence[str] = ("station",),
+                       extra_metrics: Sequence[str] = ("cloud_cover", "pressure", "dew_point", "wind_speed")) -> DataFrame:
+    """One long (metric_name, year, total, rank) table of yearly
+    metrics — yearly temperature means, water-year precipitation totals,
+    yearly temperature records and yearly means of other measurements —
+    without each station's last (partial) year."""
+    k = list(keys)
+    mm = monthly_temp_rank(daily, keys).filter(F.col("month") == cal.YEAR_LABEL)
+    a = mm.select(*k, F.col("metric").alias("metric_name"), F.col("year").cast("int").alias("year"),
+                  F.col("mean").alias("total"), "rank")
+    pr = monthly_precip_rank(silver, keys).filter((F.col("month") == cal.YEAR_LABEL)
+                                                  & (F.col("year_type") == "water_year"))
+    b = pr.select(*k, "metric_name", F.col("year_for_dash").cast("int").alias("year"), "total", "rank")
+    c = agg.temp_year_metrics(daily, hot, freeze, keys).select(*k, "metric_name", "year", "total", "rank")
+    ym = agg.yearly_means_multi(daily, list(extra_metrics), keys)
+    dl = ym.unpivot([*k, "year"], list(extra_metrics), "metric_name", "total")
+    dl = ranks.rank_over(dl, [*k, "metric_name"], "total", ascending=False)
+    u = a.unionByName(b).unionByName(c).unionByName(dl.select(*k, "metric_name", "year", "total", "rank"))
+    sc = reshape.per_key_scalars(u, k, _maxy=F.max("year"))
+    return reshape.attach_scalars(u, sc, k).filter(F.col("year") <= F.col("_maxy") - 1).drop("_maxy")
+
+
+def yearly_departure(trend: DataFrame, metric: str, start_year: int, n_years: int = 30,
+                     keys: Sequence[str] = ("station",)) -> DataFrame:
+    """One metric's yearly values from ``start_year`` with the mean of
+    the shown years and the departure from the mean of the last ``n_years``."""
+    from pyspark.sql import Window
+    k = list(keys)
+    t = trend.withColumn("_maxy", F.max("year").over(Window.partitionBy(*k)))
+    t = t.filter((F.col("metric_name") == metric) & (F.col("year") >= start_year))
+    w = Window.partitionBy(*k)
+    base = F.avg(F.when(F.col("year") >= F.col("_maxy") - n_years, F.col("total"))).over(w)
+    return t.select(*k, "year", "total", F.avg("total").over(w).alias("avg_line"),
+                    (F.col("total") - base).alias("departure_from_normal"))
