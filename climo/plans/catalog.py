@@ -785,3 +785,245 @@ def q_monthly_mean_pivot(spark, sf_dir):
     from climo.operators import reshape
     m = agg.monthly_means(fx.daily_temps(spark, sf_dir, dense=True), ["max_temp"], keys=[])
     return reshape.pivot_years(m, "month", "year", "mean", _PIVOT_YEARS)
+
+
+# ---------------------------------------------------------------------------
+# Observed vs normal (A1 + J4 + R1)
+
+_MONTHLY_NORMALS_CTE = """
+, cy AS (SELECT station, max(year) AS cy FROM silver GROUP BY station),
+mm AS (SELECT s.station, s.year, s.month, coalesce(sum(precip), 0.0) AS precip, coalesce(sum(snow), 0.0) AS snow,
+             coalesce(sum(rain), 0.0) AS rain, avg(precip_day) AS precip_day
+      FROM silver s JOIN cy USING (station) WHERE s.year BETWEEN cy.cy - 30 AND cy.cy - 1 GROUP BY 1, 2, 3),
+mn AS (SELECT station, month, avg(precip) AS norm_precip, avg(snow) AS norm_snow, avg(rain) AS norm_rain,
+       avg(precip_day) AS norm_precip_perc FROM mm GROUP BY 1, 2),
+mnl AS (SELECT station, month, 'precip' AS metric_name, norm_precip AS normal FROM mn
+        UNION ALL SELECT station, month, 'snow', norm_snow FROM mn
+        UNION ALL SELECT station, month, 'rain', norm_rain FROM mn
+        UNION ALL SELECT station, month, 'precip_perc', norm_precip_perc FROM mn)"""
+
+
+@register("observed_vs_normal", with_fixtures("precip_silver") + _stack_sql("trailing") + _MONTHLY_NORMALS_CTE + """
+, t AS (SELECT station, metric_name, month, year_for_dash, coalesce(sum(metric_value), 0.0) AS observed
+        FROM long WHERE year_type = 'calendar_year' GROUP BY ALL),
+jn AS (SELECT t.*, mnl.normal FROM t JOIN mnl USING (station, month, metric_name))
+SELECT station, metric_name, month, year_for_dash, 'observed' AS type, observed AS metric_value FROM jn
+UNION ALL SELECT station, metric_name, month, year_for_dash, 'normal', normal FROM jn""")
+def q_observed_vs_normal(spark, sf_dir):
+    from climo.operators import normals
+    from climo.plans import views
+    s = fx.precip_silver(spark, sf_dir)
+    return views.observed_vs_normal(s, normals.precip_monthly_normals(s))
+
+
+# ---------------------------------------------------------------------------
+# V33 / U4 yearly trend table, V14/V15 departures, M8 linear trend
+
+def _yearly_trend_sql() -> str:
+    mtr = ORACLE["monthly_temp_rank"]
+    mpr = ORACLE["monthly_precip_rank"]
+    tym = ORACLE["temp_year_metrics"]
+    return f"""WITH a AS ({mtr}),
+b AS ({mpr}),
+c AS ({tym}),
+dtf AS ({with_fixtures('daily_temps')} SELECT * FROM daily_temps),
+ym AS (SELECT station, CAST(year(date) AS INTEGER) AS year, avg(cloud_cover) AS cloud_cover, avg(pressure) AS pressure,
+              avg(dew_point) AS dew_point, avg(wind_speed) AS wind_speed FROM dtf GROUP BY 1, 2),
+dl AS (SELECT station, year, 'cloud_cover' AS metric_name, cloud_cover AS total FROM ym
+       UNION ALL SELECT station, year, 'pressure', pressure FROM ym
+       UNION ALL SELECT station, year, 'dew_point', dew_point FROM ym
+       UNION ALL SELECT station, year, 'wind_speed', wind_speed FROM ym),
+u AS (SELECT station, metric AS metric_name, year, mean AS total, rank FROM a WHERE month = 'Year'
+      UNION ALL SELECT station, metric_name, CAST(year_for_dash AS INTEGER), total, rank FROM b
+        WHERE month = 'Year' AND year_type = 'water_year'
+      UNION ALL SELECT station, metric_name, year, total, rank FROM c
+      UNION ALL SELECT station, metric_name, year, total,
+        CAST(rank() OVER (PARTITION BY station, metric_name ORDER BY total DESC NULLS LAST) AS INTEGER) FROM dl),
+yt AS (SELECT u.* FROM u JOIN (SELECT station, max(year) AS maxy FROM u GROUP BY 1) m USING (station)
+       WHERE u.year <= m.maxy - 1)"""
+
+
+@register("yearly_trend_table", _yearly_trend_sql() + "\nSELECT * FROM yt")
+def q_yearly_trend_table(spark, sf_dir):
+    """Sixteen yearly metrics (temperature means, water-year precipitation,
+    yearly records, other means) in one ranked long table."""
+    from climo.plans import views
+    return views.yearly_trend_table(fx.daily_temps(spark, sf_dir), fx.precip_silver(spark, sf_dir),
+                                    fx.HOT_THRESHOLD, fx.FREEZE_THRESHOLD)
+
+
+@register("yearly_departure", _yearly_trend_sql() + """
+, mx AS (SELECT station, max(year) AS maxy FROM yt GROUP BY 1),
+f AS (SELECT yt.*, mx.maxy FROM yt JOIN mx USING (station) WHERE metric_name = 'max_temp' AND year >= 1996)
+SELECT station, year, total, avg(total) OVER (PARTITION BY station) AS avg_line,
+       total - avg(CASE WHEN year >= maxy - 30 THEN total END) OVER (PARTITION BY station) AS departure_from_normal
+FROM f""")
+def q_yearly_departure(spark, sf_dir):
+    """One metric's yearly values with the shown-years mean and the
+    departure from the trailing 30-year mean."""
+    from climo.plans import views
+    t = views.yearly_trend_table(fx.daily_temps(spark, sf_dir), fx.precip_silver(spark, sf_dir),
+                                 fx.HOT_THRESHOLD, fx.FREEZE_THRESHOLD)
+    return views.yearly_departure(t, "max_temp", 1996)
+
+
+@register("linear_trend", _yearly_trend_sql() + """
+, x AS (SELECT station, metric_name, CAST(year - min(year) OVER (PARTITION BY station, metric_name) AS DOUBLE) AS t,
+          total FROM yt)
+SELECT station, metric_name, regr_slope(total, t) AS slope, regr_intercept(total, t) AS intercept,
+       regr_r2(total, t) AS r2, regr_count(total, t) AS n, regr_slope(total, t) * 10 AS slope_per_decade
+FROM x GROUP BY 1, 2""")
+def q_linear_trend(spark, sf_dir):
+    """M8: slope / intercept / r² of each yearly metric against years since start."""
+    from climo.operators import regression as rg
+    from climo.plans import views
+    t = views.yearly_trend_table(fx.daily_temps(spark, sf_dir), fx.precip_silver(spark, sf_dir),
+                                 fx.HOT_THRESHOLD, fx.FREEZE_THRESHOLD)
+    return rg.linear_trend(t, "year", "total", keys=["station", "metric_name"], with_p=False)
+
+
+@register("yearly_scatter_fit")
+def q_yearly_scatter_fit(spark, sf_dir):
+    """Linear trend per yearly metric with the slope's p-value (t distribution)."""
+    from climo.operators import regression as rg
+    from climo.plans import views
+    t = views.yearly_trend_table(fx.daily_temps(spark, sf_dir), fx.precip_silver(spark, sf_dir),
+                                 fx.HOT_THRESHOLD, fx.FREEZE_THRESHOLD)
+    return rg.linear_trend(t, "year", "total", keys=["station", "metric_name"], with_p=True)
+
+
+# ---------------------------------------------------------------------------
+# On this day (label → day index → histogram / bins / trend)
+
+_LABEL = "Mar 01"
+_LABEL_DOY = doy_sql("CAST(strptime('Mar 01 2024', '%b %d %Y') AS DATE)")
+
+
+def _otd_hist_sql(src: str, metric: str, width: float) -> str:
+    return f"""
+, o AS (SELECT * FROM {src} WHERE {doy_sql('date')} = {_LABEL_DOY}),
+b AS (SELECT station, floor(({metric} - 0.0) / {width}) * {width} + 0.0 AS bin_start, count(*) AS n
+      FROM o WHERE {metric} IS NOT NULL GROUP BY 1, 2)
+SELECT *, n * 100.0 / sum(n) OVER (PARTITION BY station) AS percent FROM b"""
+
+
+for _m, _w in (("min_temp", 25000.0), ("max_temp", 25000.0), ("cloud_cover", 10.0), ("dew_point", 25000.0)):
+    def _mk(m=_m, w=_w):
+        def q(spark, sf_dir):
+            from climo.plans import views
+            return views.on_this_day_histogram(fx.daily_temps(spark, sf_dir), _LABEL, m, w)
+        q.__doc__ = f"V19-V22: on-this-day histogram (percent) of {m}."
+        return q
+    register(f"on_this_day_hist_{_m}", with_fixtures("daily_temps") + _otd_hist_sql("daily_temps", _m, _w))(_mk())
+
+
+def _step_sql(metric: str, edges, labels) -> str:
+    parts = " ".join(f"WHEN {metric} <= {e} THEN '{lab}'" for e, lab in zip(edges, labels))
+    return f"CASE WHEN {metric} IS NULL THEN 'missing' {parts} ELSE '{labels[-1]}' END"
+
+
+def _otd_bins(metric):
+    from climo.plans import views
+    return {"snow": (views.SNOW_BIN_EDGES, views.SNOW_BIN_LABELS),
+            "rain": (views.RAIN_BIN_EDGES, views.RAIN_BIN_LABELS)}[metric]
+
+
+for _m in ("snow", "rain"):
+    _e, _l = _otd_bins(_m)
+
+    def _mkb(m=_m, e=_e, lab=_l):
+        def q(spark, sf_dir):
+            from climo.plans import views
+            return views.on_this_day_binned(fx.precip_silver(spark, sf_dir), _LABEL, m, e, lab)
+        q.__doc__ = f"V23-V24: on-this-day {m} in labelled step bins (percent)."
+        return q
+    register(f"on_this_day_bins_{_m}", with_fixtures("precip_silver") + f"""
+, o AS (SELECT * FROM silver WHERE day_of_year = {_LABEL_DOY}),
+b AS (SELECT station, {_step_sql(_m, _e, _l)} AS bin, count(*) AS n FROM o GROUP BY 1, 2)
+SELECT *, n * 100.0 / sum(n) OVER (PARTITION BY station) AS percent FROM b""")(_mkb())
+
+
+@register("on_this_day_trend_temps", with_fixtures("daily_temps") + f"""
+SELECT station, CAST(year(date) AS INTEGER) AS year, min_temp, max_temp, cloud_cover FROM daily_temps
+WHERE {doy_sql('date')} = {_LABEL_DOY}""")
+def q_on_this_day_trend_temps(spark, sf_dir):
+    """Low, high and cloud cover on one calendar day, by year."""
+    from climo.plans import views
+    return views.on_this_day_trend(fx.daily_temps(spark, sf_dir), _LABEL, ["min_temp", "max_temp", "cloud_cover"])
+
+
+@register("on_this_day_trend_precip", with_fixtures("precip_silver") + f"""
+SELECT station, CAST(year(date) AS INTEGER) AS year, rain, snow FROM silver WHERE day_of_year = {_LABEL_DOY}""")
+def q_on_this_day_trend_precip(spark, sf_dir):
+    """Rain and snow on one calendar day, by year."""
+    from climo.plans import views
+    return views.on_this_day_trend(fx.precip_silver(spark, sf_dir), _LABEL, ["rain", "snow"])
+
+
+# ---------------------------------------------------------------------------
+# Ingest operators
+
+_AS_OF = "2001-06-01"
+
+
+@register("null_watermark", with_fixtures("daily_precip_raw") + f"""
+SELECT station, coalesce(min(CASE WHEN date >= DATE '{_AS_OF}' - INTERVAL 6 MONTH
+                                   AND (tempmax IS NULL OR tempmin IS NULL OR precip IS NULL OR snow IS NULL)
+                                  THEN date END), max(date)) AS start_date,
+       CAST(DATE '{_AS_OF}' - INTERVAL 1 DAY AS DATE) AS end_date
+FROM daily_precip_raw GROUP BY 1""")
+def q_null_watermark(spark, sf_dir):
+    """Per station, first date in the last 6 months with a missing needed field."""
+    from climo.sources import ingest
+    return ingest.null_watermark(fx.daily_precip_raw(spark, sf_dir), _AS_OF,
+                                 fields=["tempmax", "tempmin", "precip", "snow"])
+
+
+@register("next_range", with_fixtures("daily_precip_raw") + """
+SELECT station, CAST(max(date) + INTERVAL 1 DAY AS DATE) AS start_date,
+       CAST(datediff('day', CAST(max(date) + INTERVAL 1 DAY AS DATE), DATE '2002-01-01') AS INTEGER) AS days_to_update
+FROM daily_precip_raw GROUP BY 1""")
+def q_next_range(spark, sf_dir):
+    """Resume date and number of days to fetch per station."""
+    from climo.sources import ingest
+    return ingest.next_range(fx.daily_precip_raw(spark, sf_dir), "2002-01-01")
+
+
+@register("upsert_coalesce", with_fixtures("daily_precip_raw") + f"""
+, ex AS (SELECT station, date, precip, snow, snow_depth, tempmin,
+           CASE WHEN date >= DATE '{fx.INCREMENT_CUT}' - INTERVAL {fx.INCREMENT_OVERLAP_DAYS} DAY THEN NULL
+                ELSE tempmax END AS tempmax
+         FROM daily_precip_raw WHERE date < DATE '{fx.INCREMENT_CUT}'),
+nw AS (SELECT station, date, precip, CASE WHEN date < DATE '{fx.INCREMENT_CUT}' THEN NULL ELSE snow END AS snow,
+              tempmin, tempmax
+       FROM daily_precip_raw WHERE date >= DATE '{fx.INCREMENT_CUT}' - INTERVAL {fx.INCREMENT_OVERLAP_DAYS} DAY)
+SELECT coalesce(nw.station, ex.station) AS station, coalesce(nw.date, ex.date) AS date,
+       coalesce(nw.precip, ex.precip) AS precip, coalesce(nw.snow, ex.snow) AS snow, ex.snow_depth AS snow_depth,
+       coalesce(nw.tempmin, ex.tempmin) AS tempmin, coalesce(nw.tempmax, ex.tempmax) AS tempmax
+FROM ex FULL OUTER JOIN nw ON ex.station = nw.station AND ex.date = nw.date""")
+def q_upsert_coalesce(spark, sf_dir):
+    """Merge an incremental batch: new values win, NULLs keep stored values."""
+    from climo.sources import ingest
+    existing, new = fx.incremental_batches(spark, sf_dir)
+    return ingest.upsert_coalesce(existing, new)
+
+
+@register("key_violations", with_fixtures("precip_silver") + """
+SELECT (SELECT count(*) FROM (SELECT station, date FROM silver GROUP BY 1, 2 HAVING count(*) > 1)) AS duplicate_keys,
+       (SELECT count_if(station IS NULL OR date IS NULL) FROM silver) AS null_keys""")
+def q_key_violations(spark, sf_dir):
+    """Duplicate and NULL (station, date) keys of the silver table."""
+    from climo.sources import ingest
+    return ingest.key_violations(fx.precip_silver(spark, sf_dir))
+
+
+_RAW_COLS = ["station", "date", "precip", "snow", "snow_depth", "tempmin", "tempmax"]
+
+
+@register("null_profile", with_fixtures("daily_precip_raw") + "\n" + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) * 100 AS pct_null "
+    f"FROM daily_precip_raw" for c in _RAW_COLS))
+def q_null_profile(spark, sf_dir):
+    """Percent NULL per column."""
+    from climo.sources import ingest
+    return ingest.null_profile(fx.daily_precip_raw(spark, sf_dir))
