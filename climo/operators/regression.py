@@ -202,7 +202,7 @@ def fit_knots(df: DataFrame, terms: Sequence[Term]) -> list[Term]:
         n_inner = t.df - 2 + (1 if t.center else 0) + (1 if t.kind != "cr" else 0)
         inner = []
         if n_inner > 0:
-            probs = list(np.linspace(0, 1, n_inner + 2)[1:-1])
+            probs = [float(p) for p in np.linspace(0, 1, n_inner + 2)[1:-1]]
             inner = (df.select(x.alias("x")).filter(F.col("x").between(lo, hi)).distinct()
                      .agg(F.percentile("x", probs)).first()[0])
         t.knots = np.unique(np.concatenate([[lo, hi], np.asarray(inner, dtype=float)]))

@@ -1027,3 +1027,155 @@ def q_null_profile(spark, sf_dir):
     """Percent NULL per column."""
     from climo.sources import ingest
     return ingest.null_profile(fx.daily_precip_raw(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Regression family (M4-M14, A17, A36) — rows-only checks, goldens in tests
+
+@register("daily_normals")
+def q_daily_normals(spark, sf_dir):
+    """M4-M6: spline-smoothed daily normals (high df 7, low df 6, mean df 5) and
+    smoothed p10/p90 bands (df 6), 366 rows per station."""
+    from climo.operators import regression as rg
+    return rg.daily_normals(fx.daily_temps(spark, sf_dir, dense=True), _NORMAL_YEARS)
+
+
+@register("normal_month_means")
+def q_normal_month_means(spark, sf_dir):
+    """Monthly means of the daily normal curves (1 dp, half-even)."""
+    from climo.operators import normals
+    from climo.operators import regression as rg
+    dn = rg.daily_normals(fx.daily_temps(spark, sf_dir, dense=True), _NORMAL_YEARS, dp=None)
+    return normals.normal_month_means(dn, ["normal_high", "normal_low", "normal_temp"])
+
+
+@register("smoothed_bands")
+def q_smoothed_bands(spark, sf_dir):
+    """M5: per-station p10/p90 of daily highs by day of year, spline-smoothed."""
+    from climo.operators import regression as rg
+    d = fx.daily_temps(spark, sf_dir).withColumn("day_of_year", cal.doy_index("date"))
+    return rg.smoothed_bands(d, "max_temp", (0.1, 0.9), 6)
+
+
+@register("cv_select_df")
+def q_cv_select_df(spark, sf_dir):
+    """M7: leave-one-year-out CV error of the daily-high curve for df 2..24."""
+    from climo.operators import regression as rg
+    return rg.cv_select_df(fx.daily_temps(spark, sf_dir, dense=True), "max_temp", _NORMAL_YEARS)
+
+
+def _seasonal_frame(spark, sf_dir):
+    d = fx.daily_temps(spark, sf_dir, dense=True)
+    first = d.agg(F.min("date").alias("_d0"))
+    d = d.crossJoin(F.broadcast(first))
+    return d.withColumns({"doy_frac": cal.fraction_of_year("date"),
+                          "total_years": cal.days_since("date", "_d0") / 365.25}).drop("_d0")
+
+
+@register("seasonal_trend_model")
+def q_seasonal_trend_model(spark, sf_dir):
+    """M10 + M14: avg_temp ~ 1 + total_years + cc(doy_frac, 12) per station;
+    fitted value, residual, 365-day rolling residual mean and trend effect."""
+    from climo.operators import regression as rg
+    from climo.operators import windows
+    d = _seasonal_frame(spark, sf_dir)
+    terms = [rg.intercept(), rg.linear("total_years"), rg.cc("doy_frac", 12)]
+    coefs = rg.gram_fit(d, "avg_temp", terms)
+    p = rg.predict(d.select("station", "date", "avg_temp", "total_years", "doy_frac"), coefs, terms,
+                   components=True)
+    p = p.withColumnsRenamed({"comp_Intercept": "intercept_effect", "comp_total_years": "trend_effect",
+                              "comp_cc(doy_frac)": "seasonal_effect"})
+    p = p.withColumn("residual", F.col("avg_temp") - F.col("fitted"))
+    return windows.rolling_mean(p, "residual", 365, 180)
+
+
+@register("spline_trend_model")
+def q_spline_trend_model(spark, sf_dir):
+    """M2 + M10: avg_temp ~ 1 + cr(total_years, 3) + cc(doy_frac, 12): fitted values and residuals."""
+    from climo.operators import regression as rg
+    d = _seasonal_frame(spark, sf_dir)
+    terms = [rg.intercept(), rg.cr("total_years", 3), rg.cc("doy_frac", 12)]
+    coefs = rg.gram_fit(d, "avg_temp", terms)
+    p = rg.predict(d.select("station", "date", "avg_temp", "total_years", "doy_frac"), coefs, terms)
+    return p.withColumn("residual", F.col("avg_temp") - F.col("fitted"))
+
+
+@register("trend_effect_by_year")
+def q_trend_effect_by_year(spark, sf_dir):
+    """Mean fitted trend component per year."""
+    from climo.operators import regression as rg
+    d = _seasonal_frame(spark, sf_dir)
+    terms = [rg.intercept(), rg.linear("total_years"), rg.cc("doy_frac", 12)]
+    coefs = rg.gram_fit(d, "avg_temp", terms)
+    p = rg.predict(d.select("station", "date", "avg_temp", "total_years", "doy_frac"), coefs, terms,
+                   components=True)
+    return (p.groupBy("station", F.year("date").alias("year"))
+            .agg(F.avg(F.col("comp_Intercept") + F.col("comp_total_years")).alias("trend_effect")))
+
+
+def _hourly_model_frame(spark, sf_dir):
+    h = fx.hourly(spark, sf_dir)
+    t0 = h.groupBy("station").agg(F.min("timestamp").alias("_t0"))
+    h = h.join(t0, "station")
+    ti = cal.days_since("timestamp", "_t0")
+    return h.select("station", "timestamp", "temp", ti.alias("time_index"),
+                    F.pmod(ti, F.lit(365.25)).alias("year_index"), F.hour("timestamp").cast("double").alias("hourly_index"),
+                    cal.month_label("timestamp").alias("month"))
+
+
+def _hourly_terms(h):
+    from climo.operators import regression as rg
+    months = [r[0] for r in h.select("month").distinct().collect()]   # ≤ 12 labels
+    months = [m for m in cal.MONTH_LABELS if m in months]
+    return [rg.intercept(), rg.linear("time_index"), rg.cc("year_index", 6, upper=365.25),
+            rg.cc_by("month", months, "hourly_index", 9, upper=24.0)]
+
+
+@register("hourly_model_decomposition")
+def q_hourly_model_decomposition(spark, sf_dir):
+    """M11 + M12: temp ~ 1 + t + cc(year_index, 6) + month:cc(hour, 9) per
+    station; fitted values and the additive trend / yearly / hourly parts."""
+    from climo.operators import regression as rg
+    h = _hourly_model_frame(spark, sf_dir)
+    terms = _hourly_terms(h)
+    coefs = rg.gram_fit(h, "temp", terms)
+    p = rg.predict(h, coefs, terms, components=True)
+    return p.withColumnsRenamed({"comp_Intercept": "intercept", "comp_time_index": "time_trend",
+                                 "comp_cc(year_index)": "year_seasonality",
+                                 "comp_month:cc(hourly_index)": "hourly_seasonality"})
+
+
+@register("hourly_effects")
+def q_hourly_effects(spark, sf_dir):
+    """Mean hourly component by month × hour; hottest and coldest hour per month."""
+    from climo.operators import windows
+    d = q_hourly_model_decomposition(spark, sf_dir)
+    eff = (d.withColumn("hour", F.hour("timestamp"))
+           .groupBy("station", "month", "hour").agg(F.avg("hourly_seasonality").alias("hourly_seasonality")))
+    hot = windows.argmax_row(eff, ["station", "month"], "hourly_seasonality", ["hour", "hourly_seasonality"],
+                             largest=True, tie_col="hour").withColumn("kind", F.lit("hottest"))
+    cold = windows.argmax_row(eff, ["station", "month"], "hourly_seasonality", ["hour", "hourly_seasonality"],
+                              largest=False, tie_col="hour").withColumn("kind", F.lit("coldest"))
+    return hot.unionByName(cold)
+
+
+@register("hourly_model_coefficients")
+def q_hourly_model_coefficients(spark, sf_dir):
+    """Per-station coefficients, standard errors and p-values (116-column design on a full year)."""
+    from climo.operators import regression as rg
+    h = _hourly_model_frame(spark, sf_dir)
+    return rg.gram_fit(h, "temp", _hourly_terms(h))
+
+
+@register("trend_plus_month_effects")
+def q_trend_plus_month_effects(spark, sf_dir):
+    """M9: monthly precipitation ~ 1 + month + t (treatment coding, t = months
+    since start) per station; coefficients with p-values."""
+    from climo.operators import regression as rg
+    s = fx.precip_silver(spark, sf_dir)
+    m = (s.groupBy("station", "year", F.month("date").alias("month_num"), "month")
+         .agg(F.coalesce(F.sum("precip"), F.lit(0.0)).alias("precip")))
+    first = m.groupBy("station").agg(F.min(F.col("year") * 12 + F.col("month_num")).alias("_m0"))
+    m = m.join(first, "station").withColumn("t", (F.col("year") * 12 + F.col("month_num") - F.col("_m0")).cast("double"))
+    terms = [rg.intercept(), rg.dummies("month", cal.MONTH_LABELS), rg.linear("t")]
+    return rg.gram_fit(m, "precip", terms)
