@@ -329,10 +329,6 @@ def _solve(xtx: np.ndarray, xty: np.ndarray, yty: float, n: float, terms: Sequen
     return tm @ beta_c, beta_c, se, p, sigma2, rank
 
 
-COEF_SCHEMA = ("station string, n double, rank int, sigma2 double, beta_raw array<double>, "
-               "coef array<double>, std_err array<double>, p_value array<double>")
-
-
 def gram_fit(df: DataFrame, y: str, terms: Sequence[Term], keys: Sequence[str] = ("station",)) -> DataFrame:
     """OLS per key over all rows: Gram accumulation on executors, k×k solve per key.
 
@@ -432,10 +428,15 @@ def doy_knots(stats: DataFrame, df_: int, doy_col: str = "day_of_year", upper: f
     return fit_knots(stats, [cc(doy_col, df_, upper=upper)])[0].knots
 
 
+DOY_GRID = np.array(sorted([float(d) for d in range(1, 366)] + [59.5]))
+
+
 def fit_doy_curve(stats: DataFrame, df_: int, keys: Sequence[str] = ("station",), doy_col: str = "day_of_year",
-                  upper: float = 366.0, out_col: str = "fitted", knots: np.ndarray | None = None) -> DataFrame:
+                  upper: float = 366.0, out_col: str = "fitted", knots: np.ndarray | None = None,
+                  grid: np.ndarray | None = None) -> DataFrame:
     """M4: cyclic-spline curve per station fitted by (weighted) least squares
-    on day-of-year sufficient statistics; returns (keys, doy, fitted)."""
+    on day-of-year sufficient statistics; returns (keys, doy, fitted) at the
+    observed day indexes, or at every point of ``grid`` (e.g. all 366)."""
     keys = list(keys)
     kn = knots if knots is not None else doy_knots(stats, df_, doy_col, upper)
     key_fields = ", ".join(f"{kc} {stats.schema[kc].dataType.simpleString()}" for kc in keys)
@@ -446,9 +447,14 @@ def fit_doy_curve(stats: DataFrame, df_: int, keys: Sequence[str] = ("station",)
         xtx = (x * w[:, None]).T @ x
         xty = x.T @ pdf["sy"].to_numpy(dtype=float)
         beta, *_ = np.linalg.lstsq(xtx, xty, rcond=None)
-        out = pdf[[*keys, doy_col]].copy()
-        out[out_col] = x @ beta
-        return out
+        if grid is None:
+            out = pdf[[*keys, doy_col]].copy()
+            out[out_col] = x @ beta
+            return out
+        out = pd.DataFrame({doy_col: grid, out_col: spline_basis(grid, kn, True) @ beta})
+        for kc in keys:
+            out[kc] = pdf[kc].iloc[0]
+        return out[[*keys, doy_col, out_col]]
 
     return stats.groupBy(*keys).applyInPandas(
         solve, f"{key_fields}, {doy_col} double, {out_col} double")
@@ -456,7 +462,7 @@ def fit_doy_curve(stats: DataFrame, df_: int, keys: Sequence[str] = ("station",)
 
 def smoothed_bands(df: DataFrame, metric: str, probs: Sequence[float] = (0.1, 0.9), spline_df: int = 6,
                    keys: Sequence[str] = ("station",), doy_col: str = "day_of_year",
-                   upper: float = 366.0) -> DataFrame:
+                   upper: float = 366.0, grid: np.ndarray | None = None) -> DataFrame:
     """M5: exact percentile bands by day of year (A7), each smoothed with a
     cyclic spline (unweighted, one point per day of year)."""
     from climo.operators import normals
@@ -465,7 +471,7 @@ def smoothed_bands(df: DataFrame, metric: str, probs: Sequence[float] = (0.1, 0.
     for p in probs:
         c = f"{metric}_p{int(round(p * 100))}"
         st = bands.select(*keys, doy_col, F.lit(1.0).alias("n"), F.col(c).alias("sy"))
-        fit = fit_doy_curve(st, spline_df, keys, doy_col, upper, out_col=c)
+        fit = fit_doy_curve(st, spline_df, keys, doy_col, upper, out_col=c, grid=grid)
         out = fit if out is None else out.join(fit, [*keys, doy_col])
     return out
 
@@ -487,10 +493,10 @@ def daily_normals(daily: DataFrame, years: tuple, keys: Sequence[str] = ("statio
     rnd = (lambda c: F.bround(c, dp)) if dp is not None else (lambda c: c)
     out = None
     for metric, name in (("max_temp", "normal_high"), ("min_temp", "normal_low"), ("avg_temp", "normal_temp")):
-        fit = fit_doy_curve(doy_stats(d, metric, keys), NORMAL_DF[metric], keys, out_col=name)
+        fit = fit_doy_curve(doy_stats(d, metric, keys), NORMAL_DF[metric], keys, out_col=name, grid=DOY_GRID)
         out = fit if out is None else out.join(fit, [*keys, "day_of_year"])
     for metric in ("max_temp", "min_temp"):
-        out = out.join(smoothed_bands(d, metric, (0.1, 0.9), BAND_DF, keys), [*keys, "day_of_year"])
+        out = out.join(smoothed_bands(d, metric, (0.1, 0.9), BAND_DF, keys, grid=DOY_GRID), [*keys, "day_of_year"])
     cols = ["normal_high", "normal_low", "normal_temp", "max_temp_p10", "max_temp_p90", "min_temp_p10", "min_temp_p90"]
     label = F.when(F.col("day_of_year") == 59.5, F.lit("Feb-29")).otherwise(
         F.date_format(F.date_add(F.lit("2025-01-01").cast("date"), F.floor("day_of_year").cast("int") - 1), "MMM-dd"))
@@ -579,6 +585,7 @@ def linear_trend(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), with_p
     res = res.withColumn("slope_per_decade", F.col("slope") * 10)
     if with_p:
         sse = F.col("_syy") * (1 - F.coalesce(F.col("r2"), F.lit(1.0)))
-        se = F.sqrt(sse / (F.col("n") - 2) / F.col("_sxx"))
-        res = res.withColumn("p_value", F.when(F.col("n") > 2, _slope_p(F.col("slope"), se, F.col("n") - 2)))
+        se = F.sqrt(F.try_divide(F.try_divide(sse, (F.col("n") - 2).cast("double")), F.col("_sxx")))
+        p = _slope_p(F.coalesce(F.col("slope"), F.lit(0.0)), F.coalesce(se, F.lit(0.0)), F.col("n") - 2)
+        res = res.withColumn("p_value", F.when((F.col("n") > 2) & se.isNotNull() & (se > 0), p))
     return res.drop("_sxx", "_syy")

@@ -277,7 +277,8 @@ l AS (SELECT station, year, 'full_max' AS metric_name, full_max AS total FROM y
       UNION ALL SELECT station, year, 'days_100', days_100 FROM y
       UNION ALL SELECT station, year, 'frost_days', frost_days FROM y
       UNION ALL SELECT station, year, 'diurnal_temp_range', diurnal_temp_range FROM y),
-r AS (SELECT *, CAST(rank() OVER (PARTITION BY station, metric_name ORDER BY total DESC NULLS LAST) AS INTEGER) AS rank FROM l),
+r AS (SELECT *, CASE WHEN total IS NOT NULL THEN
+          CAST(rank() OVER (PARTITION BY station, metric_name ORDER BY total DESC NULLS LAST) AS INTEGER) END AS rank FROM l),
 mx AS (SELECT station, max(year(date)) AS maxy FROM daily_temps GROUP BY 1)
 SELECT r.* FROM r JOIN mx USING (station) WHERE r.year < mx.maxy""")
 def q_temp_year_metrics(spark, sf_dir):
@@ -838,7 +839,8 @@ u AS (SELECT station, metric AS metric_name, year, mean AS total, rank FROM a WH
         WHERE month = 'Year' AND year_type = 'water_year'
       UNION ALL SELECT station, metric_name, year, total, rank FROM c
       UNION ALL SELECT station, metric_name, year, total,
-        CAST(rank() OVER (PARTITION BY station, metric_name ORDER BY total DESC NULLS LAST) AS INTEGER) FROM dl),
+        CASE WHEN total IS NOT NULL THEN
+          CAST(rank() OVER (PARTITION BY station, metric_name ORDER BY total DESC NULLS LAST) AS INTEGER) END FROM dl),
 yt AS (SELECT u.* FROM u JOIN (SELECT station, max(year) AS maxy FROM u GROUP BY 1) m USING (station)
        WHERE u.year <= m.maxy - 1)"""
 
