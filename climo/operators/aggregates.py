@@ -44,6 +44,22 @@ def yearly_totals(monthly: DataFrame, keys: Sequence[str] = ("station",),
             .withColumn("month", F.lit(cal.YEAR_LABEL)))
 
 
+def with_year_rows(monthly: DataFrame, keys: Sequence[str], by: Sequence[str], value_col: str,
+                   how: str = "sum") -> DataFrame:
+    """U2 + A2/A4 in one aggregate: the monthly rows plus one 'Year' row per
+    (keys, by) for years with all 12 months (sum or mean of the months).
+
+    Grouping sets over the (small) monthly table replace a union of two
+    aggregates, so the monthly table is computed and read once."""
+    k, b = list(keys), list(by)
+    fn = F.sum if how == "sum" else F.avg
+    g = (monthly.groupingSets([[*k, *b, "month"], [*k, *b]], *k, *b, "month")
+         .agg(fn(value_col).alias(value_col), F.count(value_col).alias("_n"), F.grouping("month").alias("_g")))
+    return (g.filter((F.col("_g") == 0) | (F.col("_n") == 12))
+            .withColumn("month", F.when(F.col("_g") == 1, F.lit(cal.YEAR_LABEL)).otherwise(F.col("month")))
+            .drop("_n", "_g"))
+
+
 def monthly_means(daily: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("station",)) -> DataFrame:
     """A3: mean of each metric per (year, month), long form (metric, mean)."""
     long = reshape.unpivot_metrics(

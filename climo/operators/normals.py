@@ -71,6 +71,21 @@ def doy_percentile_bands(df: DataFrame, metric: str, probs: Sequence[float] = (0
                                         for i, p in enumerate(probs)])
 
 
+def _metric_double(m: str):
+    return F.col(m).cast("double")
+
+
+def running_totals_wide(stacked: DataFrame, partition_cols: Sequence[str], order_cols: Sequence[str],
+                        metrics: Sequence[str]) -> DataFrame:
+    """W7/W8 on the wide rows: one window computes the running total of every
+    metric (NULL counts as 0), so the sort runs once per row instead of once
+    per (row, metric)."""
+    from pyspark.sql import Window
+    w = (Window.partitionBy(*partition_cols).orderBy(*order_cols)
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return stacked.withColumns({m: F.sum(F.coalesce(_metric_double(m), F.lit(0.0))).over(w) for m in metrics})
+
+
 def mtd_normals(silver: DataFrame, keys: Sequence[str] = ("station",), mode: str = "decade",
                 n_years: int = 30, metrics: Sequence[str] = PRECIP_METRICS,
                 probs: Sequence[float] = BAND_PERCENTILES) -> DataFrame:
@@ -80,14 +95,14 @@ def mtd_normals(silver: DataFrame, keys: Sequence[str] = ("station",), mode: str
     max use every past year (Q10).  The current year is excluded.
     """
     stacked = reshape.stack_calendars(silver, keys, mode=mode, n_years=n_years)
-    cal_rows = stacked.filter(F.col("year_type") == "calendar_year")
-    long = reshape.unpivot_metrics(
-        cal_rows.withColumn("day_of_month", F.dayofmonth("date")),
-        [*keys, "date", "month", "year_for_dash", "is_current", "norm_range", "day_of_month"], metrics)
-    mtd = accumulate.month_to_date(long, keys, "mtd")
-    past = mtd.filter(~F.col("is_current"))
+    cal_rows = (stacked.filter(F.col("year_type") == "calendar_year")
+                .withColumn("day_of_month", F.dayofmonth("date")))
+    run = running_totals_wide(cal_rows, [*keys, "year_for_dash", "month"], ["date"], metrics)
+    past = run.filter(~F.col("is_current"))
+    long = reshape.unpivot_metrics(past, [*keys, "month", "norm_range", "day_of_month"], metrics,
+                                   "metric_name", "mtd")
     norm_v = F.when(F.col("norm_range"), F.col("mtd"))
-    out = (past.groupBy(*keys, "metric_name", "month", "day_of_month")
+    out = (long.groupBy(*keys, "metric_name", "month", "day_of_month")
            .agg(F.avg(norm_v).alias("avg_precip_mtd"), F.min("mtd").alias("min_precip_mtd"),
                 F.max("mtd").alias("max_precip_mtd"), percentiles(norm_v, probs).alias("_p")))
     return out.select(*keys, "metric_name", "month", "day_of_month", "avg_precip_mtd",
@@ -95,19 +110,48 @@ def mtd_normals(silver: DataFrame, keys: Sequence[str] = ("station",), mode: str
                       *[F.col("_p")[i].alias(f"p{int(round(p * 100))}_precip_mtd") for i, p in enumerate(probs)])
 
 
-def precip_long(silver: DataFrame, keys: Sequence[str] = ("station",), mode: str = "decade",
-                n_years: int = 30, metrics: Sequence[str] = PRECIP_METRICS) -> DataFrame:
-    """Silver rows stacked by calendar and melted to (metric_name, metric_value)."""
+LONG_IDS = ["date", "month", "day_of_year", "year_type", "year_num", "year_for_dash",
+            "current_year", "is_current", "norm_range", "day_of_year_dash"]
+
+
+def precip_stacked(silver: DataFrame, keys: Sequence[str] = ("station",), mode: str = "decade",
+                   n_years: int = 30, complete_months_only: bool = False) -> DataFrame:
+    """Silver rows stacked by calendar (wide: one column per metric).
+
+    ``complete_months_only`` drops each station's partial last month (P8)."""
     stacked = reshape.stack_calendars(silver, keys, mode=mode, n_years=n_years)
-    return reshape.unpivot_metrics(
-        stacked, [*keys, "date", "month", "day_of_year", "year_type", "year_num", "year_for_dash",
-                  "current_year", "is_current", "norm_range", "day_of_year_dash"], metrics)
+    if complete_months_only:
+        stacked = reshape.exclude_partial_month(stacked, keys)
+    return stacked
 
 
-def incomplete_years(long_df: DataFrame, keys: Sequence[str] = ("station",)) -> DataFrame:
+def precip_long(silver: DataFrame, keys: Sequence[str] = ("station",), mode: str = "decade",
+                n_years: int = 30, metrics: Sequence[str] = PRECIP_METRICS,
+                complete_months_only: bool = False) -> DataFrame:
+    """Silver rows stacked by calendar and melted to (metric_name, metric_value)."""
+    stacked = precip_stacked(silver, keys, mode, n_years, complete_months_only)
+    return reshape.unpivot_metrics(stacked, [*keys, *LONG_IDS], metrics)
+
+
+def monthly_totals_long(silver: DataFrame, keys: Sequence[str] = ("station",), mode: str = "trailing",
+                        n_years: int = 30, metrics: Sequence[str] = PRECIP_METRICS,
+                        complete_months_only: bool = True,
+                        year_types: Sequence[str] | None = None) -> DataFrame:
+    """A1 aggregated wide (one sum per metric over the stacked rows), then
+    melted: (keys, year_type, metric_name, year_for_dash, month, total)."""
+    st = precip_stacked(silver, keys, mode, n_years, complete_months_only)
+    if year_types is not None:
+        st = st.filter(F.col("year_type").isin(list(year_types)))
+    wide = (st.groupBy(*keys, "year_type", "year_for_dash", "month")
+            .agg(*[_sum0(_metric_double(m)).alias(m) for m in metrics]))
+    return reshape.unpivot_metrics(wide, [*keys, "year_type", "year_for_dash", "month"], metrics,
+                                   "metric_name", "total")
+
+
+def incomplete_years(stacked: DataFrame, keys: Sequence[str] = ("station",)) -> DataFrame:
     """(station, calendar, year) whose first day index is not 1 (Q11: only
     a missing start counts as incomplete)."""
-    return (long_df.groupBy(*keys, "year_type", "year_for_dash")
+    return (stacked.groupBy(*keys, "year_type", "year_for_dash")
             .agg(F.min("day_of_year_dash").alias("min_index"))
             .filter(F.col("min_index") != 1).drop("min_index"))
 
@@ -118,15 +162,17 @@ def ytd_normals(silver: DataFrame, keys: Sequence[str] = ("station",), mode: str
     """A10: year-to-date normals by (calendar, metric, day index); incomplete
     years removed (anti-join, J7), the leap-day bucket dropped (P13) and a
     calendar label added (F3)."""
-    long = precip_long(silver, keys, mode, n_years, metrics)
-    ytd = accumulate.year_to_date(long, keys, "ytd")
-    bad = incomplete_years(long, keys)
-    kept = ytd.join(bad, [*keys, "year_type", "year_for_dash"], "left_anti").filter(~F.col("is_current"))
+    st = precip_stacked(silver, keys, mode, n_years)
+    run = running_totals_wide(st, [*keys, "year_type", "year_for_dash"], ["day_of_year_dash", "date"], metrics)
+    bad = incomplete_years(st, keys)
+    kept = (run.join(bad, [*keys, "year_type", "year_for_dash"], "left_anti")
+            .filter(~F.col("is_current") & (F.col("day_of_year") % 1 == 0)))
+    long = reshape.unpivot_metrics(kept, [*keys, "year_type", "day_of_year", "day_of_year_dash", "norm_range"],
+                                   metrics, "metric_name", "ytd")
     norm_v = F.when(F.col("norm_range"), F.col("ytd"))
-    out = (kept.groupBy(*keys, "year_type", "metric_name", "day_of_year", "day_of_year_dash")
+    out = (long.groupBy(*keys, "year_type", "metric_name", "day_of_year", "day_of_year_dash")
            .agg(F.avg(norm_v).alias("avg_precip_ytd"), F.min("ytd").alias("min_precip_ytd"),
-                F.max("ytd").alias("max_precip_ytd"), percentiles(norm_v, probs).alias("_p"))
-           .filter(F.col("day_of_year") % 1 == 0))
+                F.max("ytd").alias("max_precip_ytd"), percentiles(norm_v, probs).alias("_p")))
     return out.select(*keys, "year_type", "metric_name", "day_of_year", "day_of_year_dash",
                       "avg_precip_ytd", "min_precip_ytd", "max_precip_ytd",
                       *[F.col("_p")[i].alias(f"p{int(round(p * 100))}_precip_ytd") for i, p in enumerate(probs)],

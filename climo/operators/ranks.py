@@ -2,9 +2,9 @@
 
 Ranking follows pandas ``rank(method='min')``: ties share the lowest rank,
 NULL values get no rank (Q4).  Top-N with ties never sorts a whole group in
-one task: values are first collapsed to (group, value, count) — a map-side
-combined aggregate — and only the best N distinct values per group are
-ranked.
+one task: the rank filter becomes a ``WindowGroupLimit`` applied inside each
+map task before the shuffle (or, optionally, values are first collapsed to
+(group, value, count) by a map-side combined aggregate).
 """
 
 from __future__ import annotations
@@ -54,24 +54,31 @@ def doy_rank(df: DataFrame, value_col: str, ascending: bool, keys: Sequence[str]
 
 
 def top_n_with_ties(df: DataFrame, partition_cols: Sequence[str], order_col: str, n: int,
-                    ascending: bool = False, rank_col: str = "rank") -> DataFrame:
-    """Rows whose min-rank within their partition is ≤ n.
-
-    1. collapse to distinct (partition, value) with counts — partial
-       aggregation before the shuffle, so a hot group or a hot value costs
-       one row per map task;
-    2. keep the n best distinct values per partition (``WindowGroupLimit``
-       for partitioned groups, ``TakeOrderedAndProject`` for a global
-       ranking) and turn counts into min-ranks with a running sum;
-    3. join the ranked values back to the rows (AQE broadcasts the ≤ n×groups
-       side when its measured size allows, otherwise sort-merge).
-    All tied rows are kept; nothing is sampled or capped.
+                    ascending: bool = False, rank_col: str = "rank", method: str = "window") -> DataFrame:
+    """Rows whose min-rank within their partition is ≤ n (O3, W3, W5).  All
+    tied rows are kept; nothing is sampled or capped.
+
+    ``method="window"`` (default): ``rank()`` filtered at ``≤ n``.  Catalyst
+    turns this into ``WindowGroupLimit``: a partial limit inside every map
+    task *before* the shuffle and a final one after it, so even a group
+    holding a third of the table sends at most (n + ties) rows per map task
+    to the final sort.  Global rankings (no partition) work the same way.
+    The input is read once.
+
+    ``method="distinct"``: collapse to distinct (partition, value) with counts
+    (partial hash aggregation, no sort of the facts), rank the n best
+    distinct values per partition, and join the ranked values back to the
+    rows.  Reads the input twice; useful when the input is a cheap scan with
+    very many duplicate values.
     """
     part = list(partition_cols)
     v = F.col(order_col)
     rows = df.filter(v.isNotNull())
-    counts = rows.groupBy(*part, order_col).agg(F.count(F.lit(1)).alias("_ties"))
     order = _order(order_col, ascending)
+    if method == "window":
+        w = Window.partitionBy(*part).orderBy(order) if part else Window.orderBy(order)
+        return rows.withColumn(rank_col, F.rank().over(w)).filter(F.col(rank_col) <= n)
+    counts = rows.groupBy(*part, order_col).agg(F.count(F.lit(1)).alias("_ties"))
     if part:
         w = Window.partitionBy(*part).orderBy(order)
         best = counts.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)

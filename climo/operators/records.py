@@ -33,6 +33,27 @@ def _out(df: DataFrame, keys: Sequence[str]) -> DataFrame:
                      F.col("month").cast("string").alias("month"), F.col("record").cast("string").alias("record"))
 
 
+def _families(rows: DataFrame, fams, keys: Sequence[str], n: int) -> DataFrame:
+    """Rank several record families in one pass (U3 as an ``explode`` of
+    record tags): every row is tagged once per family it belongs to with the
+    family's sort key (value, negated for "largest first"), then one
+    ``top_n_with_ties`` over (station, record) ranks all families together.
+
+    ``fams``: list of (record Column, metric_name Column, value Column,
+    descending bool, condition Column or None, month Column)."""
+    k = list(keys)
+    entries = []
+    for record, metric, value, desc, cond, month in fams:
+        key = F.negative(value) if desc else value
+        if cond is not None:
+            key = F.when(cond, key)
+        entries.append(F.struct(record.alias("record"), metric.alias("metric_name"),
+                                value.cast("double").alias("metric_value"), key.cast("double").alias("_key"),
+                                month.alias("month")))
+    tagged = rows.select(*k, "date", F.explode(F.array(*entries)).alias("_f")).select(*k, "date", "_f.*")
+    return ranks.top_n_with_ties(tagged, [*k, "record"], "_key", n, ascending=True)
+
+
 def temp_records(daily: DataFrame, n: int = RECORDS_DEFAULT, hot: float = 100.0, freeze: float = 32.0,
                  keys: Sequence[str] = ("station",)) -> DataFrame:
     """Hottest / coldest days (overall and per month), coldest maxima,
@@ -42,26 +63,18 @@ def temp_records(daily: DataFrame, n: int = RECORDS_DEFAULT, hot: float = 100.0,
     d = daily.withColumns({"month": cal.month_label("date"),
                            "season_start": cal.season_start("date"),
                            "snow_day_of_year": cal.doy_index("date", "snow_season")})
-    long = reshape.unpivot_metrics(d, [*k, "date", "month"], ["max_temp", "min_temp"])
-    hi = long.filter(F.col("metric_name") == "max_temp")
-    lo = long.filter(F.col("metric_name") == "min_temp")
-
-    def fam(rows, part, asc, record):
-        r = ranks.top_n_with_ties(rows, [*k, *part], "metric_value", n, ascending=asc)
-        return r.withColumn("record", record)
-
     month_tag = lambda base: F.concat(F.lit(base + " ("), F.col("month"), F.lit(")"))
+    hi, lo, mo = F.col("max_temp"), F.col("min_temp"), F.col("month")
+    mx, mn = F.lit("max_temp"), F.lit("min_temp")
     fams = [
-        fam(hi, ["month"], False, month_tag("hottest_day")),
-        fam(hi, [], False, F.lit("hottest_day")),
-        fam(lo, ["month"], True, month_tag("coldest_day")),
-        fam(lo, [], True, F.lit("coldest_day")),
-        fam(hi, [], True, F.lit("coldest_maximum")),
-        fam(lo, [], False, F.lit("hottest_minimum")),
+        (month_tag("hottest_day"), mx, hi, True, None, mo),
+        (F.lit("hottest_day"), mx, hi, True, None, mo),
+        (month_tag("coldest_day"), mn, lo, False, None, mo),
+        (F.lit("coldest_day"), mn, lo, False, None, mo),
+        (F.lit("coldest_maximum"), mx, hi, False, None, mo),
+        (F.lit("hottest_minimum"), mn, lo, True, None, mo),
     ]
-    out = _out(fams[0], k)
-    for f in fams[1:]:
-        out = out.unionByName(_out(f, k))
+    out = _out(_families(d, fams, k, n), k)
 
     hot_years = (d.groupBy(*k, F.year("date").alias("year"))
                  .agg(F.count_if(F.col("max_temp") >= hot).cast("double").alias("metric_value")))
@@ -70,16 +83,20 @@ def temp_records(daily: DataFrame, n: int = RECORDS_DEFAULT, hot: float = 100.0,
         *k, "rank", F.col("year").alias("date"), F.lit("100 Degree Days").alias("metric_name"),
         "metric_value", F.lit(cal.YEAR_LABEL).alias("month"), F.lit("100_degree_days").alias("record")), k))
 
+    # first / last freeze of each complete season: min_by / max_by per season
+    # (one aggregate), then top-N over the season table
     bounds = agg.complete_season_bounds(daily, k)
     frz = d.filter(F.col("min_temp") <= freeze)
-    for asc, record in ((True, "first_freeze"), (False, "last_freeze")):
-        firsts = ranks.top_n_with_ties(frz, [*k, "season_start"], "snow_day_of_year", 1, ascending=asc,
-                                       rank_col="_freeze_num")
-        firsts = reshape.attach_scalars(firsts, bounds, k)
-        firsts = firsts.filter(F.col("season_start") >= F.col("min_season")) if asc else \
-            firsts.filter(F.col("season_start") < F.col("max_season"))
-        top = ranks.top_n_with_ties(firsts.drop("min_season", "max_season"), k, "snow_day_of_year", n,
-                                    ascending=asc)
+    seasons = (frz.groupBy(*k, "season_start")
+               .agg(F.min("snow_day_of_year").alias("first_doy"), F.max("snow_day_of_year").alias("last_doy"),
+                    F.min_by(F.struct("date", "min_temp"), "snow_day_of_year").alias("first"),
+                    F.max_by(F.struct("date", "min_temp"), "snow_day_of_year").alias("last")))
+    seasons = reshape.attach_scalars(seasons, bounds, k)
+    for col, asc, record, cond in (("first", True, "first_freeze", F.col("season_start") >= F.col("min_season")),
+                                   ("last", False, "last_freeze", F.col("season_start") < F.col("max_season"))):
+        s_ = seasons.filter(cond).select(*k, F.col(f"{col}_doy").alias("snow_day_of_year"),
+                                         F.col(f"{col}.date").alias("date"), F.col(f"{col}.min_temp").alias("min_temp"))
+        top = ranks.top_n_with_ties(s_, k, "snow_day_of_year", n, ascending=asc)
         out = out.unionByName(_out(top.select(
             *k, "rank", "date", F.lit("Freeze").alias("metric_name"), F.col("min_temp").alias("metric_value"),
             F.lit(cal.YEAR_LABEL).alias("month"), F.lit(record).alias("record")), k))
@@ -91,18 +108,20 @@ def daily_precip_records(silver: DataFrame, n: int = RECORDS_DEFAULT,
     """Wettest rain / snow days (per month and overall), longest dry
     gaps between wet days, earliest and latest snow days."""
     k = list(keys)
+    r, sn, mo = F.col("rain"), F.col("snow"), F.col("month")
+    per_month = lambda m: F.concat(F.lit(m + "iest day ("), mo, F.lit(")"))
+    fams = [
+        (per_month("rain"), F.lit("rain"), r, True, r > 0, mo),
+        (F.lit("rainiest day"), F.lit("rain"), r, True, r > 0, F.lit("ALL")),
+        (per_month("snow"), F.lit("snow"), sn, True, sn > 0, mo),
+        (F.lit("snowiest day"), F.lit("snow"), sn, True, sn > 0, F.lit("ALL")),
+    ]
+    wet = silver.filter((r > 0) | (sn > 0))
+    out = _out(_families(wet, fams, k, n), k)
+
     cols = [*k, "date", "month", "year", "season_start"]
-    wet = (silver.filter(F.col("rain") > 0).select(*cols, F.lit("rain").alias("metric_name"),
-                                                   F.col("rain").alias("metric_value"))
-           .unionByName(silver.filter(F.col("snow") > 0).select(*cols, F.lit("snow").alias("metric_name"),
-                                                                 F.col("snow").alias("metric_value")))
-           .withColumn("day_of_year", cal.doy_index("date", "snow_season")))
-    per_month = ranks.top_n_with_ties(wet, [*k, "metric_name", "month"], "metric_value", n, ascending=False)
-    per_month = per_month.withColumn("record", F.concat("metric_name", F.lit("iest day ("), "month", F.lit(")")))
-    overall = ranks.top_n_with_ties(wet, [*k, "metric_name"], "metric_value", n, ascending=False)
-    overall = overall.withColumns({"month": F.lit("ALL"), "record": F.concat("metric_name", F.lit("iest day"))})
-
-    snow = wet.filter(F.col("metric_name") == "snow")
+    snow = (silver.filter(sn > 0).select(*cols, F.lit("snow").alias("metric_name"), sn.alias("metric_value"))
+            .withColumn("day_of_year", cal.doy_index("date", "snow_season")))
     earliest = ranks.head_with_rank(snow, "day_of_year", n, ascending=True, partition_cols=k)
     earliest = earliest.withColumns({"month": F.lit("ALL"), "record": F.lit("earliest_snow")})
     min_year = reshape.per_key_scalars(wet, k, _min_year=F.min("year"))
@@ -116,8 +135,7 @@ def daily_precip_records(silver: DataFrame, n: int = RECORDS_DEFAULT,
            .filter(F.col("metric_value") > 0)
            .withColumns({"metric_name": F.lit("precip"), "month": F.lit("ALL"),
                          "record": F.lit("consecutive_days_dry")}))
-    out = _out(per_month, k)
-    for f in (overall, dry, latest, earliest):
+    for f in (dry, latest, earliest):
         out = out.unionByName(_out(f, k))
     return out
 
@@ -125,37 +143,30 @@ def daily_precip_records(silver: DataFrame, n: int = RECORDS_DEFAULT,
 def monthly_precip_records(precip_rank: DataFrame, n: int = RECORDS_DEFAULT,
                            keys: Sequence[str] = ("station",)) -> DataFrame:
     """Rainiest / snowiest months, driest months, most and least snowy
-    seasons, rainiest years — from the monthly rank table (V12)."""
+    seasons, rainiest years — from the monthly rank table (V12), all
+    families ranked in one pass."""
     k = list(keys)
-    pr = precip_rank
-    snow_year = pr.filter((F.col("year_type") == "snow_season") & (F.col("month") == cal.YEAR_LABEL)
-                          & (F.col("metric_name") == "snow"))
-    least = (snow_year.filter(F.col("rank") <= n)
-             .select(*k, "rank", F.col("year_for_dash").alias("date"), F.col("total").alias("metric_value"),
-                     F.lit("least_snow_year").alias("record")))
-    most = (ranks.top_n_with_ties(snow_year.drop("rank"), k, "total", n, ascending=False)
-            .select(*k, "rank", F.col("year_for_dash").alias("date"), F.col("total").alias("metric_value"),
-                    F.lit("most_snow_year").alias("record")))
-    rain_year = pr.filter((F.col("year_type") == "calendar_year") & (F.col("month") == cal.YEAR_LABEL)
-                          & (F.col("metric_name") == "rain")).drop("rank")
-    rainy = (ranks.top_n_with_ties(rain_year, k, "total", n, ascending=False)
-             .select(*k, "rank", F.col("year_for_dash").alias("date"), F.col("total").alias("metric_value"),
-                     F.lit("most_rain_year").alias("record")))
-    months = (pr.filter((F.col("year_type") == "calendar_year") & F.col("metric_name").isin("rain", "snow", "precip")
-                        & (F.col("month") != cal.YEAR_LABEL)).drop("rank")
-              .withColumn("month_year", F.concat("month", F.lit(" "), "year_for_dash")))
-    wettest = (ranks.top_n_with_ties(months.filter(F.col("metric_name") != "precip"), [*k, "metric_name"],
-                                     "total", n, ascending=False)
-               .select(*k, "rank", F.col("month_year").alias("date"), F.col("total").alias("metric_value"),
-                       F.concat("metric_name", F.lit("iest_month")).alias("record")))
-    driest = (ranks.top_n_with_ties(months.filter(F.col("metric_name") == "precip"), [*k, "metric_name"],
-                                    "total", n, ascending=True)
-              .select(*k, "rank", F.col("month_year").alias("date"), F.col("total").alias("metric_value"),
-                      F.lit("driest_month").alias("record")))
-    out = wettest
-    for f in (driest, least, most, rainy):
-        out = out.unionByName(f)
-    return out.withColumn("rank", F.col("rank").cast("int"))
+    yt, mn, mo, tot = F.col("year_type"), F.col("metric_name"), F.col("month"), F.col("total")
+    is_year = mo == cal.YEAR_LABEL
+    cal_month = (yt == "calendar_year") & ~is_year
+    snow_year = (yt == "snow_season") & is_year & (mn == "snow")
+    month_year = F.concat(mo, F.lit(" "), F.col("year_for_dash"))
+    label = F.col("year_for_dash")
+    fams = [  # (record, date label, descending, condition)
+        (F.lit("rainiest_month"), month_year, True, cal_month & (mn == "rain")),
+        (F.lit("snowiest_month"), month_year, True, cal_month & (mn == "snow")),
+        (F.lit("driest_month"), month_year, False, cal_month & (mn == "precip")),
+        (F.lit("least_snow_year"), label, False, snow_year),
+        (F.lit("most_snow_year"), label, True, snow_year),
+        (F.lit("most_rain_year"), label, True, (yt == "calendar_year") & is_year & (mn == "rain")),
+    ]
+    entries = [F.struct(rec.alias("record"), lab.alias("date"), tot.alias("metric_value"),
+                        F.when(cond, F.negative(tot) if desc else tot).alias("_key"))
+               for rec, lab, desc, cond in fams]
+    tagged = (precip_rank.select(*k, F.explode(F.array(*entries)).alias("_f")).select(*k, "_f.*")
+              .filter(F.col("_key").isNotNull()))
+    top = ranks.top_n_with_ties(tagged, [*k, "record"], "_key", n, ascending=True)
+    return top.select(*k, F.col("rank").cast("int").alias("rank"), "date", "metric_value", "record")
 
 
 def records_page(records: DataFrame, record: str, keys: Sequence[str] = ("station",),

@@ -190,22 +190,41 @@ def cc_by(by: str, levels, col, df, lower=None, upper=None, center=True) -> Term
 
 
 def fit_knots(df: DataFrame, terms: Sequence[Term]) -> list[Term]:
-    """Fill in knots of every spline term from the data (one small aggregate
-    per term: bounds and quantiles of the distinct values)."""
-    for t in terms:
-        if t.kind not in ("cc", "cr", "by_level") or t.knots is not None:
-            continue
-        x = F.col(t.col).cast("double")
-        b = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
-        lo = t.lower if t.lower is not None else b["lo"]
-        hi = t.upper if t.upper is not None else b["hi"]
+    """Fill in knots of every spline term from the data: bounds and quantiles
+    of the distinct values in bounds.  All terms are served by one pass for
+    the bounds and one aggregate for all quantile arrays; only the df+2 knot
+    values per term reach the driver."""
+    todo = [t for t in terms if t.kind in ("cc", "cr", "by_level") and t.knots is None]
+    if not todo:
+        return list(terms)
+    cols = sorted({t.col for t in todo})
+    b = df.agg(*[F.min(F.col(c).cast("double")).alias(f"lo_{i}") for i, c in enumerate(cols)],
+               *[F.max(F.col(c).cast("double")).alias(f"hi_{i}") for i, c in enumerate(cols)]).first()
+    specs = []
+    for t in todo:
+        i = cols.index(t.col)
+        lo = t.lower if t.lower is not None else b[f"lo_{i}"]
+        hi = t.upper if t.upper is not None else b[f"hi_{i}"]
         n_inner = t.df - 2 + (1 if t.center else 0) + (1 if t.kind != "cr" else 0)
-        inner = []
+        specs.append((t, lo, hi, n_inner))
+    aggs = []
+    for j, (t, lo, hi, n_inner) in enumerate(specs):
         if n_inner > 0:
             probs = [float(p) for p in np.linspace(0, 1, n_inner + 2)[1:-1]]
-            inner = (df.select(x.alias("x")).filter(F.col("x").between(lo, hi)).distinct()
-                     .agg(F.percentile("x", probs)).first()[0])
-        t.knots = np.unique(np.concatenate([[lo, hi], np.asarray(inner, dtype=float)]))
+            x = F.col(f"x_{cols.index(t.col)}")
+            aggs.append(F.percentile(F.when(x.between(lo, hi), x), probs).alias(f"q_{j}"))
+    q = None
+    if aggs:
+        # distinct values per column (the quantiles are over distinct x); one
+        # exploded frame of (column index, value) keeps it a single pass
+        pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("ci"), F.col(c).cast("double").alias("v"))
+                                    for i, c in enumerate(cols)]))
+        dv = df.select(pairs.alias("p")).select("p.ci", "p.v").distinct()
+        wide = dv.select(*[F.when(F.col("ci") == i, F.col("v")).alias(f"x_{i}") for i in range(len(cols))])
+        q = wide.agg(*aggs).first()
+    for j, (t, lo, hi, n_inner) in enumerate(specs):
+        inner = q[f"q_{j}"] if (q is not None and n_inner > 0) else []
+        t.knots = np.unique(np.concatenate([[lo, hi], np.asarray(inner or [], dtype=float)]))
     return list(terms)
 
 
@@ -521,7 +540,8 @@ def cv_select_df(daily: DataFrame, metric: str, years: tuple, dfs: Sequence[int]
          .withColumns({"day_of_year": cal.doy_index("date"), "year": F.year("date")})
          .filter(F.col(metric).isNotNull()))
     st = doy_stats(d, metric, keys, extra=["year"])
-    knots = {k_: doy_knots(st, k_) for k_ in dfs}
+    fitted = fit_knots(st, [cc("day_of_year", k_, upper=366.0) for k_ in dfs])
+    knots = {k_: t.knots for k_, t in zip(dfs, fitted)}
     key_fields = ", ".join(f"{kc} {st.schema[kc].dataType.simpleString()}" for kc in keys)
 
     def folds(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -36,7 +36,13 @@ def last_complete_month_end(max_date) -> "F.Column":
 
 def exclude_partial_month(df: DataFrame, keys: Sequence[str] = ("station",),
                           date_col: str = "date") -> DataFrame:
-    """Keep rows up to the end of each key's last complete month."""
+    """Keep rows up to the end of each key's last complete month.
+
+    Uses the key's latest date when the frame already carries it
+    (``key_max_date``, added by ``stack_calendars``); otherwise computes it
+    with a per-key aggregate joined back on the key."""
+    if "key_max_date" in df.columns:
+        return df.filter(F.col(date_col) <= last_complete_month_end("key_max_date"))
     sc = per_key_scalars(df, keys, _max_date=F.max(date_col))
     return (attach_scalars(df, sc, keys)
             .filter(F.col(date_col) <= last_complete_month_end("_max_date")).drop("_max_date"))
@@ -77,7 +83,8 @@ def stack_calendars(df: DataFrame, keys: Sequence[str] = ("station",), date_col:
     d = F.col(date_col)
     base = df.withColumns({
         "_y": F.year(d), "_wy": cal.water_year(d), "_ss": cal.season_start(d)})
-    sc = per_key_scalars(base, keys, _cy=F.max("_y"), _cwy=F.max("_wy"), _css=F.max("_ss"))
+    sc = per_key_scalars(base, keys, _cy=F.max("_y"), _cwy=F.max("_wy"), _css=F.max("_ss"),
+                         key_max_date=F.max(date_col))
     base = attach_scalars(base, sc, keys)
     rng = normal_ranges(mode, n_years)(F.col("_cy"), F.col("_cwy"), F.col("_css"))
 
@@ -96,7 +103,7 @@ def stack_calendars(df: DataFrame, keys: Sequence[str] = ("station",), date_col:
               F.col("_css")),
     )
     return (base.withColumn("_cal", F.explode(arr))
-            .select(*[c for c in df.columns], "_cal.*"))
+            .select(*[c for c in df.columns], "key_max_date", "_cal.*"))
 
 
 def unpivot_metrics(df: DataFrame, ids: Sequence[str], metrics: Sequence[str],

@@ -99,7 +99,8 @@ def _last_month_end(d: str) -> str:
 @register("precip_silver", with_fixtures("precip_silver") + "\nSELECT * FROM silver")
 def q_precip_silver(spark, sf_dir):
     """Raw daily precipitation → silver table with calendar attributes and rain/snow split."""
-    return fx.precip_silver(spark, sf_dir)
+    from climo.sources.ingest import build_precip_silver
+    return build_precip_silver(fx.daily_precip_raw(spark, sf_dir))
 
 
 @register("calendar_indexes", f"""

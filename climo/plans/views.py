@@ -17,11 +17,8 @@ def monthly_precip_rank(silver: DataFrame, keys: Sequence[str] = ("station",),
                         ascending: bool = True, n_years: int = 30) -> DataFrame:
     """Monthly and yearly (12-month) totals per calendar, ranked within
     (calendar, metric, month) — partial last month excluded."""
-    long = normals.precip_long(silver, keys, mode="trailing", n_years=n_years)
-    long = reshape.exclude_partial_month(long, keys)
-    monthly = agg.monthly_totals(long, keys)
-    yearly = agg.yearly_totals(monthly, keys)
-    both = monthly.unionByName(yearly)
+    monthly = normals.monthly_totals_long(silver, keys, mode="trailing", n_years=n_years)
+    both = agg.with_year_rows(monthly, keys, ["year_type", "metric_name", "year_for_dash"], "total", "sum")
     return ranks.rank_over(both, [*keys, "year_type", "metric_name", "month"], "total", ascending, "rank")
 
 
@@ -31,8 +28,7 @@ def monthly_temp_rank(daily: DataFrame, keys: Sequence[str] = ("station",),
     (ascending) within (month, metric) — partial last month excluded."""
     d = reshape.exclude_partial_month(daily, keys)
     monthly = agg.monthly_means(d, metrics, keys)
-    yearly = agg.yearly_means(monthly, keys)
-    both = monthly.unionByName(yearly)
+    both = agg.with_year_rows(monthly, keys, ["year", "metric"], "mean", "avg")
     return ranks.rank_over(both, [*keys, "month", "metric"], "mean", True, "rank")
 
 
@@ -122,8 +118,8 @@ def observed_vs_normal(silver: DataFrame, monthly_normals: DataFrame, keys: Sequ
     """Calendar-year monthly totals next to the monthly normal, long form
     (type observed / normal).  Inner join on (month, metric) drops metrics
     without a normal (precip_day, Q17)."""
-    long = normals.precip_long(silver, keys, mode="trailing").filter(F.col("year_type") == "calendar_year")
-    totals = agg.monthly_totals(long, keys, by=("metric_name", "month", "year_for_dash"))
+    totals = normals.monthly_totals_long(silver, keys, mode="trailing", complete_months_only=False,
+                                         year_types=["calendar_year"]).drop("year_type")
     norm_long = (monthly_normals.withColumnsRenamed({"norm_precip": "precip", "norm_snow": "snow",
                                                      "norm_rain": "rain", "norm_precip_perc": "precip_perc"})
                  .unpivot([*keys, "month"], ["precip", "snow", "rain", "precip_perc"], "metric_name", "normal"))

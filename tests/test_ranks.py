@@ -29,12 +29,13 @@ def test_top_n_with_ties_matches_brute_force(spark):
         v = None if i % 97 == 0 else float(random.randint(0, 40))
         rows.append((g, v, i))
     df = spark.createDataFrame(rows, "g string, v double, i long")
-    for asc in (False, True):
-        got = ranks.top_n_with_ties(df, ["g"], "v", 5, ascending=asc).select("g", "v", "i", "rank").collect()
-        assert {tuple(r) for r in got} == _brute(rows, 5, asc)
-        glob = ranks.top_n_with_ties(df, [], "v", 5, ascending=asc).select("v", "i", "rank").collect()
-        expect = {(v, i, r) for _, v, i, r in _brute([("all", v, i) for _, v, i in rows], 5, asc)}
-        assert {tuple(r) for r in glob} == expect
+    for method in ("window", "distinct"):
+        for asc in (False, True):
+            got = ranks.top_n_with_ties(df, ["g"], "v", 5, ascending=asc, method=method)
+            assert {tuple(r) for r in got.select("g", "v", "i", "rank").collect()} == _brute(rows, 5, asc)
+            glob = ranks.top_n_with_ties(df, [], "v", 5, ascending=asc, method=method).select("v", "i", "rank")
+            expect = {(v, i, r) for _, v, i, r in _brute([("all", v, i) for _, v, i in rows], 5, asc)}
+            assert {tuple(r) for r in glob.collect()} == expect
 
 
 def test_rank_over_nulls_unranked(spark):
