@@ -121,16 +121,18 @@ def pivot_years(df: DataFrame, row_col: str, pivot_col: str, value_col: str,
     return p.agg(F.first(value_col))
 
 
-def complete_categories(df: DataFrame, dims: Sequence[DataFrame], on: Sequence[str],
-                        fill: dict) -> DataFrame:
-    """Emit every combination of the dimension values (categorical
-    ``observed=False``), filling missing measures.  ``dims`` are small
-    dimension frames (one column each) whose cross product is bounded by the
-    product of their sizes."""
-    grid = dims[0]
-    for d in dims[1:]:
-        grid = grid.crossJoin(d)
-    return grid.join(df, list(on), "left").fillna(fill)
+def complete_categories(df: DataFrame, keys: Sequence[str], dims: dict, fill: dict) -> DataFrame:
+    """Every combination of fixed dimension values per key (categorical
+    ``observed=False``), missing combinations filled.
+
+    ``dims`` maps a column to its (small, fixed) list of values.  The grid is
+    built per key by exploding the literal lists — ∏|dims| rows per key, no
+    cross join of data — and left-joined with the observed rows."""
+    k = list(keys)
+    grid = df.select(*k).distinct()
+    for col, values in dims.items():
+        grid = grid.withColumn(col, F.explode(F.array(*[F.lit(v) for v in values])))
+    return grid.join(df, [*k, *dims.keys()], "left").fillna(fill)
 
 
 def complete_periods(df: DataFrame, group_cols: Sequence[str], count_col: str = "n_months",

@@ -1182,3 +1182,132 @@ def q_trend_plus_month_effects(spark, sf_dir):
     m = m.join(first, "station").withColumn("t", (F.col("year") * 12 + F.col("month_num") - F.col("_m0")).cast("double"))
     terms = [rg.intercept(), rg.dummies("month", cal.MONTH_LABELS), rg.linear("t")]
     return rg.gram_fit(m, "precip", terms)
+
+
+# ---------------------------------------------------------------------------
+# J2, J3/F17, A34, R3, J5/F11 (V8), V10, V11, V18 (months)
+
+@register("temps_with_bands", with_fixtures("daily_temps") + f"""
+, d AS (SELECT *, {doy_sql('date')} AS day_of_year FROM daily_temps),
+b AS (SELECT station, day_of_year, quantile_cont(max_temp, 0.1) AS max_temp_p10, quantile_cont(max_temp, 0.9) AS max_temp_p90,
+             quantile_cont(min_temp, 0.1) AS min_temp_p10, quantile_cont(min_temp, 0.9) AS min_temp_p90
+      FROM d WHERE year(date) BETWEEN {fx.NORMAL_START} AND {fx.NORMAL_END} GROUP BY 1, 2)
+SELECT d.station, d.date, d.day_of_year, d.max_temp, d.min_temp, b.max_temp_p10, b.max_temp_p90, b.min_temp_p10,
+       b.min_temp_p90 FROM d LEFT JOIN b ON d.station = b.station AND d.day_of_year = b.day_of_year""")
+def q_temps_with_bands(spark, sf_dir):
+    """Days ⟕ their day-of-year p10/p90 bands of highs and lows."""
+    from climo.plans import views
+    return views.temps_with_bands(fx.daily_temps(spark, sf_dir), _NORMAL_YEARS)
+
+
+@register("monthly_precip_anomaly", with_fixtures("precip_silver") + _MONTHLY_NORMALS_CTE + """
+, t AS (SELECT station, year, month, coalesce(sum(precip), 0.0) AS precip, coalesce(sum(snow), 0.0) AS snow,
+          coalesce(sum(rain), 0.0) AS rain FROM silver GROUP BY 1, 2, 3)
+SELECT t.station, t.year, t.month, t.precip, t.snow, t.rain, t.precip - mn.norm_precip AS precip_anomaly,
+       t.snow - mn.norm_snow AS snow_anomaly, t.rain - mn.norm_rain AS rain_anomaly,
+       CASE WHEN mn.norm_precip <> 0 THEN 100.0 * (t.precip / mn.norm_precip - 1.0) END AS precip_anomaly_perc
+FROM t LEFT JOIN mn ON t.station = mn.station AND t.month = mn.month""")
+def q_monthly_precip_anomaly(spark, sf_dir):
+    """J3 + F17: monthly totals against the monthly normals."""
+    from climo.operators import normals
+    from climo.plans import views
+    s = fx.precip_silver(spark, sf_dir)
+    return views.monthly_precip_anomaly(s, normals.precip_monthly_normals(s))
+
+
+@register("monthly_adhoc_summary", with_fixtures("daily_precip_raw") + """
+SELECT station, CAST(year(date) AS INTEGER) AS year, strftime(date, '%b') AS month, max(tempmax) AS tempmax,
+       min(tempmin) AS tempmin, avg((tempmax + tempmin) / 2) AS tempavg, coalesce(sum(precip), 0.0) AS precip,
+       coalesce(sum(snow), 0.0) AS snow, max(snow_depth) AS snow_depth FROM daily_precip_raw GROUP BY 1, 2, 3""")
+def q_monthly_adhoc_summary(spark, sf_dir):
+    """Per (year, month) max high, min low, mean temperature, total precipitation and snow, max depth."""
+    from climo.operators import aggregates as agg
+    r = fx.daily_precip_raw(spark, sf_dir)
+    return (r.groupBy("station", F.year("date").alias("year"), cal.month_label("date").alias("month"))
+            .agg(F.max("tempmax").alias("tempmax"), F.min("tempmin").alias("tempmin"),
+                 F.avg((F.col("tempmax") + F.col("tempmin")) / 2).alias("tempavg"),
+                 agg._sum0("precip").alias("precip"), agg._sum0("snow").alias("snow"),
+                 F.max("snow_depth").alias("snow_depth")))
+
+
+_SECTORS = [i * 22.5 for i in range(16)]
+
+
+@register("wind_rose_complete", ORACLE["wind_rose"].replace(
+    "SELECT *, frequency / sum(frequency) OVER (PARTITION BY station) AS share FROM c",
+    ", s AS (SELECT *, frequency / sum(frequency) OVER (PARTITION BY station) AS share FROM c),\n"
+    "g AS (SELECT station, sp AS wind_speed_cat, dr AS wind_direction_cat FROM (SELECT DISTINCT station FROM s)\n"
+    "      CROSS JOIN (SELECT unnest(['0-10', '10-15', '15-20', '20-30', '30-40', '40+']) AS sp)\n"
+    "      CROSS JOIN (SELECT unnest([" + ", ".join(str(x) for x in _SECTORS) + "]) AS dr))\n"
+    "SELECT g.station, g.wind_speed_cat, g.wind_direction_cat, coalesce(s.frequency, 0) AS frequency,\n"
+    "       coalesce(s.share, 0.0) AS share FROM g LEFT JOIN s ON g.station = s.station\n"
+    "  AND g.wind_speed_cat = s.wind_speed_cat AND g.wind_direction_cat = s.wind_direction_cat"))
+def q_wind_rose_complete(spark, sf_dir):
+    """R3 + A28: wind rose with every speed bin × sector combination (zero-filled)."""
+    from climo.functions import derive as dv
+    from climo.operators import aggregates as agg
+    from climo.operators import reshape
+    wr = agg.wind_rose(fx.wind(spark, sf_dir))
+    return reshape.complete_categories(wr, ["station"], {"wind_speed_cat": dv.WIND_SPEED_LABELS,
+                                                         "wind_direction_cat": _SECTORS},
+                                       {"frequency": 0, "share": 0.0})
+
+
+@register("wind_rose_months", ORACLE["wind_rose"].replace(
+    "FROM wind w JOIN mx USING (station)),", "FROM wind w JOIN mx USING (station)\n"
+    "      WHERE strftime(w.date, '%b') IN ('Jan', 'Feb', 'Dec')),"))
+def q_wind_rose_months(spark, sf_dir):
+    """V18 + P6: wind rose over selected months (IN-list filter)."""
+    from climo.operators import aggregates as agg
+    return agg.wind_rose(fx.wind(spark, sf_dir), months=["Jan", "Feb", "Dec"])
+
+
+@register("hourly_with_sun", with_fixtures("hourly", "sun_times") + """
+SELECT h.station, h.timestamp, CAST(h.timestamp AS DATE) AS day, h.temp, s.sunrise, s.sunset,
+  CAST(split_part(split_part(s.sunrise, 'T', 2), ':', 1) AS INTEGER)
+    + CAST(split_part(split_part(s.sunrise, 'T', 2), ':', 2) AS INTEGER) / 60.0 AS sunrise_hr,
+  CAST(split_part(split_part(s.sunset, 'T', 2), ':', 1) AS INTEGER)
+    + CAST(split_part(split_part(s.sunset, 'T', 2), ':', 2) AS INTEGER) / 60.0 AS sunset_hr
+FROM hourly h LEFT JOIN sun_times s ON h.station = s.station AND CAST(h.timestamp AS DATE) = s.day""")
+def q_hourly_with_sun(spark, sf_dir):
+    """J5 + F11: hourly rows with their day's sunrise / sunset as decimal hours."""
+    from climo.plans import views
+    return views.hourly_with_sun(fx.hourly(spark, sf_dir), fx.sun_times(spark, sf_dir))
+
+
+@register("ytd_view", with_fixtures("precip_silver") + _stack_sql("trailing") + """
+SELECT station, date, year_for_dash, is_current, day_of_year_dash,
+       sum(coalesce(CAST(precip AS DOUBLE), 0.0)) OVER (PARTITION BY station, year_for_dash
+         ORDER BY day_of_year_dash, date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS year_to_date,
+       strftime(date, '%b %d') AS dashboard_date
+FROM stk WHERE year_type = 'water_year'""")
+def q_ytd_view(spark, sf_dir):
+    """Water-year-to-date precipitation for every year (current flagged)."""
+    from climo.plans import views
+    return views.ytd_view(fx.precip_silver(spark, sf_dir), "water_year", "precip")
+
+
+@register("mtd_view", with_fixtures("precip_silver") + _stack_sql("trailing") + f"""
+, mx AS (SELECT station, max(date) AS mx FROM silver GROUP BY 1),
+cur AS (SELECT s.station, s.month, dayofmonth(s.date) AS day_of_month,
+          sum(coalesce(CAST(s.precip AS DOUBLE), 0.0)) OVER (PARTITION BY s.station, s.month ORDER BY s.date
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS month_to_date
+        FROM stk s JOIN mx USING (station)
+        WHERE s.year_type = 'calendar_year' AND s.is_current AND date_trunc('month', s.date) = date_trunc('month', mx.mx)),
+c AS (SELECT *, dayofmonth(date) AS day_of_month,
+          sum(coalesce(metric_value, 0.0)) OVER (PARTITION BY station, metric_name, year_for_dash, month
+            ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mtd
+        FROM long WHERE year_type = 'calendar_year' AND metric_name = 'precip'),
+n AS (SELECT station, month, day_of_month, avg(CASE WHEN norm_range THEN mtd END) AS avg_precip_mtd,
+        min(mtd) AS min_precip_mtd, max(mtd) AS max_precip_mtd,
+        {_pct_cols('CASE WHEN norm_range THEN mtd END', 'precip_mtd')}
+      FROM c WHERE NOT is_current GROUP BY 1, 2, 3)
+SELECT cur.station, cur.month, CAST(cur.day_of_month AS INTEGER) AS day_of_month, cur.month_to_date,
+       n.avg_precip_mtd, n.min_precip_mtd, n.max_precip_mtd, n.p10_precip_mtd, n.p25_precip_mtd, n.p50_precip_mtd,
+       n.p75_precip_mtd, n.p90_precip_mtd
+FROM cur JOIN n ON cur.station = n.station AND cur.month = n.month AND cur.day_of_month = n.day_of_month
+WHERE n.avg_precip_mtd IS NOT NULL AND n.p10_precip_mtd IS NOT NULL AND n.min_precip_mtd IS NOT NULL""")
+def q_mtd_view(spark, sf_dir):
+    """Current month's running precipitation against month-to-date normals."""
+    from climo.plans import views
+    return views.mtd_view(fx.precip_silver(spark, sf_dir), "precip")

@@ -189,3 +189,65 @@ def yearly_departure(trend: DataFrame, metric: str, start_year: int, n_years: in
     base = F.avg(F.when(F.col("year") >= F.col("_maxy") - n_years, F.col("total"))).over(w)
     return t.select(*k, "year", "total", F.avg("total").over(w).alias("avg_line"),
                     (F.col("total") - base).alias("departure_from_normal"))
+
+
+def temps_with_bands(daily: DataFrame, years: tuple, keys: Sequence[str] = ("station",)) -> DataFrame:
+    """Daily rows ⟕ day-of-year percentile bands of highs and lows — both
+    band families from one aggregate, joined once on the integer doy key."""
+    d = daily.withColumn("day_of_year", cal.doy_index("date"))
+    win = d.filter(F.year("date").between(*years))
+    bands = (win.groupBy(*keys, "day_of_year")
+             .agg(F.percentile("max_temp", [0.1, 0.9]).alias("_h"), F.percentile("min_temp", [0.1, 0.9]).alias("_l"))
+             .select(*keys, doy_key().alias("_dk"), F.col("_h")[0].alias("max_temp_p10"),
+                     F.col("_h")[1].alias("max_temp_p90"), F.col("_l")[0].alias("min_temp_p10"),
+                     F.col("_l")[1].alias("min_temp_p90")))
+    return (d.withColumn("_dk", doy_key()).join(bands, [*keys, "_dk"], "left").drop("_dk")
+            .select(*keys, "date", "day_of_year", "max_temp", "min_temp", "max_temp_p10", "max_temp_p90",
+                    "min_temp_p10", "min_temp_p90"))
+
+
+def monthly_precip_anomaly(silver: DataFrame, monthly_normals: DataFrame, keys: Sequence[str] = ("station",)) -> DataFrame:
+    """J3 + F17: monthly totals ⟕ monthly normals on month → absolute anomalies
+    and percent of normal precipitation (NULL when the normal is 0)."""
+    from climo.functions import derive as dv
+    tot = (silver.groupBy(*keys, "year", "month")
+           .agg(agg._sum0("precip").alias("precip"), agg._sum0("snow").alias("snow"), agg._sum0("rain").alias("rain")))
+    j = tot.join(monthly_normals, [*keys, "month"], "left")
+    return j.select(*keys, "year", "month", "precip", "snow", "rain",
+                    (F.col("precip") - F.col("norm_precip")).alias("precip_anomaly"),
+                    (F.col("snow") - F.col("norm_snow")).alias("snow_anomaly"),
+                    (F.col("rain") - F.col("norm_rain")).alias("rain_anomaly"),
+                    dv.anomaly_pct("precip", "norm_precip").alias("precip_anomaly_perc"))
+
+
+def hourly_with_sun(hourly: DataFrame, sun: DataFrame, keys: Sequence[str] = ("station",)) -> DataFrame:
+    """J5 + F11 (V8 inputs): hourly rows ⟕ sunrise / sunset of their day, with
+    the decimal hours of sunrise and sunset."""
+    h = hourly.withColumn("day", F.to_date("timestamp"))
+    s = sun.withColumns({"sunrise_hr": cal.iso_to_decimal_hour("sunrise"),
+                         "sunset_hr": cal.iso_to_decimal_hour("sunset")})
+    return h.join(s, [*keys, "day"], "left").select(*keys, "timestamp", "day", "temp", "sunrise", "sunset",
+                                                     "sunrise_hr", "sunset_hr")
+
+
+def ytd_view(silver: DataFrame, year_type: str, metric: str, keys: Sequence[str] = ("station",),
+             mode: str = "trailing") -> DataFrame:
+    """Year-to-date running totals of one metric in one calendar for
+    every year, flagged current / other, with the calendar label."""
+    st = normals.precip_stacked(silver, keys, mode).filter(F.col("year_type") == year_type)
+    run = normals.running_totals_wide(st, [*keys, "year_for_dash"], ["day_of_year_dash", "date"], [metric])
+    return run.select(*keys, "date", "year_for_dash", "is_current", "day_of_year_dash",
+                      F.col(metric).alias("year_to_date"), F.date_format("date", "MMM dd").alias("dashboard_date"))
+
+
+def mtd_view(silver: DataFrame, metric: str, keys: Sequence[str] = ("station",), mode: str = "trailing") -> DataFrame:
+    """The current (latest) month's running total of one metric per
+    station next to the month-to-date normals of that month (NULL bands
+    dropped)."""
+    st = (normals.precip_stacked(silver, keys, mode).filter(F.col("year_type") == "calendar_year")
+          .withColumn("day_of_month", F.dayofmonth("date")))
+    cur = st.filter(F.col("is_current") & (F.trunc("date", "MM") == F.trunc("key_max_date", "MM")))
+    run = normals.running_totals_wide(cur, [*keys, "month"], ["date"], [metric])
+    nrm = normals.mtd_normals(silver, keys, mode, metrics=[metric]).dropna()
+    return (run.select(*keys, "month", "day_of_month", F.col(metric).alias("month_to_date"))
+            .join(nrm.drop("metric_name"), [*keys, "month", "day_of_month"], "inner"))

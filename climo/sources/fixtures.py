@@ -119,6 +119,15 @@ def wind(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.get_json_object("props", "$.k").cast("double") * 3.6).alias("wind_direction"))
 
 
+def sun_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sun_times(station, day, sunrise, sunset) with ``yyyy-MM-ddTHH:mm`` strings:
+    first and last event of each (type, day)."""
+    e = _read(spark, sf_dir, "events").select("event_type", "ts")
+    fmt = "yyyy-MM-dd'T'HH:mm"
+    return (e.groupBy(F.col("event_type").alias("station"), F.to_date("ts").alias("day"))
+            .agg(F.date_format(F.min("ts"), fmt).alias("sunrise"), F.date_format(F.max("ts"), fmt).alias("sunset")))
+
+
 def category_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _read(spark, sf_dir, "customer").select("c_nationkey", "c_acctbal")
     n = _read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
@@ -200,6 +209,10 @@ wind AS (
   SELECT event_type AS station, CAST(ts AS DATE) AS date, value AS wind_speed,
          CAST(json_extract_string(props, '$.k') AS DOUBLE) * 3.6 AS wind_direction
   FROM events)""",
+    "sun_times": """
+sun_times AS (
+  SELECT event_type AS station, CAST(ts AS DATE) AS day, strftime(min(ts), '%Y-%m-%dT%H:%M') AS sunrise,
+         strftime(max(ts), '%Y-%m-%dT%H:%M') AS sunset FROM events GROUP BY 1, 2)""",
     "category_measures": """
 category_measures AS (
   SELECT r.r_name AS continent, c.c_acctbal AS measure
