@@ -1,45 +1,101 @@
 """Sequence windows: gaps, streaks, rolling means, deviations.
 
-Windows run per station ordered by date.  A station holds at most one row
-per day (≈55k rows for 150 years; 24× that for hourly), so the per-task sort
-is bounded by the calendar, not by the table size.
+Windows that run along a station's whole history (previous wet day, runs of
+equal state, trailing 365-row means) are never evaluated as one window per
+station: a station may hold a large share of all rows.  Rows are cut into
+calendar segments (station, year) — bounded by the calendar, ≤ 366 daily
+rows — and each window runs per segment; what crosses a segment boundary
+(the last event date, the last state, island and row-count offsets) comes
+from small per-segment tables (one row per station-year) combined with a
+window over segments and joined back.  The trailing mean uses a global row
+index and buckets of ``rows`` rows: each bucket sees only its own rows plus
+the previous bucket's, so every window partition holds ≤ 2 × ``rows`` rows.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+SEGMENT_WIDTH = 4096   # rows per segment for numeric order keys
+
+
+def _segment(df: DataFrame, order_col: str) -> Column:
+    """Calendar year for date / timestamp order keys, fixed-width blocks of the
+    value for numeric ones."""
+    c = F.col(order_col)
+    dtype = dict(df.dtypes)[order_col]
+    if dtype.startswith("date") or dtype.startswith("timestamp"):
+        return F.year(c)
+    return F.floor(c / SEGMENT_WIDTH)
+
+
+def with_row_index(df: DataFrame, keys: Sequence[str], order_col: str, idx_col: str = "_idx",
+                   seg_col: str = "_seg") -> DataFrame:
+    """Global 1-based row position per key in ``order_col`` order, computed per
+    (key, year) segment plus the row count of the key's earlier segments."""
+    k = list(keys)
+    d = df.withColumn(seg_col, _segment(df, order_col))
+    counts = d.groupBy(*k, seg_col).agg(F.count(F.lit(1)).alias("_n"))
+    wseg = Window.partitionBy(*k).orderBy(seg_col).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wseg), F.lit(0))).drop("_n")
+    w = Window.partitionBy(*k, seg_col).orderBy(order_col)
+    return (d.join(offsets, [*k, seg_col])
+            .withColumn(idx_col, F.col("_off") + F.row_number().over(w)).drop("_off"))
+
+
 def gap_since_previous(df: DataFrame, event, keys: Sequence[str] = ("station",),
                        date_col: str = "date", out_col: str = "dry_days") -> DataFrame:
     """For each event day (e.g. wet day) the number of days since the
     previous event day minus one (days between, Q19)."""
-    ev = df.filter(event)
-    w = Window.partitionBy(*keys).orderBy(date_col)
-    return ev.withColumn(out_col, F.datediff(F.col(date_col), F.lag(date_col).over(w)) - 1)
+    k = list(keys)
+    ev = df.filter(event).withColumn("_seg", _segment(df, date_col))
+    w = Window.partitionBy(*k, "_seg").orderBy(date_col)
+    last = ev.groupBy(*k, "_seg").agg(F.max(date_col).alias("_last"))
+    carry = (last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*k).orderBy("_seg")))
+             .drop("_last"))
+    prev = F.coalesce(F.lag(date_col).over(w), F.col("_carry"))
+    return (ev.join(carry, [*k, "_seg"])
+            .withColumn(out_col, F.datediff(F.col(date_col), prev) - 1)
+            .drop("_seg", "_carry"))
 
 
 def state_streaks(df: DataFrame, state, keys: Sequence[str] = ("station",),
                   order_col: str = "date", state_col: str = "state") -> DataFrame:
     """Gaps-and-islands over consecutive *rows* (Q19) of equal state.
 
-    Adds ``streak_id`` (island number per station) and ``streak_len`` (running
-    position inside the island, 1-based)."""
-    w = Window.partitionBy(*keys).orderBy(order_col)
-    s = df.withColumn(state_col, state)
-    changed = F.when(F.lag(state_col).over(w).eqNullSafe(F.col(state_col)), 0).otherwise(1)
-    s = s.withColumn("_chg", changed)
-    s = s.withColumn("streak_id", F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    wi = Window.partitionBy(*keys, "streak_id").orderBy(order_col)
-    return s.withColumn("streak_len", F.row_number().over(wi)).drop("_chg")
+    Adds ``streak_id`` (island number per station, 1-based) and
+    ``streak_len`` (running position inside the island, 1-based)."""
+    k = list(keys)
+    d = with_row_index(df.withColumn(state_col, state), k, order_col)
+    w = Window.partitionBy(*k, "_seg").orderBy(order_col)
+    seg = (d.groupBy(*k, "_seg")
+           .agg(F.max_by(F.col(state_col), F.col("_idx")).alias("_last_state")))
+    wseg = Window.partitionBy(*k).orderBy("_seg")
+    seg = seg.withColumn("_prev_state", F.lag("_last_state").over(wseg)).drop("_last_state")
+    d = d.join(seg, [*k, "_seg"])
+    before = F.when(F.row_number().over(w) == 1, F.col("_prev_state")).otherwise(F.lag(state_col).over(w))
+    d = d.withColumn("_chg", F.when(F.col("_idx") == 1, 1)
+                     .when(before.eqNullSafe(F.col(state_col)), 0).otherwise(1))
+    # island id = running count of changes: per-segment running sum + earlier segments' totals
+    tot = d.groupBy(*k, "_seg").agg(F.sum("_chg").alias("_t"))
+    tot = tot.withColumn("_coff", F.coalesce(
+        F.sum("_t").over(wseg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
+    d = (d.join(tot, [*k, "_seg"])
+         .withColumn("streak_id", (F.col("_coff") + F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+                     .cast("long")))
+    start = d.groupBy(*k, "streak_id").agg(F.min("_idx").alias("_start"))
+    return (d.join(start, [*k, "streak_id"])
+            .withColumn("streak_len", (F.col("_idx") - F.col("_start") + 1).cast("int"))
+            .drop("_seg", "_idx", "_prev_state", "_chg", "_coff", "_start"))
 
 
 def streak_summary(streaks: DataFrame, keys: Sequence[str] = ("station",), state_col: str = "state",
                    order_col: str = "date") -> DataFrame:
-    """One row per island: state, start, end and length."""
+    """One row per island: state, start, end and length (a plain aggregate)."""
     return (streaks.groupBy(*keys, "streak_id", state_col)
             .agg(F.min(order_col).alias("start"), F.max(order_col).alias("end"),
                  F.count(F.lit(1)).alias("length")))
@@ -49,10 +105,22 @@ def rolling_mean(df: DataFrame, value_col: str, rows: int = 365, min_periods: in
                  keys: Sequence[str] = ("station",), order_col: str = "date",
                  out_col: str | None = None) -> DataFrame:
     """Trailing mean over ``rows`` rows, NULL until ``min_periods``
-    non-NULL values are in the frame."""
-    w = Window.partitionBy(*keys).orderBy(order_col).rowsBetween(-(rows - 1), 0)
+    non-NULL values are in the frame.
+
+    Rows get a global index per key; bucket b = (idx-1) // rows holds its own
+    rows plus a copy of bucket b-1's rows as context, so the frame of every
+    own row lies inside its bucket partition."""
+    k = list(keys)
     out = out_col or f"{value_col}_rolling"
-    return df.withColumn(out, F.when(F.count(value_col).over(w) >= min_periods, F.avg(value_col).over(w)))
+    d = with_row_index(df, k, order_col).drop("_seg")
+    b = F.floor((F.col("_idx") - 1) / rows)
+    own = d.withColumn("_b", b).withColumn("_own", F.lit(True))
+    ctx = d.withColumn("_b", b + 1).withColumn("_own", F.lit(False))
+    w = Window.partitionBy(*k, "_b").orderBy("_idx").rowsBetween(-(rows - 1), 0)
+    res = (own.unionByName(ctx)
+           .withColumn(out, F.when(F.count(value_col).over(w) >= min_periods, F.avg(value_col).over(w)))
+           .filter(F.col("_own")))
+    return res.drop("_idx", "_b", "_own")
 
 
 def deviation_from_group_mean(df: DataFrame, value_col: str, group_cols: Sequence[str],

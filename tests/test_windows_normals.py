@@ -1,5 +1,6 @@
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from climo.operators import accumulate, aggregates as agg, normals, reshape, windows
@@ -91,3 +92,43 @@ def test_stack_calendars_one_scan(spark):
     assert st.count() == 3 * 500
     plan = st._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") + plan.count("Scan ExistingRDD") + plan.count("LocalTableScan") <= 2
+
+
+def _plain(df, keys, order):
+    from pyspark.sql import Window
+    return Window.partitionBy(*keys).orderBy(order)
+
+
+def test_segmented_windows_match_plain_windows(spark):
+    import random
+    random.seed(11)
+    start = dt.date(1995, 11, 1)
+    rows = []
+    for st in ("a", "b"):
+        day = start
+        for i in range(1400):
+            day = day + dt.timedelta(days=random.choice([1, 1, 1, 2, 5, 40]))
+            rows.append((st, day, random.choice([0, 0, 1]), None if i % 50 == 0 else float(random.randint(0, 9))))
+    df = spark.createDataFrame(rows, "station string, date date, wet int, x double")
+    w = _plain(df, ["station"], "date")
+    # gaps
+    ref = (df.filter("wet = 1").withColumn("g", F.datediff("date", F.lag("date").over(w)) - 1)
+           .select("station", "date", "g").collect())
+    got = windows.gap_since_previous(df, F.col("wet") == 1, out_col="g").select("station", "date", "g").collect()
+    assert sorted(map(tuple, ref), key=str) == sorted(map(tuple, got), key=str)
+    # rolling mean
+    wr = w.rowsBetween(-364, 0)
+    ref = df.withColumn("r", F.when(F.count("x").over(wr) >= 180, F.avg("x").over(wr))).select("station", "date", "r")
+    got = windows.rolling_mean(df, "x", out_col="r").select("station", "date", "r")
+    a = {(r[0], r[1]): r[2] for r in ref.collect()}
+    b = {(r[0], r[1]): r[2] for r in got.collect()}
+    assert a.keys() == b.keys()
+    assert all((a[k_] is None and b[k_] is None) or abs(a[k_] - b[k_]) < 1e-9 for k_ in a)
+    # streaks: island lengths partition the rows and match a plain gaps-and-islands
+    st = windows.state_streaks(df, F.col("wet")).select("station", "date", "streak_id", "streak_len")
+    chg = F.when(F.lag("wet").over(w).eqNullSafe(F.col("wet")), 0).otherwise(1)
+    ref = df.withColumn("c", chg).withColumn("sid", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ref = ref.withColumn("len", F.row_number().over(Window.partitionBy("station", "sid").orderBy("date")))
+    a = {(r["station"], r["date"]): (r["sid"], r["len"]) for r in ref.collect()}
+    b = {(r["station"], r["date"]): (r["streak_id"], r["streak_len"]) for r in st.collect()}
+    assert a == b
