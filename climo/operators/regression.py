@@ -502,25 +502,76 @@ CV_DFS = list(range(2, 25))
 # ---------------------------------------------------------------------------
 
 
+def fit_doy_curves(stats: DataFrame, specs: Sequence[tuple], keys: Sequence[str] = ("station",),
+                   doy_col: str = "day_of_year", upper: float = 366.0,
+                   grid: np.ndarray | None = None) -> DataFrame:
+    """Several day-of-year curves per station in one ``applyInPandas``.
+
+    ``stats`` holds, per (keys, doy), a weight column and a sum column per
+    curve; ``specs`` = [(weight_col, sum_col, df, out_col)].  Knots for all
+    dfs come from one aggregate; each station's ≤ 366 rows are solved for
+    every curve in the same Python call.  Output (keys, doy, out_cols…) on
+    ``grid`` (all 366 day indexes by default)."""
+    keys = list(keys)
+    grid = DOY_GRID if grid is None else grid
+    dfs = sorted({sp[2] for sp in specs})
+    fitted = fit_knots(stats, [cc(doy_col, d_, upper=upper) for d_ in dfs])
+    knots = {d_: t.knots for d_, t in zip(dfs, fitted)}
+    key_fields = ", ".join(f"{kc} {stats.schema[kc].dataType.simpleString()}" for kc in keys)
+    outs = [sp[3] for sp in specs]
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        x_doy = pdf[doy_col].to_numpy(dtype=float)
+        out = pd.DataFrame({doy_col: grid})
+        for kc in keys:
+            out[kc] = pdf[kc].iloc[0]
+        for wcol, scol, d_, ocol in specs:
+            ok = pdf[wcol].to_numpy(dtype=float) > 0
+            x = spline_basis(x_doy[ok], knots[d_], True)
+            w = pdf[wcol].to_numpy(dtype=float)[ok]
+            beta, *_ = np.linalg.lstsq((x * w[:, None]).T @ x, x.T @ pdf[scol].to_numpy(dtype=float)[ok],
+                                       rcond=None)
+            out[ocol] = spline_basis(grid, knots[d_], True) @ beta
+        return out[[*keys, doy_col, *outs]]
+
+    schema = f"{key_fields}, {doy_col} double, " + ", ".join(f"{o} double" for o in outs)
+    return stats.groupBy(*keys).applyInPandas(solve, schema)
+
+
 def daily_normals(daily: DataFrame, years: tuple, keys: Sequence[str] = ("station",), dp: int | None = 2) -> DataFrame:
     """M4-M6: the 366-row daily normals table per station — spline-smoothed
-    high / low / mean curves and smoothed p10/p90 bands of highs and lows,
-    fitted on the days of a window of years."""
+    high / low / mean curves (df 7 / 6 / 5) and spline-smoothed p10/p90 bands
+    of highs and lows (df 6), fitted on the days of a window of years.
+
+    One aggregate reduces the facts to (station, doy) counts, sums and exact
+    percentiles; one per-station solve fits all seven curves."""
     from climo.functions import calendar as cal
+    keys = list(keys)
     d = (daily.filter(F.year("date").between(*years))
          .withColumn("day_of_year", cal.doy_index("date")))
-    rnd = (lambda c: F.bround(c, dp)) if dp is not None else (lambda c: c)
-    out = None
-    for metric, name in (("max_temp", "normal_high"), ("min_temp", "normal_low"), ("avg_temp", "normal_temp")):
-        fit = fit_doy_curve(doy_stats(d, metric, keys), NORMAL_DF[metric], keys, out_col=name, grid=DOY_GRID)
-        out = fit if out is None else out.join(fit, [*keys, "day_of_year"])
-    for metric in ("max_temp", "min_temp"):
-        out = out.join(smoothed_bands(d, metric, (0.1, 0.9), BAND_DF, keys, grid=DOY_GRID), [*keys, "day_of_year"])
+    bands = [("max_temp", 0.1), ("max_temp", 0.9), ("min_temp", 0.1), ("min_temp", 0.9)]
+    means = [("max_temp", "normal_high"), ("min_temp", "normal_low"), ("avg_temp", "normal_temp")]
+    aggs = []
+    for m, _ in means:
+        v = F.col(m).cast("double")
+        aggs += [F.count(v).cast("double").alias(f"n_{m}"), F.sum(v).alias(f"s_{m}")]
+    aggs += [F.percentile("max_temp", [0.1, 0.9]).alias("_ph"), F.percentile("min_temp", [0.1, 0.9]).alias("_pl")]
+    stats = d.groupBy(*keys, "day_of_year").agg(*aggs)
+    stats = stats.withColumns({
+        "max_temp_p10": F.col("_ph")[0], "max_temp_p90": F.col("_ph")[1],
+        "min_temp_p10": F.col("_pl")[0], "min_temp_p90": F.col("_pl")[1],
+        "_w_band": F.when(F.col("_ph").isNotNull(), 1.0).otherwise(0.0),
+        "_w_band_l": F.when(F.col("_pl").isNotNull(), 1.0).otherwise(0.0)}).drop("_ph", "_pl")
+    specs = [(f"n_{m}", f"s_{m}", NORMAL_DF[m], name) for m, name in means]
+    specs += [("_w_band" if m == "max_temp" else "_w_band_l", f"{m}_p{int(p * 100)}", BAND_DF, f"{m}_p{int(p * 100)}_fit")
+              for m, p in bands]
+    out = fit_doy_curves(stats.fillna(0.0), specs, keys)
     cols = ["normal_high", "normal_low", "normal_temp", "max_temp_p10", "max_temp_p90", "min_temp_p10", "min_temp_p90"]
-    label = F.when(F.col("day_of_year") == 59.5, F.lit("Feb-29")).otherwise(
-        F.date_format(F.date_add(F.lit("2025-01-01").cast("date"), F.floor("day_of_year").cast("int") - 1), "MMM-dd"))
-    month = F.when(F.col("day_of_year") == 59.5, F.lit("Feb")).otherwise(
-        F.date_format(F.date_add(F.lit("2025-01-01").cast("date"), F.floor("day_of_year").cast("int") - 1), "MMM"))
+    out = out.withColumnsRenamed({f"{m}_p{int(p * 100)}_fit": f"{m}_p{int(p * 100)}" for m, p in bands})
+    rnd = (lambda c: F.bround(c, dp)) if dp is not None else (lambda c: c)
+    base = F.date_add(F.lit("2025-01-01").cast("date"), F.floor("day_of_year").cast("int") - 1)
+    label = F.when(F.col("day_of_year") == 59.5, F.lit("Feb-29")).otherwise(F.date_format(base, "MMM-dd"))
+    month = F.when(F.col("day_of_year") == 59.5, F.lit("Feb")).otherwise(F.date_format(base, "MMM"))
     return out.select(*keys, label.alias("date_formatted"), "day_of_year", month.alias("month"),
                       *[rnd(F.col(c)).alias(c) for c in cols])
 
@@ -593,9 +644,9 @@ def linear_trend(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), with_p
     """M8: slope, intercept, r² of y on (x − min x) per group, slope per decade
     and (optionally) the slope's two-sided p-value.  Everything except the
     p-value is a single Spark aggregate (``regr_*``)."""
+    from climo.operators import reshape
     keys = list(keys)
-    sc = df.groupBy(*keys).agg(F.min(x).alias("_x0")) if keys else df.agg(F.min(x).alias("_x0"))
-    d = df.join(sc, keys) if keys else df.crossJoin(F.broadcast(sc))
+    d = reshape.attach_scalars(df, reshape.per_key_scalars(df, keys, _x0=F.min(x)), keys)
     t = (F.col(x) - F.col("_x0")).cast("double")
     yy = F.col(y).cast("double")
     g = d.groupBy(*keys) if keys else d.groupBy()

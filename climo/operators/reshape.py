@@ -15,17 +15,19 @@ def per_key_scalars(df: DataFrame, keys: Sequence[str], **aggs) -> DataFrame:
 
     The result has one row per station; it is joined back on the key (AQE
     broadcasts it when its measured size allows).  With no keys it is a
-    single row and is broadcast explicitly.
+    single row (keyed by a constant) and is broadcast explicitly.
     """
     if keys:
         return df.groupBy(*keys).agg(*[v.alias(k) for k, v in aggs.items()])
-    return F.broadcast(df.agg(*[v.alias(k) for k, v in aggs.items()]))
+    return F.broadcast(df.agg(*[v.alias(k) for k, v in aggs.items()]).withColumn("_one", F.lit(1)))
 
 
 def attach_scalars(df: DataFrame, scalars: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Equi-join of per-key scalars back onto the rows (no cross join: the
+    key-less case joins the single scalar row on a constant)."""
     if keys:
         return df.join(scalars, list(keys))
-    return df.crossJoin(scalars)
+    return df.withColumn("_one", F.lit(1)).join(scalars, "_one").drop("_one")
 
 
 def last_complete_month_end(max_date) -> "F.Column":

@@ -252,8 +252,9 @@ def q_monthly_extremes(spark, sf_dir):
 
 
 @register("threshold_day_counts", with_fixtures("daily_temps") + f"""
-SELECT station, {_YR} AS year, count_if(max_temp >= {fx.HOT_THRESHOLD}) AS hot_days,
-       count_if(min_temp < 10000.0) AS cold_days, count_if(min_temp <= {fx.FREEZE_THRESHOLD}) AS freeze_days
+SELECT station, {_YR} AS year, CAST(count_if(max_temp >= {fx.HOT_THRESHOLD}) AS BIGINT) AS hot_days,
+       CAST(count_if(min_temp < 10000.0) AS BIGINT) AS cold_days,
+       CAST(count_if(min_temp <= {fx.FREEZE_THRESHOLD}) AS BIGINT) AS freeze_days
 FROM daily_temps GROUP BY 1, 2""")
 def q_threshold_day_counts(spark, sf_dir):
     from climo.operators import aggregates as agg
@@ -492,7 +493,8 @@ def q_wind_rose(spark, sf_dir):
 , t AS (SELECT *, {doy_sql('date')} AS day_of_year FROM daily_temps),
 r AS (SELECT *, rank() OVER (PARTITION BY station, day_of_year ORDER BY max_temp DESC NULLS LAST) AS hi,
              rank() OVER (PARTITION BY station, day_of_year ORDER BY max_temp ASC NULLS LAST) AS lo FROM t)
-SELECT station, {_YR} AS year, count_if(hi = 1) AS record_highs, -count_if(lo = 1) AS record_lows FROM r GROUP BY 1, 2""")
+SELECT station, {_YR} AS year, CAST(count_if(hi = 1) AS BIGINT) AS record_highs,
+       CAST(-count_if(lo = 1) AS BIGINT) AS record_lows FROM r GROUP BY 1, 2""")
 def q_record_day_counts(spark, sf_dir):
     """Per year, days setting a day-of-year record high (+) / low (−) of the daily high."""
     from climo.operators import aggregates as agg
@@ -514,7 +516,7 @@ def q_histogram_percent(spark, sf_dir):
                CASE WHEN humidity < 0 THEN 0 WHEN humidity >= 100 THEN 101 ELSE CAST(floor((humidity - 0.0) / 1.0) AS BIGINT) + 1 END AS y_bin
         FROM hourly WHERE temp IS NOT NULL AND humidity IS NOT NULL),
 c AS (SELECT x_bin, y_bin, count(*) AS n FROM b GROUP BY 1, 2)
-SELECT x_bin, y_bin, sum(n) AS n, CAST(grouping(x_bin, y_bin) AS INTEGER) AS level FROM c
+SELECT x_bin, y_bin, CAST(sum(n) AS BIGINT) AS n, CAST(grouping(x_bin, y_bin) AS INTEGER) AS level FROM c
 GROUP BY GROUPING SETS ((x_bin, y_bin), (x_bin), (y_bin))""")
 def q_density_2d(spark, sf_dir):
     """100 × 100 grid of (temp, humidity) counts plus both marginals."""
@@ -669,7 +671,8 @@ c AS (SELECT *, CASE WHEN lag(state) OVER (PARTITION BY station ORDER BY date) I
                      THEN 0 ELSE 1 END AS chg FROM s),
 i AS (SELECT *, sum(chg) OVER (PARTITION BY station ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
               AS streak_id FROM c)
-SELECT station, streak_id, state, min(date) AS start, max(date) AS "end", count(*) AS length FROM i GROUP BY 1, 2, 3""")
+SELECT station, CAST(streak_id AS BIGINT) AS streak_id, state, min(date) AS start, max(date) AS "end",
+       count(*) AS length FROM i GROUP BY 1, 2, 3""")
 def q_precip_streaks(spark, sf_dir):
     """Islands of consecutive rows with / without snow (row-based, Q19)."""
     from climo.operators import windows
@@ -873,8 +876,9 @@ def q_yearly_departure(spark, sf_dir):
 @register("linear_trend", _yearly_trend_sql() + """
 , x AS (SELECT station, metric_name, CAST(year - min(year) OVER (PARTITION BY station, metric_name) AS DOUBLE) AS t,
           total FROM yt)
-SELECT station, metric_name, regr_slope(total, t) AS slope, regr_intercept(total, t) AS intercept,
-       regr_r2(total, t) AS r2, regr_count(total, t) AS n, regr_slope(total, t) * 10 AS slope_per_decade
+SELECT station, metric_name, (CASE WHEN isnan(regr_slope(total, t)) THEN NULL ELSE regr_slope(total, t) END) AS slope,
+       (CASE WHEN isnan(regr_intercept(total, t)) THEN NULL ELSE regr_intercept(total, t) END) AS intercept, (CASE WHEN isnan(regr_r2(total, t)) THEN NULL ELSE regr_r2(total, t) END) AS r2,
+       CAST(regr_count(total, t) AS BIGINT) AS n, (CASE WHEN isnan(regr_slope(total, t)) THEN NULL ELSE regr_slope(total, t) END) * 10 AS slope_per_decade
 FROM x GROUP BY 1, 2""")
 def q_linear_trend(spark, sf_dir):
     """M8: slope / intercept / r² of each yearly metric against years since start."""
@@ -1013,7 +1017,7 @@ def q_upsert_coalesce(spark, sf_dir):
 
 @register("key_violations", with_fixtures("precip_silver") + """
 SELECT (SELECT count(*) FROM (SELECT station, date FROM silver GROUP BY 1, 2 HAVING count(*) > 1)) AS duplicate_keys,
-       (SELECT count_if(station IS NULL OR date IS NULL) FROM silver) AS null_keys""")
+       (SELECT CAST(count_if(station IS NULL OR date IS NULL) AS BIGINT) FROM silver) AS null_keys""")
 def q_key_violations(spark, sf_dir):
     """Duplicate and NULL (station, date) keys of the silver table."""
     from climo.sources import ingest
@@ -1068,9 +1072,9 @@ def q_cv_select_df(spark, sf_dir):
 
 
 def _seasonal_frame(spark, sf_dir):
+    from climo.operators import reshape
     d = fx.daily_temps(spark, sf_dir, dense=True)
-    first = d.agg(F.min("date").alias("_d0"))
-    d = d.crossJoin(F.broadcast(first))
+    d = reshape.attach_scalars(d, reshape.per_key_scalars(d, ["station"], _d0=F.min("date")), ["station"])
     return d.withColumns({"doy_frac": cal.fraction_of_year("date"),
                           "total_years": cal.days_since("date", "_d0") / 365.25}).drop("_d0")
 
@@ -1238,7 +1242,7 @@ _SECTORS = [i * 22.5 for i in range(16)]
     ", s AS (SELECT *, frequency / sum(frequency) OVER (PARTITION BY station) AS share FROM c),\n"
     "g AS (SELECT station, sp AS wind_speed_cat, dr AS wind_direction_cat FROM (SELECT DISTINCT station FROM s)\n"
     "      CROSS JOIN (SELECT unnest(['0-10', '10-15', '15-20', '20-30', '30-40', '40+']) AS sp)\n"
-    "      CROSS JOIN (SELECT unnest([" + ", ".join(str(x) for x in _SECTORS) + "]) AS dr))\n"
+    "      CROSS JOIN (SELECT CAST(unnest([" + ", ".join(str(x) for x in _SECTORS) + "]) AS DOUBLE) AS dr))\n"
     "SELECT g.station, g.wind_speed_cat, g.wind_direction_cat, coalesce(s.frequency, 0) AS frequency,\n"
     "       coalesce(s.share, 0.0) AS share FROM g LEFT JOIN s ON g.station = s.station\n"
     "  AND g.wind_speed_cat = s.wind_speed_cat AND g.wind_direction_cat = s.wind_direction_cat"))

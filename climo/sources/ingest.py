@@ -231,15 +231,17 @@ class KeyCheckFailed(ValueError):
 
 
 def key_violations(df: DataFrame, keys: Sequence[str] = ("station", "date")) -> DataFrame:
-    """One row: number of duplicated keys and of rows with a NULL key part."""
+    """One row: number of duplicated keys and of rows with a NULL key part.
+
+    One aggregate over the per-key counts (partial aggregation before the
+    shuffle), then a global aggregate of that."""
     null_any = None
     for k in keys:
         cond = F.col(k).isNull()
         null_any = cond if null_any is None else (null_any | cond)
-    dups = (df.groupBy(*keys).count().filter("count > 1")
-            .agg(F.count(F.lit(1)).alias("duplicate_keys")))
-    nulls = df.agg(F.count_if(null_any).alias("null_keys"))
-    return dups.crossJoin(nulls)
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return per_key.agg(F.count_if(F.col("_n") > 1).alias("duplicate_keys"),
+                       F.coalesce(F.sum(F.when(null_any, F.col("_n"))), F.lit(0)).alias("null_keys"))
 
 
 def assert_unique_key(df: DataFrame, keys: Sequence[str] = ("station", "date")) -> DataFrame:

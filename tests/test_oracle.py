@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from tests.conftest import SF_SMALL
-from tests.oracle_check import canon, close, duck_con
+from tests.oracle_check import canon, close, duck_con, type_mismatches
 
 QUERIES = E.queries()
 ORACLE = E.oracle_sql()
@@ -25,6 +25,7 @@ def test_query(spark, con, name):
     rel = con.sql(ORACLE[name])
     drows = rel.fetchall()
     assert sorted(df.columns) == sorted(rel.columns)
+    assert type_mismatches(df.dtypes, rel.columns, rel.types) == []
     assert len(rows) == len(drows)
     assert close(canon(df.columns, rows), canon(rel.columns, drows))
 
