@@ -142,8 +142,11 @@ def temp_year_metrics(daily: DataFrame, hot: float, freeze: float,
     long = yearly.unpivot([*keys, "year"], ["full_max", "full_min", "days_100", "frost_days",
                                             "diurnal_temp_range"], "metric_name", "total")
     ranked = ranks.rank_over(long, [*keys, "metric_name"], "total", ascending=False)
-    sc = reshape.per_key_scalars(daily, keys, _maxy=F.max(F.year("date")))
-    return reshape.attach_scalars(ranked, sc, keys).filter(F.col("year") < F.col("_maxy")).drop("_maxy")
+    # the yearly table has a row for every year with data, so its max year is
+    # the station's last (partial) year; a window over this small table
+    from pyspark.sql import Window
+    maxy = F.max("year").over(Window.partitionBy(*keys, "metric_name"))
+    return ranked.withColumn("_maxy", maxy).filter(F.col("year") < F.col("_maxy")).drop("_maxy")
 
 
 def frost_dates(daily: DataFrame, freeze: float, keys: Sequence[str] = ("station",),

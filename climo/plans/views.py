@@ -173,8 +173,11 @@ def yearly_trend_table(daily: DataFrame, silver: DataFrame, hot: float, freeze:
     dl = ym.unpivot([*k, "year"], list(extra_metrics), "metric_name", "total")
     dl = ranks.rank_over(dl, [*k, "metric_name"], "total", ascending=False)
     u = a.unionByName(b).unionByName(c).unionByName(dl.select(*k, "metric_name", "year", "total", "rank"))
-    sc = reshape.per_key_scalars(u, k, _maxy=F.max("year"))
-    return reshape.attach_scalars(u, sc, k).filter(F.col("year") <= F.col("_maxy") - 1).drop("_maxy")
+    # one row per (station, metric, year): a window over the station's rows of
+    # this small table reads the union once
+    from pyspark.sql import Window
+    maxy = F.max("year").over(Window.partitionBy(*k))
+    return u.withColumn("_maxy", maxy).filter(F.col("year") <= F.col("_maxy") - 1).drop("_maxy")
 
 
 def yearly_departure(trend: DataFrame, metric: str, start_year: int, n_years: int = 30,

@@ -132,3 +132,4 @@ def test_segmented_windows_match_plain_windows(spark):
     a = {(r["station"], r["date"]): (r["sid"], r["len"]) for r in ref.collect()}
     b = {(r["station"], r["date"]): (r["streak_id"], r["streak_len"]) for r in st.collect()}
     assert a == b
+
