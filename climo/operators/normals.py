@@ -86,6 +86,28 @@ def running_totals_wide(stacked: DataFrame, partition_cols: Sequence[str], order
     return stacked.withColumns({m: F.sum(F.coalesce(_metric_double(m), F.lit(0.0))).over(w) for m in metrics})
 
 
+def _wide_stats_then_melt(rows: DataFrame, group_cols: Sequence[str], metrics: Sequence[str], value_prefix: str,
+                          suffix: str, probs: Sequence[float]) -> DataFrame:
+    """Per group and metric: mean and percentiles over normals-window years,
+    min and max over all years — aggregated on the wide rows (one group per
+    key, one buffer set per metric) and melted afterwards."""
+    aggs = []
+    for m in metrics:
+        v = F.col(m)
+        nv = F.when(F.col("norm_range"), v)
+        aggs += [F.avg(nv).alias(f"{m}__avg"), F.min(v).alias(f"{m}__min"), F.max(v).alias(f"{m}__max"),
+                 percentiles(nv, probs).alias(f"{m}__p")]
+    wide = rows.groupBy(*group_cols).agg(*aggs)
+    stat_names = ["avg", "min", "max"] + [f"p{int(round(p * 100))}" for p in probs]
+    per_metric = []
+    for m in metrics:
+        fields = [F.col(f"{m}__avg"), F.col(f"{m}__min"), F.col(f"{m}__max")] + \
+                 [F.col(f"{m}__p")[i] for i in range(len(probs))]
+        per_metric.append(F.struct(F.lit(m).alias("metric_name"),
+                                   *[f.alias(f"{n}_{value_prefix}_{suffix}") for f, n in zip(fields, stat_names)]))
+    return wide.select(*group_cols, F.explode(F.array(*per_metric)).alias("_m")).select(*group_cols, "_m.*")
+
+
 def mtd_normals(silver: DataFrame, keys: Sequence[str] = ("station",), mode: str = "decade",
                 n_years: int = 30, metrics: Sequence[str] = PRECIP_METRICS,
                 probs: Sequence[float] = BAND_PERCENTILES) -> DataFrame:
@@ -99,15 +121,10 @@ def mtd_normals(silver: DataFrame, keys: Sequence[str] = ("station",), mode: str
                 .withColumn("day_of_month", F.dayofmonth("date")))
     run = running_totals_wide(cal_rows, [*keys, "year_for_dash", "month"], ["date"], metrics)
     past = run.filter(~F.col("is_current"))
-    long = reshape.unpivot_metrics(past, [*keys, "month", "norm_range", "day_of_month"], metrics,
-                                   "metric_name", "mtd")
-    norm_v = F.when(F.col("norm_range"), F.col("mtd"))
-    out = (long.groupBy(*keys, "metric_name", "month", "day_of_month")
-           .agg(F.avg(norm_v).alias("avg_precip_mtd"), F.min("mtd").alias("min_precip_mtd"),
-                F.max("mtd").alias("max_precip_mtd"), percentiles(norm_v, probs).alias("_p")))
+    out = _wide_stats_then_melt(past, [*keys, "month", "day_of_month"], metrics, "precip", "mtd", probs)
     return out.select(*keys, "metric_name", "month", "day_of_month", "avg_precip_mtd",
                       "min_precip_mtd", "max_precip_mtd",
-                      *[F.col("_p")[i].alias(f"p{int(round(p * 100))}_precip_mtd") for i, p in enumerate(probs)])
+                      *[f"p{int(round(p * 100))}_precip_mtd" for p in probs])
 
 
 LONG_IDS = ["date", "month", "day_of_year", "year_type", "year_num", "year_for_dash",
@@ -167,15 +184,11 @@ def ytd_normals(silver: DataFrame, keys: Sequence[str] = ("station",), mode: str
     bad = incomplete_years(st, keys)
     kept = (run.join(bad, [*keys, "year_type", "year_for_dash"], "left_anti")
             .filter(~F.col("is_current") & (F.col("day_of_year") % 1 == 0)))
-    long = reshape.unpivot_metrics(kept, [*keys, "year_type", "day_of_year", "day_of_year_dash", "norm_range"],
-                                   metrics, "metric_name", "ytd")
-    norm_v = F.when(F.col("norm_range"), F.col("ytd"))
-    out = (long.groupBy(*keys, "year_type", "metric_name", "day_of_year", "day_of_year_dash")
-           .agg(F.avg(norm_v).alias("avg_precip_ytd"), F.min("ytd").alias("min_precip_ytd"),
-                F.max("ytd").alias("max_precip_ytd"), percentiles(norm_v, probs).alias("_p")))
+    out = _wide_stats_then_melt(kept, [*keys, "year_type", "day_of_year", "day_of_year_dash"], metrics,
+                                "precip", "ytd", probs)
     return out.select(*keys, "year_type", "metric_name", "day_of_year", "day_of_year_dash",
                       "avg_precip_ytd", "min_precip_ytd", "max_precip_ytd",
-                      *[F.col("_p")[i].alias(f"p{int(round(p * 100))}_precip_ytd") for i, p in enumerate(probs)],
+                      *[f"p{int(round(p * 100))}_precip_ytd" for p in probs],
                       cal.doy_label("day_of_year").alias("dashboard_date"))
 
 
