@@ -36,7 +36,11 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFram
     the persisted silver / observation tables the operators read in
     production.  The checkpoint survives executor loss."""
     from climo.session import ensure_checkpoint_dir
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect
+        app = id(spark)
+    key = (app, os.path.abspath(sf_dir), name)
     df = _MATERIALIZED.get(key)
     if df is None:
         ensure_checkpoint_dir(spark)
