@@ -1315,3 +1315,48 @@ def q_mtd_view(spark, sf_dir):
     """Current month's running precipitation against month-to-date normals."""
     from climo.plans import views
     return views.mtd_view(fx.precip_silver(spark, sf_dir), "precip")
+
+
+# ---------------------------------------------------------------------------
+# A6, A7, A11, A21 (snow) as standalone queries
+
+@register("doy_means", with_fixtures("daily_temps") + f"""
+SELECT station, {doy_sql('date')} AS day_of_year, avg(max_temp) AS max_temp, avg(min_temp) AS min_temp,
+       avg(avg_temp) AS avg_temp FROM daily_temps WHERE year(date) BETWEEN {fx.NORMAL_START} AND {fx.NORMAL_END}
+GROUP BY 1, 2""")
+def q_doy_means(spark, sf_dir):
+    """Mean high / low / average by day of year over the normals years."""
+    from climo.operators import normals
+    d = fx.daily_temps(spark, sf_dir).withColumn("day_of_year", cal.doy_index("date"))
+    return normals.doy_means(d, ["max_temp", "min_temp", "avg_temp"], year_range=_NORMAL_YEARS)
+
+
+@register("doy_percentile_bands", with_fixtures("daily_temps") + f"""
+SELECT station, {doy_sql('date')} AS day_of_year, quantile_cont(max_temp, 0.1) AS max_temp_p10,
+       quantile_cont(max_temp, 0.9) AS max_temp_p90 FROM daily_temps
+WHERE year(date) BETWEEN {fx.NORMAL_START} AND {fx.NORMAL_END} GROUP BY 1, 2""")
+def q_doy_percentile_bands(spark, sf_dir):
+    """Exact p10 / p90 of highs by day of year."""
+    from climo.operators import normals
+    d = fx.daily_temps(spark, sf_dir).withColumn("day_of_year", cal.doy_index("date"))
+    return normals.doy_percentile_bands(d, "max_temp", (0.1, 0.9), year_range=_NORMAL_YEARS)
+
+
+@register("incomplete_years", with_fixtures("precip_silver") + _stack_sql("decade") + """
+SELECT station, year_type, year_for_dash FROM stk GROUP BY ALL HAVING min(day_of_year_dash) <> 1""")
+def q_incomplete_years(spark, sf_dir):
+    """(station, calendar, year) whose first day index is not 1."""
+    from climo.operators import normals
+    return normals.incomplete_years(normals.precip_stacked(fx.precip_silver(spark, sf_dir)))
+
+
+@register("snow_date_percentiles", with_fixtures("precip_silver")
+          + _season_events_sql("silver", "snow > 0", "snow")
+          + "\n" + _event_pct_sql("first_snow_doy", "first_snow")
+          + "\nUNION ALL " + _event_pct_sql("last_snow_doy", "last_snow"))
+def q_snow_date_percentiles(spark, sf_dir):
+    """Quantiles of first / last snow index as calendar labels."""
+    from climo.operators import aggregates as agg
+    sd = agg.season_event_dates(fx.precip_silver(spark, sf_dir), F.col("snow") > 0, prefix="snow")
+    return (agg.event_date_percentiles(sd, "first_snow_doy", "first_snow")
+            .unionByName(agg.event_date_percentiles(sd, "last_snow_doy", "last_snow")))

@@ -102,6 +102,16 @@ def read_daily_csv(spark: SparkSession, path, schema: T.StructType,
     return nan_to_null_all(df)
 
 
+def read_vendor_csv(spark: SparkSession, path, schema: T.StructType,
+                    rename: dict | None = VENDOR_RENAME) -> DataFrame:
+    """S3: vendor daily CSV export (one date range per file): ``Date time`` →
+    ``date``, columns renamed, NaN → NULL."""
+    df = read_daily_csv(spark, path, schema, rename=rename)
+    if "Date time" in df.columns:
+        df = df.withColumn("date", F.to_date(F.col("Date time").cast("string"), "MM/dd/yyyy")).drop("Date time")
+    return df
+
+
 def read_multi(spark: SparkSession, paths: Sequence[str], schema: T.StructType,
                rename: dict | None = None) -> DataFrame:
     """Read N period files as one scan and rename columns."""

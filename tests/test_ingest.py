@@ -84,3 +84,14 @@ def test_null_profile(spark):
     df = spark.createDataFrame([(1.0, None), (None, None)], "a double, b double")
     out = {r["column_name"]: r["pct_null"] for r in ingest.null_profile(df).collect()}
     assert out == {"a": 50.0, "b": 100.0}
+
+
+def test_read_vendor_csv(spark):
+    d = tempfile.mkdtemp(prefix="climo-vendor-")
+    with open(os.path.join(d, "v.csv"), "w") as f:
+        f.write("Address,Date time,Minimum Temperature,Maximum Temperature,Wind Speed\n"
+                "x,01/02/2020,10.5,20.0,NaN\nx,01/03/2020,11.0,21.0,3.0\n")
+    schema = T._parse_datatype_string("Address string, `Date time` string, `Minimum Temperature` double, "
+                                      "`Maximum Temperature` double, `Wind Speed` double")
+    rows = ingest.read_vendor_csv(spark, d, schema).orderBy("date").collect()
+    assert rows[0]["date"] == dt.date(2020, 1, 2) and rows[0]["min_temp"] == 10.5 and rows[0]["wind_speed"] is None
