@@ -189,17 +189,26 @@ def cc_by(by: str, levels, col, df, lower=None, upper=None, center=True) -> Term
     return Term("by_level", col, df, lower, upper, center, levels=list(levels), by=by)
 
 
+# Exact knot quantiles hold a term's distinct values in the final task of one
+# aggregate.  Calendar-grid inputs (day of year, hour of day, days since a
+# start date) have few distinct values; above this bound the quantiles come
+# from a bounded-memory sketch instead (relative rank error 1/KNOT_SKETCH_ACCURACY).
+EXACT_KNOT_DISTINCT_LIMIT = 2_000_000
+KNOT_SKETCH_ACCURACY = 100_000
+
+
 def fit_knots(df: DataFrame, terms: Sequence[Term]) -> list[Term]:
     """Fill in knots of every spline term from the data: bounds and quantiles
     of the distinct values in bounds.  All terms are served by one pass for
-    the bounds and one aggregate for all quantile arrays; only the df+2 knot
-    values per term reach the driver."""
+    the bounds (plus an approximate distinct count) and one aggregate for all
+    quantile arrays; only the df+2 knot values per term reach the driver."""
     todo = [t for t in terms if t.kind in ("cc", "cr", "by_level") and t.knots is None]
     if not todo:
         return list(terms)
     cols = sorted({t.col for t in todo})
     b = df.agg(*[F.min(F.col(c).cast("double")).alias(f"lo_{i}") for i, c in enumerate(cols)],
-               *[F.max(F.col(c).cast("double")).alias(f"hi_{i}") for i, c in enumerate(cols)]).first()
+               *[F.max(F.col(c).cast("double")).alias(f"hi_{i}") for i, c in enumerate(cols)],
+               *[F.approx_count_distinct(F.col(c)).alias(f"nd_{i}") for i, c in enumerate(cols)]).first()
     specs = []
     for t in todo:
         i = cols.index(t.col)
@@ -210,9 +219,13 @@ def fit_knots(df: DataFrame, terms: Sequence[Term]) -> list[Term]:
     aggs = []
     for j, (t, lo, hi, n_inner) in enumerate(specs):
         if n_inner > 0:
+            i = cols.index(t.col)
             probs = [float(p) for p in np.linspace(0, 1, n_inner + 2)[1:-1]]
-            x = F.col(f"x_{cols.index(t.col)}")
-            aggs.append(F.percentile(F.when(x.between(lo, hi), x), probs).alias(f"q_{j}"))
+            x = F.col(f"x_{i}")
+            xin = F.when(x.between(lo, hi), x)
+            exact = (b[f"nd_{i}"] or 0) <= EXACT_KNOT_DISTINCT_LIMIT
+            q = F.percentile(xin, probs) if exact else F.percentile_approx(xin, probs, KNOT_SKETCH_ACCURACY)
+            aggs.append(q.cast("array<double>").alias(f"q_{j}"))
     q = None
     if aggs:
         # distinct values per column (the quantiles are over distinct x); one
