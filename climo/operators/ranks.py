@@ -53,6 +53,13 @@ def doy_rank(df: DataFrame, value_col: str, ascending: bool, keys: Sequence[str]
     return rank_over(df, [*keys, doy_col], value_col, ascending, name)
 
 
+def _group_limit_threshold(df: DataFrame) -> int:
+    try:
+        return int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    except Exception:  # noqa: BLE001
+        return 1000
+
+
 def top_n_with_ties(df: DataFrame, partition_cols: Sequence[str], order_col: str, n: int,
                     ascending: bool = False, rank_col: str = "rank", method: str = "window") -> DataFrame:
     """Rows whose min-rank within their partition is ≤ n (O3, W3, W5).  All
@@ -75,6 +82,8 @@ def top_n_with_ties(df: DataFrame, partition_cols: Sequence[str], order_col: str
     v = F.col(order_col)
     rows = df.filter(v.isNotNull())
     order = _order(order_col, ascending)
+    if method == "window" and n > _group_limit_threshold(df):
+        method = "distinct"          # Catalyst would not insert WindowGroupLimit for this n
     if method == "window":
         w = Window.partitionBy(*part).orderBy(order) if part else Window.orderBy(order)
         return rows.withColumn(rank_col, F.rank().over(w)).filter(F.col(rank_col) <= n)

@@ -66,3 +66,15 @@ def test_doy_rank_bounded_partition(spark):
     out = {(r["day_of_year"], r["year"]): r["hr"] for r in
            ranks.doy_rank(df, "max_temp", ascending=False, rank_col="hr").collect()}
     assert out == {(1.0, 2000): 2, (1.0, 2001): 1, (2.0, 2000): 1}
+
+
+def test_top_n_large_n_falls_back_to_distinct(spark):
+    df = spark.createDataFrame([("g", float(i % 50), i) for i in range(300)], "g string, v double, i long")
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10")
+    try:
+        out = ranks.top_n_with_ties(df, ["g"], "v", 20, ascending=True)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "WindowGroupLimit" not in plan or "HashAggregate" in plan
+        assert out.count() == 20 * 6
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
