@@ -312,7 +312,8 @@ def density_2d(df: DataFrame, x: str, y: str, x_range: tuple, y_range: tuple,
     k = list(keys)
     sets = [[*k, "x_bin", "y_bin"], [*k, "x_bin"], [*k, "y_bin"]]
     return (cells.groupingSets([[F.col(c) for c in s_] for s_ in sets], *k, "x_bin", "y_bin")
-            .agg(F.sum("n").alias("n"), F.grouping_id("x_bin", "y_bin").cast("int").alias("level")))
+            .agg(F.sum("n").alias("n"),
+                 (F.grouping("x_bin") * 2 + F.grouping("y_bin")).cast("int").alias("level")))
 
 
 def grouped_avg(df: DataFrame, category: str, measure: str) -> DataFrame:

@@ -1360,3 +1360,21 @@ def q_snow_date_percentiles(spark, sf_dir):
     sd = agg.season_event_dates(fx.precip_silver(spark, sf_dir), F.col("snow") > 0, prefix="snow")
     return (agg.event_date_percentiles(sd, "first_snow_doy", "first_snow")
             .unionByName(agg.event_date_percentiles(sd, "last_snow_doy", "last_snow")))
+
+
+@register("hourly_density", with_fixtures("hourly") + """
+, f AS (SELECT *, max(year(timestamp)) OVER (PARTITION BY station) AS last_y FROM hourly),
+b AS (SELECT station,
+        CASE WHEN temp < 0 THEN 0 WHEN temp >= 100 THEN 101 ELSE CAST(floor((temp - 0.0) / 1.0) AS BIGINT) + 1 END AS x_bin,
+        CASE WHEN dew_point < 0 THEN 0 WHEN dew_point >= 100 THEN 101
+             ELSE CAST(floor((dew_point - 0.0) / 1.0) AS BIGINT) + 1 END AS y_bin
+      FROM f WHERE temp IS NOT NULL AND dew_point IS NOT NULL AND year(timestamp) BETWEEN last_y - 29 AND last_y
+        AND strftime(timestamp, '%b') IN ('Dec', 'Jan', 'Feb')),
+c AS (SELECT station, x_bin, y_bin, count(*) AS n FROM b GROUP BY 1, 2, 3)
+SELECT station, x_bin, y_bin, CAST(sum(n) AS BIGINT) AS n, CAST(grouping(x_bin, y_bin) AS INTEGER) AS level FROM c
+GROUP BY GROUPING SETS ((station, x_bin, y_bin), (station, x_bin), (station, y_bin))""")
+def q_hourly_density(spark, sf_dir):
+    """V9: per-station temp × dew point density for winter months over the last 30 years."""
+    from climo.plans import views
+    return views.hourly_density(fx.hourly(spark, sf_dir), "temp", "dew_point", ["Dec", "Jan", "Feb"],
+                                (0.0, 100.0), (0.0, 100.0), exclude_last_year=False)

@@ -254,3 +254,17 @@ def mtd_view(silver: DataFrame, metric: str, keys: Sequence[str] = ("station",),
     nrm = normals.mtd_normals(silver, keys, mode, metrics=[metric]).dropna()
     return (run.select(*keys, "month", "day_of_month", F.col(metric).alias("month_to_date"))
             .join(nrm.drop("metric_name"), [*keys, "month", "day_of_month"], "inner"))
+
+
+def hourly_density(hourly: DataFrame, x: str, y: str, months: Sequence[str], x_range: tuple, y_range: tuple,
+                   n_years: int = 30, exclude_last_year: bool = True, bins: int = 100,
+                   keys: Sequence[str] = ("station",)) -> DataFrame:
+    """V9: 2-D density (plus marginals) of two hourly metrics over the selected
+    months and the ``n_years`` years before each station's latest year (or
+    ending with it when ``exclude_last_year`` is False)."""
+    from pyspark.sql import Window
+    h = hourly.withColumns({"_y": F.year("timestamp"), "_m": cal.month_label("timestamp")})
+    last = F.max("_y").over(Window.partitionBy(*keys)) - (1 if exclude_last_year else 0)
+    h = (h.withColumn("_last", last)
+         .filter(F.col("_y").between(F.col("_last") - (n_years - 1), F.col("_last")) & F.col("_m").isin(list(months))))
+    return agg.density_2d(h, x, y, x_range, y_range, bins, bins, keys)
