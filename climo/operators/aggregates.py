@@ -325,7 +325,6 @@ def wind_rose(wind: DataFrame, keys: Sequence[str] = ("station",), months: Seque
     """Count by (month, speed bin, 16-point direction); rolled up over the
     selected months with each combination's share of the total (W14)."""
     from climo.functions import derive as dv
-    from pyspark.sql import Window
     sc = reshape.per_key_scalars(wind, keys, _maxs=F.max("wind_speed"))
     w = reshape.attach_scalars(wind, sc, keys)
     binned = (w.withColumns({"month": cal.month_label("date"),
@@ -336,7 +335,8 @@ def wind_rose(wind: DataFrame, keys: Sequence[str] = ("station",), months: Seque
         binned = binned.filter(F.col("month").isin(list(months)))
     counts = (binned.groupBy(*keys, "wind_speed_cat", "wind_direction_cat")
               .agg(F.count(F.lit(1)).alias("frequency")))
-    return counts.withColumn("share", F.col("frequency") / F.sum("frequency").over(Window.partitionBy(*keys)))
+    from climo.operators import windows
+    return windows.share_of_total(counts, "frequency", keys)
 
 
 def record_day_counts(daily: DataFrame, metric: str, keys: Sequence[str] = ("station",),

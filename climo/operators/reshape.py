@@ -137,12 +137,6 @@ def complete_categories(df: DataFrame, keys: Sequence[str], dims: dict, fill: di
     return grid.join(df, [*k, *dims.keys()], "left").fillna(fill)
 
 
-def complete_periods(df: DataFrame, group_cols: Sequence[str], count_col: str = "n_months",
-                     required: int = 12) -> DataFrame:
-    """Keep groups that have all periods (e.g. 12 months)."""
-    return df.filter(F.col(count_col) == required)
-
-
 def fill_daily_spine(df: DataFrame, keys: Sequence[str] = ("station",), date_col: str = "date",
                      fill: dict | None = None) -> DataFrame:
     """One row per key and day between the key's first and last date; days
