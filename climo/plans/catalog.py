@@ -1378,3 +1378,16 @@ def q_hourly_density(spark, sf_dir):
     from climo.plans import views
     return views.hourly_density(fx.hourly(spark, sf_dir), "temp", "dew_point", ["Dec", "Jan", "Feb"],
                                 (0.0, 100.0), (0.0, 100.0), exclude_last_year=False)
+
+
+@register("sun_lines", with_fixtures("sun_times") + f"""
+SELECT station, {doy_sql('day')} AS day_of_year,
+  CAST(split_part(split_part(sunrise, 'T', 2), ':', 1) AS INTEGER)
+    + CAST(split_part(split_part(sunrise, 'T', 2), ':', 2) AS INTEGER) / 60.0 AS sunrise_hr,
+  CAST(split_part(split_part(sunset, 'T', 2), ':', 1) AS INTEGER)
+    + CAST(split_part(split_part(sunset, 'T', 2), ':', 2) AS INTEGER) / 60.0 AS sunset_hr
+FROM sun_times WHERE year(day) = 2024""")
+def q_sun_lines(spark, sf_dir):
+    """V8: sunrise / sunset decimal-hour lines of one year for the hourly heatmap."""
+    from climo.plans import views
+    return views.sun_lines(fx.sun_times(spark, sf_dir), 2024)

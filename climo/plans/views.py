@@ -268,3 +268,11 @@ def hourly_density(hourly: DataFrame, x: str, y: str, months: Sequence[str], x_r
     h = (h.withColumn("_last", last)
          .filter(F.col("_y").between(F.col("_last") - (n_years - 1), F.col("_last")) & F.col("_m").isin(list(months))))
     return agg.density_2d(h, x, y, x_range, y_range, bins, bins, keys)
+
+
+def sun_lines(sun: DataFrame, year: int, keys: Sequence[str] = ("station",)) -> DataFrame:
+    """V8 overlay: sunrise / sunset of one year as decimal hours by day index."""
+    s = sun.filter(F.year("day") == year)
+    return s.select(*keys, cal.doy_index("day").alias("day_of_year"),
+                    cal.iso_to_decimal_hour("sunrise").alias("sunrise_hr"),
+                    cal.iso_to_decimal_hour("sunset").alias("sunset_hr"))
