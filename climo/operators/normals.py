@@ -177,13 +177,18 @@ def ytd_normals(silver: DataFrame, keys: Sequence[str] = ("station",), mode: str
                 n_years: int = 30, metrics: Sequence[str] = PRECIP_METRICS,
                 probs: Sequence[float] = BAND_PERCENTILES) -> DataFrame:
     """A10: year-to-date normals by (calendar, metric, day index); incomplete
-    years removed (anti-join, J7), the leap-day bucket dropped (P13) and a
-    calendar label added (F3)."""
+    years removed (A11, J7), the leap-day bucket dropped (P13) and a calendar
+    label added (F3)."""
+    from pyspark.sql import Window
     st = precip_stacked(silver, keys, mode, n_years)
-    run = running_totals_wide(st, [*keys, "year_type", "year_for_dash"], ["day_of_year_dash", "date"], metrics)
-    bad = incomplete_years(st, keys)
-    kept = (run.join(bad, [*keys, "year_type", "year_for_dash"], "left_anti")
-            .filter(~F.col("is_current") & (F.col("day_of_year") % 1 == 0)))
+    part = [*keys, "year_type", "year_for_dash"]
+    run = running_totals_wide(st, part, ["day_of_year_dash", "date"], metrics)
+    # Drop years whose first index is not 1 — the year's minimum
+    # index comes from the same window partition as the running totals, so
+    # the stacked rows are read once (no anti-join against a second pass)
+    first_index = F.min("day_of_year_dash").over(Window.partitionBy(*part))
+    kept = (run.withColumn("_first", first_index)
+            .filter((F.col("_first") == 1) & ~F.col("is_current") & (F.col("day_of_year") % 1 == 0)))
     out = _wide_stats_then_melt(kept, [*keys, "year_type", "day_of_year", "day_of_year_dash"], metrics,
                                 "precip", "ytd", probs)
     return out.select(*keys, "year_type", "metric_name", "day_of_year", "day_of_year_dash",
