@@ -133,9 +133,13 @@ def month_num_of_label(label) -> Column:
 
 
 def season_of_month(month_num) -> Column:
+    """Meteorological season of a month number."""
     m = _c(month_num)
-    return (F.when(m.isin(12, 1, 2), "winter").when(m.isin(3, 4, 5), "spring")
-            .when(m.isin(6, 7, 8), "summer").when(m.isin(9, 10, 11), "fall"))
+    expr = None
+    for season in ("winter", "spring", "summer", "fall"):
+        months = [k for k, v in SEASON_OF_MONTH.items() if v == season]
+        expr = F.when(m.isin(*months), season) if expr is None else expr.when(m.isin(*months), season)
+    return expr
 
 
 def doy_from_label(label, leap_year: int = 2024, year_type: str = "calendar_year") -> Column:
@@ -157,8 +161,13 @@ def iso_to_decimal_hour(iso_str) -> Column:
 
 
 def days_since(ts, origin) -> Column:
-    """Fractional days between ``origin`` and ``ts``."""
-    return (F.unix_micros(F.to_timestamp(_c(ts))) - F.unix_micros(F.to_timestamp(_c(origin)))) / 86_400_000_000.0
+    """Fractional days between ``origin`` and ``ts``.
+
+    Computed on zone-free ``TIMESTAMP_NTZ`` values, so the result does not
+    depend on the session time zone (no 23/25-hour days at DST changes)."""
+    t = _c(ts).cast("timestamp_ntz")
+    o = _c(origin).cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", o, t) / 86_400_000_000.0
 
 
 def months_since(date, origin) -> Column:

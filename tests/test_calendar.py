@@ -64,3 +64,15 @@ def test_season_of_month(spark):
     r = spark.range(1, 13).select(cal.season_of_month(F.col("id")).alias("s")).collect()
     assert [x["s"] for x in r][:3] == ["winter", "winter", "spring"]
     assert [x["s"] for x in r][11] == "winter"
+
+
+def test_days_since_ignores_session_time_zone(spark):
+    df = spark.createDataFrame([(dt.date(2024, 3, 1), dt.date(2024, 3, 20), dt.datetime(2024, 3, 9, 12, 0),
+                                 dt.datetime(2024, 3, 11, 12, 0))], "d0 date, d1 date, t0 timestamp_ntz, t1 timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Denver")     # DST starts 2024-03-10
+        r = df.select(cal.days_since("d1", "d0").alias("a"), cal.days_since("t1", "t0").alias("b")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert r["a"] == 19.0 and r["b"] == 2.0
