@@ -287,52 +287,62 @@ def centering_transform(terms: Sequence[Term], col_means: np.ndarray) -> np.ndar
 # Student t distribution (two-sided p-values) without scipy
 
 
-def _betacf(a, b, x, iters=300):
+def _betacf(a: float, b: float, x: np.ndarray, iters: int = 500, eps: float = 1e-15) -> np.ndarray:
+    """Continued fraction of the incomplete beta function (modified Lentz),
+    vectorised over x, stopping once every element has converged."""
+    tiny = 1e-300
     qab, qap, qam = a + b, a + 1.0, a - 1.0
     c = np.ones_like(x)
     d = 1.0 - qab * x / qap
-    d = np.where(np.abs(d) < 1e-300, 1e-300, d)
-    d = 1.0 / d
+    d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
     h = d.copy()
     for m in range(1, iters + 1):
         m2 = 2 * m
         aa = m * (b - m) * x / ((qam + m2) * (a + m2))
         d = 1.0 + aa * d
-        d = np.where(np.abs(d) < 1e-300, 1e-300, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < 1e-300, 1e-300, c)
-        d = 1.0 / d
+        d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
+        c = 1.0 + aa / np.where(np.abs(c) < tiny, tiny, c)
         h *= d * c
         aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
         d = 1.0 + aa * d
-        d = np.where(np.abs(d) < 1e-300, 1e-300, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < 1e-300, 1e-300, c)
-        d = 1.0 / d
-        h *= d * c
+        d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
+        c = 1.0 + aa / np.where(np.abs(c) < tiny, tiny, c)
+        delta = d * c
+        h *= delta
+        if np.all(np.abs(delta - 1.0) < eps):
+            break
     return h
 
 
-def betainc(a, b, x):
-    """Regularized incomplete beta I_x(a, b) (continued fraction)."""
-    x = np.clip(np.asarray(x, dtype=float), 0.0, 1.0)
-    a = np.broadcast_to(np.asarray(a, dtype=float), x.shape)
-    b = np.broadcast_to(np.asarray(b, dtype=float), x.shape)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        lbeta = np.vectorize(math.lgamma)(a + b) - np.vectorize(math.lgamma)(a) - np.vectorize(math.lgamma)(b)
-        front = np.exp(lbeta + a * np.log(np.where(x > 0, x, 1)) + b * np.log(np.where(x < 1, 1 - x, 1)))
-        direct = x < (a + 1.0) / (a + b + 2.0)
-        r1 = front * _betacf(a, b, x) / a
-        r2 = 1.0 - front * _betacf(b, a, 1.0 - x) / b
-    out = np.where(direct, r1, r2)
-    out = np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, out))
+def betainc(a: float, b: float, x) -> np.ndarray:
+    """Regularized incomplete beta I_x(a, b) for scalar a, b and array x."""
+    x = np.clip(np.atleast_1d(np.asarray(x, dtype=float)), 0.0, 1.0)
+    out = np.where(x >= 1.0, 1.0, 0.0)
+    inner = (x > 0.0) & (x < 1.0)
+    if not inner.any():
+        return out
+    xi = x[inner]
+    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+    front = np.exp(lbeta + a * np.log(xi) + b * np.log1p(-xi))
+    direct = xi < (a + 1.0) / (a + b + 2.0)
+    res = np.empty_like(xi)
+    if direct.any():
+        res[direct] = front[direct] * _betacf(a, b, xi[direct]) / a
+    if (~direct).any():
+        res[~direct] = 1.0 - front[~direct] * _betacf(b, a, 1.0 - xi[~direct]) / b
+    out[inner] = res
     return out
 
 
 def t_two_sided_p(t, dof):
-    t = np.asarray(t, dtype=float)
+    """Two-sided p-value of Student t statistics: I_{ν/(ν+t²)}(ν/2, 1/2)."""
+    t = np.atleast_1d(np.asarray(t, dtype=float))
     dof = np.broadcast_to(np.asarray(dof, dtype=float), t.shape)
-    return betainc(dof / 2.0, 0.5, dof / (dof + t * t))
+    out = np.empty_like(t)
+    for v in np.unique(dof):
+        sel = dof == v
+        out[sel] = betainc(v / 2.0, 0.5, v / (v + t[sel] * t[sel]))
+    return out
 
 
 # ---------------------------------------------------------------------------
@@ -361,6 +371,15 @@ def _solve(xtx: np.ndarray, xty: np.ndarray, yty: float, n: float, terms: Sequen
     return tm @ beta_c, beta_c, se, p, sigma2, rank
 
 
+def _by_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash-partition a small per-key statistics table on its keys with an
+    explicit partition count before a per-key Python solve.  AQE would
+    otherwise coalesce the (small) shuffle into very few partitions and run
+    every station's solve in one Python worker."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(n, *keys)
+
+
 def gram_fit(df: DataFrame, y: str, terms: Sequence[Term], keys: Sequence[str] = ("station",)) -> DataFrame:
     """OLS per key over all rows: Gram accumulation on executors, k×k solve per key.
 
@@ -375,19 +394,23 @@ def gram_fit(df: DataFrame, y: str, terms: Sequence[Term], keys: Sequence[str] =
     data = df.select(*keys, *[F.col(c) for c in cols], F.col(y).cast("double").alias("_y")) \
         .filter(F.col("_y").isNotNull())
 
+    ncell = iu[0].size
+
     def partial(it):
         for pdf in it:
             if pdf.empty:
                 continue
+            vals, counts, key_rows = [], [], []
             for key, g in pdf.groupby(keys, sort=False):
                 xa = np.concatenate([design(g, terms), g["_y"].to_numpy(dtype=float)[:, None]], axis=1)
-                m = xa.T @ xa
-                key = key if isinstance(key, tuple) else (key,)
-                out = pd.DataFrame({"cell": np.arange(iu[0].size, dtype=np.int32), "v": m[iu]})
-                for kc, kv in zip(keys, key):
-                    out[kc] = kv
-                out["n"] = float(len(g))
-                yield out[[*keys, "cell", "v", "n"]]
+                vals.append((xa.T @ xa)[iu])
+                counts.append(float(len(g)))
+                key_rows.append(key if isinstance(key, tuple) else (key,))
+            out = pd.DataFrame({"cell": np.tile(np.arange(ncell, dtype=np.int32), len(vals)),
+                                "v": np.concatenate(vals), "n": np.repeat(counts, ncell)})
+            for i, kc in enumerate(keys):
+                out[kc] = np.repeat([kr[i] for kr in key_rows], ncell)
+            yield out[[*keys, "cell", "v", "n"]]
 
     key_fields = ", ".join(f"{kc} {df.schema[kc].dataType.simpleString()}" for kc in keys)
     parts = data.mapInPandas(partial, f"{key_fields}, cell int, v double, n double")
@@ -407,7 +430,7 @@ def gram_fit(df: DataFrame, y: str, terms: Sequence[Term], keys: Sequence[str] =
 
     schema = f"{key_fields}, n double, rank int, sigma2 double, beta_raw array<double>, " \
              "coef array<double>, std_err array<double>, p_value array<double>"
-    return cells.groupBy(*keys).applyInPandas(solve, schema)
+    return _by_key(cells, keys).groupBy(*keys).applyInPandas(solve, schema)
 
 
 def predict(df: DataFrame, coefs: DataFrame, terms: Sequence[Term], keys: Sequence[str] = ("station",),
@@ -488,7 +511,7 @@ def fit_doy_curve(stats: DataFrame, df_: int, keys: Sequence[str] = ("station",)
             out[kc] = pdf[kc].iloc[0]
         return out[[*keys, doy_col, out_col]]
 
-    return stats.groupBy(*keys).applyInPandas(
+    return _by_key(stats, keys).groupBy(*keys).applyInPandas(
         solve, f"{key_fields}, {doy_col} double, {out_col} double")
 
 
@@ -548,7 +571,7 @@ def fit_doy_curves(stats: DataFrame, specs: Sequence[tuple], keys: Sequence[str]
         return out[[*keys, doy_col, *outs]]
 
     schema = f"{key_fields}, {doy_col} double, " + ", ".join(f"{o} double" for o in outs)
-    return stats.groupBy(*keys).applyInPandas(solve, schema)
+    return _by_key(stats, keys).groupBy(*keys).applyInPandas(solve, schema)
 
 
 def daily_normals(daily: DataFrame, years: tuple, keys: Sequence[str] = ("station",), dp: int | None = 2) -> DataFrame:
@@ -634,7 +657,7 @@ def cv_select_df(daily: DataFrame, metric: str, years: tuple, dfs: Sequence[int]
             out[kc] = pdf[kc].iloc[0]
         return out[[*keys, "df", "year", "day_of_year", "pred"]]
 
-    preds = st.groupBy(*keys).applyInPandas(
+    preds = _by_key(st, keys).groupBy(*keys).applyInPandas(
         folds, f"{key_fields}, df int, year int, day_of_year double, pred double")
     scored = (d.select(*keys, "year", "day_of_year", F.col(metric).alias("_y"))
               .join(preds, [*keys, "year", "day_of_year"])
