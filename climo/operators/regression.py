@@ -371,6 +371,15 @@ def _solve(xtx: np.ndarray, xty: np.ndarray, yty: float, n: float, terms: Sequen
     return tm @ beta_c, beta_c, se, p, sigma2, rank
 
 
+def _small_stats(stats: DataFrame) -> DataFrame:
+    """Cut the lineage of a small sufficient-statistics table (≤ stations ×
+    366 [× years] rows) with a reliable checkpoint in ``spark.checkpoint.dir``:
+    the knot jobs and the solve then read it instead of re-aggregating the
+    facts three times."""
+    from climo.session import cut_lineage
+    return cut_lineage(stats)
+
+
 def _by_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Hash-partition a small per-key statistics table on its keys with an
     explicit partition count before a per-key Python solve.  AQE would
@@ -593,6 +602,7 @@ def daily_normals(daily: DataFrame, years: tuple, keys: Sequence[str] = ("statio
         aggs += [F.count(v).cast("double").alias(f"n_{m}"), F.sum(v).alias(f"s_{m}")]
     aggs += [F.percentile("max_temp", [0.1, 0.9]).alias("_ph"), F.percentile("min_temp", [0.1, 0.9]).alias("_pl")]
     stats = d.groupBy(*keys, "day_of_year").agg(*aggs)
+    stats = _small_stats(stats)
     stats = stats.withColumns({
         "max_temp_p10": F.col("_ph")[0], "max_temp_p90": F.col("_ph")[1],
         "min_temp_p10": F.col("_pl")[0], "min_temp_p90": F.col("_pl")[1],
