@@ -52,3 +52,22 @@ def precipitation_normals_job(silver: DataFrame, out_dir: str, keys: Sequence[st
     ingest.write_table(normals.ytd_normals(silver, keys, n_years=n_years), paths["precip_ytd_normals"],
                        partition_by=["year_type"])
     return paths
+
+
+def hourly_ingest_job(spark: SparkSession, period_paths: Sequence[str], hourly_schema: T.StructType,
+                      sun_path: str, sun_schema: T.StructType, out_dir: str) -> str:
+    """Hourly ingest: read the period CSV files as one scan (S4), rename the
+    export columns (P2), add the day and join that day's sunrise / sunset
+    (J5), write the hourly table partitioned by year (S6)."""
+    from pyspark.sql import functions as F
+    hourly = ingest.read_multi(spark, period_paths, hourly_schema, rename=ingest.HOURLY_RENAME)
+    hourly = hourly.withColumn("timestamp", F.to_timestamp_ntz(F.col("timestamp").cast("string")))
+    sun = ingest.read_daily_csv(spark, sun_path, sun_schema, rename=ingest.SUN_TIMES_RENAME)
+    sun = sun.withColumn("day", F.to_date(F.col("day").cast("string")))
+    on = ["day"] + [c for c in ("station",) if c in hourly.columns and c in sun.columns]
+    out = (hourly.withColumn("day", F.to_date("timestamp"))
+           .join(sun, on, "left")
+           .withColumn("year", F.year("timestamp")))
+    path = os.path.join(out_dir, "hourly")
+    ingest.write_table(out, path, partition_by=["year"])
+    return path

@@ -35,3 +35,33 @@ def test_ingest_to_silver_and_normals_jobs(spark):
     t = jobs.temperature_normals_job(fx.daily_temps(spark, SF_SMALL, dense=True), (1996, 2000),
                                      os.path.join(base, "normals"))
     assert spark.read.parquet(t).count() == 366
+
+
+def test_hourly_ingest_job(spark):
+    from climo.sources import ingest
+    h = fx.hourly(spark, SF_SMALL).filter(F.col("station") == "click").orderBy("timestamp").collect()
+    base = tempfile.mkdtemp(prefix="climo-hourly-")
+    cols = list(ingest.HOURLY_RENAME.keys())
+    paths = []
+    for i, chunk in enumerate((h[: len(h) // 2], h[len(h) // 2:])):
+        p = os.path.join(base, f"period{i}.csv")
+        with open(p, "w") as f:
+            f.write(",".join(f'"{c}"' for c in cols) + "\n")
+            for r in chunk:
+                vals = [r["timestamp"].strftime("%Y-%m-%dT%H:%M"), r["temp"], r["humidity"], r["dew_point"],
+                        r["precip"], r["rain"], r["temp"], r["snow"], r["cloud_cover"], r["wind_speed"], r["pressure"]]
+                f.write(",".join("" if v is None else str(v) for v in vals) + "\n")
+        paths.append(p)
+    sun_rows = fx.sun_times(spark, SF_SMALL).filter(F.col("station") == "click").collect()
+    sun_p = os.path.join(base, "sun.csv")
+    with open(sun_p, "w") as f:
+        f.write("time,sunrise (iso8601),sunset (iso8601)\n")
+        for r in sun_rows:
+            f.write(f"{r['day'].isoformat()},{r['sunrise']},{r['sunset']}\n")
+    hs = T.StructType([T.StructField(c, T.StringType() if c == "time" else T.DoubleType()) for c in cols])
+    ss = T.StructType([T.StructField(c, T.StringType()) for c in ["time", "sunrise (iso8601)", "sunset (iso8601)"]])
+    path = jobs.hourly_ingest_job(spark, paths, hs, sun_p, ss, os.path.join(base, "out"))
+    out = spark.read.parquet(path)
+    assert out.count() == len(h)
+    assert {"temp", "humidity", "apparent_temp", "sunrise", "sunset", "day", "year"} <= set(out.columns)
+    assert out.filter(F.col("sunrise").isNull()).count() == 0
