@@ -71,3 +71,28 @@ def hourly_ingest_job(spark: SparkSession, period_paths: Sequence[str], hourly_s
     path = os.path.join(out_dir, "hourly")
     ingest.write_table(out, path, partition_by=["year"])
     return path
+
+
+def vendor_append_job(spark: SparkSession, landing_path: str, landing_schema: T.StructType, table_path: str,
+                      as_of, max_rows: int = ingest.APPEND_GUARD_ROWS, keys: Sequence[str] = ()) -> dict:
+    """Vendor daily feed: where to resume (S9, per key), read the landed CSV
+    export (S3), keep only days after the stored maximum, and append under
+    the schema / size guard (S7).  Returns the resume ranges (a DataFrame,
+    one row per key) and the number of appended rows."""
+    from pyspark.sql import functions as F
+    existing = spark.read.parquet(table_path)
+    ranges = ingest.next_range(existing, as_of, keys=keys) if keys else \
+        ingest.next_range(existing.withColumn("_all", F.lit(1)), as_of, keys=["_all"]).drop("_all")
+    new = ingest.read_vendor_csv(spark, landing_path, landing_schema)
+    new = new.select(*existing.columns)
+    if keys:
+        mx = existing.groupBy(*keys).agg(F.max("date").alias("_mx"))
+        new = new.join(mx, list(keys), "left").filter(F.col("_mx").isNull() | (F.col("date") > F.col("_mx")))
+        new = new.select(*existing.columns)
+    else:
+        mx = existing.agg(F.max("date").alias("_mx")).withColumn("_one", F.lit(1))
+        new = (new.withColumn("_one", F.lit(1)).join(F.broadcast(mx), "_one")
+               .filter(F.col("_mx").isNull() | (F.col("date") > F.col("_mx"))).select(*existing.columns))
+    ranges = ranges.checkpoint(eager=True)        # computed before the table grows
+    n = ingest.guarded_append(existing, new, table_path, max_rows)
+    return {"ranges": ranges, "appended": n}

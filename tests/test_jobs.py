@@ -65,3 +65,23 @@ def test_hourly_ingest_job(spark):
     assert out.count() == len(h)
     assert {"temp", "humidity", "apparent_temp", "sunrise", "sunset", "day", "year"} <= set(out.columns)
     assert out.filter(F.col("sunrise").isNull()).count() == 0
+
+
+def test_vendor_append_job(spark):
+    import datetime as dt
+    base = tempfile.mkdtemp(prefix="climo-vendor-job-")
+    table = os.path.join(base, "table")
+    spark.createDataFrame([(dt.date(2020, 1, 1), 1.0, 2.0), (dt.date(2020, 1, 2), 1.5, 2.5)],
+                          "date date, min_temp double, max_temp double").write.parquet(table)
+    landing = os.path.join(base, "landing")
+    os.makedirs(landing)
+    with open(os.path.join(landing, "v.csv"), "w") as f:
+        f.write("Address,Date time,Minimum Temperature,Maximum Temperature\n"
+                "x,01/02/2020,1.5,2.5\nx,01/03/2020,2.0,3.0\nx,01/04/2020,2.5,3.5\n")
+    schema = T._parse_datatype_string("Address string, `Date time` string, `Minimum Temperature` double, "
+                                      "`Maximum Temperature` double")
+    res = jobs.vendor_append_job(spark, landing, schema, table, "2020-01-10")
+    assert res["appended"] == 2
+    r = res["ranges"].first()
+    assert r["start_date"] == dt.date(2020, 1, 3) and r["days_to_update"] == 7
+    assert spark.read.parquet(table).count() == 4
