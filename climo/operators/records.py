@@ -1,10 +1,13 @@
 """Record tables (V29-V32): top-N with ties per record family, stacked into
 one long table ``(station, rank, date, metric_name, metric_value, month, record)``.
 
-Every family is ``top_n_with_ties`` over (station[, month]) groups, so no
-group is ever sorted whole in one task; the families are UNION ALL'ed.
-``date`` is a string label: a date, a year or ``'Mon YYYY'`` depending on
-the family.
+Day-level families are ranked in one pass: each row is tagged (``explode``)
+with every family it belongs to and its sort key, and a single
+``top_n_with_ties`` over (station, record) ranks them all — a
+``WindowGroupLimit`` trims each family inside every map task before the
+shuffle.  Season- and year-level families rank small per-season / per-year
+tables.  ``date`` is a string label: a date, a year or ``'Mon YYYY'``
+depending on the family.
 """
 
 from __future__ import annotations
