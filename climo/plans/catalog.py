@@ -1082,7 +1082,8 @@ def _seasonal_frame(spark, sf_dir):
 @register("seasonal_trend_model")
 def q_seasonal_trend_model(spark, sf_dir):
     """M10 + M14: avg_temp ~ 1 + total_years + cc(doy_frac, 12) per station;
-    fitted value, residual, 365-day rolling residual mean and trend effect."""
+    fitted value, its intercept / trend / seasonal components, residual and
+    the 365-row rolling residual mean (≥ 180 values)."""
     from climo.operators import regression as rg
     from climo.operators import windows
     d = _seasonal_frame(spark, sf_dir)
@@ -1168,7 +1169,8 @@ def q_hourly_effects(spark, sf_dir):
 
 @register("hourly_model_coefficients")
 def q_hourly_model_coefficients(spark, sf_dir):
-    """Per-station coefficients, standard errors and p-values (116-column design on a full year)."""
+    """Per-station coefficients, standard errors and p-values of the hourly
+    model (116 columns when all 12 months are present; one block per observed month)."""
     from climo.operators import regression as rg
     h = _hourly_model_frame(spark, sf_dir)
     return rg.gram_fit(h, "temp", _hourly_terms(h))
