@@ -135,6 +135,8 @@ m AS (SELECT s.station, s.year, s.month, coalesce(sum(precip), 0.0) AS precip, c
 SELECT station, month, avg(precip) AS norm_precip, avg(snow) AS norm_snow, avg(rain) AS norm_rain,
        avg(precip_day) AS norm_precip_perc FROM m GROUP BY 1, 2""")
 def q_precip_monthly_normals(spark, sf_dir):
+    """A5: per station and month, the mean over the trailing 30 years of monthly precipitation, snow
+    and rain totals and of the wet-day share."""
     from climo.operators import normals
     return normals.precip_monthly_normals(fx.precip_silver(spark, sf_dir))
 
@@ -153,6 +155,8 @@ u AS (SELECT * FROM mt UNION ALL SELECT * FROM yt)
 SELECT *, CAST(rank() OVER (PARTITION BY station, year_type, metric_name, month ORDER BY total ASC) AS INTEGER) AS rank
 FROM u""")
 def q_monthly_precip_rank(spark, sf_dir):
+    """V12 (A1 + A2 + W2): monthly and 12-month totals per calendar and metric, ranked (ascending)
+    within calendar × metric × month; partial last month excluded."""
     from climo.plans import views
     return views.monthly_precip_rank(fx.precip_silver(spark, sf_dir))
 
@@ -170,6 +174,7 @@ SELECT station, metric_name, month, CAST(day_of_month AS INTEGER) AS day_of_mont
        max(mtd) AS max_precip_mtd, {_pct_cols('CASE WHEN norm_range THEN mtd END', 'precip_mtd')}
 FROM c WHERE NOT is_current GROUP BY 1, 2, 3, 4""")
 def q_mtd_normals(spark, sf_dir):
+    """A9 (W7): month-to-date precipitation normals by metric, month and day of month."""
     from climo.operators import normals
     return normals.mtd_normals(fx.precip_silver(spark, sf_dir))
 
@@ -188,6 +193,8 @@ SELECT station, year_type, metric_name, day_of_year, day_of_year_dash,
             ELSE strftime(DATE '2025-01-01' + CAST(floor(day_of_year) - 1 AS INTEGER), '%b %d') END AS dashboard_date
 FROM k GROUP BY 1, 2, 3, 4, 5 HAVING day_of_year % 1 = 0""")
 def q_ytd_normals(spark, sf_dir):
+    """A10 (W8, A11, J7): year-to-date normals by calendar, metric and day index, incomplete years
+    removed."""
     from climo.operators import normals
     return normals.ytd_normals(fx.precip_silver(spark, sf_dir))
 
@@ -207,6 +214,8 @@ y AS (SELECT station, year, 'Year' AS month, metric, avg(mean) AS mean FROM m GR
 u AS (SELECT * FROM m UNION ALL SELECT * FROM y)
 SELECT *, CAST(rank() OVER (PARTITION BY station, month, metric ORDER BY mean ASC) AS INTEGER) AS rank FROM u""")
 def q_monthly_temp_rank(spark, sf_dir):
+    """V4 (A3 + A4 + W2): monthly means and 12-month mean-of-means of high / low / average, ranked
+    within month × metric."""
     from climo.plans import views
     return views.monthly_temp_rank(fx.daily_temps(spark, sf_dir))
 
@@ -239,6 +248,7 @@ SELECT station, {_YR} AS year, max(max_temp) AS max_high, first(date ORDER BY ma
        min(min_temp) AS min_low, first(date ORDER BY min_temp ASC, date) AS min_low_date
 FROM daily_temps GROUP BY 1, 2""")
 def q_yearly_extremes(spark, sf_dir):
+    """A12 (J8): per year the highest high and lowest low with the (earliest) date of each."""
     from climo.operators import aggregates as agg
     return agg.yearly_extremes(fx.daily_temps(spark, sf_dir))
 
@@ -247,6 +257,7 @@ def q_yearly_extremes(spark, sf_dir):
 SELECT station, CAST(month(date) AS INTEGER) AS month_num, max(max_temp) AS max_high, min(min_temp) AS min_low
 FROM daily_temps GROUP BY 1, 2""")
 def q_monthly_extremes(spark, sf_dir):
+    """Highest high and lowest low per calendar month."""
     from climo.operators import aggregates as agg
     return agg.monthly_extremes(fx.daily_temps(spark, sf_dir))
 
@@ -257,6 +268,7 @@ SELECT station, {_YR} AS year, CAST(count_if(max_temp >= {fx.HOT_THRESHOLD}) AS
        CAST(count_if(min_temp <= {fx.FREEZE_THRESHOLD}) AS BIGINT) AS freeze_days
 FROM daily_temps GROUP BY 1, 2""")
 def q_threshold_day_counts(spark, sf_dir):
+    """Per year the number of hot days, cold days and freeze days (fixture-scaled thresholds)."""
     from climo.operators import aggregates as agg
     return agg.threshold_day_counts(fx.daily_temps(spark, sf_dir), fx.HOT_THRESHOLD, 10000.0, fx.FREEZE_THRESHOLD)
 
@@ -265,6 +277,7 @@ def q_threshold_day_counts(spark, sf_dir):
 SELECT station, {_YR} AS year, avg(dew_point) AS dew_point, avg(cloud_cover) AS cloud_cover,
        avg(pressure) AS pressure, avg(wind_speed) AS wind_speed FROM daily_temps GROUP BY 1, 2""")
 def q_yearly_means_multi(spark, sf_dir):
+    """Yearly means of dew point, cloud cover, pressure and wind speed."""
     from climo.operators import aggregates as agg
     return agg.yearly_means_multi(fx.daily_temps(spark, sf_dir), ["dew_point", "cloud_cover", "pressure", "wind_speed"])
 
@@ -284,6 +297,8 @@ r AS (SELECT *, CASE WHEN total IS NOT NULL THEN
 mx AS (SELECT station, max(year(date)) AS maxy FROM daily_temps GROUP BY 1)
 SELECT r.* FROM r JOIN mx USING (station) WHERE r.year < mx.maxy""")
 def q_temp_year_metrics(spark, sf_dir):
+    """Yearly max, min, hot-day and frost-day counts and mean diurnal range, ranked per metric,
+    last year dropped."""
     from climo.operators import aggregates as agg
     return agg.temp_year_metrics(fx.daily_temps(spark, sf_dir), fx.HOT_THRESHOLD, fx.FREEZE_THRESHOLD)
 
@@ -294,6 +309,7 @@ SELECT station, {_YR} AS year,
   min(CASE WHEN min_temp <= {fx.FREEZE_THRESHOLD} AND {doy_sql('date')} > 200 THEN {doy_sql('date')} END) AS first_frost
 FROM daily_temps GROUP BY 1, 2""")
 def q_frost_dates(spark, sf_dir):
+    """Per year the last frost index before day 200 and the first after it."""
     from climo.operators import aggregates as agg
     return agg.frost_dates(fx.daily_temps(spark, sf_dir), fx.FREEZE_THRESHOLD)
 
@@ -371,6 +387,8 @@ def q_freeze_date_percentiles(spark, sf_dir):
 SELECT *, CAST(floor(rank() OVER (PARTITION BY station ORDER BY total_snow DESC)
               + (count(*) OVER (PARTITION BY station, total_snow) - 1) / 2.0) AS INTEGER) AS snow_rank FROM g""")
 def q_season_snow_summary(spark, sf_dir):
+    """Per Sep-start season total snow, first and last snow date, rank with average ties
+    truncated."""
     from climo.operators import aggregates as agg
     return agg.season_snow_summary(fx.precip_silver(spark, sf_dir))
 
@@ -413,6 +431,7 @@ def _hourly_long_sql(metrics) -> str:
 @register("hourly_means", with_fixtures("hourly") + _hourly_attr_sql() + f"""
 SELECT station, hour, {', '.join(f'avg({m}) AS {m}' for m in _HOURLY_METRICS)} FROM h GROUP BY 1, 2""")
 def q_hourly_means(spark, sf_dir):
+    """Mean of six hourly metrics by hour of day."""
     from climo.operators import aggregates as agg
     return agg.hourly_means(fx.hourly(spark, sf_dir), _HOURLY_METRICS)
 
@@ -420,6 +439,7 @@ def q_hourly_means(spark, sf_dir):
 @register("hourly_season_means", with_fixtures("hourly") + _hourly_attr_sql() + f"""
 SELECT station, hour, season, {', '.join(f'avg({m}) AS {m}' for m in _HOURLY_METRICS)} FROM h GROUP BY 1, 2, 3""")
 def q_hourly_season_means(spark, sf_dir):
+    """Mean of six hourly metrics by hour of day and season."""
     from climo.operators import aggregates as agg
     return agg.hourly_means(fx.hourly(spark, sf_dir), _HOURLY_METRICS, by_season=True)
 
@@ -456,6 +476,7 @@ def q_hourly_season_deviation(spark, sf_dir):
 SELECT station, day_of_year, hour, metric_name, avg(metric_value) AS metric_value,
        {_label_sql('day_of_year')} AS doy_label FROM hl GROUP BY 1, 2, 3, 4""")
 def q_hourly_heatmap(spark, sf_dir):
+    """Mean of each hourly metric by day index and hour, with the calendar label."""
     from climo.operators import aggregates as agg
     return agg.hourly_heatmap(fx.hourly(spark, sf_dir), _HM)
 
@@ -465,6 +486,7 @@ SELECT station, CAST(year(timestamp) AS INTEGER) AS year, min(temp) AS min_temp,
        coalesce(sum(precip), 0.0) AS total_precip, coalesce(sum(snow), 0.0) AS total_snow,
        avg(cloud_cover) AS cloud_cover_avg FROM hourly GROUP BY 1, 2""")
 def q_hourly_year_summary(spark, sf_dir):
+    """Per year min / max temperature, precipitation and snow totals, mean cloud cover."""
     from climo.operators import aggregates as agg
     return agg.hourly_year_summary(fx.hourly(spark, sf_dir))
 
@@ -527,6 +549,7 @@ def q_density_2d(spark, sf_dir):
 @register("grouped_avg", with_fixtures("category_measures") + """
 SELECT continent, avg(measure) AS avg_measure FROM category_measures GROUP BY 1""")
 def q_grouped_avg(spark, sf_dir):
+    """Mean of a measure per category (continent)."""
     from climo.operators import aggregates as agg
     return agg.grouped_avg(fx.category_measures(spark, sf_dir), "continent", "measure")
 
@@ -815,6 +838,8 @@ jn AS (SELECT t.*, mnl.normal FROM t JOIN mnl USING (station, month, metric_name
 SELECT station, metric_name, month, year_for_dash, 'observed' AS type, observed AS metric_value FROM jn
 UNION ALL SELECT station, metric_name, month, year_for_dash, 'normal', normal FROM jn""")
 def q_observed_vs_normal(spark, sf_dir):
+    """V13 (A1 + J4 + R1): monthly totals and the monthly normal per metric in long form (observed /
+    normal)."""
     from climo.operators import normals
     from climo.plans import views
     s = fx.precip_silver(spark, sf_dir)
