@@ -87,7 +87,7 @@ def running_totals_wide(stacked: DataFrame, partition_cols: Sequence[str], order
 
 
 def _wide_stats_then_melt(rows: DataFrame, group_cols: Sequence[str], metrics: Sequence[str], value_prefix: str,
-                          suffix: str, probs: Sequence[float]) -> DataFrame:
+                          suffix: str, probs: Sequence[float], exact: bool = True) -> DataFrame:
     """Per group and metric: mean and percentiles over normals-window years,
     min and max over all years — aggregated on the wide rows (one group per
     key, one buffer set per metric) and melted afterwards."""
@@ -96,7 +96,7 @@ def _wide_stats_then_melt(rows: DataFrame, group_cols: Sequence[str], metrics: S
         v = F.col(m)
         nv = F.when(F.col("norm_range"), v)
         aggs += [F.avg(nv).alias(f"{m}__avg"), F.min(v).alias(f"{m}__min"), F.max(v).alias(f"{m}__max"),
-                 percentiles(nv, probs).alias(f"{m}__p")]
+                 percentiles(nv, probs, exact).alias(f"{m}__p")]
     wide = rows.groupBy(*group_cols).agg(*aggs)
     stat_names = ["avg", "min", "max"] + [f"p{int(round(p * 100))}" for p in probs]
     per_metric = []
@@ -110,7 +110,7 @@ def _wide_stats_then_melt(rows: DataFrame, group_cols: Sequence[str], metrics: S
 
 def mtd_normals(silver: DataFrame, keys: Sequence[str] = ("station",), mode: str = "decade",
                 n_years: int = 30, metrics: Sequence[str] = PRECIP_METRICS,
-                probs: Sequence[float] = BAND_PERCENTILES) -> DataFrame:
+                probs: Sequence[float] = BAND_PERCENTILES, exact: bool = True) -> DataFrame:
     """Month-to-date normals by (metric, month, day of month).
 
     Mean and percentiles use only years inside the normals window; min and
@@ -121,7 +121,7 @@ def mtd_normals(silver: DataFrame, keys: Sequence[str] = ("station",), mode: str
                 .withColumn("day_of_month", F.dayofmonth("date")))
     run = running_totals_wide(cal_rows, [*keys, "year_for_dash", "month"], ["date"], metrics)
     past = run.filter(~F.col("is_current"))
-    out = _wide_stats_then_melt(past, [*keys, "month", "day_of_month"], metrics, "precip", "mtd", probs)
+    out = _wide_stats_then_melt(past, [*keys, "month", "day_of_month"], metrics, "precip", "mtd", probs, exact)
     return out.select(*keys, "metric_name", "month", "day_of_month", "avg_precip_mtd",
                       "min_precip_mtd", "max_precip_mtd",
                       *[f"p{int(round(p * 100))}_precip_mtd" for p in probs])
@@ -175,7 +175,7 @@ def incomplete_years(stacked: DataFrame, keys: Sequence[str] = ("station",)) ->
 
 def ytd_normals(silver: DataFrame, keys: Sequence[str] = ("station",), mode: str = "decade",
                 n_years: int = 30, metrics: Sequence[str] = PRECIP_METRICS,
-                probs: Sequence[float] = BAND_PERCENTILES) -> DataFrame:
+                probs: Sequence[float] = BAND_PERCENTILES, exact: bool = True) -> DataFrame:
     """A10: year-to-date normals by (calendar, metric, day index); incomplete
     years removed (A11, J7), the leap-day bucket dropped (P13) and a calendar
     label added (F3)."""
@@ -190,7 +190,7 @@ def ytd_normals(silver: DataFrame, keys: Sequence[str] = ("station",), mode: str
     kept = (run.withColumn("_first", first_index)
             .filter((F.col("_first") == 1) & ~F.col("is_current") & (F.col("day_of_year") % 1 == 0)))
     out = _wide_stats_then_melt(kept, [*keys, "year_type", "day_of_year", "day_of_year_dash"], metrics,
-                                "precip", "ytd", probs)
+                                "precip", "ytd", probs, exact)
     return out.select(*keys, "year_type", "metric_name", "day_of_year", "day_of_year_dash",
                       "avg_precip_ytd", "min_precip_ytd", "max_precip_ytd",
                       *[f"p{int(round(p * 100))}_precip_ytd" for p in probs],
