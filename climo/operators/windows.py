@@ -68,29 +68,46 @@ def state_streaks(df: DataFrame, state, keys: Sequence[str] = ("station",),
     """Gaps-and-islands over consecutive *rows* (Q19) of equal state.
 
     Adds ``streak_id`` (island number per station, 1-based) and
-    ``streak_len`` (running position inside the island, 1-based)."""
+    ``streak_len`` (running position inside the island, 1-based).
+
+    Two passes over the rows, both windows per (station, year) segment:
+    the first yields each segment's summary (rows, first / last state,
+    internal state changes, position of the last change); a window over the
+    small segment table turns those into carries (rows and islands before the
+    segment, the island still open at its start); the second pass adds the
+    carries to the segment-local running counts."""
     k = list(keys)
-    d = with_row_index(df.withColumn(state_col, state), k, order_col)
+    base = df.withColumn(state_col, state).withColumn("_seg", _segment(df, order_col))
     w = Window.partitionBy(*k, "_seg").orderBy(order_col)
-    seg = (d.groupBy(*k, "_seg")
-           .agg(F.max_by(F.col(state_col), F.col("_idx")).alias("_last_state")))
-    wseg = Window.partitionBy(*k).orderBy("_seg")
-    seg = seg.withColumn("_prev_state", F.lag("_last_state").over(wseg)).drop("_last_state")
-    d = d.join(seg, [*k, "_seg"])
-    before = F.when(F.row_number().over(w) == 1, F.col("_prev_state")).otherwise(F.lag(state_col).over(w))
-    d = d.withColumn("_chg", F.when(F.col("_idx") == 1, 1)
-                     .when(before.eqNullSafe(F.col(state_col)), 0).otherwise(1))
-    # island id = running count of changes: per-segment running sum + earlier segments' totals
-    tot = d.groupBy(*k, "_seg").agg(F.sum("_chg").alias("_t"))
-    tot = tot.withColumn("_coff", F.coalesce(
-        F.sum("_t").over(wseg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
-    d = (d.join(tot, [*k, "_seg"])
-         .withColumn("streak_id", (F.col("_coff") + F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-                     .cast("long")))
-    start = d.groupBy(*k, "streak_id").agg(F.min("_idx").alias("_start"))
-    return (d.join(start, [*k, "streak_id"])
-            .withColumn("streak_len", (F.col("_idx") - F.col("_start") + 1).cast("int"))
-            .drop("_seg", "_idx", "_prev_state", "_chg", "_coff", "_start"))
+    loc = (base.withColumn("_rn", F.row_number().over(w))
+           .withColumn("_ichg", F.when(F.col("_rn") == 1, 0)
+                       .when(F.lag(state_col).over(w).eqNullSafe(F.col(state_col)), 0).otherwise(1)))
+    seg = (loc.groupBy(*k, "_seg")
+           .agg(F.count(F.lit(1)).alias("_n"), F.min_by(F.col(state_col), F.col("_rn")).alias("_first"),
+                F.max_by(F.col(state_col), F.col("_rn")).alias("_last"), F.sum("_ichg").alias("_nchg"),
+                F.max(F.when(F.col("_ichg") == 1, F.col("_rn"))).alias("_lastchg")))
+    ws = Window.partitionBy(*k).orderBy("_seg")
+    before = ws.rowsBetween(Window.unboundedPreceding, -1)
+    seg = seg.withColumns({
+        "_off": F.coalesce(F.sum("_n").over(before), F.lit(0)),
+        "_bchg": F.when(F.lag("_seg").over(ws).isNull(), 1)
+                  .when(F.lag("_last").over(ws).eqNullSafe(F.col("_first")), 0).otherwise(1)})
+    seg = seg.withColumns({
+        "_coff": F.coalesce(F.sum(F.col("_bchg") + F.col("_nchg")).over(before), F.lit(0)),
+        "_own_open": F.when(F.col("_nchg") > 0, F.col("_off") + F.col("_lastchg"))
+                      .when(F.col("_bchg") == 1, F.col("_off") + 1)})
+    seg = seg.withColumn("_carry_open", F.last("_own_open", ignorenulls=True).over(before))
+    carries = seg.select(*k, "_seg", "_off", "_bchg", "_coff", "_carry_open")
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = loc.join(carries, [*k, "_seg"])
+    last_chg = F.max(F.when(F.col("_ichg") == 1, F.col("_rn"))).over(run)
+    start = (F.when(last_chg.isNotNull(), F.col("_off") + last_chg)
+             .when(F.col("_bchg") == 1, F.col("_off") + 1).otherwise(F.col("_carry_open")))
+    out = out.withColumns({
+        "streak_id": (F.col("_coff") + F.col("_bchg") + F.sum("_ichg").over(run)).cast("long"),
+        "_start": start})
+    return (out.withColumn("streak_len", (F.col("_off") + F.col("_rn") - F.col("_start") + 1).cast("int"))
+            .drop("_seg", "_rn", "_ichg", "_off", "_bchg", "_coff", "_carry_open", "_start"))
 
 
 def streak_summary(streaks: DataFrame, keys: Sequence[str] = ("station",), state_col: str = "state",
