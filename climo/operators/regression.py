@@ -688,21 +688,27 @@ def _slope_p(slope: pd.Series, se: pd.Series, dof: pd.Series) -> pd.Series:
 
 def linear_trend(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), with_p: bool = True) -> DataFrame:
     """M8: slope, intercept, r² of y on (x − min x) per group, slope per decade
-    and (optionally) the slope's two-sided p-value.  Everything except the
-    p-value is a single Spark aggregate (``regr_*``)."""
-    from climo.operators import reshape
+    and (optionally) the slope's two-sided p-value.
+
+    One aggregate, one reference to the input: slope and r² do not depend on
+    the shift of x, and the intercept at x₀ = min x (over all rows of the
+    group) is ``avg(y) − slope · (avg(x) − x₀)`` with the means over the
+    non-NULL pairs (no cancellation: avg(x) − x₀ is small)."""
     keys = list(keys)
-    d = reshape.attach_scalars(df, reshape.per_key_scalars(df, keys, _x0=F.min(x)), keys)
-    t = (F.col(x) - F.col("_x0")).cast("double")
-    yy = F.col(y).cast("double")
-    g = d.groupBy(*keys) if keys else d.groupBy()
-    res = g.agg(F.regr_slope(yy, t).alias("slope"), F.regr_intercept(yy, t).alias("intercept"),
-                F.regr_r2(yy, t).alias("r2"), F.regr_count(yy, t).alias("n"),
-                F.regr_sxx(yy, t).alias("_sxx"), F.regr_syy(yy, t).alias("_syy"))
-    res = res.withColumn("slope_per_decade", F.col("slope") * 10)
+    xx, yy = F.col(x).cast("double"), F.col(y).cast("double")
+    both = xx.isNotNull() & yy.isNotNull()
+    g = df.groupBy(*keys) if keys else df.groupBy()
+    res = g.agg(F.regr_slope(yy, xx).alias("slope"), F.regr_r2(yy, xx).alias("r2"),
+                F.regr_count(yy, xx).alias("n"), F.regr_sxx(yy, xx).alias("_sxx"), F.regr_syy(yy, xx).alias("_syy"),
+                F.avg(F.when(both, yy)).alias("_my"), F.avg(F.when(both, xx)).alias("_mx"),
+                F.min(xx).alias("_x0"))
+    res = res.withColumns({
+        "intercept": F.col("_my") - F.col("slope") * (F.col("_mx") - F.col("_x0")),
+        "slope_per_decade": F.col("slope") * 10})
     if with_p:
         sse = F.col("_syy") * (1 - F.coalesce(F.col("r2"), F.lit(1.0)))
         se = F.sqrt(F.try_divide(F.try_divide(sse, (F.col("n") - 2).cast("double")), F.col("_sxx")))
         p = _slope_p(F.coalesce(F.col("slope"), F.lit(0.0)), F.coalesce(se, F.lit(0.0)), F.col("n") - 2)
         res = res.withColumn("p_value", F.when((F.col("n") > 2) & se.isNotNull() & (se > 0), p))
-    return res.drop("_sxx", "_syy")
+    return res.select(*keys, "slope", "intercept", "r2", "n", "slope_per_decade",
+                      *(["p_value"] if with_p else []))
