@@ -1181,15 +1181,18 @@ def q_hourly_model_decomposition(spark, sf_dir):
 @register("hourly_effects")
 def q_hourly_effects(spark, sf_dir):
     """Mean hourly component by month × hour; hottest and coldest hour per month."""
-    from climo.operators import windows
     d = q_hourly_model_decomposition(spark, sf_dir)
     eff = (d.withColumn("hour", F.hour("timestamp"))
            .groupBy("station", "month", "hour").agg(F.avg("hourly_seasonality").alias("hourly_seasonality")))
-    hot = windows.argmax_row(eff, ["station", "month"], "hourly_seasonality", ["hour", "hourly_seasonality"],
-                             largest=True, tie_col="hour").withColumn("kind", F.lit("hottest"))
-    cold = windows.argmax_row(eff, ["station", "month"], "hourly_seasonality", ["hour", "hourly_seasonality"],
-                              largest=False, tie_col="hour").withColumn("kind", F.lit("coldest"))
-    return hot.unionByName(cold)
+    # hottest and coldest hour from one aggregate (W15 twice), earliest hour on ties
+    row = F.struct("hour", "hourly_seasonality")
+    picked = (eff.groupBy("station", "month")
+              .agg(F.max_by(row, F.struct(F.col("hourly_seasonality"), F.negative("hour"))).alias("hottest"),
+                   F.min_by(row, F.struct(F.col("hourly_seasonality"), F.col("hour"))).alias("coldest")))
+    both = F.array(F.struct(F.lit("hottest").alias("kind"), F.col("hottest").alias("r")),
+                   F.struct(F.lit("coldest").alias("kind"), F.col("coldest").alias("r")))
+    return (picked.select("station", "month", F.explode(both).alias("_e"))
+            .select("station", "month", "_e.r.hour", "_e.r.hourly_seasonality", "_e.kind"))
 
 
 @register("hourly_model_coefficients")
