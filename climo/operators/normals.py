@@ -116,8 +116,7 @@ def mtd_normals(silver: DataFrame, keys: Sequence[str] = ("station",), mode: str
     Mean and percentiles use only years inside the normals window; min and
     max use every past year (Q10).  The current year is excluded.
     """
-    stacked = reshape.stack_calendars(silver, keys, mode=mode, n_years=n_years)
-    cal_rows = (stacked.filter(F.col("year_type") == "calendar_year")
+    cal_rows = (reshape.stack_calendars(silver, keys, mode=mode, n_years=n_years, year_types=["calendar_year"])
                 .withColumn("day_of_month", F.dayofmonth("date")))
     run = running_totals_wide(cal_rows, [*keys, "year_for_dash", "month"], ["date"], metrics)
     past = run.filter(~F.col("is_current"))
@@ -132,11 +131,12 @@ LONG_IDS = ["date", "month", "day_of_year", "year_type", "year_num", "year_for_d
 
 
 def precip_stacked(silver: DataFrame, keys: Sequence[str] = ("station",), mode: str = "decade",
-                   n_years: int = 30, complete_months_only: bool = False) -> DataFrame:
+                   n_years: int = 30, complete_months_only: bool = False,
+                   year_types: Sequence[str] = cal.YEAR_TYPES) -> DataFrame:
     """Silver rows stacked by calendar (wide: one column per metric).
 
     ``complete_months_only`` drops each station's partial last month (P8)."""
-    stacked = reshape.stack_calendars(silver, keys, mode=mode, n_years=n_years)
+    stacked = reshape.stack_calendars(silver, keys, mode=mode, n_years=n_years, year_types=year_types)
     if complete_months_only:
         stacked = reshape.exclude_partial_month(stacked, keys)
     return stacked
@@ -156,9 +156,8 @@ def monthly_totals_long(silver: DataFrame, keys: Sequence[str] = ("station",), m
                         year_types: Sequence[str] | None = None) -> DataFrame:
     """A1 aggregated wide (one sum per metric over the stacked rows), then
     melted: (keys, year_type, metric_name, year_for_dash, month, total)."""
-    st = precip_stacked(silver, keys, mode, n_years, complete_months_only)
-    if year_types is not None:
-        st = st.filter(F.col("year_type").isin(list(year_types)))
+    st = precip_stacked(silver, keys, mode, n_years, complete_months_only,
+                        year_types=list(year_types) if year_types is not None else cal.YEAR_TYPES)
     wide = (st.groupBy(*keys, "year_type", "year_for_dash", "month")
             .agg(*[_sum0(_metric_double(m)).alias(m) for m in metrics]))
     return reshape.unpivot_metrics(wide, [*keys, "year_type", "year_for_dash", "month"], metrics,

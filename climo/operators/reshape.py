@@ -74,9 +74,11 @@ def normal_ranges(mode: str, n_years: int = 30):
 
 
 def stack_calendars(df: DataFrame, keys: Sequence[str] = ("station",), date_col: str = "date",
-                    mode: str = "decade", n_years: int = 30) -> DataFrame:
+                    mode: str = "decade", n_years: int = 30,
+                    year_types: Sequence[str] = cal.YEAR_TYPES) -> DataFrame:
     """Each daily row once per calendar (calendar year, water year, snow
-    season) in a single scan (``explode`` of an array of structs).
+    season — or the subset in ``year_types``) in a single scan (``explode``
+    of an array of structs).
 
     Adds ``year_type``, ``year_num`` (calendar year / water year / season
     start), ``year_for_dash`` (label), ``current_year`` (label of the key's
@@ -98,12 +100,17 @@ def stack_calendars(df: DataFrame, keys: Sequence[str] = ("station",), date_col:
                         num.between(lo, hi).alias("norm_range"),
                         cal.doy_index(d, yt).alias("day_of_year_dash"))
 
-    arr = F.array(
-        entry("calendar_year", F.col("_y"), F.col("_y").cast("string"), F.col("_cy").cast("string"), F.col("_cy")),
-        entry("water_year", F.col("_wy"), F.col("_wy").cast("string"), F.col("_cwy").cast("string"), F.col("_cwy")),
-        entry("snow_season", F.col("_ss"), cal.season_label(F.col("_ss")), cal.season_label(F.col("_css")),
-              F.col("_css")),
-    )
+    entries = {
+        "calendar_year": lambda: entry("calendar_year", F.col("_y"), F.col("_y").cast("string"),
+                                       F.col("_cy").cast("string"), F.col("_cy")),
+        "water_year": lambda: entry("water_year", F.col("_wy"), F.col("_wy").cast("string"),
+                                    F.col("_cwy").cast("string"), F.col("_cwy")),
+        "snow_season": lambda: entry("snow_season", F.col("_ss"), cal.season_label(F.col("_ss")),
+                                     cal.season_label(F.col("_css")), F.col("_css")),
+    }
+    # only the requested calendars are generated (a filter after the explode
+    # cannot prune array elements)
+    arr = F.array(*[entries[yt]() for yt in year_types])
     return (base.withColumn("_cal", F.explode(arr))
             .select(*[c for c in df.columns], "key_max_date", "_cal.*"))
 

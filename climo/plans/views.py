@@ -237,7 +237,7 @@ def ytd_view(silver: DataFrame, year_type: str, metric: str, keys: Sequence[str]
              mode: str = "trailing") -> DataFrame:
     """Year-to-date running totals of one metric in one calendar for
     every year, flagged current / other, with the calendar label."""
-    st = normals.precip_stacked(silver, keys, mode).filter(F.col("year_type") == year_type)
+    st = normals.precip_stacked(silver, keys, mode, year_types=[year_type])
     run = normals.running_totals_wide(st, [*keys, "year_for_dash"], ["day_of_year_dash", "date"], [metric])
     return run.select(*keys, "date", "year_for_dash", "is_current", "day_of_year_dash",
                       F.col(metric).alias("year_to_date"), F.date_format("date", "MMM dd").alias("dashboard_date"))
@@ -247,7 +247,7 @@ def mtd_view(silver: DataFrame, metric: str, keys: Sequence[str] = ("station",),
     """The current (latest) month's running total of one metric per
     station next to the month-to-date normals of that month (NULL bands
     dropped)."""
-    st = (normals.precip_stacked(silver, keys, mode).filter(F.col("year_type") == "calendar_year")
+    st = (normals.precip_stacked(silver, keys, mode, year_types=["calendar_year"])
           .withColumn("day_of_month", F.dayofmonth("date")))
     cur = st.filter(F.col("is_current") & (F.trunc("date", "MM") == F.trunc("key_max_date", "MM")))
     run = normals.running_totals_wide(cur, [*keys, "month"], ["date"], [metric])
