@@ -657,7 +657,8 @@ def q_monthly_precip_records(spark, sf_dir):
     """Rainiest / snowiest / driest months, snowiest and least snowy seasons, rainiest years."""
     from climo.operators import records
     from climo.plans import views
-    return records.monthly_precip_records(views.monthly_precip_rank(fx.precip_silver(spark, sf_dir)), _N)
+    pr = views.monthly_precip_rank(fx.precip_silver(spark, sf_dir), year_types=["calendar_year", "snow_season"])
+    return records.monthly_precip_records(pr, _N)
 
 
 @register("records_page_hottest_day", "WITH rec AS (" + _TEMP_RECORDS_SQL + """),

@@ -14,10 +14,11 @@ from climo.operators import normals, ranks, reshape
 
 
 def monthly_precip_rank(silver: DataFrame, keys: Sequence[str] = ("station",),
-                        ascending: bool = True, n_years: int = 30) -> DataFrame:
+                        ascending: bool = True, n_years: int = 30,
+                        year_types: Sequence[str] = cal.YEAR_TYPES) -> DataFrame:
     """Monthly and yearly (12-month) totals per calendar, ranked within
     (calendar, metric, month) — partial last month excluded."""
-    monthly = normals.monthly_totals_long(silver, keys, mode="trailing", n_years=n_years)
+    monthly = normals.monthly_totals_long(silver, keys, mode="trailing", n_years=n_years, year_types=year_types)
     both = agg.with_year_rows(monthly, keys, ["year_type", "metric_name", "year_for_dash"], "total", "sum")
     return ranks.rank_over(both, [*keys, "year_type", "metric_name", "month"], "total", ascending, "rank")
 
@@ -165,8 +166,7 @@ def yearly_trend_table(daily: DataFrame, silver: DataFrame, hot: float, freeze:
     mm = monthly_temp_rank(daily, keys).filter(F.col("month") == cal.YEAR_LABEL)
     a = mm.select(*k, F.col("metric").alias("metric_name"), F.col("year").cast("int").alias("year"),
                   F.col("mean").alias("total"), "rank")
-    pr = monthly_precip_rank(silver, keys).filter((F.col("month") == cal.YEAR_LABEL)
-                                                  & (F.col("year_type") == "water_year"))
+    pr = monthly_precip_rank(silver, keys, year_types=["water_year"]).filter(F.col("month") == cal.YEAR_LABEL)
     b = pr.select(*k, "metric_name", F.col("year_for_dash").cast("int").alias("year"), "total", "rank")
     c = agg.temp_year_metrics(daily, hot, freeze, keys).select(*k, "metric_name", "year", "total", "rank")
     ym = agg.yearly_means_multi(daily, list(extra_metrics), keys)
