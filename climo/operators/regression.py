@@ -241,6 +241,20 @@ def fit_knots(df: DataFrame, terms: Sequence[Term]) -> list[Term]:
     return list(terms)
 
 
+def knots_from_values(values, df_: int, lower: float | None = None, upper: float | None = None,
+                      center: bool = True, cyclic: bool = True) -> np.ndarray:
+    """Knots from in-memory values (one station's distinct day indexes):
+    bounds plus the quantiles of the distinct values inside the bounds, as
+    ``fit_knots`` does on Spark."""
+    v = np.unique(np.asarray(values, dtype=float))
+    lo = float(v.min()) if lower is None else lower
+    hi = float(v.max()) if upper is None else upper
+    n_inner = df_ - 2 + (1 if center else 0) + (1 if cyclic else 0)
+    inside = v[(v >= lo) & (v <= hi)]
+    inner = np.percentile(inside, np.linspace(0, 100, n_inner + 2)[1:-1]) if n_inner > 0 else []
+    return np.unique(np.concatenate([[lo, hi], np.asarray(inner, dtype=float)]))
+
+
 def design(pdf: pd.DataFrame, terms: Sequence[Term]) -> np.ndarray:
     return np.concatenate([t.raw(pdf) for t in terms], axis=1)
 
@@ -371,15 +385,6 @@ def _solve(xtx: np.ndarray, xty: np.ndarray, yty: float, n: float, terms: Sequen
     return tm @ beta_c, beta_c, se, p, sigma2, rank
 
 
-def _small_stats(stats: DataFrame) -> DataFrame:
-    """Cut the lineage of a small sufficient-statistics table (≤ stations ×
-    366 [× years] rows) with a reliable checkpoint in ``spark.checkpoint.dir``:
-    the knot jobs and the solve then read it instead of re-aggregating the
-    facts three times."""
-    from climo.session import cut_lineage
-    return cut_lineage(stats)
-
-
 def _by_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Hash-partition a small per-key statistics table on its keys with an
     explicit partition count before a per-key Python solve.  AQE would
@@ -500,12 +505,13 @@ def fit_doy_curve(stats: DataFrame, df_: int, keys: Sequence[str] = ("station",)
                   grid: np.ndarray | None = None) -> DataFrame:
     """M4: cyclic-spline curve per station fitted by (weighted) least squares
     on day-of-year sufficient statistics; returns (keys, doy, fitted) at the
-    observed day indexes, or at every point of ``grid`` (e.g. all 366)."""
+    observed day indexes, or at every point of ``grid`` (e.g. all 366).
+    Knots come from the station's own day indexes unless ``knots`` is given."""
     keys = list(keys)
-    kn = knots if knots is not None else doy_knots(stats, df_, doy_col, upper)
     key_fields = ", ".join(f"{kc} {stats.schema[kc].dataType.simpleString()}" for kc in keys)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        kn = knots if knots is not None else knots_from_values(pdf[doy_col], df_, upper=upper)
         x = spline_basis(pdf[doy_col].to_numpy(dtype=float), kn, True)
         w = pdf["n"].to_numpy(dtype=float)
         xtx = (x * w[:, None]).T @ x
@@ -553,15 +559,12 @@ def fit_doy_curves(stats: DataFrame, specs: Sequence[tuple], keys: Sequence[str]
     """Several day-of-year curves per station in one ``applyInPandas``.
 
     ``stats`` holds, per (keys, doy), a weight column and a sum column per
-    curve; ``specs`` = [(weight_col, sum_col, df, out_col)].  Knots for all
-    dfs come from one aggregate; each station's ≤ 366 rows are solved for
-    every curve in the same Python call.  Output (keys, doy, out_cols…) on
+    curve; ``specs`` = [(weight_col, sum_col, df, out_col)].  Each station's
+    ≤ 366 rows are solved for every curve in the same Python call, with knots
+    from that station's own day indexes (as a single-station fit would).  Output (keys, doy, out_cols…) on
     ``grid`` (all 366 day indexes by default)."""
     keys = list(keys)
     grid = DOY_GRID if grid is None else grid
-    dfs = sorted({sp[2] for sp in specs})
-    fitted = fit_knots(stats, [cc(doy_col, d_, upper=upper) for d_ in dfs])
-    knots = {d_: t.knots for d_, t in zip(dfs, fitted)}
     key_fields = ", ".join(f"{kc} {stats.schema[kc].dataType.simpleString()}" for kc in keys)
     outs = [sp[3] for sp in specs]
 
@@ -572,11 +575,12 @@ def fit_doy_curves(stats: DataFrame, specs: Sequence[tuple], keys: Sequence[str]
             out[kc] = pdf[kc].iloc[0]
         for wcol, scol, d_, ocol in specs:
             ok = pdf[wcol].to_numpy(dtype=float) > 0
-            x = spline_basis(x_doy[ok], knots[d_], True)
+            kn = knots_from_values(x_doy[ok], d_, upper=upper)      # this station's day indexes
+            x = spline_basis(x_doy[ok], kn, True)
             w = pdf[wcol].to_numpy(dtype=float)[ok]
             beta, *_ = np.linalg.lstsq((x * w[:, None]).T @ x, x.T @ pdf[scol].to_numpy(dtype=float)[ok],
                                        rcond=None)
-            out[ocol] = spline_basis(grid, knots[d_], True) @ beta
+            out[ocol] = spline_basis(grid, kn, True) @ beta
         return out[[*keys, doy_col, *outs]]
 
     schema = f"{key_fields}, {doy_col} double, " + ", ".join(f"{o} double" for o in outs)
@@ -602,7 +606,6 @@ def daily_normals(daily: DataFrame, years: tuple, keys: Sequence[str] = ("statio
         aggs += [F.count(v).cast("double").alias(f"n_{m}"), F.sum(v).alias(f"s_{m}")]
     aggs += [F.percentile("max_temp", [0.1, 0.9]).alias("_ph"), F.percentile("min_temp", [0.1, 0.9]).alias("_pl")]
     stats = d.groupBy(*keys, "day_of_year").agg(*aggs)
-    stats = _small_stats(stats)
     stats = stats.withColumns({
         "max_temp_p10": F.col("_ph")[0], "max_temp_p90": F.col("_ph")[1],
         "min_temp_p10": F.col("_pl")[0], "min_temp_p90": F.col("_pl")[1],
@@ -637,15 +640,13 @@ def cv_select_df(daily: DataFrame, metric: str, years: tuple, dfs: Sequence[int]
          .withColumns({"day_of_year": cal.doy_index("date"), "year": F.year("date")})
          .filter(F.col(metric).isNotNull()))
     st = doy_stats(d, metric, keys, extra=["year"])
-    fitted = fit_knots(st, [cc("day_of_year", k_, upper=366.0) for k_ in dfs])
-    knots = {k_: t.knots for k_, t in zip(dfs, fitted)}
     key_fields = ", ".join(f"{kc} {st.schema[kc].dataType.simpleString()}" for kc in keys)
 
     def folds(pdf: pd.DataFrame) -> pd.DataFrame:
         res = []
         doys = np.sort(pdf["day_of_year"].unique())
         for k_ in dfs:
-            xb = spline_basis(doys, knots[k_], True)
+            xb = spline_basis(doys, knots_from_values(doys, k_, upper=366.0), True)
             idx = {v: i for i, v in enumerate(doys)}
             rows = pdf["day_of_year"].map(idx).to_numpy()
             xr = xb[rows]
