@@ -4,8 +4,9 @@ The reference refreshes its raw table by pulling a service payload and
 merging it into the stored table (S2 + S10).  As a stream, each micro-batch
 of landing files is coerced exactly like ``read_json_landing`` and merged with
 ``upsert_coalesce`` into a new version of the table.  Versions are written as
-``<table_dir>/v=<epoch>`` folders (never overwriting the folder being read);
-readers take the highest version (partition pruning reads only that one).
+``<table_dir>/v=<epoch>`` folders (never overwriting the folder being read),
+then a one-row ``_latest`` marker names the committed version; readers read
+only that folder.
 The stream's own progress lives in its checkpoint location, so a restarted
 query resumes after the last committed batch, and a batch re-run after a
 failure rewrites the same version folder (idempotent per epoch).
@@ -26,19 +27,28 @@ from climo.sources.ingest import DAILY_SUMMARY_RENAME, upsert_coalesce
 VERSION_COL = "v"
 
 
+MARKER_DIR = "_latest"
+
+
 def latest_version(spark: SparkSession, table_dir: str) -> int | None:
+    """The committed version, from the one-row marker written after each
+    version (cheap however many versions exist); falls back to the largest
+    version folder when there is no marker."""
+    try:
+        return spark.read.parquet(os.path.join(table_dir, MARKER_DIR)).first()[VERSION_COL]
+    except Exception:  # noqa: BLE001 - no marker yet
+        pass
     try:
-        row = spark.read.parquet(table_dir).agg(F.max(VERSION_COL)).first()
+        return spark.read.parquet(os.path.join(table_dir, f"{VERSION_COL}=*")).agg(F.max(VERSION_COL)).first()[0]
     except Exception:  # noqa: BLE001 - no table yet
         return None
-    return row[0]
 
 
 def read_current(spark: SparkSession, table_dir: str) -> DataFrame | None:
     v = latest_version(spark, table_dir)
     if v is None:
         return None
-    return spark.read.parquet(table_dir).filter(F.col(VERSION_COL) == v).drop(VERSION_COL)
+    return spark.read.parquet(os.path.join(table_dir, f"{VERSION_COL}={int(v)}"))
 
 
 def coerce_landing(df: DataFrame, rename: dict | None = DAILY_SUMMARY_RENAME,
@@ -76,8 +86,11 @@ def start_landing_upsert(spark: SparkSession, landing_dir: str, schema: T.Struct
             merged = batch
         else:
             merged = upsert_coalesce(current, batch, keys)
-        (merged.withColumn(VERSION_COL, F.lit(int(epoch_id) + 1))
-         .write.mode("overwrite").parquet(os.path.join(table_dir, f"{VERSION_COL}={int(epoch_id) + 1}")))
+        version = int(epoch_id) + 1
+        merged.write.mode("overwrite").parquet(os.path.join(table_dir, f"{VERSION_COL}={version}"))
+        # commit point: the marker names the new version (rewritten if the batch is retried)
+        (batch.sparkSession.range(1).select(F.lit(version).alias(VERSION_COL))
+         .write.mode("overwrite").parquet(os.path.join(table_dir, MARKER_DIR)))
 
     w = stream.writeStream.foreachBatch(merge).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
