@@ -44,8 +44,16 @@ def latest_version(spark: SparkSession, table_dir: str) -> int | None:
         return None
 
 
-def read_current(spark: SparkSession, table_dir: str) -> DataFrame | None:
+def read_current(spark: SparkSession, table_dir: str, below: int | None = None) -> DataFrame | None:
+    """The committed table; with ``below``, the newest version older than it
+    (a retried batch must not read the folder it is about to rewrite)."""
     v = latest_version(spark, table_dir)
+    if v is not None and below is not None and v >= below:
+        try:
+            v = (spark.read.parquet(os.path.join(table_dir, f"{VERSION_COL}=*"))
+                 .filter(F.col(VERSION_COL) < below).agg(F.max(VERSION_COL)).first()[0])
+        except Exception:  # noqa: BLE001
+            v = None
     if v is None:
         return None
     return spark.read.parquet(os.path.join(table_dir, f"{VERSION_COL}={int(v)}"))
@@ -81,12 +89,9 @@ def start_landing_upsert(spark: SparkSession, landing_dir: str, schema: T.Struct
     def merge(batch: DataFrame, epoch_id: int) -> None:
         if batch.isEmpty():
             return
-        current = read_current(batch.sparkSession, table_dir)
-        if current is None:
-            merged = batch
-        else:
-            merged = upsert_coalesce(current, batch, keys)
         version = int(epoch_id) + 1
+        current = read_current(batch.sparkSession, table_dir, below=version)
+        merged = batch if current is None else upsert_coalesce(current, batch, keys)
         merged.write.mode("overwrite").parquet(os.path.join(table_dir, f"{VERSION_COL}={version}"))
         # commit point: the marker names the new version (rewritten if the batch is retried)
         (batch.sparkSession.range(1).select(F.lit(version).alias(VERSION_COL))
