@@ -39,7 +39,7 @@ def latest_version(spark: SparkSession, table_dir: str) -> int | None:
     except Exception:  # noqa: BLE001 - no marker yet
         pass
     try:
-        return spark.read.parquet(os.path.join(table_dir, f"{VERSION_COL}=*")).agg(F.max(VERSION_COL)).first()[0]
+        return spark.read.option("basePath", table_dir).parquet(os.path.join(table_dir, f"{VERSION_COL}=*")).agg(F.max(VERSION_COL)).first()[0]
     except Exception:  # noqa: BLE001 - no table yet
         return None
 
@@ -50,7 +50,7 @@ def read_current(spark: SparkSession, table_dir: str, below: int | None = None)
     v = latest_version(spark, table_dir)
     if v is not None and below is not None and v >= below:
         try:
-            v = (spark.read.parquet(os.path.join(table_dir, f"{VERSION_COL}=*"))
+            v = (spark.read.option("basePath", table_dir).parquet(os.path.join(table_dir, f"{VERSION_COL}=*"))
                  .filter(F.col(VERSION_COL) < below).agg(F.max(VERSION_COL)).first()[0])
         except Exception:  # noqa: BLE001
             v = None
