@@ -41,3 +41,23 @@ def test_filter_pushed_to_scan(spark):
     import os
     o = spark.read.parquet(os.path.join(SF_SMALL, "orders.parquet")).filter("o_totalprice > 1000")
     assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,1000.0)]" in _plan(o)
+
+
+def test_normals_join_is_broadcast_at_run_time(spark):
+    import __spark_entry__ as E
+    df = E.queries()["departure_month_mean"](spark, SF_SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+
+
+def test_no_single_partition_window_over_facts(spark):
+    import __spark_entry__ as E
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in ["dry_gaps", "precip_streaks", "rolling_mean_365", "temp_records", "daily_precip_records",
+                     "doy_record_highs", "ytd_normals", "mtd_normals"]:
+            plan = _plan(E.queries()[name](spark, SF_SMALL))
+            assert "SinglePartition" not in plan, name
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
