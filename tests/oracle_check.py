@@ -103,7 +103,11 @@ def main():
     names = sys.argv[2:]
     import __spark_entry__ as E
     from climo.session import get_spark
-    spark = get_spark("local[8]", shuffle_partitions=8)
+    if os.environ.get("PLAIN_SESSION"):
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+    else:
+        spark = get_spark("local[8]", shuffle_partitions=8)
     qs, sqls = E.queries(), E.oracle_sql()
     con = duck_con(sf_dir)
     bad = 0
