@@ -133,3 +133,13 @@ def test_segmented_windows_match_plain_windows(spark):
     b = {(r["station"], r["date"]): (r["streak_id"], r["streak_len"]) for r in st.collect()}
     assert a == b
 
+
+
+def test_fill_daily_spine(spark):
+    df = spark.createDataFrame([("a", _d("2000-02-27"), 1.0), ("a", _d("2000-03-02"), 2.0), ("b", _d("2000-01-01"), 3.0)],
+                               "station string, date date, precip double")
+    out = reshape.fill_daily_spine(df, fill={"precip": 0.0}).orderBy("station", "date").collect()
+    a = [(r["date"], r["precip"]) for r in out if r["station"] == "a"]
+    assert [d for d, _ in a] == [_d("2000-02-27"), _d("2000-02-28"), _d("2000-02-29"), _d("2000-03-01"), _d("2000-03-02")]
+    assert [p for _, p in a] == [1.0, 0.0, 0.0, 0.0, 2.0]
+    assert [(r["date"], r["precip"]) for r in out if r["station"] == "b"] == [(_d("2000-01-01"), 3.0)]
