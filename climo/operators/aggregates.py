@@ -226,12 +226,6 @@ def hourly_attributes(hourly: DataFrame) -> DataFrame:
         "season": cal.season_of_month(F.month(t))})
 
 
-def hourly_long(hourly: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("station",)) -> DataFrame:
-    h = hourly_attributes(hourly)
-    return reshape.unpivot_metrics(h, [*keys, "timestamp", "month", "month_num", "hour", "year",
-                                       "day_of_year", "season"], metrics)
-
-
 def hourly_means(hourly: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("station",),
                  by_season: bool = False) -> DataFrame:
     """Mean of each metric by hour (and season)."""
@@ -240,12 +234,19 @@ def hourly_means(hourly: DataFrame, metrics: Sequence[str], keys: Sequence[str]
     return h.groupBy(*by).agg(*[F.avg(m).alias(m) for m in metrics])
 
 
+def _hourly_means_long(hourly: DataFrame, metrics: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Mean of every metric per group, aggregated on the wide rows and melted
+    afterwards (7× fewer rows through the shuffle than melting first; ``avg``
+    skips NULLs per metric either way)."""
+    h = hourly_attributes(hourly)
+    wide = h.groupBy(*by).agg(*[F.avg(F.col(m).cast("double")).alias(m) for m in metrics])
+    return reshape.unpivot_metrics(wide, list(by), metrics, "metric_name", "metric_value")
+
+
 def hourly_cascade(hourly: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("station",)):
     """(month, year) means → mean over years per month → mean over
     months per season (unweighted means of means).  Returns the three frames."""
-    long = hourly_long(hourly, metrics, keys)
-    month_year = (long.groupBy(*keys, "year", "month", "month_num", "hour", "metric_name")
-                  .agg(F.avg("metric_value").alias("metric_value")))
+    month_year = _hourly_means_long(hourly, metrics, [*keys, "year", "month", "month_num", "hour"])
     month = (month_year.groupBy(*keys, "month", "month_num", "hour", "metric_name")
              .agg(F.avg("metric_value").alias("metric_value"))
              .withColumn("season", cal.season_of_month(F.col("month_num"))))
@@ -256,9 +257,7 @@ def hourly_cascade(hourly: DataFrame, metrics: Sequence[str], keys: Sequence[str
 
 def hourly_heatmap(hourly: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("station",)) -> DataFrame:
     """Mean by (day of year, hour, metric) with the calendar label."""
-    long = hourly_long(hourly, metrics, keys)
-    return (long.groupBy(*keys, "day_of_year", "hour", "metric_name")
-            .agg(F.avg("metric_value").alias("metric_value"))
+    return (_hourly_means_long(hourly, metrics, [*keys, "day_of_year", "hour"])
             .withColumn("doy_label", cal.doy_label("day_of_year")))
 
 
