@@ -61,11 +61,11 @@ def with_year_rows(monthly: DataFrame, keys: Sequence[str], by: Sequence[str], v
 
 
 def monthly_means(daily: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("station",)) -> DataFrame:
-    """A3: mean of each metric per (year, month), long form (metric, mean)."""
-    long = reshape.unpivot_metrics(
-        daily.withColumns({"year": F.year("date"), "month": cal.month_label("date")}),
-        [*keys, "year", "month"], metrics, "metric", "temp")
-    return long.groupBy(*keys, "year", "month", "metric").agg(F.avg("temp").alias("mean"))
+    """A3: mean of each metric per (year, month), long form (metric, mean);
+    aggregated on the wide rows, melted afterwards."""
+    wide = (daily.groupBy(*keys, F.year("date").alias("year"), cal.month_label("date").alias("month"))
+            .agg(*[F.avg(F.col(m).cast("double")).alias(m) for m in metrics]))
+    return reshape.unpivot_metrics(wide, [*keys, "year", "month"], metrics, "metric", "mean")
 
 
 def yearly_means(monthly: DataFrame, keys: Sequence[str] = ("station",)) -> DataFrame:
