@@ -385,6 +385,12 @@ def _solve(xtx: np.ndarray, xty: np.ndarray, yty: float, n: float, terms: Sequen
     return tm @ beta_c, beta_c, se, p, sigma2, rank
 
 
+def _ship(df: DataFrame) -> None:
+    """The Python functions below run in the workers: ship the package."""
+    from climo.session import ship_package
+    ship_package(df.sparkSession)
+
+
 def _by_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Hash-partition a small per-key statistics table on its keys with an
     explicit partition count before a per-key Python solve.  AQE would
@@ -400,6 +406,7 @@ def gram_fit(df: DataFrame, y: str, terms: Sequence[Term], keys: Sequence[str] =
     Returns one row per key with raw-basis coefficients (for prediction and
     decomposition) and centered coefficients with std errors and p-values.
     """
+    _ship(df)
     terms = fit_knots(df, terms)
     k = sum(t.n_raw() for t in terms)
     cols = sorted({c for t in terms for c in (t.col, t.by) if c})
@@ -453,6 +460,7 @@ def predict(df: DataFrame, coefs: DataFrame, terms: Sequence[Term], keys: Sequen
 
     Coefficients are joined on the key (AQE broadcasts them when small) and
     the basis is evaluated per Arrow batch."""
+    _ship(df)
     keys = list(keys)
     slices = term_slices(terms)
     names = [t.name for t in terms]
@@ -507,6 +515,7 @@ def fit_doy_curve(stats: DataFrame, df_: int, keys: Sequence[str] = ("station",)
     on day-of-year sufficient statistics; returns (keys, doy, fitted) at the
     observed day indexes, or at every point of ``grid`` (e.g. all 366).
     Knots come from the station's own day indexes unless ``knots`` is given."""
+    _ship(stats)
     keys = list(keys)
     key_fields = ", ".join(f"{kc} {stats.schema[kc].dataType.simpleString()}" for kc in keys)
 
@@ -561,8 +570,9 @@ def fit_doy_curves(stats: DataFrame, specs: Sequence[tuple], keys: Sequence[str]
     ``stats`` holds, per (keys, doy), a weight column and a sum column per
     curve; ``specs`` = [(weight_col, sum_col, df, out_col)].  Each station's
     ≤ 366 rows are solved for every curve in the same Python call, with knots
-    from that station's own day indexes (as a single-station fit would).  Output (keys, doy, out_cols…) on
-    ``grid`` (all 366 day indexes by default)."""
+    from that station's own day indexes (as a single-station fit would).
+    Output (keys, doy, out_cols…) on ``grid`` (all 366 day indexes by default)."""
+    _ship(stats)
     keys = list(keys)
     grid = DOY_GRID if grid is None else grid
     key_fields = ", ".join(f"{kc} {stats.schema[kc].dataType.simpleString()}" for kc in keys)
@@ -635,6 +645,7 @@ def cv_select_df(daily: DataFrame, metric: str, years: tuple, dfs: Sequence[int]
     error; the result is (station, df, mae) averaged over years.
     """
     from climo.functions import calendar as cal
+    _ship(daily)
     keys = list(keys)
     d = (daily.filter(F.year("date").between(*years))
          .withColumns({"day_of_year": cal.doy_index("date"), "year": F.year("date")})
@@ -696,6 +707,8 @@ def linear_trend(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), with_p
     group) is ``avg(y) − slope · (avg(x) − x₀)`` with the means over the
     non-NULL pairs (no cancellation: avg(x) − x₀ is small)."""
     keys = list(keys)
+    if with_p:
+        _ship(df)
     xx, yy = F.col(x).cast("double"), F.col(y).cast("double")
     both = xx.isNotNull() & yy.isNotNull()
     g = df.groupBy(*keys) if keys else df.groupBy()

@@ -87,3 +87,37 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+_PACKAGE_ZIP: str | None = None
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``climo`` importable in the Python workers (once per application).
+
+    Functions that run Python on executors (``applyInPandas``,
+    ``mapInPandas``, pandas UDFs) are pickled by reference to their module,
+    so the workers must be able to import the package.  It is zipped once per
+    driver process and shipped with ``addPyFile`` (``addArtifacts`` on Spark
+    Connect), the same mechanism as ``--py-files``.
+    """
+    global _PACKAGE_ZIP
+    try:
+        sc = spark.sparkContext
+        app = sc.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect
+        sc, app = None, id(spark)
+    if app in _SHIPPED:
+        return
+    if _PACKAGE_ZIP is None:
+        import shutil
+        pkg_dir = os.path.dirname(os.path.abspath(__file__))
+        out = tempfile.mkdtemp(prefix="climo-pyfiles-")
+        _PACKAGE_ZIP = shutil.make_archive(os.path.join(out, "climo"), "zip",
+                                           root_dir=os.path.dirname(pkg_dir), base_dir="climo")
+    if sc is not None:
+        sc.addPyFile(_PACKAGE_ZIP)
+    else:
+        spark.addArtifacts(_PACKAGE_ZIP, pyfile=True)
+    _SHIPPED.add(app)
