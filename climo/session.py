@@ -67,7 +67,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="climo-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        try:
+            spark.conf.set("spark.checkpoint.dir", path)
+        except Exception:  # noqa: BLE001 - a session that refuses the setting keeps its own
+            pass
     if sc is not None:
         sc.setCheckpointDir(path)
     return path
