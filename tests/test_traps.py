@@ -80,3 +80,25 @@ def test_q17_observed_vs_normal_drops_precip_day(spark):
     out = views.observed_vs_normal(silver, normals.precip_monthly_normals(silver))
     metrics = {r[0] for r in out.select("metric_name").distinct().collect()}
     assert metrics == {"precip", "snow", "rain"}
+
+
+def test_records_page_as_of_and_recent_flag(spark):
+    from climo.operators import records
+    rec = spark.createDataFrame([("s", 1, "2001-07-01", 99.123, "hottest_day"), ("s", 2, "1995-07-02", 98.0, "hottest_day"),
+                                 ("s", 1, "2001-01-01", 1.0, "coldest_day")],
+                                "station string, rank int, date string, metric_value double, record string")
+    page = {r["date"]: r for r in records.records_page(rec, "hottest_day").collect()}
+    assert set(page) == {"2001-07-01", "1995-07-02"}
+    assert page["2001-07-01"]["recent"] and not page["1995-07-02"]["recent"]
+    assert page["2001-07-01"]["metric_value"] == 99.12
+    fixed = {r["date"]: r["recent"] for r in records.records_page(rec, "hottest_day", as_of_year=1997).collect()}
+    assert fixed == {"2001-07-01": False, "1995-07-02": True}
+
+
+def test_hourly_density_excludes_last_year_by_default(spark):
+    rows = [("s", dt.datetime(y, 1, 1, h), float(h), float(h)) for y in (2022, 2023, 2024) for h in range(3)]
+    h = spark.createDataFrame(rows, "station string, timestamp timestamp_ntz, temp double, dew_point double")
+    cells = lambda df: df.filter("level = 0").agg(F.sum("n")).first()[0]
+    dflt = views.hourly_density(h, "temp", "dew_point", ["Jan"], (0.0, 10.0), (0.0, 10.0))
+    incl = views.hourly_density(h, "temp", "dew_point", ["Jan"], (0.0, 10.0), (0.0, 10.0), exclude_last_year=False)
+    assert cells(dflt) == 6 and cells(incl) == 9
