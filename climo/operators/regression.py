@@ -400,11 +400,57 @@ def _by_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-def gram_fit(df: DataFrame, y: str, terms: Sequence[Term], keys: Sequence[str] = ("station",)) -> DataFrame:
+SPLINE_KINDS = ("cc", "cr", "by_level")
+
+
+def per_key_knots(df: DataFrame, terms: Sequence[Term], keys: Sequence[str]) -> DataFrame | None:
+    """One row per key with the knots of every spline term computed from that
+    key's own distinct values (bounds + quantiles, as a single-station fit
+    would).  A key whose knots collapse (too few distinct values) gets the
+    table-wide knots of ``fit_knots`` so that every key's design has the same
+    width.  Bounded per key by its distinct values."""
+    keys = list(keys)
+    tables = []
+    for j, t in enumerate(terms):
+        if t.kind not in SPLINE_KINDS:
+            continue
+        n_inner = t.df - 2 + (1 if t.center else 0) + (1 if t.kind != "cr" else 0)
+        probs = [float(p) for p in np.linspace(0, 1, n_inner + 2)[1:-1]]
+        dv = (df.select(*keys, F.col(t.col).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+              .distinct())
+        lo = F.lit(float(t.lower)) if t.lower is not None else F.min("_x")
+        hi = F.lit(float(t.upper)) if t.upper is not None else F.max("_x")
+        bounds = dv.groupBy(*keys).agg(lo.alias("_lo"), hi.alias("_hi"))
+        inner = (dv.join(bounds, keys).filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+                 .groupBy(*keys, "_lo", "_hi").agg(F.percentile("_x", probs).alias("_q")))
+        kn = F.array_sort(F.array_distinct(F.concat(F.array(F.col("_lo"), F.col("_hi")), F.col("_q"))))
+        fallback = F.array(*[F.lit(float(v)) for v in t.knots])
+        tables.append(inner.select(*keys, F.when(F.size(kn) == int(t.knots.size), kn)
+                                   .otherwise(fallback).alias(f"_kn{j}")))
+    if not tables:
+        return None
+    out = tables[0]
+    for tb in tables[1:]:
+        out = out.join(tb, keys)
+    return out
+
+
+def _use_group_knots(terms: Sequence[Term], g: pd.DataFrame) -> None:
+    """Set each spline term's knots to the key's own knots (constant per key)."""
+    for j, t in enumerate(terms):
+        col = f"_kn{j}"
+        if col in g.columns:
+            t.knots = np.asarray(g[col].iloc[0], dtype=float)
+
+
+def gram_fit(df: DataFrame, y: str, terms: Sequence[Term], keys: Sequence[str] = ("station",),
+             knots_per_key: bool = True) -> DataFrame:
     """OLS per key over all rows: Gram accumulation on executors, k×k solve per key.
 
     Returns one row per key with raw-basis coefficients (for prediction and
-    decomposition) and centered coefficients with std errors and p-values.
+    decomposition), centered coefficients with std errors and p-values, and
+    (with ``knots_per_key``) the key's spline knots ``_kn<j>`` used by
+    ``predict``.
     """
     _ship(df)
     terms = fit_knots(df, terms)
@@ -414,6 +460,9 @@ def gram_fit(df: DataFrame, y: str, terms: Sequence[Term], keys: Sequence[str] =
     iu = np.triu_indices(k + 1)
     data = df.select(*keys, *[F.col(c) for c in cols], F.col(y).cast("double").alias("_y")) \
         .filter(F.col("_y").isNotNull())
+    kn_tbl = per_key_knots(df, terms, keys) if knots_per_key else None
+    if kn_tbl is not None:
+        data = data.join(kn_tbl, keys)
 
     ncell = iu[0].size
 
@@ -423,6 +472,7 @@ def gram_fit(df: DataFrame, y: str, terms: Sequence[Term], keys: Sequence[str] =
                 continue
             vals, counts, key_rows = [], [], []
             for key, g in pdf.groupby(keys, sort=False):
+                _use_group_knots(terms, g)
                 xa = np.concatenate([design(g, terms), g["_y"].to_numpy(dtype=float)[:, None]], axis=1)
                 vals.append((xa.T @ xa)[iu])
                 counts.append(float(len(g)))
@@ -451,7 +501,8 @@ def gram_fit(df: DataFrame, y: str, terms: Sequence[Term], keys: Sequence[str] =
 
     schema = f"{key_fields}, n double, rank int, sigma2 double, beta_raw array<double>, " \
              "coef array<double>, std_err array<double>, p_value array<double>"
-    return _by_key(cells, keys).groupBy(*keys).applyInPandas(solve, schema)
+    coefs = _by_key(cells, keys).groupBy(*keys).applyInPandas(solve, schema)
+    return coefs.join(kn_tbl, keys) if kn_tbl is not None else coefs
 
 
 def predict(df: DataFrame, coefs: DataFrame, terms: Sequence[Term], keys: Sequence[str] = ("station",),
@@ -464,7 +515,8 @@ def predict(df: DataFrame, coefs: DataFrame, terms: Sequence[Term], keys: Sequen
     keys = list(keys)
     slices = term_slices(terms)
     names = [t.name for t in terms]
-    j = df.join(coefs.select(*keys, "beta_raw"), keys)
+    kn_cols = [c for c in coefs.columns if c.startswith("_kn")]
+    j = df.join(coefs.select(*keys, "beta_raw", *kn_cols), keys)
     out_fields = [f for f in df.schema.fields] + [T.StructField(out_col, T.DoubleType())]
     if components:
         out_fields += [T.StructField(f"comp_{i}", T.DoubleType()) for i in range(len(terms))]
@@ -474,9 +526,15 @@ def predict(df: DataFrame, coefs: DataFrame, terms: Sequence[Term], keys: Sequen
         for pdf in it:
             if pdf.empty:
                 continue
-            x = design(pdf, terms)
+            if kn_cols:
+                x = np.zeros((len(pdf), sum(t.n_raw() for t in terms)))
+                for _, g in pdf.groupby(keys, sort=False):
+                    _use_group_knots(terms, g)
+                    x[pdf.index.get_indexer(g.index)] = design(g, terms)
+            else:
+                x = design(pdf, terms)
             b = np.stack(pdf["beta_raw"].to_numpy())
-            pdf = pdf.drop(columns=["beta_raw"])
+            pdf = pdf.drop(columns=["beta_raw", *kn_cols])
             pdf[out_col] = (x * b).sum(axis=1)
             if components:
                 for i, sl in enumerate(slices):
