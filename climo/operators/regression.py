@@ -408,31 +408,43 @@ def per_key_knots(df: DataFrame, terms: Sequence[Term], keys: Sequence[str]) ->
     key's own distinct values (bounds + quantiles, as a single-station fit
     would).  A key whose knots collapse (too few distinct values) gets the
     table-wide knots of ``fit_knots`` so that every key's design has the same
-    width.  Bounded per key by its distinct values."""
+    width.  One pass over the rows for all terms: (term, value) pairs are
+    exploded, made distinct per key, and one percentile aggregate per
+    (key, term) — bounded by that key's distinct values — yields every
+    term's quantiles."""
     keys = list(keys)
-    tables = []
-    for j, t in enumerate(terms):
-        if t.kind not in SPLINE_KINDS:
-            continue
+    spl = [(j, t) for j, t in enumerate(terms) if t.kind in SPLINE_KINDS]
+    if not spl:
+        return None
+    probs_of = {}
+    for j, t in spl:
         n_inner = t.df - 2 + (1 if t.center else 0) + (1 if t.kind != "cr" else 0)
-        probs = [float(p) for p in np.linspace(0, 1, n_inner + 2)[1:-1]]
-        dv = (df.select(*keys, F.col(t.col).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-              .distinct())
-        lo = F.lit(float(t.lower)) if t.lower is not None else F.min("_x")
-        hi = F.lit(float(t.upper)) if t.upper is not None else F.max("_x")
-        bounds = dv.groupBy(*keys).agg(lo.alias("_lo"), hi.alias("_hi"))
-        inner = (dv.join(bounds, keys).filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
-                 .groupBy(*keys, "_lo", "_hi").agg(F.percentile("_x", probs).alias("_q")))
-        kn = F.array_sort(F.array_distinct(F.concat(F.array(F.col("_lo"), F.col("_hi")), F.col("_q"))))
+        probs_of[j] = [float(p) for p in np.linspace(0, 1, n_inner + 2)[1:-1]]
+    all_probs = sorted({p for ps in probs_of.values() for p in ps})
+    pairs = F.explode(F.array(*[F.struct(F.lit(j).alias("_j"), F.col(t.col).cast("double").alias("_x"))
+                                for j, t in spl]))
+    dv = (df.select(*keys, pairs.alias("_p")).select(*keys, "_p._j", "_p._x")
+          .filter(F.col("_x").isNotNull()).distinct())
+    lo_fixed = F.create_map(*[x for j, t in spl if t.lower is not None for x in (F.lit(j), F.lit(float(t.lower)))]) \
+        if any(t.lower is not None for _, t in spl) else None
+    hi_fixed = F.create_map(*[x for j, t in spl if t.upper is not None for x in (F.lit(j), F.lit(float(t.upper)))]) \
+        if any(t.upper is not None for _, t in spl) else None
+    bounds = dv.groupBy(*keys, "_j").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    if lo_fixed is not None:
+        bounds = bounds.withColumn("_lo", F.coalesce(lo_fixed[F.col("_j")], F.col("_lo")))
+    if hi_fixed is not None:
+        bounds = bounds.withColumn("_hi", F.coalesce(hi_fixed[F.col("_j")], F.col("_hi")))
+    q = (dv.join(bounds, [*keys, "_j"]).filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+         .groupBy(*keys, "_j", "_lo", "_hi").agg(F.percentile("_x", all_probs).alias("_q")))
+    cols = []
+    for j, t in spl:
+        idx = [all_probs.index(p) for p in probs_of[j]]
+        inner = F.array(*[F.col("_q")[i] for i in idx])
+        kn = F.array_sort(F.array_distinct(F.concat(F.array(F.col("_lo"), F.col("_hi")), inner)))
         fallback = F.array(*[F.lit(float(v)) for v in t.knots])
-        tables.append(inner.select(*keys, F.when(F.size(kn) == int(t.knots.size), kn)
-                                   .otherwise(fallback).alias(f"_kn{j}")))
-    if not tables:
-        return None
-    out = tables[0]
-    for tb in tables[1:]:
-        out = out.join(tb, keys)
-    return out
+        cols.append(F.max(F.when(F.col("_j") == j, F.when(F.size(kn) == int(t.knots.size), kn).otherwise(fallback)))
+                    .alias(f"_kn{j}"))
+    return q.groupBy(*keys).agg(*cols)
 
 
 def _use_group_knots(terms: Sequence[Term], g: pd.DataFrame) -> None:
@@ -462,6 +474,9 @@ def gram_fit(df: DataFrame, y: str, terms: Sequence[Term], keys: Sequence[str] =
         .filter(F.col("_y").isNotNull())
     kn_tbl = per_key_knots(df, terms, keys) if knots_per_key else None
     if kn_tbl is not None:
+        # one row per key, used twice (rows and coefficients): cut its lineage once
+        from climo.session import cut_lineage
+        kn_tbl = cut_lineage(kn_tbl)
         data = data.join(kn_tbl, keys)
 
     ncell = iu[0].size
