@@ -524,8 +524,10 @@ def predict(df: DataFrame, coefs: DataFrame, terms: Sequence[Term], keys: Sequen
             components: bool = False, out_col: str = "fitted") -> DataFrame:
     """Fitted values (and per-term components, M12) for every row.
 
-    Coefficients are joined on the key (AQE broadcasts them when small) and
-    the basis is evaluated per Arrow batch."""
+    ``terms`` is the list passed to ``gram_fit`` (which fills in the knots);
+    per-key knots travel with ``coefs``.  Coefficients are joined on the key
+    (AQE broadcasts them when small) and the basis is evaluated per Arrow
+    batch."""
     _ship(df)
     keys = list(keys)
     slices = term_slices(terms)
