@@ -576,10 +576,6 @@ def doy_stats(df: DataFrame, y: str, keys: Sequence[str] = ("station",), doy_col
             .agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(v).alias("sy"), F.sum(v * v).alias("syy")))
 
 
-def doy_knots(stats: DataFrame, df_: int, doy_col: str = "day_of_year", upper: float = 366.0) -> np.ndarray:
-    return fit_knots(stats, [cc(doy_col, df_, upper=upper)])[0].knots
-
-
 DOY_GRID = np.array(sorted([float(d) for d in range(1, 366)] + [59.5]))
 
 
