@@ -111,6 +111,7 @@ def main():
     qs, sqls = E.queries(), E.oracle_sql()
     con = duck_con(sf_dir)
     bad = 0
+    n_exact = n_oracle = 0
     for name in (names or list(qs)):
         t0 = time.time()
         try:
@@ -142,7 +143,11 @@ def main():
             print(f"   type mismatches in {name}: {tmis}")
         if tag == "FAIL":
             bad += 1
-        print(f"{tag} {name}: rows spark={len(srows)} duck={len(drows)} cols={ok_cols} vals={ok_vals} ({ts:.1f}s)")
+        exact = ok_cols and canon(cols, srows) == canon(dcols, drows)
+        n_exact += int(bool(exact))
+        n_oracle += 1
+        print(f"{tag} {name}: rows spark={len(srows)} duck={len(drows)} cols={ok_cols} vals={ok_vals} "
+              f"bit-exact={exact} ({ts:.1f}s)")
         if tag == "FAIL" and ok_cols:
             a, b = canon(cols, srows), canon(dcols, drows)
             sa, sb = set(a), set(b)
@@ -150,7 +155,7 @@ def main():
             print("   duck-only: ", list(sb - sa)[:3])
         elif not ok_cols:
             print("   spark cols:", cols, "\n   duck cols: ", dcols)
-    print(f"done, {bad} failing")
+    print(f"done, {bad} failing; {n_exact}/{n_oracle} oracle queries bit-exact")
 
 
 if __name__ == "__main__":
