@@ -102,3 +102,18 @@ def test_hourly_density_excludes_last_year_by_default(spark):
     dflt = views.hourly_density(h, "temp", "dew_point", ["Jan"], (0.0, 10.0), (0.0, 10.0))
     incl = views.hourly_density(h, "temp", "dew_point", ["Jan"], (0.0, 10.0), (0.0, 10.0), exclude_last_year=False)
     assert cells(dflt) == 6 and cells(incl) == 9
+
+
+def test_mtd_normals_sketch_option_close_to_exact(spark):
+    rows = [("s", _d(f"{y}-01-0{d}"), float((y * 7 + d) % 11), 0.0, 0.0, 50.0, 60.0)
+            for y in range(1985, 2026) for d in (1, 2, 3)]
+    silver = build_precip_silver(_raw(spark, rows))
+    ex = {(r["metric_name"], r["day_of_month"]): r for r in normals.mtd_normals(silver, metrics=["precip"]).collect()}
+    ap = {(r["metric_name"], r["day_of_month"]): r
+          for r in normals.mtd_normals(silver, metrics=["precip"], exact=False).collect()}
+    assert ex.keys() == ap.keys()
+    for k, r in ex.items():
+        assert r["avg_precip_mtd"] == ap[k]["avg_precip_mtd"]            # means are exact either way
+        for p in ("p10", "p50", "p90"):
+            a, b = r[f"{p}_precip_mtd"], ap[k][f"{p}_precip_mtd"]
+            assert abs(a - b) <= 3.0                                      # sketch returns an observed value nearby
