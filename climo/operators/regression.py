@@ -130,6 +130,7 @@ class Term:
     levels: Sequence = ()
     by: str | None = None          # categorical column for month:cc(hour)
     knots: np.ndarray | None = field(default=None, repr=False)
+    n_distinct: int | None = field(default=None, repr=False)   # approx distinct x (set by fit_knots)
 
     @property
     def name(self) -> str:
@@ -212,6 +213,7 @@ def fit_knots(df: DataFrame, terms: Sequence[Term]) -> list[Term]:
     specs = []
     for t in todo:
         i = cols.index(t.col)
+        t.n_distinct = int(b[f"nd_{i}"] or 0)
         lo = t.lower if t.lower is not None else b[f"lo_{i}"]
         hi = t.upper if t.upper is not None else b[f"hi_{i}"]
         n_inner = t.df - 2 + (1 if t.center else 0) + (1 if t.kind != "cr" else 0)
@@ -410,8 +412,9 @@ def per_key_knots(df: DataFrame, terms: Sequence[Term], keys: Sequence[str]) ->
     table-wide knots of ``fit_knots`` so that every key's design has the same
     width.  One pass over the rows for all terms: (term, value) pairs are
     exploded, made distinct per key, and one percentile aggregate per
-    (key, term) — bounded by that key's distinct values — yields every
-    term's quantiles."""
+    (key, term) — bounded by that key's distinct values, or a bounded sketch
+    when a term has more than ``EXACT_KNOT_DISTINCT_LIMIT`` distinct values —
+    yields every term's quantiles."""
     keys = list(keys)
     spl = [(j, t) for j, t in enumerate(terms) if t.kind in SPLINE_KINDS]
     if not spl:
@@ -434,8 +437,11 @@ def per_key_knots(df: DataFrame, terms: Sequence[Term], keys: Sequence[str]) ->
         bounds = bounds.withColumn("_lo", F.coalesce(lo_fixed[F.col("_j")], F.col("_lo")))
     if hi_fixed is not None:
         bounds = bounds.withColumn("_hi", F.coalesce(hi_fixed[F.col("_j")], F.col("_hi")))
+    exact = all((t.n_distinct or 0) <= EXACT_KNOT_DISTINCT_LIMIT for _, t in spl)
+    pct = (F.percentile("_x", all_probs) if exact
+           else F.percentile_approx("_x", all_probs, KNOT_SKETCH_ACCURACY).cast("array<double>"))
     q = (dv.join(bounds, [*keys, "_j"]).filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
-         .groupBy(*keys, "_j", "_lo", "_hi").agg(F.percentile("_x", all_probs).alias("_q")))
+         .groupBy(*keys, "_j", "_lo", "_hi").agg(pct.alias("_q")))
     cols = []
     for j, t in spl:
         idx = [all_probs.index(p) for p in probs_of[j]]
