@@ -143,3 +143,12 @@ def test_fill_daily_spine(spark):
     assert [d for d, _ in a] == [_d("2000-02-27"), _d("2000-02-28"), _d("2000-02-29"), _d("2000-03-01"), _d("2000-03-02")]
     assert [p for _, p in a] == [1.0, 0.0, 0.0, 0.0, 2.0]
     assert [(r["date"], r["precip"]) for r in out if r["station"] == "b"] == [(_d("2000-01-01"), 3.0)]
+
+
+def test_streaks_null_states_one_island_first_row_starts_island_one(spark):
+    states = [None, None, 1, None, 0, 0]
+    df = spark.createDataFrame([("s", _d(f"2000-01-0{i + 1}"), v) for i, v in enumerate(states)],
+                               "station string, date date, v int")
+    out = windows.state_streaks(df, F.col("v")).orderBy("date").collect()
+    assert [r["streak_id"] for r in out] == [1, 1, 2, 3, 4, 4]
+    assert [r["streak_len"] for r in out] == [1, 2, 1, 1, 1, 2]
