@@ -635,7 +635,7 @@ def _mpr_sql() -> str:
     return ORACLE["monthly_precip_rank"]
 
 
-register("monthly_precip_records", "WITH pr AS (" + _mpr_sql() + f"""),
+_register_monthly_records = register("monthly_precip_records", "WITH pr AS (" + _mpr_sql() + f"""),
 sy AS (SELECT * FROM pr WHERE year_type = 'snow_season' AND month = 'Year' AND metric_name = 'snow'),
 sy2 AS (SELECT *, rank() OVER (PARTITION BY station ORDER BY total DESC) AS rw FROM sy),
 ry AS (SELECT *, rank() OVER (PARTITION BY station ORDER BY total DESC) AS rw FROM pr
@@ -652,7 +652,7 @@ UNION ALL SELECT station, CAST(rw AS INTEGER), year_for_dash, total, 'most_snow_
 UNION ALL SELECT station, CAST(rw AS INTEGER), year_for_dash, total, 'most_rain_year' FROM ry WHERE rw <= {_N}""")
 
 
-@(lambda fn: QUERIES.__setitem__("monthly_precip_records", fn) or fn)
+@_register_monthly_records
 def q_monthly_precip_records(spark, sf_dir):
     """Rainiest / snowiest / driest months, snowiest and least snowy seasons, rainiest years."""
     from climo.operators import records
