@@ -152,3 +152,28 @@ def test_streaks_null_states_one_island_first_row_starts_island_one(spark):
     out = windows.state_streaks(df, F.col("v")).orderBy("date").collect()
     assert [r["streak_id"] for r in out] == [1, 1, 2, 3, 4, 4]
     assert [r["streak_len"] for r in out] == [1, 2, 1, 1, 1, 2]
+
+
+def test_segmented_windows_with_a_hot_station(spark):
+    import random
+    random.seed(21)
+    rows = []
+    for st, n in (("hot", 6000), ("c1", 300), ("c2", 300)):
+        day = dt.date(1980, 1, 1)
+        for i in range(n):
+            day = day + dt.timedelta(days=random.choice([1, 1, 2, 3]))
+            rows.append((st, day, random.choice([0, 1]), float(random.randint(0, 50))))
+    df = spark.createDataFrame(rows, "station string, date date, wet int, x double")
+    w = Window.partitionBy("station").orderBy("date")
+    ref_gap = {(r[0], r[1]): r[2] for r in df.filter("wet = 1").select(
+        "station", "date", (F.datediff("date", F.lag("date").over(w)) - 1).alias("g")).collect()}
+    got_gap = {(r[0], r[1]): r[2] for r in windows.gap_since_previous(df, F.col("wet") == 1, out_col="g")
+               .select("station", "date", "g").collect()}
+    assert ref_gap == got_gap
+    wr = w.rowsBetween(-364, 0)
+    ref_roll = {(r[0], r[1]): r[2] for r in df.select(
+        "station", "date", F.when(F.count("x").over(wr) >= 180, F.avg("x").over(wr)).alias("r")).collect()}
+    got_roll = {(r[0], r[1]): r[2] for r in windows.rolling_mean(df, "x", out_col="r")
+                .select("station", "date", "r").collect()}
+    assert ref_roll.keys() == got_roll.keys()
+    assert all((ref_roll[k] is None and got_roll[k] is None) or abs(ref_roll[k] - got_roll[k]) < 1e-9 for k in ref_roll)
