@@ -1,15 +1,22 @@
-"""The registered queries of this subpackage and their DuckDB SQL."""
+"""The registered queries of this subpackage."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from climo.llm import mixing, packing
+from climo.llm import mixing, packing, quality
+from climo.llm.oracle import ORACLE  # noqa: F401 - read by __spark_entry__.py
 from climo.llm.tables import table
 from climo.session import ship_package
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base quality features and the distribution-divergence verdict of every document (see ``quality``)."""
+    ship_package(spark)
+    return quality.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document when sources are mixed to weights 1, 2, 3 in turn (see ``mixing``)."""
     mixed = mixing.mixed_documents(table(spark, sf_dir, "documents"))
@@ -24,39 +31,8 @@ def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset")
 
 
-OP4_SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-    coalesce(greatest(0.25, 1.0::DOUBLE - 6.0::DOUBLE * ((length(text) - length(translate(text, '#*$%&|<>!', '')))::DOUBLE
-      / greatest(length(text), 1))), 1.0::DOUBLE) AS q,
-    (('0x' || substr(md5(doc_id::VARCHAR || ':7'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM documents),
-k AS (SELECT doc_id, source, size, -ln(u) / q AS key FROM d),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
-w AS (SELECT *, 3.0::DOUBLE * source_size AS cap,
-        [1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight,
-        row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
-l AS (SELECT *, ((SELECT sum(source_size)::DOUBLE FROM s)
-          - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-        / ((SELECT sum(weight) FROM w)
-          - coalesce(sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lv
-      FROM w),
-t AS (SELECT source, source_size, CASE WHEN lv * weight >= cap THEN cap
-        ELSE least((SELECT max(lv) FROM l WHERE lv * weight < cap) * weight, cap) END AS target FROM l),
-e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
-o AS (SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
-        sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.size, k.doc_id ROWS UNBOUNDED PRECEDING) AS upto
-      FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
-SELECT doc_id, size::BIGINT AS size, source_size, target,
-  ((epochs + (rest > 0 AND upto - size / 2.0::DOUBLE <= rest)::BIGINT) * size)::BIGINT AS taken,
-  epochs + (rest > 0 AND upto - size / 2.0::DOUBLE <= rest)::BIGINT AS copies
-FROM o
-"""
-
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op4_mix_sources": op4_mix_sources,
     "op6_pack_sequences": op6_pack_sequences,
 }
-ORACLE = {
-    "op4_mix_sources": OP4_SQL,
-}
