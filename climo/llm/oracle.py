@@ -101,7 +101,26 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, (copies * size)::BIGIN
 """
 
 
+def near_duplicates_sql(width: int = 3, percent: int = 85) -> str:
+    """Brute force: every pair of documents that shares a shingle."""
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - {width - 1}, 1) + 1),
+        lambda i: array_to_string(ws[i:i + {width - 1}], ' '))) AS shingle FROM w WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN n a ON u = a.doc_id JOIN n b ON v = b.doc_id WHERE 100 * i >= {percent} * (a.n + b.n - i)),
+e AS (SELECT u AS a, v AS b FROM l UNION ALL SELECT v, u FROM l),
+r(id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON r.reach = e.a),
+c AS (SELECT id AS doc_id, min(reach) AS component_id FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
 ORACLE = {
     "op1_quality_rules": quality_sql(),
     "op4_mix_sources": mixing_sql(),
+    "op9_minhash_near_dedup": near_duplicates_sql(),
 }

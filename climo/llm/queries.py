@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from climo.llm import mixing, packing, quality
+from climo.llm import minhash, mixing, packing, quality
 from climo.llm.oracle import ORACLE  # noqa: F401 - read by __spark_entry__.py
 from climo.llm.tables import table
 from climo.session import ship_package
@@ -31,8 +31,15 @@ def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset")
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: 3-word shingles, Jaccard similarity of 0.85 or more (see ``minhash``)."""
+    ship_package(spark)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_mix_sources": op4_mix_sources,
     "op6_pack_sequences": op6_pack_sequences,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
