@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from climo.session import cut_lineage
+from climo.llm.tables import written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -17,14 +17,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     are left out; an empty table gives no rows.
     """
     pairs = edges.select(F.col("u").alias("a"), F.col("v").alias("b")).where("a is not null and b is not null")
-    both = cut_lineage(pairs.union(pairs.select("b", "a")).distinct())
-    labels = cut_lineage(both.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "id"))
+    both = written(pairs.union(pairs.select("b", "a")).distinct())
+    labels = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "id"))
     while True:
         seen = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("_near"))
         step = labels.join(seen.withColumnRenamed("a", "id"), "id").select(
             "id", "component", F.least("component", "_near").alias("_next"))
         jump = labels.select(F.col("id").alias("_next"), F.col("component").alias("_jump"))
-        new = cut_lineage(step.join(jump, "_next").select("id", "component", F.least("_next", "_jump").alias("_new")))
+        new = written(step.join(jump, "_next").select("id", "component", F.least("_next", "_jump").alias("_new")))
         changed = new.where("_new <> component").limit(1).count()
         labels = new.select("id", F.col("_new").alias("component"))
         if not changed:

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from climo.llm.graph import connected_components
-from climo.session import cut_lineage
+from climo.llm.tables import written
+from climo.session import ship_package
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Odd multipliers of the 64-bit mixer (public constants of splitmix64).
@@ -140,11 +141,11 @@ def class_links(members: DataFrame, sets_of, percent: int) -> DataFrame:
 
     ``sets_of(ids)`` gives (id, hashes) of the ids that share a bucket with another.
     """
-    shared = cut_lineage(members.groupBy("bucket").agg(F.count("*").alias("members"), F.min("id").alias("centre"))
+    shared = written(members.groupBy("bucket").agg(F.count("*").alias("members"), F.min("id").alias("centre"))
                          .where("members > 1"))
-    inside = cut_lineage(members.join(shared, "bucket"))
-    sets = cut_lineage(sets_of(inside.select("id").distinct()))
-    tested = cut_lineage(_confirmed(inside.where("id <> centre").select(*_edge("id", "centre")).distinct(), sets, percent))
+    inside = written(members.join(shared, "bucket"))
+    sets = written(sets_of(inside.select("id").distinct()))
+    tested = written(_confirmed(inside.where("id <> centre").select(*_edge("id", "centre")).distinct(), sets, percent))
     centres = 1
     while True:
         links = tested.where("linked")
@@ -152,10 +153,10 @@ def class_links(members: DataFrame, sets_of, percent: int) -> DataFrame:
         degree = links.select(F.col("u").alias("id")).union(links.select("v")).groupBy("id").agg(F.count("*").alias("degree"))
         known = parts.join(degree, "id")
         placed = inside.where(F.col("members") > centres + 1).select("bucket", "id", "members").join(known, "id", "left")
-        placed = cut_lineage(placed.select("bucket", "id", "members", F.coalesce("component", "id").alias("component"),
+        placed = written(placed.select("bucket", "id", "members", F.coalesce("component", "id").alias("component"),
                                            F.coalesce("degree", F.lit(0)).alias("degree")))
         split = placed.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
-        split = cut_lineage(split.where("_low <> _high").select("bucket"))
+        split = written(split.where("_low <> _high").select("bucket"))
         if not split.limit(1).count():
             return links.select("u", "v")
         centres *= 4
@@ -165,7 +166,7 @@ def class_links(members: DataFrame, sets_of, percent: int) -> DataFrame:
             "bucket", F.col("id").alias("centre"), F.col("component").alias("_component"))
         pairs = rest.join(chosen, "bucket").where("component <> _component").select(*_edge("id", "centre")).distinct()
         fresh = _confirmed(pairs.join(tested, ["u", "v"], "left_anti"), sets, percent)
-        tested = cut_lineage(tested.union(fresh))
+        tested = written(tested.union(fresh))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
@@ -180,9 +181,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows of one id count as one document.  Equal sets are linked whatever their size.  An empty table gives no
     rows.  Other columns are not read.
     """
-    signed = cut_lineage(document_signatures(docs, id_col, text_col, shingle_words, bins, rows))
+    ship_package(docs.sparkSession)
+    signed = written(document_signatures(docs, id_col, text_col, shingle_words, bins, rows))
     usable = signed.where("doc_id is not null and n_shingles > 0")
-    classes = cut_lineage(usable.groupBy("set_digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"),
+    classes = written(usable.groupBy("set_digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"),
                                                            F.min("bands").alias("bands")))
     members = classes.select("id", F.explode("bands").alias("bucket")).distinct()
 

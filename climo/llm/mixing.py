@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from climo.session import cut_lineage
+from climo.llm.tables import written
 
 #: Characters that a document of low quality has many of (fixed value).
 SYMBOLS = "#*$%&|<>!"
@@ -89,13 +89,13 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         word_count(docs[text_col]).alias("size"),
                         sampling_key(docs[id_col], quality_weight(docs[text_col]), seed).alias("_key"))
     code = F.least(F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * (coarse * coarse)), F.lit(coarse * coarse - 1))
-    sized = cut_lineage(sized.withColumn("_code", code.cast("long")))
+    sized = written(sized.withColumn("_code", code.cast("long")))
     by_bin = sized.groupBy("source", F.shiftright("_code", BIN_BITS).alias("_coarse")).agg(F.sum("size").alias("_words"))
     sizes = by_bin.groupBy("source").agg(F.sum("_words").alias("source_size"))
     targets = source_targets(sizes, weights, max_epochs)
     epochs = F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("long")
     targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, epochs).otherwise(F.lit(0)))
-    targets = cut_lineage(targets.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
+    targets = written(targets.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
     wanted = targets.select("source", "rest")
     end = _ending_bin(_same_source(by_bin, wanted), "_coarse")
     inside = _same_source(sized.withColumn("_in", F.shiftright("_code", BIN_BITS)), end)

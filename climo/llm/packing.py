@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from climo.llm.tokens import TextEncoder, default_ranks_path
+from climo.session import ship_package
 
 PIECES_SCHEMA = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, "
                  "offset long, sequence_tokens long, sequence_cost double")
@@ -130,6 +131,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     their own; ties of length go by input order.  An empty table gives no rows.  Other columns of
     ``docs`` are not read.
     """
+    ship_package(docs.sparkSession)
     path = ranks_path or default_ranks_path()
     end = int(end_id).to_bytes(4, "little")
 

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from climo.session import cut_lineage
+from climo.llm.tables import written
+from climo.session import ship_package
 
 #: Common words of the languages compared.
 COMMON_WORDS = {
@@ -157,7 +158,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own.  Repeated rows are scored alike, each in its own row.  An empty table gives no rows.  Other
     columns are not read.
     """
-    features = cut_lineage(document_features(docs, id_col, text_col, lang_col))
+    ship_package(docs.sparkSession)
+    features = written(document_features(docs, id_col, text_col, lang_col))
     guards = (min_chars, min_words, min_reference_words)
     passing = features.where(~base_failed())
     first = with_distances(passing, language_references(passing), *guards)

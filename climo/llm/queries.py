@@ -8,12 +8,10 @@ from pyspark.sql import functions as F
 from climo.llm import minhash, mixing, packing, quality
 from climo.llm.oracle import ORACLE  # noqa: F401 - read by __spark_entry__.py
 from climo.llm.tables import table
-from climo.session import ship_package
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base quality features and the distribution-divergence verdict of every document (see ``quality``)."""
-    ship_package(spark)
     return quality.score_documents(table(spark, sf_dir, "documents"))
 
 
@@ -25,7 +23,6 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in sequences of 2048 tokens, with the CRC-32 of its ids (see ``packing``)."""
-    ship_package(spark)
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset")
@@ -33,7 +30,6 @@ def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 3-word shingles, Jaccard similarity of 0.85 or more (see ``minhash``)."""
-    ship_package(spark)
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
