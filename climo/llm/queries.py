@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from climo.llm import minhash, mixing, packing, quality
+from climo.llm import minhash, mixing, packing, personal, quality
 from climo.llm.oracle import ORACLE  # noqa: F401 - read by __spark_entry__.py
 from climo.llm.tables import table
 
@@ -15,6 +15,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document (see ``personal``)."""
+    return personal.span_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document when sources are mixed to weights 1, 2, 3 in turn (see ``mixing``)."""
     mixed = mixing.mixed_documents(table(spark, sf_dir, "documents"))
@@ -35,6 +40,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_personal_data": op2_personal_data,
     "op4_mix_sources": op4_mix_sources,
     "op6_pack_sequences": op6_pack_sequences,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
