@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from climo.llm import quality
+from climo.llm import personal, quality
 
 #: Words, as the contracts define them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,6 +72,62 @@ FROM d2
 """
 
 
+#: The base patterns as the contract states them (RE2 neither recurses nor backtracks).
+BASE_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def personal_sql() -> str:
+    luhn = ("list_sum(list_transform(range(1, len(digits) + 1), lambda j: CASE WHEN j % 2 = 1 THEN reverse(digits)[j]::INT "
+            "ELSE reverse(digits)[j]::INT * 2 - CASE WHEN reverse(digits)[j]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0")
+    mod97 = ("list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substr(compact, 5) || substr(compact, 1, 4), ''), "
+             "lambda c: (strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1)::BIGINT)), "
+             "lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1 AND len(compact) BETWEEN 15 AND 34")
+    checks = {
+        "none": "true", "luhn": f"len(digits) BETWEEN 16 AND 19 AND {luhn}", "luhn15": luhn,
+        "octets": "list_min(list_transform(string_split(m, '.'), lambda p: regexp_matches(p, "
+                  "'^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$')::INT)) = 1",
+        "phone": "len(digits) BETWEEN 8 AND 15", "mod97": mod97,
+        "ssn": "NOT regexp_matches(digits, '^(?:000|666|9)|^[0-9]{3}00|0000$')",
+    }
+    found, spans = [], []
+    for i, k in enumerate(personal.KINDS):
+        pattern = BASE_PATTERNS[k.name] if k.base else k.pattern
+        found.append(f"SELECT doc_id, {i} AS rank, regexp_extract_all(text, '{pattern}') AS ms, "
+                     f"string_split_regex(text, '{pattern}') AS gaps FROM t")
+        if k.base:
+            spans.append(f"SELECT doc_id, rank, s, e FROM p WHERE rank = {i} AND {checks[k.confirm]}")
+        else:
+            near = f"regexp_matches(lower(substr(text, greatest(s - 40, 0) + 1, s - greatest(s - 40, 0))), '(?:^|[^a-z])(?:{k.context})')"
+            spans.append(f"SELECT doc_id, rank, s, e FROM p JOIN t USING (doc_id) WHERE rank = {i} AND ({checks[k.confirm]}) "
+                         f"AND NOT (s > 0 AND regexp_matches(substr(text, s, 1), '[A-Za-z0-9-]')) "
+                         f"AND NOT regexp_matches(substr(text, e + 1, 1), '[A-Za-z0-9-]') "
+                         f"AND {k.score} + CASE WHEN {near} THEN {k.boost} ELSE 0 END >= {personal.THRESHOLD}")
+    n = sum(k.base for k in personal.KINDS)
+    names = "[" + ", ".join(f"'{k.name}'" for k in personal.KINDS) + "]"
+    counts = ", ".join(f"count(*) FILTER (rank = {i})::BIGINT AS n_{k.name}" for i, k in enumerate(personal.KINDS) if k.base)
+    text = f"{names}[rank + 1] || ':' || s || ':' || e"
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({" UNION ALL ".join(found)}),
+u AS (SELECT doc_id, rank, ms, gaps, unnest(range(1, len(ms) + 1)) AS i FROM f WHERE len(ms) > 0),
+q AS (SELECT doc_id, rank, ms[i] AS m, (coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0)
+        + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::INT AS s FROM u),
+p AS (SELECT *, (s + length(m))::INT AS e, regexp_replace(m, '[^0-9]', '', 'g') AS digits, replace(m, ' ', '') AS compact FROM q),
+a AS ({" UNION ALL ".join(spans)}),
+k AS (SELECT * FROM a x WHERE rank < {n} OR NOT EXISTS (SELECT 1 FROM a b WHERE b.doc_id = x.doc_id AND b.rank < {n} AND b.s < x.e AND x.s < b.e)),
+g AS (SELECT doc_id, {counts}, coalesce(string_agg({text}, ',' ORDER BY rank, s) FILTER (rank < {n}), '') AS base,
+        string_agg({text}, ',' ORDER BY rank, s) AS spans FROM k GROUP BY doc_id)
+SELECT t.doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in personal.KINDS if k.base)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN g USING (doc_id)
+"""
+
+
 def mixing_sql() -> str:
     return rf"""
 WITH d AS (
@@ -121,6 +177,7 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 
 ORACLE = {
     "op1_quality_rules": quality_sql(),
+    "op2_personal_data": personal_sql(),
     "op4_mix_sources": mixing_sql(),
     "op9_minhash_near_dedup": near_duplicates_sql(),
 }

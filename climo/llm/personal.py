@@ -125,7 +125,7 @@ def kind_spans(text: Column, kind: Kind) -> Column:
 
     def scored(s: Column) -> Column:
         begin = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        near = F.lower(F.substring(text, begin + 1, s["start"] - begin)).rlike(rf"\b(?:{kind.context})")
+        near = F.lower(F.substring(text, begin + 1, s["start"] - begin)).rlike(f"(?:^|[^a-z])(?:{kind.context})")
         return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
                         (F.lit(kind.score) + F.when(near, kind.boost).otherwise(0.0)).alias("score"))
 
