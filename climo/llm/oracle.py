@@ -157,6 +157,25 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, (copies * size)::BIGIN
 """
 
 
+def lines_sql() -> str:
+    return r"""
+WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i
+           FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+c AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS code FROM l),
+m AS (SELECT *, (coalesce(lag(code) OVER w, 0) * 31 + code) % 4 = 0 AS marked FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT *, marked AND NOT coalesce(lag(marked) OVER w, false) AS ends FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM e),
+k AS (SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS lines, min(i) AS pos FROM n GROUP BY ALL),
+g AS (SELECT *, lines > 1 AND regexp_matches(body, '[^\x20\x09-\x0D]')
+        AND row_number() OVER (PARTITION BY body, lines > 1 ORDER BY doc_id, chunk) > 1 AS gone FROM k),
+t AS (SELECT doc_id, count(*) FILTER (gone) AS removed_chunks, coalesce(sum(lines) FILTER (NOT gone), 0) AS kept,
+        coalesce(string_agg(body, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM g GROUP BY doc_id)
+SELECT doc_id, removed_chunks::BIGINT AS removed_chunks, (CASE WHEN text = '' THEN 0 ELSE kept END)::BIGINT AS lines_left,
+  length(text)::BIGINT AS chars_left, sha256(text) AS text_sha256
+FROM t
+"""
+
+
 def near_duplicates_sql(width: int = 3, percent: int = 85) -> str:
     """Brute force: every pair of documents that shares a shingle."""
     return rf"""
@@ -179,5 +198,6 @@ ORACLE = {
     "op1_quality_rules": quality_sql(),
     "op2_personal_data": personal_sql(),
     "op4_mix_sources": mixing_sql(),
+    "op8_line_dedup": lines_sql(),
     "op9_minhash_near_dedup": near_duplicates_sql(),
 }

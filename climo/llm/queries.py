@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from climo.llm import minhash, mixing, packing, personal, quality
+from climo.llm import lines, minhash, mixing, packing, personal, quality
 from climo.llm.oracle import ORACLE  # noqa: F401 - read by __spark_entry__.py
 from climo.llm.tables import table
 
@@ -33,6 +33,17 @@ def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line deduplication leaves of every document: removed chunks, lines and the text's digest (see ``lines``)."""
+    docs = table(spark, sf_dir, "documents")
+    left = lines.dedup_lines(docs)
+    n_lines = F.when(F.col("text") == "", F.lit(0)).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)
+    return left.select("doc_id", F.col("removed_chunks").cast("long").alias("removed_chunks"),
+                       F.coalesce(n_lines, F.lit(0)).cast("long").alias("lines_left"),
+                       F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars_left"),
+                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 3-word shingles, Jaccard similarity of 0.85 or more (see ``minhash``)."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
@@ -43,5 +54,6 @@ QUERIES = {
     "op2_personal_data": op2_personal_data,
     "op4_mix_sources": op4_mix_sources,
     "op6_pack_sequences": op6_pack_sequences,
+    "op8_line_dedup": op8_line_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
