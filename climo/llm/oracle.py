@@ -194,10 +194,27 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
 
+def vectors_sql(threshold: float = 0.93) -> str:
+    """Brute force: every pair of vectors with equal labels."""
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+      WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= {threshold}),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+r(id, reach) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON r.reach = l.a),
+c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY id)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e LEFT JOIN n ON e.vec_id = n.a LEFT JOIN c ON e.vec_id = c.id
+"""
+
+
 ORACLE = {
     "op1_quality_rules": quality_sql(),
     "op2_personal_data": personal_sql(),
     "op4_mix_sources": mixing_sql(),
     "op8_line_dedup": lines_sql(),
     "op9_minhash_near_dedup": near_duplicates_sql(),
+    "op10_vector_near_dedup": vectors_sql(),
 }

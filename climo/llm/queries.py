@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from climo.llm import lines, minhash, mixing, packing, personal, quality
+from climo.llm import lattice, lines, minhash, mixing, packing, personal, quality
 from climo.llm.oracle import ORACLE  # noqa: F401 - read by __spark_entry__.py
 from climo.llm.tables import table
 
@@ -49,6 +49,11 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
+def op10_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components and link counts of all vectors: cosine of 0.93 or more within labels (see ``lattice``)."""
+    return lattice.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_personal_data": op2_personal_data,
@@ -56,4 +61,5 @@ QUERIES = {
     "op6_pack_sequences": op6_pack_sequences,
     "op8_line_dedup": op8_line_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_vector_near_dedup": op10_vector_near_dedup,
 }
