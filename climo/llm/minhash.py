@@ -6,10 +6,13 @@
   value.  Optimal densification: an empty bin copies the first filled bin in a random order of its own, the
   same for all documents.
 * ``rows`` neighbouring bins form a band; classes that agree in a band share a bucket.
-* Candidate edges are stars: a bucket's members are compared with its centre, and links are confirmed on the full sets.
-  A star may miss a link between two members that both lie too far from the centre.  So buckets whose members
-  are not yet all in one component go on with further centres, those with most links first, four times as many
-  each round, until their members are connected or all of them have been compared.  No bucket is cut or sampled.
+* Candidate edges are stars, so their number grows with the members of a bucket: members are compared with the
+  bucket's smallest id, and links are confirmed on the full sets.  A star misses a link between two members that
+  both lie too far from its centre.  So buckets whose members are in several components get further stars around
+  the members with most links so far (the text that the others were made from, if there is one) and around members
+  that just failed to link with a centre, again and again until such a round links nothing new.  No bucket is cut or
+  sampled.  What can still be missed is a link whose two ends share only buckets of five or more members in
+  which neither end is ever a centre.
 """
 
 from __future__ import annotations
@@ -123,50 +126,65 @@ def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(sets, "id long, hashes array<long>")
 
 
+#: Pairs that miss the limit by at most this many percent make one end a centre.
+NEAR_MISS_PERCENT = 3
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v, linked) of (u, v): compared on the full sets."""
+    """(u, v, linked, near) of (u, v): compared on the full sets."""
     left = pairs.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("_hu")), "u")
     both = left.join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("_hv")), "v")
     shared = F.size(F.array_intersect("_hu", "_hv"))
     union = F.size("_hu") + F.size("_hv") - shared
-    return both.select("u", "v", (F.lit(100) * shared >= F.lit(percent) * union).alias("linked"))
+    return both.select("u", "v", (F.lit(100) * shared >= F.lit(percent) * union).alias("linked"),
+                       (F.lit(100) * shared >= F.lit(percent - NEAR_MISS_PERCENT) * union).alias("near"))
+
+
+def _undecided(tested: DataFrame, known: DataFrame) -> DataFrame:
+    """(id): of each near miss between two components the end with fewer links."""
+    def end(name: str) -> DataFrame:
+        return known.select(F.col("id").alias(name), F.col("component").alias(f"_c{name}"), F.col("degree").alias(f"_d{name}"))
+
+    misses = tested.where("near and not linked").join(end("u"), "u", "left").join(end("v"), "v", "left")
+    apart = misses.where(F.coalesce("_cu", "u") != F.coalesce("_cv", "v"))
+    ends = [F.struct(F.coalesce(f"_d{x}", F.lit(0)).alias("degree"), F.col(x).alias("id")) for x in ("u", "v")]
+    return apart.select(F.least(*ends)["id"].alias("id")).distinct()
 
 
 def _edge(a: str, b: str) -> list:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
-def class_links(members: DataFrame, sets_of, percent: int) -> DataFrame:
-    """Links (u, v) that connect what the buckets ``members`` (bucket, id) can connect.
+def class_links(members: DataFrame, sets_of, percent: int, centres: int = 3) -> DataFrame:
+    """Links (u, v) found by stars in the buckets ``members`` (bucket, id); ``centres`` per bucket and further round.
 
     ``sets_of(ids)`` gives (id, hashes) of the ids that share a bucket with another.
     """
     shared = written(members.groupBy("bucket").agg(F.count("*").alias("members"), F.min("id").alias("centre"))
-                         .where("members > 1"))
+                     .where("members > 1"))
     inside = written(members.join(shared, "bucket"))
     sets = written(sets_of(inside.select("id").distinct()))
     tested = written(_confirmed(inside.where("id <> centre").select(*_edge("id", "centre")).distinct(), sets, percent))
-    centres = 1
     while True:
         links = tested.where("linked")
         parts = connected_components(links)
         degree = links.select(F.col("u").alias("id")).union(links.select("v")).groupBy("id").agg(F.count("*").alias("degree"))
         known = parts.join(degree, "id")
-        placed = inside.where(F.col("members") > centres + 1).select("bucket", "id", "members").join(known, "id", "left")
-        placed = written(placed.select("bucket", "id", "members", F.coalesce("component", "id").alias("component"),
-                                           F.coalesce("degree", F.lit(0)).alias("degree")))
+        placed = inside.where("members > 2").select("bucket", "id").join(known, "id", "left")
+        placed = written(placed.select("bucket", "id", F.coalesce("component", "id").alias("component"),
+                                       F.coalesce("degree", F.lit(0)).alias("degree")))
         split = placed.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
-        split = written(split.where("_low <> _high").select("bucket"))
-        if not split.limit(1).count():
-            return links.select("u", "v")
-        centres *= 4
-        rest = placed.join(split, "bucket")
+        rest = placed.join(written(split.where("_low <> _high").select("bucket")), "bucket")
         ranked = rest.withColumn("_rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("degree").desc(), "id")))
-        chosen = ranked.where(F.col("_rank") <= centres).select(
-            "bucket", F.col("id").alias("centre"), F.col("component").alias("_component"))
+        centre = ["bucket", F.col("id").alias("centre"), F.col("component").alias("_component")]
+        chosen = ranked.where(F.col("_rank") <= centres).select(*centre).union(
+            rest.join(_undecided(tested, known), "id").select(*centre))
+        chosen = written(chosen)
         pairs = rest.join(chosen, "bucket").where("component <> _component").select(*_edge("id", "centre")).distinct()
-        fresh = _confirmed(pairs.join(tested, ["u", "v"], "left_anti"), sets, percent)
+        fresh = written(_confirmed(pairs.join(tested, ["u", "v"], "left_anti"), sets, percent))
         tested = written(tested.union(fresh))
+        if not fresh.where("linked").limit(1).count():
+            return tested.where("linked").select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
