@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from climo.llm import lattice, lines, minhash, mixing, packing, personal, quality
+from climo.llm import lattice, lines, minhash, mixing, packing, personal, quality, toxicity
 from climo.llm.oracle import ORACLE  # noqa: F401 - read by __spark_entry__.py
 from climo.llm.tables import table
 
@@ -33,6 +33,12 @@ def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from the labels that are not held out (see ``toxicity``)."""
+    scored = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What line deduplication leaves of every document: removed chunks, lines and the text's digest (see ``lines``)."""
     docs = table(spark, sf_dir, "documents")
@@ -59,6 +65,7 @@ QUERIES = {
     "op2_personal_data": op2_personal_data,
     "op4_mix_sources": op4_mix_sources,
     "op6_pack_sequences": op6_pack_sequences,
+    "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_vector_near_dedup": op10_vector_near_dedup,
