@@ -128,6 +128,20 @@ FROM t LEFT JOIN g USING (doc_id)
 """
 
 
+def chat_sql() -> str:
+    """All but n_tokens follows from the turns."""
+    return r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+f AS (SELECT *, regexp_replace(text, '(\\|</?turn)', '\\\1', 'g') AS escaped FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<turn >') + length(role) + 1 + length(escaped) + length('</turn>') + 1)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+
 def mixing_sql() -> str:
     return rf"""
 WITH d AS (
@@ -213,6 +227,7 @@ FROM embeddings e LEFT JOIN n ON e.vec_id = n.a LEFT JOIN c ON e.vec_id = c.id
 ORACLE = {
     "op1_quality_rules": quality_sql(),
     "op2_personal_data": personal_sql(),
+    "op3_chat_format": chat_sql(),
     "op4_mix_sources": mixing_sql(),
     "op8_line_dedup": lines_sql(),
     "op9_minhash_near_dedup": near_duplicates_sql(),

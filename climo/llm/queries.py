@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from climo.llm import lattice, lines, minhash, mixing, packing, personal, quality, toxicity
+from climo.llm import chat, lattice, lines, minhash, mixing, packing, personal, quality, toxicity
 from climo.llm.oracle import ORACLE  # noqa: F401 - read by __spark_entry__.py
 from climo.llm.tables import table
 
@@ -20,6 +20,14 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.span_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests, read back from the formatted output, of all conversations and of conversation -7 (see ``chat``)."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    return chat.conversation_digests(chat.format_conversations(rows.unionByName(extra))).drop("n_tokens")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document when sources are mixed to weights 1, 2, 3 in turn (see ``mixing``)."""
     mixed = mixing.mixed_documents(table(spark, sf_dir, "documents"))
@@ -63,6 +71,7 @@ def op10_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_personal_data": op2_personal_data,
+    "op3_chat_format": op3_chat_format,
     "op4_mix_sources": op4_mix_sources,
     "op6_pack_sequences": op6_pack_sequences,
     "op7_toxicity": op7_toxicity,
