@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from climo.llm import chat, lattice, lines, minhash, mixing, packing, personal, quality, toxicity
+from climo.llm import chat, lattice, lines, minhash, mixing, packing, passages, personal, quality, toxicity
 from climo.llm.oracle import ORACLE  # noqa: F401 - read by __spark_entry__.py
 from climo.llm.tables import table
 
@@ -34,6 +34,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op5_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuzzy passages of 45 words or more that documents share, with the first document that holds each (see ``passages``)."""
+    return passages.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in sequences of 2048 tokens, with the CRC-32 of its ids (see ``packing``)."""
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -73,6 +78,7 @@ QUERIES = {
     "op2_personal_data": op2_personal_data,
     "op3_chat_format": op3_chat_format,
     "op4_mix_sources": op4_mix_sources,
+    "op5_shared_passages": op5_shared_passages,
     "op6_pack_sequences": op6_pack_sequences,
     "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
