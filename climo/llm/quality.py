@@ -35,9 +35,9 @@ STRIPPED = ".,;:!?()\"'"
 CLASSES = ("lower", "upper", "digit", "space", "punctuation", "symbol", "other", "non_ascii")
 
 VOCABULARY = sorted({w for words in COMMON_WORDS.values() for w in words})
-FEATURES_SCHEMA = ("doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+FEATURES_SCHEMA = ("doc_id long, lang string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
                    "n_repeat_words long, class_shares array<double>, common_shares array<double>")
-_ARROW = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *((c, pa.int64()) for c in (
+_ARROW = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text_hash", pa.int64()), *((c, pa.int64()) for c in (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
     ("class_shares", pa.list_(pa.float64())), ("common_shares", pa.list_(pa.float64()))])
 
@@ -93,15 +93,16 @@ def text_features(text: str) -> tuple:
 
 
 def document_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """FEATURES_SCHEMA, one row per document, whole texts (null: empty)."""
+    """FEATURES_SCHEMA, one row per document, whole texts (null: empty); text_hash tells rows of one id apart."""
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [text_features(t.as_py() or "") for t in batch.column(1)]
             cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(
-                pa.array(c, f.type) for c, f in zip(cols, list(_ARROW)[2:], strict=True))], schema=_ARROW)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *(
+                pa.array(c, f.type) for c, f in zip(cols, list(_ARROW)[3:], strict=True))], schema=_ARROW)
 
-    picked = docs.select(docs[id_col].cast("long"), docs[text_col].cast("string"), docs[lang_col].cast("string"))
+    picked = docs.select(docs[id_col].cast("long"), docs[text_col].cast("string"), docs[lang_col].cast("string"),
+                         F.xxhash64(docs[text_col].cast("string")))
     return picked.mapInArrow(features, FEATURES_SCHEMA)
 
 
@@ -171,5 +172,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     far = beyond("class_distance", class_limit) | beyond("common_distance", common_limit)
     scored = scored.withColumn("base_failed", base_failed())
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    return scored.select("doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "class_distance", "common_distance", "base_failed", (~F.col("base_failed") & ~far).alias("kept"))
+
+
+def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **limits) -> DataFrame:
+    """The rows of ``docs`` that ``score_documents`` keeps, with the columns of ``docs``; edge cases as there."""
+    rejected = score_documents(docs, id_col, text_col, lang_col, **limits).where(~F.col("kept")).select(
+        F.col("doc_id").alias("_rejected"), F.col("text_hash").alias("_text_hash")).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(F.col("_rejected")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_text_hash"))
+    return docs.join(rejected, same, "left_anti")
