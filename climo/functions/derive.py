@@ -81,15 +81,14 @@ def cut(x, edges: Sequence[float], labels: Sequence[str]) -> Column:
     return expr
 
 
-def wind_speed_bin(speed, max_speed) -> Column:
-    """Wind speed category: right-closed bins with the data maximum as last edge."""
+def wind_speed_bin(speed) -> Column:
+    """Wind speed category: right-closed bins; the last one has no upper edge (the reference's is the data maximum)."""
     v = _c(speed)
     edges = WIND_SPEED_EDGES
     expr = None
     for i, lab in enumerate(WIND_SPEED_LABELS):
         lo = F.lit(float(edges[i]))
-        hi = F.lit(float(edges[i + 1])) if i + 1 < len(edges) else _c(max_speed)
-        cond = (v > lo) & (v <= hi)
+        cond = (v > lo) & (v <= float(edges[i + 1])) if i + 1 < len(edges) else (v > lo) & ~F.isnan(v)
         expr = F.when(cond, F.lit(lab)) if expr is None else expr.when(cond, F.lit(lab))
     return expr
 

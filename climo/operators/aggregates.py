@@ -324,10 +324,8 @@ def wind_rose(wind: DataFrame, keys: Sequence[str] = ("station",), months: Seque
     """Count by (month, speed bin, 16-point direction); rolled up over the
     selected months with each combination's share of the total (W14)."""
     from climo.functions import derive as dv
-    sc = reshape.per_key_scalars(wind, keys, _maxs=F.max("wind_speed"))
-    w = reshape.attach_scalars(wind, sc, keys)
-    binned = (w.withColumns({"month": cal.month_label("date"),
-                             "wind_speed_cat": dv.wind_speed_bin("wind_speed", "_maxs"),
+    binned = (wind.withColumns({"month": cal.month_label("date"),
+                             "wind_speed_cat": dv.wind_speed_bin("wind_speed"),
                              "wind_direction_cat": dv.compass_sector("wind_direction")})
               .filter(F.col("wind_speed_cat").isNotNull() & F.col("wind_direction_cat").isNotNull()))
     if months is not None:

@@ -53,13 +53,6 @@ def doy_rank(df: DataFrame, value_col: str, ascending: bool, keys: Sequence[str]
     return rank_over(df, [*keys, doy_col], value_col, ascending, name)
 
 
-def _group_limit_threshold(df: DataFrame) -> int:
-    try:
-        return int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    except Exception:  # noqa: BLE001
-        return 1000
-
-
 def top_n_with_ties(df: DataFrame, partition_cols: Sequence[str], order_col: str, n: int,
                     ascending: bool = False, rank_col: str = "rank", method: str = "window") -> DataFrame:
     """Rows whose min-rank within their partition is ≤ n (O3, W3, W5).  All
@@ -76,14 +69,14 @@ def top_n_with_ties(df: DataFrame, partition_cols: Sequence[str], order_col: str
     (partial hash aggregation, no sort of the facts), rank the n best
     distinct values per partition, and join the ranked values back to the
     rows.  Reads the input twice; useful when the input is a cheap scan with
-    very many duplicate values.
+    very many duplicate values, or an ``n`` above
+    ``spark.sql.optimizer.windowGroupLimitThreshold``.  Both methods return
+    the columns of ``df`` and the rank.
     """
     part = list(partition_cols)
     v = F.col(order_col)
     rows = df.filter(v.isNotNull())
     order = _order(order_col, ascending)
-    if method == "window" and n > _group_limit_threshold(df):
-        method = "distinct"          # Catalyst would not insert WindowGroupLimit for this n
     if method == "window":
         w = Window.partitionBy(*part).orderBy(order) if part else Window.orderBy(order)
         return rows.withColumn(rank_col, F.rank().over(w)).filter(F.col(rank_col) <= n)
@@ -98,7 +91,7 @@ def top_n_with_ties(df: DataFrame, partition_cols: Sequence[str], order_col: str
     ranked = (best.withColumn(rank_col, (F.coalesce(F.sum("_ties").over(wr), F.lit(0)) + 1).cast("int"))
               .filter(F.col(rank_col) <= n)
               .select(*part, order_col, rank_col))
-    return rows.join(ranked, [*part, order_col])
+    return rows.join(ranked, [*part, order_col]).select(*rows.columns, rank_col)
 
 
 def top_k(df: DataFrame, order_col: str, k: int, ascending: bool = False,

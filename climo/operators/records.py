@@ -134,8 +134,7 @@ def daily_precip_records(silver: DataFrame, n: int = RECORDS_DEFAULT,
 
     gaps = windows.gap_since_previous(silver.select(*k, "date", "precip_day"), F.col("precip_day") == 1, k,
                                       out_col="metric_value")
-    dry = (ranks.top_n_with_ties(gaps, k, "metric_value", n, ascending=False)
-           .filter(F.col("metric_value") > 0)
+    dry = (ranks.top_n_with_ties(gaps.filter(F.col("metric_value") > 0), k, "metric_value", n, ascending=False)
            .withColumns({"metric_name": F.lit("precip"), "month": F.lit("ALL"),
                          "record": F.lit("consecutive_days_dry")}))
     for f in (dry, latest, earliest):
@@ -173,15 +172,17 @@ def monthly_precip_records(precip_rank: DataFrame, n: int = RECORDS_DEFAULT,
 
 
 def records_page(records: DataFrame, record: str, keys: Sequence[str] = ("station",),
-                 decimals: int = 2, as_of_year=None) -> DataFrame:
+                 decimals: int = 2, as_of_year=None, observed: DataFrame | None = None) -> DataFrame:
     """One record family as a page: rank, date label, rounded value and a
-    flag for records set in the last three years (relative to ``as_of_year``,
-    default each station's latest year in the table — never the clock)."""
+    flag for records set in the last three years: relative to ``as_of_year``,
+    or else to each station's latest year in the table ``observed`` (with a
+    ``date`` column) that the records were made from — never the clock."""
     k = list(keys)
     r = records.filter(F.col("record") == record)
-    year_of = F.regexp_extract(F.col("date"), r"(\d{4})", 1).cast("int")
     if as_of_year is None:
-        sc = reshape.per_key_scalars(r.withColumn("_y", year_of), k, _asof=F.max("_y"))
+        if observed is None:
+            raise ValueError("records_page needs as_of_year, or the observed table to take each station's latest year from")
+        sc = reshape.per_key_scalars(observed, k, _asof=F.max(F.year("date")))
         r = reshape.attach_scalars(r, sc, k)
     else:
         r = r.withColumn("_asof", F.lit(int(as_of_year)))

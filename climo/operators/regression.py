@@ -24,7 +24,7 @@ from typing import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,78 +32,50 @@ from pyspark.sql import types as T
 # basis functions (numpy, evaluated inside tasks)
 
 
-def _cyclic_f(knots: np.ndarray) -> np.ndarray:
-    h = np.diff(knots)
-    n = knots.size - 1
-    b = np.zeros((n, n))
-    d = np.zeros((n, n))
-    b[0, 0] = (h[n - 1] + h[0]) / 3.0
-    b[0, n - 1] = h[n - 1] / 6.0
-    b[n - 1, 0] = h[n - 1] / 6.0
-    d[0, 0] = -1.0 / h[0] - 1.0 / h[n - 1]
-    d[0, n - 1] = 1.0 / h[n - 1]
-    d[n - 1, 0] = 1.0 / h[n - 1]
-    for i in range(1, n):
-        b[i, i] = (h[i - 1] + h[i]) / 3.0
-        b[i, i - 1] = h[i - 1] / 6.0
-        b[i - 1, i] = h[i - 1] / 6.0
-        d[i, i] = -1.0 / h[i - 1] - 1.0 / h[i]
-        d[i, i - 1] = 1.0 / h[i - 1]
-        d[i - 1, i] = 1.0 / h[i - 1]
-    return np.linalg.solve(b, d)
-
-
-def _natural_f(knots: np.ndarray) -> np.ndarray:
+def _curvatures(knots: np.ndarray, cyclic: bool) -> np.ndarray:
+    """Second derivatives at the knots of the cubic splines through unit values.
+
+    Between knots a cubic spline has linear second derivatives m; continuity of the slope says A m = -K f with the
+    mass matrix A and the stiffness matrix K of hat functions on the knot grid.  Both are summed up from
+    per-interval matrices; a cyclic grid identifies its ends, a natural spline has m = 0 there.
+    """
     h = np.diff(knots)
-    m = knots.size
-    a = np.zeros((m - 2, m - 2))
-    for i in range(m - 2):
-        a[i, i] = (h[i] + h[i + 1]) / 3.0
-        if i + 1 < m - 2:
-            a[i, i + 1] = h[i + 1] / 6.0
-            a[i + 1, i] = h[i + 1] / 6.0
-    d = np.zeros((m - 2, m))
-    for i in range(m - 2):
-        d[i, i] = 1.0 / h[i]
-        d[i, i + 2] = 1.0 / h[i + 1]
-        d[i, i + 1] = -d[i, i] - d[i, i + 2]
-    fm = np.linalg.solve(a, d)
-    return np.vstack([np.zeros(m), fm, np.zeros(m)])
+    size = h.size if cyclic else h.size + 1
+    left = np.eye(size)[np.arange(h.size)]                      # interval -> its left / right knot
+    right = np.eye(size)[np.arange(1, h.size + 1) % size]
+    jump, both = right - left, right + left
+    stiffness = jump.T @ (jump / h[:, None])
+    mass = both.T @ (both * h[:, None] / 6) + np.diag(both.T @ h / 6)
+    if cyclic:
+        return -np.linalg.solve(mass, stiffness)
+    out = np.zeros((size, size))
+    out[1:-1] = -np.linalg.solve(mass[1:-1, 1:-1], stiffness[1:-1])
+    return out
 
 
 def spline_basis(x: np.ndarray, knots: np.ndarray, cyclic: bool) -> np.ndarray:
-    """Raw cubic regression spline basis (rows = x, columns = knots [−1 if cyclic])."""
-    x = np.asarray(x, dtype=float).copy()
+    """Cubic regression spline basis: one row per x, one column per knot (the last is the first if cyclic).
+
+    Column k is the spline through 1 at knot k and 0 at the others.  Cyclic splines are periodic; natural
+    ones go on as straight lines outside the knots.
+    """
     knots = np.asarray(knots, dtype=float)
-    lo, hi = knots[0], knots[-1]
-    n = knots.size
-    if cyclic:
-        span = hi - lo
-        above, below = x > hi, x < lo
-        x[above] = lo + (x[above] - hi) % span
-        x[below] = hi - (lo - x[below]) % span
-        n -= 1
-    j = np.searchsorted(knots, x) - 1
-    j[j < 0] = 0
-    j[j > knots.size - 2] = knots.size - 2
-    h = np.diff(knots)[j]
-    u = knots[j + 1] - x
-    v = x - knots[j]
-    ajm, ajp = u / h, v / h
-    cjm_3 = u ** 3 / (6.0 * h)
-    cjp_3 = v ** 3 / (6.0 * h)
-    if not cyclic:
-        cjm_3[x > hi] = 0.0
-        cjp_3[x < lo] = 0.0
-    cjm = cjm_3 - h * u / 6.0
-    cjp = cjp_3 - h * v / 6.0
-    j1 = j + 1
+    x = np.asarray(x, dtype=float)
     if cyclic:
-        j1[j1 == n] = 0
-    fmat = _cyclic_f(knots) if cyclic else _natural_f(knots)
-    eye = np.identity(n)
-    return (ajm[:, None] * eye[j, :] + ajp[:, None] * eye[j1, :]
-            + cjm[:, None] * fmat[j, :] + cjp[:, None] * fmat[j1, :])
+        period = knots[-1] - knots[0]
+        x = np.where((x < knots[0]) | (x > knots[-1]), knots[0] + np.mod(x - knots[0], period), x)
+    at = np.clip(np.searchsorted(knots, x) - 1, 0, knots.size - 2)
+    h = np.diff(knots)[at]
+    t = (x - knots[at]) / h
+    inside = (x >= knots[0]) & (x <= knots[-1])
+    curved = lambda w: np.where(inside, w ** 3, 0.0) - w
+    bend = _curvatures(knots, cyclic)
+    size = bend.shape[0]
+    first, second = at, (at + 1) % size
+    value, unit = np.zeros((x.size, size)), np.eye(size)
+    value += (1 - t)[:, None] * unit[first] + t[:, None] * unit[second]
+    value += (h * h / 6 * curved(1 - t))[:, None] * bend[first] + (h * h / 6 * curved(t))[:, None] * bend[second]
+    return value
 
 
 def center_matrix(col_means: np.ndarray) -> np.ndarray:
@@ -130,7 +102,6 @@ class Term:
     levels: Sequence = ()
     by: str | None = None          # categorical column for month:cc(hour)
     knots: np.ndarray | None = field(default=None, repr=False)
-    n_distinct: int | None = field(default=None, repr=False)   # approx distinct x (set by fit_knots)
 
     @property
     def name(self) -> str:
@@ -190,56 +161,63 @@ def cc_by(by: str, levels, col, df, lower=None, upper=None, center=True) -> Term
     return Term("by_level", col, df, lower, upper, center, levels=list(levels), by=by)
 
 
-# Exact knot quantiles hold a term's distinct values in the final task of one
-# aggregate.  Calendar-grid inputs (day of year, hour of day, days since a
-# start date) have few distinct values; above this bound the quantiles come
-# from a bounded-memory sketch instead (relative rank error 1/KNOT_SKETCH_ACCURACY).
-EXACT_KNOT_DISTINCT_LIMIT = 2_000_000
-KNOT_SKETCH_ACCURACY = 100_000
+SPLINE_KINDS = ("cc", "cr", "by_level")
+QUANTILE_SEGMENTS = 4096
+
+
+def distinct_quantiles(values: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles (linear interpolation) of the distinct values ``_x`` per (keys, ``_j``), as an array ``_q``.
+
+    Values are numbered in stretches of equal width (rows in a stretch, plus the rows of the stretches before
+    it), so no task holds or sorts all values of a key; the two neighbours of each quantile position are then
+    looked up by number.
+    """
+    group = [*keys, "_j"]
+    span = values.groupBy(*group).agg(F.min("_x").alias("_from"), F.max("_x").alias("_to"), F.count(F.lit(1)).alias("_n"))
+    share = (F.col("_x") - F.col("_from")) / (F.col("_to") - F.col("_from"))
+    stretch = F.when(F.col("_to") > F.col("_from"), F.least(F.floor(share * QUANTILE_SEGMENTS), F.lit(QUANTILE_SEGMENTS - 1))).otherwise(F.lit(0))
+    dealt = values.join(span, group).select(*group, "_x", stretch.cast("int").alias("_s"))
+    sizes = dealt.groupBy(*group, "_s").agg(F.count(F.lit(1)).alias("_c"))
+    earlier = Window.partitionBy(*group).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*group, "_s", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_off"))
+    order = Window.partitionBy(*group, "_s").orderBy("_x")
+    numbered = dealt.join(offsets, [*group, "_s"]).select(*group, (F.col("_off") + F.row_number().over(order) - 1).alias("_r"), "_x")
+    spots = span.select(*group, "_n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"))
+    spots = spots.withColumn("_at", F.col("_p") * (F.col("_n") - 1)).withColumn("_below", F.floor("_at"))
+    needed = spots.select(*group, "_i", (F.col("_at") - F.col("_below")).alias("_f"),
+                          F.explode(F.array_distinct(F.array("_below", F.least(F.col("_below") + 1, F.col("_n") - 1)))).alias("_r"))
+    met = needed.join(numbered, [*group, "_r"]).groupBy(*group, "_i").agg(F.min("_x").alias("_a"), F.max("_x").alias("_b"), F.first("_f").alias("_f"))
+    value = F.struct("_i", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("q"))
+    return met.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(value)), lambda s: s["q"]).alias("_q"))
+
+
+def _inner_probs(t: Term) -> list[float]:
+    n_inner = t.df - 2 + (1 if t.center else 0) + (1 if t.kind != "cr" else 0)
+    return [float(p) for p in np.linspace(0, 1, n_inner + 2)[1:-1]]
 
 
 def fit_knots(df: DataFrame, terms: Sequence[Term]) -> list[Term]:
-    """Fill in knots of every spline term from the data: bounds and quantiles
-    of the distinct values in bounds.  All terms are served by one pass for
-    the bounds (plus an approximate distinct count) and one aggregate for all
-    quantile arrays; only the df+2 knot values per term reach the driver."""
-    todo = [t for t in terms if t.kind in ("cc", "cr", "by_level") and t.knots is None]
+    """Fill in knots of every spline term from the data: bounds and exact
+    quantiles of the distinct values in bounds, at every number of values.
+    Only the df+2 knot values per term reach the driver."""
+    todo = [t for t in terms if t.kind in SPLINE_KINDS and t.knots is None]
     if not todo:
         return list(terms)
     cols = sorted({t.col for t in todo})
     b = df.agg(*[F.min(F.col(c).cast("double")).alias(f"lo_{i}") for i, c in enumerate(cols)],
-               *[F.max(F.col(c).cast("double")).alias(f"hi_{i}") for i, c in enumerate(cols)],
-               *[F.approx_count_distinct(F.col(c)).alias(f"nd_{i}") for i, c in enumerate(cols)]).first()
-    specs = []
-    for t in todo:
-        i = cols.index(t.col)
-        t.n_distinct = int(b[f"nd_{i}"] or 0)
-        lo = t.lower if t.lower is not None else b[f"lo_{i}"]
-        hi = t.upper if t.upper is not None else b[f"hi_{i}"]
-        n_inner = t.df - 2 + (1 if t.center else 0) + (1 if t.kind != "cr" else 0)
-        specs.append((t, lo, hi, n_inner))
-    aggs = []
-    for j, (t, lo, hi, n_inner) in enumerate(specs):
-        if n_inner > 0:
-            i = cols.index(t.col)
-            probs = [float(p) for p in np.linspace(0, 1, n_inner + 2)[1:-1]]
-            x = F.col(f"x_{i}")
-            xin = F.when(x.between(lo, hi), x)
-            exact = (b[f"nd_{i}"] or 0) <= EXACT_KNOT_DISTINCT_LIMIT
-            q = F.percentile(xin, probs) if exact else F.percentile_approx(xin, probs, KNOT_SKETCH_ACCURACY)
-            aggs.append(q.cast("array<double>").alias(f"q_{j}"))
-    q = None
-    if aggs:
-        # distinct values per column (the quantiles are over distinct x); one
-        # exploded frame of (column index, value) keeps it a single pass
-        pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("ci"), F.col(c).cast("double").alias("v"))
-                                    for i, c in enumerate(cols)]))
-        dv = df.select(pairs.alias("p")).select("p.ci", "p.v").distinct()
-        wide = dv.select(*[F.when(F.col("ci") == i, F.col("v")).alias(f"x_{i}") for i in range(len(cols))])
-        q = wide.agg(*aggs).first()
-    for j, (t, lo, hi, n_inner) in enumerate(specs):
-        inner = q[f"q_{j}"] if (q is not None and n_inner > 0) else []
-        t.knots = np.unique(np.concatenate([[lo, hi], np.asarray(inner or [], dtype=float)]))
+               *[F.max(F.col(c).cast("double")).alias(f"hi_{i}") for i, c in enumerate(cols)]).first()
+    bounds = [(t.lower if t.lower is not None else b[f"lo_{cols.index(t.col)}"],
+               t.upper if t.upper is not None else b[f"hi_{cols.index(t.col)}"]) for t in todo]
+    wanted = sorted({p for t in todo for p in _inner_probs(t)})
+    found = {}
+    if wanted:
+        pairs = F.explode(F.array(*[F.struct(F.lit(j).alias("_j"), F.when(F.col(t.col).cast("double").between(lo, hi), F.col(t.col).cast("double")).alias("_x"))
+                                    for j, (t, (lo, hi)) in enumerate(zip(todo, bounds))]))
+        values = df.select(pairs.alias("p")).select("p._j", "p._x").where("_x is not null").distinct()
+        found = {r["_j"]: dict(zip(wanted, r["_q"])) for r in distinct_quantiles(values, [], wanted).collect()}
+    for j, (t, (lo, hi)) in enumerate(zip(todo, bounds)):
+        inner = [found[j][p] for p in _inner_probs(t)] if j in found else []
+        t.knots = np.unique(np.concatenate([[lo, hi], np.asarray(inner, dtype=float)]))
     return list(terms)
 
 
@@ -303,62 +281,34 @@ def centering_transform(terms: Sequence[Term], col_means: np.ndarray) -> np.ndar
 # Student t distribution (two-sided p-values) without scipy
 
 
-def _betacf(a: float, b: float, x: np.ndarray, iters: int = 500, eps: float = 1e-15) -> np.ndarray:
-    """Continued fraction of the incomplete beta function (modified Lentz),
-    vectorised over x, stopping once every element has converged."""
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c = np.ones_like(x)
-    d = 1.0 - qab * x / qap
-    d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-    h = d.copy()
-    for m in range(1, iters + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-        c = 1.0 + aa / np.where(np.abs(c) < tiny, tiny, c)
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-        c = 1.0 + aa / np.where(np.abs(c) < tiny, tiny, c)
-        delta = d * c
-        h *= delta
-        if np.all(np.abs(delta - 1.0) < eps):
-            break
-    return h
-
-
-def betainc(a: float, b: float, x) -> np.ndarray:
-    """Regularized incomplete beta I_x(a, b) for scalar a, b and array x."""
-    x = np.clip(np.atleast_1d(np.asarray(x, dtype=float)), 0.0, 1.0)
-    out = np.where(x >= 1.0, 1.0, 0.0)
-    inner = (x > 0.0) & (x < 1.0)
-    if not inner.any():
-        return out
-    xi = x[inner]
-    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    front = np.exp(lbeta + a * np.log(xi) + b * np.log1p(-xi))
-    direct = xi < (a + 1.0) / (a + b + 2.0)
-    res = np.empty_like(xi)
-    if direct.any():
-        res[direct] = front[direct] * _betacf(a, b, xi[direct]) / a
-    if (~direct).any():
-        res[~direct] = 1.0 - front[~direct] * _betacf(b, a, 1.0 - xi[~direct]) / b
-    out[inner] = res
-    return out
+_GAUSS_X, _GAUSS_W = np.polynomial.legendre.leggauss(48)
+_PANELS = 6
 
 
 def t_two_sided_p(t, dof):
-    """Two-sided p-value of Student t statistics: I_{ν/(ν+t²)}(ν/2, 1/2)."""
+    """Two-sided p-values of Student t statistics.
+
+    With t = sqrt(v) tan(a) the tail is 2 C times the integral of cos(a)^(v-1) from a0 = atan(|t| / sqrt(v)) to pi / 2,
+    C = Gamma((v + 1) / 2) / (sqrt(pi) Gamma(v / 2)).  The integrand is taken relative to its value at a0, over the
+    stretch where it exceeds 1e-22 of that, by Gauss-Legendre quadrature on a few panels.
+    """
     t = np.atleast_1d(np.asarray(t, dtype=float))
-    dof = np.broadcast_to(np.asarray(dof, dtype=float), t.shape)
-    out = np.empty_like(t)
-    for v in np.unique(dof):
-        sel = dof == v
-        out[sel] = betainc(v / 2.0, 0.5, v / (v + t[sel] * t[sel]))
-    return out
+    v = np.broadcast_to(np.asarray(dof, dtype=float), t.shape)
+    start = np.arctan2(np.abs(t), np.sqrt(v))
+    power = v - 1
+    with np.errstate(divide="ignore", over="ignore"):
+        lowest = np.cos(start) * np.exp(-50.0 / np.maximum(power, 1e-9))
+    stop = np.where(power > 0, np.arccos(np.clip(lowest, 0.0, 1.0)), np.pi / 2)
+    width = (stop - start) / _PANELS
+    total = np.zeros_like(start)
+    log_base = np.log(np.maximum(np.cos(start), 1e-300))
+    for panel in range(_PANELS):
+        a = start + panel * width
+        angles = a[:, None] + width[:, None] * (_GAUSS_X + 1) / 2
+        relative = np.exp(power[:, None] * (np.log(np.maximum(np.cos(angles), 1e-300)) - log_base[:, None]))
+        total += relative @ _GAUSS_W * width / 2
+    log_c = np.array([math.lgamma((k + 1) / 2) - math.lgamma(k / 2) for k in v.ravel()]).reshape(v.shape) - 0.5 * math.log(math.pi)
+    return np.clip(2 * np.exp(log_c + power * log_base) * total, 0.0, 1.0)
 
 
 # ---------------------------------------------------------------------------
@@ -402,27 +352,19 @@ def _by_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-SPLINE_KINDS = ("cc", "cr", "by_level")
-
-
 def per_key_knots(df: DataFrame, terms: Sequence[Term], keys: Sequence[str]) -> DataFrame | None:
     """One row per key with the knots of every spline term computed from that
     key's own distinct values (bounds + quantiles, as a single-station fit
     would).  A key whose knots collapse (too few distinct values) gets the
     table-wide knots of ``fit_knots`` so that every key's design has the same
     width.  One pass over the rows for all terms: (term, value) pairs are
-    exploded, made distinct per key, and one percentile aggregate per
-    (key, term) — bounded by that key's distinct values, or a bounded sketch
-    when a term has more than ``EXACT_KNOT_DISTINCT_LIMIT`` distinct values —
-    yields every term's quantiles."""
+    exploded, made distinct per key, and ``distinct_quantiles`` takes every
+    term's quantiles exactly, whatever the number of values."""
     keys = list(keys)
     spl = [(j, t) for j, t in enumerate(terms) if t.kind in SPLINE_KINDS]
     if not spl:
         return None
-    probs_of = {}
-    for j, t in spl:
-        n_inner = t.df - 2 + (1 if t.center else 0) + (1 if t.kind != "cr" else 0)
-        probs_of[j] = [float(p) for p in np.linspace(0, 1, n_inner + 2)[1:-1]]
+    probs_of = {j: _inner_probs(t) for j, t in spl}
     all_probs = sorted({p for ps in probs_of.values() for p in ps})
     pairs = F.explode(F.array(*[F.struct(F.lit(j).alias("_j"), F.col(t.col).cast("double").alias("_x"))
                                 for j, t in spl]))
@@ -437,11 +379,8 @@ def per_key_knots(df: DataFrame, terms: Sequence[Term], keys: Sequence[str]) ->
         bounds = bounds.withColumn("_lo", F.coalesce(lo_fixed[F.col("_j")], F.col("_lo")))
     if hi_fixed is not None:
         bounds = bounds.withColumn("_hi", F.coalesce(hi_fixed[F.col("_j")], F.col("_hi")))
-    exact = all((t.n_distinct or 0) <= EXACT_KNOT_DISTINCT_LIMIT for _, t in spl)
-    pct = (F.percentile("_x", all_probs) if exact
-           else F.percentile_approx("_x", all_probs, KNOT_SKETCH_ACCURACY).cast("array<double>"))
-    q = (dv.join(bounds, [*keys, "_j"]).filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
-         .groupBy(*keys, "_j", "_lo", "_hi").agg(pct.alias("_q")))
+    bounded = dv.join(bounds, [*keys, "_j"]).filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+    q = distinct_quantiles(bounded.select(*keys, "_j", "_x"), keys, all_probs).join(bounds, [*keys, "_j"])
     cols = []
     for j, t in spl:
         idx = [all_probs.index(p) for p in probs_of[j]]

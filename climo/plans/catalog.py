@@ -635,7 +635,7 @@ def _mpr_sql() -> str:
     return ORACLE["monthly_precip_rank"]
 
 
-_register_monthly_records = register("monthly_precip_records", "WITH pr AS (" + _mpr_sql() + f"""),
+_register_monthly_records = register("monthly_precip_records", "WITH pr AS MATERIALIZED (" + _mpr_sql() + f"""),
 sy AS (SELECT * FROM pr WHERE year_type = 'snow_season' AND month = 'Year' AND metric_name = 'snow'),
 sy2 AS (SELECT *, rank() OVER (PARTITION BY station ORDER BY total DESC) AS rw FROM sy),
 ry AS (SELECT *, rank() OVER (PARTITION BY station ORDER BY total DESC) AS rw FROM pr
@@ -663,7 +663,8 @@ def q_monthly_precip_records(spark, sf_dir):
 
 @register("records_page_hottest_day", "WITH rec AS (" + _TEMP_RECORDS_SQL + """),
 f AS (SELECT * FROM rec WHERE record = 'hottest_day'),
-a AS (SELECT station, max(CAST(regexp_extract(date, '(\\d{4})', 1) AS INTEGER)) AS as_of_year FROM f GROUP BY 1)
+o AS (""" + with_fixtures("daily_temps") + """ SELECT station, date FROM daily_temps),
+a AS (SELECT station, CAST(max(year(date)) AS INTEGER) AS as_of_year FROM o GROUP BY 1)
 SELECT station, rank, date, round_even(metric_value, 2) AS metric_value,
   (contains(date, CAST(as_of_year AS VARCHAR)) OR contains(date, CAST(as_of_year - 1 AS VARCHAR))
    OR contains(date, CAST(as_of_year - 2 AS VARCHAR))) AS recent
@@ -671,8 +672,9 @@ FROM f JOIN a USING (station)""")
 def q_records_page_hottest_day(spark, sf_dir):
     """One record family as a page with the 'set in the last 3 years' flag."""
     from climo.operators import records
-    rec = records.temp_records(fx.daily_temps(spark, sf_dir), _N, fx.HOT_THRESHOLD, fx.FREEZE_THRESHOLD)
-    return records.records_page(rec, "hottest_day")
+    daily = fx.daily_temps(spark, sf_dir)
+    rec = records.temp_records(daily, _N, fx.HOT_THRESHOLD, fx.FREEZE_THRESHOLD)
+    return records.records_page(rec, "hottest_day", observed=daily)
 
 
 # ---------------------------------------------------------------------------
@@ -800,20 +802,19 @@ def q_calendar_departure(spark, sf_dir):
     return views.calendar_departure(fx.daily_temps(spark, sf_dir), _doy_normals(spark, sf_dir), "max_temp", 1997)
 
 
-_PIVOT_YEARS = list(range(1995, 2002))
-
-
 @register("monthly_mean_pivot", """
 WITH d AS (SELECT CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS max_temp FROM orders GROUP BY 1),
 m AS (SELECT strftime(date, '%b') AS month, CAST(year(date) AS INTEGER) AS year, avg(max_temp) AS mean FROM d GROUP BY 1, 2)
-SELECT month, """ + ", ".join(f'first(mean) FILTER (WHERE year = {y}) AS "{y}"' for y in _PIVOT_YEARS)
-          + " FROM m GROUP BY month")
+SELECT a.month, CAST(b.year AS VARCHAR) AS year, m.mean
+FROM (SELECT DISTINCT month FROM m) a CROSS JOIN (SELECT DISTINCT year FROM m) b LEFT JOIN m ON m.month = a.month AND m.year = b.year""")
 def q_monthly_mean_pivot(spark, sf_dir):
-    """R2: month × year matrix of monthly mean highs."""
+    """The month x year matrix of monthly mean highs over all years of the table, read off as one row per cell."""
     from climo.operators import aggregates as agg
     from climo.operators import reshape
     m = agg.monthly_means(fx.daily_temps(spark, sf_dir, dense=True), ["max_temp"], keys=[])
-    return reshape.pivot_years(m, "month", "year", "mean", _PIVOT_YEARS)
+    years = [str(r[0]) for r in m.select("year").distinct().orderBy("year").collect()]      # one value per year
+    wide = reshape.pivot_years(m.withColumn("year", F.col("year").cast("string")), "month", "year", "mean", years)
+    return reshape.unpivot_metrics(wide, ["month"], years, "year", "mean")
 
 
 # ---------------------------------------------------------------------------

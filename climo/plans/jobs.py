@@ -6,6 +6,7 @@ as new Parquet folders (never over the folder being read).
 from __future__ import annotations
 
 import os
+import uuid
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,14 +21,17 @@ def ingest_to_silver(spark: SparkSession, landing_dir: str, landing_schema: T.St
                      existing: DataFrame | None, out_dir: str,
                      keys: Sequence[str] = ("station", "date")) -> dict:
     """Landing JSON → coerced batch → upsert into the raw table → key
-    check → silver table.  Writes ``<out_dir>/raw`` and ``<out_dir>/silver``
-    and returns their paths."""
+    check → silver table.  The merged table is staged below
+    ``<out_dir>/_staged`` and checked there; only then ``<out_dir>/raw`` and
+    ``<out_dir>/silver`` are written.  Returns their paths."""
     batch = ingest.read_json_landing(spark, landing_dir, landing_schema)
     raw = batch if existing is None else ingest.upsert_coalesce(existing, batch, keys)
     raw_path = os.path.join(out_dir, "raw")
-    ingest.write_table(raw, raw_path)
-    raw = spark.read.parquet(raw_path)
+    staged_path = os.path.join(out_dir, "_staged", uuid.uuid4().hex)
+    ingest.write_table(raw, staged_path)
+    raw = spark.read.parquet(staged_path)
     ingest.assert_unique_key(raw, keys)
+    ingest.write_table(raw, raw_path)
     silver_path = os.path.join(out_dir, "silver")
     ingest.write_table(ingest.build_precip_silver(raw, [k for k in keys if k != "date"]), silver_path,
                        partition_by=["year"])

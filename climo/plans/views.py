@@ -262,10 +262,9 @@ def hourly_density(hourly: DataFrame, x: str, y: str, months: Sequence[str], x_r
     """V9: 2-D density (plus marginals) of two hourly metrics over the selected
     months and the ``n_years`` years before each station's latest year (or
     ending with it when ``exclude_last_year`` is False)."""
-    from pyspark.sql import Window
     h = hourly.withColumns({"_y": F.year("timestamp"), "_m": cal.month_label("timestamp")})
-    last = F.max("_y").over(Window.partitionBy(*keys)) - (1 if exclude_last_year else 0)
-    h = (h.withColumn("_last", last)
+    last = reshape.per_key_scalars(h, keys, _last=F.max("_y") - (1 if exclude_last_year else 0))
+    h = (reshape.attach_scalars(h, last, keys)
          .filter(F.col("_y").between(F.col("_last") - (n_years - 1), F.col("_last")) & F.col("_m").isin(list(months))))
     return agg.density_2d(h, x, y, x_range, y_range, bins, bins, keys)
 

@@ -53,9 +53,10 @@ def get_spark(master: str | None = None, app: str = "climo",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the cluster (a shared file system path).
-    Only when it is unset (local tests) do we create one under the system
-    temp folder.
+    On a cluster this is set by the cluster (a shared file system path); a
+    session on a cluster without it is refused, since executors can't read
+    the driver's own folders.  Only for a ``local`` master (tests, laptops) is
+    a folder made under the system temp folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     sc = None
@@ -66,6 +67,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not path and sc is not None:
         path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if sc is None or not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="climo-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", path)

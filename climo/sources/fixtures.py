@@ -27,34 +27,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-_MATERIALIZED: dict = {}
-
-
-def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """The fixture table, computed once per session and cut from its lineage
-    with a reliable checkpoint in ``spark.checkpoint.dir`` — the stand-in for
-    the persisted silver / observation tables the operators read in
-    production.  The checkpoint survives executor loss."""
-    from climo.session import ensure_checkpoint_dir
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - Spark Connect
-        app = id(spark)
-    key = (app, os.path.abspath(sf_dir), name)
-    df = _MATERIALIZED.get(key)
-    if df is None:
-        ensure_checkpoint_dir(spark)
-        df = build().checkpoint(eager=True)
-        _MATERIALIZED[key] = df
-    return df
-
-
 def daily_temps(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
     """daily_temps(station, date, avg/min/max_temp, dew_point, cloud_cover, pressure, wind_speed)."""
-    return materialized(spark, sf_dir, f"daily_temps_{dense}", lambda: _daily_temps(spark, sf_dir, dense))
-
-
-def _daily_temps(spark: SparkSession, sf_dir: str, dense: bool) -> DataFrame:
     o = _read(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", "o_orderdate", "o_orderstatus")
     if dense:
         base = o.withColumn("station", F.lit("ALL"))
@@ -73,10 +47,6 @@ def _daily_temps(spark: SparkSession, sf_dir: str, dense: bool) -> DataFrame:
 
 def daily_precip_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """daily_precip_raw(station, date, precip, snow, snow_depth, tempmin, tempmax)."""
-    return materialized(spark, sf_dir, "daily_precip_raw", lambda: _daily_precip_raw(spark, sf_dir))
-
-
-def _daily_precip_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _read(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_shipdate", "l_quantity", "l_returnflag", "l_linestatus", "l_discount")
     q = F.col("l_quantity")
@@ -90,17 +60,12 @@ def _daily_precip_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def precip_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The silver table: ``build_precip_silver`` (S12) over the raw table, materialised."""
-    return materialized(spark, sf_dir, "precip_silver",
-                        lambda: build_precip_silver(daily_precip_raw(spark, sf_dir)))
+    """The silver table: ``build_precip_silver`` (S12) over the raw table."""
+    return build_precip_silver(daily_precip_raw(spark, sf_dir))
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """hourly(station, timestamp, temp, humidity, dew_point, precip, rain, snow, cloud_cover, wind_speed, pressure)."""
-    return materialized(spark, sf_dir, "hourly", lambda: _hourly(spark, sf_dir))
-
-
-def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events").select("event_type", "ts", "value", "props")
     v = F.col("value")
     k = F.get_json_object("props", "$.k").cast("double")

@@ -7,6 +7,7 @@ every step after the download is a Spark job.
 
 from __future__ import annotations
 
+import uuid
 from typing import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -160,18 +161,35 @@ def guarded_append(existing: DataFrame, new: DataFrame, path: str,
     """Append ``new`` to the table at ``path`` iff the schemas match and
     ``new`` has at most ``max_rows`` rows.  The count is bounded
     (``limit(max_rows + 1)``) so a runaway batch is not counted in full.
-    Returns the number of rows appended.
+    The batch is read once: at most ``max_rows + 1`` of its rows go to a folder
+    beside the table (``<path>_staged/<uuid>``), are counted there and, if
+    there are few enough, appended from there, so what is counted is what is
+    appended.  Returns the number of rows appended.
     """
     if [(f.name, f.dataType) for f in existing.schema.fields] != \
             [(f.name, f.dataType) for f in new.schema.fields]:
         raise AppendRejected("schema mismatch between existing table and new batch")
-    n = new.limit(max_rows + 1).count()
+    staged_path = f"{path.rstrip('/')}_staged/{uuid.uuid4().hex}"
+    new.limit(max_rows + 1).write.parquet(staged_path)
+    staged = new.sparkSession.read.schema(new.schema).parquet(staged_path)
+    n = staged.count()
     if n > max_rows:
         raise AppendRejected(f"batch has more than {max_rows} rows")
-    new.write.mode("append").parquet(path)
+    staged.write.mode("append").parquet(path)
     return n
 
 
+def latest_per_key(batch: DataFrame, keys: Sequence[str], order_by: str | None = None) -> DataFrame:
+    """One row per key: the one with the largest ``order_by`` (load time), ties
+    and missing ``order_by`` decided by the other values, so reruns agree.
+    Drops ``order_by``."""
+    rest = [c for c in batch.columns if c not in keys and c != order_by]
+    row = F.struct(*rest)
+    order = F.struct(F.col(order_by), row) if order_by else row
+    picked = batch.groupBy(*keys).agg(F.max_by(row, order).alias("_row"))
+    return picked.select(*keys, "_row.*")
+
+
 def null_watermark(df: DataFrame, as_of, fields: Sequence[str] = INCREMENTAL_NEEDED_FIELDS,
                    months: int = 6, keys: Sequence[str] = ("station",),
                    date_col: str = "date") -> DataFrame:
@@ -206,7 +224,7 @@ def next_range(df: DataFrame, as_of, keys: Sequence[str] = ("station",),
 
 
 def upsert_coalesce(existing: DataFrame, new: DataFrame,
-                    keys: Sequence[str] = ("station", "date")) -> DataFrame:
+                    keys: Sequence[str] = ("station", "date"), order_by: str | None = None) -> DataFrame:
     """Merge a batch into a table: new values win, NULLs in the batch keep
     the stored value, unseen rows and columns are kept.
 
@@ -214,11 +232,14 @@ def upsert_coalesce(existing: DataFrame, new: DataFrame,
     is split with a semi/anti join against the batch so that only the rows
     the batch touches take part in the outer merge; the untouched bulk of the
     table is never shuffled when the batch is small enough to broadcast
-    (AQE decides at run time from the batch's real size).
+    (AQE decides at run time from the batch's real size).  Rows of the batch
+    with one key are first reduced to one (``latest_per_key``), so keys that
+    are unique in the table stay unique.
     """
     keys = list(keys)
     common = [c for c in new.columns if c in existing.columns and c not in keys]
-    batch = new.select(*keys, *common)
+    batch = new.select(*keys, *common, *([order_by] if order_by and order_by not in common else []))
+    batch = latest_per_key(batch, keys, order_by if order_by and order_by not in common else None) if common else batch.distinct()
     batch_keys = batch.select(*keys)
     untouched = existing.join(batch_keys, keys, "left_anti")
     touched = existing.join(batch_keys, keys, "left_semi")

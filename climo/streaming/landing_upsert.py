@@ -2,14 +2,14 @@
 
 The reference refreshes its raw table by pulling a service payload and
 merging it into the stored table (S2 + S10).  As a stream, each micro-batch
-of landing files is coerced exactly like ``read_json_landing`` and merged with
-``upsert_coalesce`` into a new version of the table.  Versions are written as
-``<table_dir>/v=<epoch>`` folders (never overwriting the folder being read),
-then a one-row ``_latest`` marker names the committed version; readers read
-only that folder.
-The stream's own progress lives in its checkpoint location, so a restarted
-query resumes after the last committed batch, and a batch re-run after a
-failure rewrites the same version folder (idempotent per epoch).
+of landing files is coerced exactly like ``read_json_landing``, reduced to the
+latest file's row per key, and merged with ``upsert_coalesce`` into a new
+version of the table.  A version is the folder ``<table_dir>/v=<n>``, never the
+one being read; one small row in ``<table_dir>/_commits`` (version, source,
+epoch) commits it.  The next version follows the newest committed one, whatever
+stream wrote it, so a stream with a new checkpoint folder goes on from the
+stored table.  A batch that a stream repeats after a failure is found in the commits and
+not merged twice; a version folder without a commit is written over.
 """
 
 from __future__ import annotations
@@ -17,46 +17,62 @@ from __future__ import annotations
 import os
 from typing import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from climo.functions import derive as dv
-from climo.sources.ingest import DAILY_SUMMARY_RENAME, upsert_coalesce
+from climo.sources.ingest import DAILY_SUMMARY_RENAME, latest_per_key, upsert_coalesce
 
 VERSION_COL = "v"
+COMMITS_DIR = "_commits"
+COMMIT_SCHEMA = "v long, source string, epoch long"
+LOADED_COL = "_loaded"
 
 
-MARKER_DIR = "_latest"
+def commits(spark: SparkSession, table_dir: str) -> DataFrame:
+    """The committed versions: one row each (v, source, epoch); empty when there is no table yet.
+
+    Only a missing path counts as no table; any other read error is raised."""
+    path = os.path.join(table_dir, COMMITS_DIR)
+    try:
+        return spark.read.schema(COMMIT_SCHEMA).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], COMMIT_SCHEMA)
 
 
 def latest_version(spark: SparkSession, table_dir: str) -> int | None:
-    """The committed version, from the one-row marker written after each
-    version (cheap however many versions exist); falls back to the largest
-    version folder when there is no marker."""
-    try:
-        return spark.read.parquet(os.path.join(table_dir, MARKER_DIR)).first()[VERSION_COL]
-    except Exception:  # noqa: BLE001 - no marker yet
-        pass
-    try:
-        return spark.read.option("basePath", table_dir).parquet(os.path.join(table_dir, f"{VERSION_COL}=*")).agg(F.max(VERSION_COL)).first()[0]
-    except Exception:  # noqa: BLE001 - no table yet
-        return None
+    """The newest committed version."""
+    return commits(spark, table_dir).agg(F.max(VERSION_COL)).first()[0]
 
 
-def read_current(spark: SparkSession, table_dir: str, below: int | None = None) -> DataFrame | None:
-    """The committed table; with ``below``, the newest version older than it
-    (a retried batch must not read the folder it is about to rewrite)."""
+def read_current(spark: SparkSession, table_dir: str) -> DataFrame | None:
+    """The newest committed version of the table; None when there is none."""
     v = latest_version(spark, table_dir)
-    if v is not None and below is not None and v >= below:
-        try:
-            v = (spark.read.option("basePath", table_dir).parquet(os.path.join(table_dir, f"{VERSION_COL}=*"))
-                 .filter(F.col(VERSION_COL) < below).agg(F.max(VERSION_COL)).first()[0])
-        except Exception:  # noqa: BLE001
-            v = None
-    if v is None:
+    return None if v is None else spark.read.parquet(os.path.join(table_dir, f"{VERSION_COL}={v}"))
+
+
+def merge_batch(batch: DataFrame, table_dir: str, source: str, epoch: int, keys: Sequence[str]) -> int | None:
+    """Merge one batch into the table and commit it; returns the new version, None if it is committed already.
+
+    Rows of one key are reduced to that of the newest landing file (``LOADED_COL``)."""
+    spark = batch.sparkSession
+    done = commits(spark, table_dir)
+    if done.where((F.col("source") == source) & (F.col("epoch") == epoch)).limit(1).count():
         return None
-    return spark.read.parquet(os.path.join(table_dir, f"{VERSION_COL}={int(v)}"))
+    version = (done.agg(F.max(VERSION_COL)).first()[0] or 0) + 1
+    current = read_current(spark, table_dir)
+    loaded = LOADED_COL if LOADED_COL in batch.columns else None
+    single = latest_per_key(batch, keys, loaded)
+    merged = single if current is None else upsert_coalesce(current, single, keys)
+    merged.write.mode("overwrite").parquet(os.path.join(table_dir, f"{VERSION_COL}={version}"))
+    commit = spark.range(1).select(F.lit(version).cast("long").alias(VERSION_COL), F.lit(source).alias("source"),
+                                   F.lit(epoch).cast("long").alias("epoch"))
+    commit.coalesce(1).write.mode("append").parquet(os.path.join(table_dir, COMMITS_DIR))
+    return version
 
 
 def coerce_landing(df: DataFrame, rename: dict | None = DAILY_SUMMARY_RENAME,
@@ -73,30 +89,22 @@ def coerce_landing(df: DataFrame, rename: dict | None = DAILY_SUMMARY_RENAME,
 
 
 def start_landing_upsert(spark: SparkSession, landing_dir: str, schema: T.StructType, table_dir: str,
-                         checkpoint_dir: str | None = None, keys: Sequence[str] = ("station", "date"),
+                         checkpoint_dir: str, keys: Sequence[str] = ("station", "date"),
                          rename: dict | None = DAILY_SUMMARY_RENAME, available_now: bool = True):
     """Start the stream; returns the ``StreamingQuery``.
 
-    ``checkpoint_dir`` defaults to ``<spark.checkpoint.dir>/landing_upsert``
-    (a shared folder on a cluster).
+    ``checkpoint_dir`` holds the stream's progress: a lasting folder that the
+    driver and executors share, the same one at every start.
     """
-    from climo.session import ensure_checkpoint_dir
-    ckpt = checkpoint_dir or os.path.join(ensure_checkpoint_dir(spark), "landing_upsert")
-    stream = coerce_landing(
-        spark.readStream.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(landing_dir),
-        rename)
+    landed = (spark.readStream.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(landing_dir)
+              .select("*", F.col("_metadata.file_modification_time").alias(LOADED_COL)))
+    columns = [rename.get(c, c) if rename else c for c in schema.fieldNames()]
+    stream = coerce_landing(landed, rename, [c for c in columns if c not in ("date", "station", "location")])
 
     def merge(batch: DataFrame, epoch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        version = int(epoch_id) + 1
-        current = read_current(batch.sparkSession, table_dir, below=version)
-        merged = batch if current is None else upsert_coalesce(current, batch, keys)
-        merged.write.mode("overwrite").parquet(os.path.join(table_dir, f"{VERSION_COL}={version}"))
-        # commit point: the marker names the new version (rewritten if the batch is retried)
-        (batch.sparkSession.range(1).select(F.lit(version).alias(VERSION_COL))
-         .write.mode("overwrite").parquet(os.path.join(table_dir, MARKER_DIR)))
-
-    w = stream.writeStream.foreachBatch(merge).option("checkpointLocation", ckpt)
+        if not batch.isEmpty():
+            merge_batch(batch, table_dir, checkpoint_dir, epoch_id, keys)
+
+    w = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()

@@ -2,11 +2,13 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from climo.sources import fixtures as fx
 from climo.streaming import read_current, start_landing_upsert
+from climo.streaming.landing_upsert import latest_version, merge_batch
 from tests.conftest import SF_SMALL
 
 FIELDS = ["DATE", "STATION", "PRCP", "SNOW", "TMIN", "TMAX"]
@@ -44,13 +46,44 @@ def test_stream_upsert_two_batches(spark):
         assert got[(r["station"], r["date"])] == r["snow"]
 
 
-def test_retried_batch_reads_previous_version(spark):
-    base = tempfile.mkdtemp(prefix="climo-retry-")
-    table = os.path.join(base, "t")
-    df1 = spark.createDataFrame([("s", 1.0)], "station string, x double")
-    df2 = spark.createDataFrame([("s", 2.0)], "station string, x double")
-    df1.write.parquet(os.path.join(table, "v=1"))
-    df2.write.parquet(os.path.join(table, "v=2"))
-    spark.range(1).select(F.lit(2).alias("v")).write.parquet(os.path.join(table, "_latest"))
-    assert read_current(spark, table).first()["x"] == 2.0
-    assert read_current(spark, table, below=2).first()["x"] == 1.0     # batch 2 retried
+def test_retried_batch_is_not_merged_twice(spark):
+    table = os.path.join(tempfile.mkdtemp(prefix="climo-retry-"), "t")
+    one = spark.createDataFrame([("s", 1.0)], "station string, x double")
+    two = spark.createDataFrame([("s", 2.0), ("t", None)], "station string, x double")
+    assert merge_batch(one, table, "stream a", 0, ["station"]) == 1
+    assert merge_batch(two, table, "stream a", 1, ["station"]) == 2
+    assert merge_batch(one, table, "stream a", 0, ["station"]) is None          # epoch 0 repeated after a failure
+    assert {r["station"]: r["x"] for r in read_current(spark, table).collect()} == {"s": 2.0, "t": None}
+    two.write.parquet(os.path.join(table, "v=3"))                               # written, never committed
+    assert latest_version(spark, table) == 2
+    assert merge_batch(spark.createDataFrame([("t", 5.0)], "station string, x double"), table, "stream a", 2, ["station"]) == 3
+    assert {r["station"]: r["x"] for r in read_current(spark, table).collect()} == {"s": 2.0, "t": 5.0}
+
+
+def test_new_checkpoint_goes_on_from_the_stored_table(spark):
+    base = tempfile.mkdtemp(prefix="climo-fresh-")
+    landing, table = os.path.join(base, "landing"), os.path.join(base, "table")
+    os.makedirs(landing)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in FIELDS])
+
+    def land(name, days, prcp):
+        with open(os.path.join(landing, name), "w") as f:
+            json.dump([{"DATE": f"2020-01-0{d}", "STATION": "s", "PRCP": str(prcp), "SNOW": "0", "TMIN": "1", "TMAX": "2"} for d in days], f)
+
+    land("a.json", (1, 2), 1.0)
+    start_landing_upsert(spark, landing, schema, table, os.path.join(base, "first")).awaitTermination()
+    os.makedirs(os.path.join(base, "landing2"))
+    landing = os.path.join(base, "landing2")
+    land("b.json", (3, 3), 7.0)                                                 # one key twice in a batch
+    start_landing_upsert(spark, landing, schema, table, os.path.join(base, "second")).awaitTermination()
+    assert sorted(str(r["date"]) for r in read_current(spark, table).collect()) == ["2020-01-01", "2020-01-02", "2020-01-03"]
+
+
+def test_read_errors_are_raised(spark):
+    base = tempfile.mkdtemp(prefix="climo-broken-")
+    os.makedirs(os.path.join(base, "_commits"))
+    with open(os.path.join(base, "_commits", "part-0.parquet"), "w") as f:
+        f.write("not parquet")
+    with pytest.raises(Exception):
+        read_current(spark, base)
+    assert read_current(spark, os.path.join(base, "nothing")) is None

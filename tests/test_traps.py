@@ -87,12 +87,15 @@ def test_records_page_as_of_and_recent_flag(spark):
     rec = spark.createDataFrame([("s", 1, "2001-07-01", 99.123, "hottest_day"), ("s", 2, "1995-07-02", 98.0, "hottest_day"),
                                  ("s", 1, "2001-01-01", 1.0, "coldest_day")],
                                 "station string, rank int, date string, metric_value double, record string")
-    page = {r["date"]: r for r in records.records_page(rec, "hottest_day").collect()}
+    observed = spark.createDataFrame([("s", dt.date(2003, 1, 1)), ("s", dt.date(1990, 1, 1))], "station string, date date")
+    page = {r["date"]: r for r in records.records_page(rec, "hottest_day", observed=observed).collect()}
     assert set(page) == {"2001-07-01", "1995-07-02"}
     assert page["2001-07-01"]["recent"] and not page["1995-07-02"]["recent"]
     assert page["2001-07-01"]["metric_value"] == 99.12
     fixed = {r["date"]: r["recent"] for r in records.records_page(rec, "hottest_day", as_of_year=1997).collect()}
     assert fixed == {"2001-07-01": False, "1995-07-02": True}
+    late = spark.createDataFrame([("s", dt.date(2004, 1, 1))], "station string, date date")     # the latest year of the data, not of the records
+    assert not any(r["recent"] for r in records.records_page(rec, "hottest_day", observed=late).collect())
 
 
 def test_hourly_density_excludes_last_year_by_default(spark):
