@@ -255,8 +255,12 @@ def hourly_cascade(hourly: DataFrame, metrics: Sequence[str], keys: Sequence[str
     return month_year, month, season
 
 
-def hourly_heatmap(hourly: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("station",)) -> DataFrame:
-    """Mean by (day of year, hour, metric) with the calendar label."""
+def hourly_heatmap(hourly: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("station",),
+                   drop_leap_day: bool = False) -> DataFrame:
+    """Mean by (day of year, hour, metric) with the calendar label;
+    ``drop_leap_day`` leaves out index 59.5 (Feb 29), as the dashboard does."""
+    if drop_leap_day:
+        hourly = hourly.filter((F.month("timestamp") != 2) | (F.dayofmonth("timestamp") != 29))
     return (_hourly_means_long(hourly, metrics, [*keys, "day_of_year", "hour"])
             .withColumn("doy_label", cal.doy_label("day_of_year")))
 

@@ -459,6 +459,14 @@ def q_hourly_by_month(spark, sf_dir):
     return agg.hourly_cascade(fx.hourly(spark, sf_dir), _HM)[1]
 
 
+@register("hourly_by_month_years", with_fixtures("hourly") + _hourly_attr_sql() + _hourly_long_sql(_HM) + """
+SELECT station, year, month, month_num, hour, metric_name, avg(metric_value) AS metric_value FROM hl GROUP BY ALL""")
+def q_hourly_by_month_years(spark, sf_dir):
+    """V5: the yearly points behind the monthly mean line (hourly means per year and month)."""
+    from climo.operators import aggregates as agg
+    return agg.hourly_cascade(fx.hourly(spark, sf_dir), _HM)[0]
+
+
 @register("hourly_season_deviation", with_fixtures("hourly") + _hourly_attr_sql() + _hourly_long_sql(_HM) + """
 , my AS (SELECT station, year, month, month_num, hour, metric_name, avg(metric_value) AS metric_value FROM hl GROUP BY ALL),
 mo AS (SELECT station, month_num, hour, metric_name, avg(metric_value) AS metric_value FROM my GROUP BY ALL),
@@ -523,6 +531,28 @@ def q_record_day_counts(spark, sf_dir):
     return agg.record_day_counts(fx.daily_temps(spark, sf_dir), "max_temp")
 
 
+@register("record_day_counts_rain", with_fixtures("precip_silver") + f"""
+, t AS (SELECT *, {doy_sql('date')} AS doy FROM silver),
+r AS (SELECT *, rank() OVER (PARTITION BY station, doy ORDER BY rain DESC NULLS LAST) AS hi,
+             rank() OVER (PARTITION BY station, doy ORDER BY rain ASC NULLS LAST) AS lo FROM t)
+SELECT station, {_YR} AS year, CAST(count_if(hi = 1) AS BIGINT) AS record_highs,
+       CAST(-count_if(lo = 1) AS BIGINT) AS record_lows FROM r WHERE rain > 0 GROUP BY 1, 2""")
+def q_record_day_counts_rain(spark, sf_dir):
+    """Days setting a day-of-year rain record, dry days left out after ranking."""
+    from climo.operators import aggregates as agg
+    return agg.record_day_counts(fx.precip_silver(spark, sf_dir).drop("day_of_year"), "rain", positive_only=True)
+
+
+@register("hourly_heatmap_temp", with_fixtures("hourly") + f"""
+SELECT station, {doy_sql('CAST(timestamp AS DATE)')} AS day_of_year, CAST(hour(timestamp) AS INTEGER) AS hour,
+  strftime(CAST(timestamp AS DATE), '%b %d') AS doy_label, 'temp' AS metric_name, avg(CAST(temp AS DOUBLE)) AS metric_value
+FROM hourly WHERE strftime(timestamp, '%m-%d') <> '02-29' GROUP BY ALL""")
+def q_hourly_heatmap_temp(spark, sf_dir):
+    """V8: the heatmap of one metric, without the leap-day index."""
+    from climo.operators import aggregates as agg
+    return agg.hourly_heatmap(fx.hourly(spark, sf_dir), ["temp"], drop_leap_day=True)
+
+
 @register("histogram_percent", with_fixtures("daily_temps") + """
 , b AS (SELECT station, floor((min_temp - 0.0) / 25000.0) * 25000.0 + 0.0 AS bin_start, count(*) AS n
         FROM daily_temps WHERE min_temp IS NOT NULL GROUP BY 1, 2)
@@ -848,6 +878,16 @@ def q_observed_vs_normal(spark, sf_dir):
     return views.observed_vs_normal(s, normals.precip_monthly_normals(s))
 
 
+@register("observed_vs_normal_current", ORACLE["observed_vs_normal"].replace(
+    "WHERE year_type = 'calendar_year' GROUP BY ALL", "WHERE year_type = 'calendar_year' AND year_num = cy AND metric_name = 'precip' GROUP BY ALL"))
+def q_observed_vs_normal_current(spark, sf_dir):
+    """The current year's monthly precipitation and its normals, as the dashboard shows them."""
+    from climo.operators import normals
+    from climo.plans import views
+    s = fx.precip_silver(spark, sf_dir)
+    return views.observed_vs_normal(s, normals.precip_monthly_normals(s), metric="precip", current_year_only=True)
+
+
 # ---------------------------------------------------------------------------
 # V33 / U4 yearly trend table, V14/V15 departures, M8 linear trend
 

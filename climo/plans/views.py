@@ -115,15 +115,22 @@ def calendar_departure(daily: DataFrame, daily_normals: DataFrame, metric: str,
     return d.select(*keys, "date", F.col(metric).alias("value"), (F.col(metric) - F.col(normal_of)).alias("departure"))
 
 
-def observed_vs_normal(silver: DataFrame, monthly_normals: DataFrame, keys: Sequence[str] = ("station",)) -> DataFrame:
+def observed_vs_normal(silver: DataFrame, monthly_normals: DataFrame, keys: Sequence[str] = ("station",),
+                       metric: str | None = None, current_year_only: bool = False) -> DataFrame:
     """Calendar-year monthly totals next to the monthly normal, long form
     (type observed / normal).  Inner join on (month, metric) drops metrics
-    without a normal (precip_day, Q17)."""
+    without a normal (precip_day, Q17).  ``metric`` picks one metric,
+    ``current_year_only`` each station's latest year, as the dashboard shows."""
+    if current_year_only:
+        latest = reshape.per_key_scalars(silver, keys, _current=F.max("year"))
+        silver = reshape.attach_scalars(silver, latest, keys).filter(F.col("year") == F.col("_current")).drop("_current")
     totals = normals.monthly_totals_long(silver, keys, mode="trailing", complete_months_only=False,
                                          year_types=["calendar_year"]).drop("year_type")
     norm_long = (monthly_normals.withColumnsRenamed({"norm_precip": "precip", "norm_snow": "snow",
                                                      "norm_rain": "rain", "norm_precip_perc": "precip_perc"})
                  .unpivot([*keys, "month"], ["precip", "snow", "rain", "precip_perc"], "metric_name", "normal"))
+    if metric is not None:
+        totals = totals.filter(F.col("metric_name") == metric)
     j = totals.withColumnRenamed("total", "observed").join(norm_long, [*keys, "month", "metric_name"], "inner")
     return j.unpivot([*keys, "metric_name", "month", "year_for_dash"], ["observed", "normal"], "type", "metric_value")
 
