@@ -9,10 +9,12 @@
 * Candidate edges are stars, so their number grows with the members of a bucket: members are compared with the
   bucket's smallest id, and links are confirmed on the full sets.  A star misses a link between two members that
   both lie too far from its centre.  So buckets whose members are in several components get further stars around
-  the members with most links so far (the text that the others were made from, if there is one) and around members
-  that just failed to link with a centre, again and again until such a round links nothing new.  No bucket is cut or
-  sampled.  What can still be missed is a link whose two ends share only buckets of five or more members in
-  which neither end is ever a centre.
+  the members with most links so far (the text that the others were made from, if there is one).
+* Members x and y compared with one centre c share at most min(|x & c|, |y & c|) shingles inside c.  Outside c
+  they share what a join of the rests x - c and y - c finds.  Where both together can reach the limit the pair is compared as
+  well; for all others the two numbers prove that there is no link.  Rounds go on until one links nothing new.
+* No bucket is cut or sampled.  What can still be missed is a link between texts that are never compared with a common centre
+  to which both are similar by half or more.
 """
 
 from __future__ import annotations
@@ -126,29 +128,47 @@ def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(sets, "id long, hashes array<long>")
 
 
-#: Pairs that miss the limit by at most this many percent make one end a centre.
-NEAR_MISS_PERCENT = 3
+#: Centres count as common to pairs that are similar by this percentage.
+COMMON_CENTRE_PERCENT = 50
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v, linked, near) of (u, v): compared on the full sets."""
+    """(u, v, shared, n_u, n_v, rest_u, rest_v, linked) of (u, v): compared on the full sets.
+
+    The rests, what one set holds beyond the other, are null for pairs below COMMON_CENTRE_PERCENT."""
     left = pairs.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("_hu")), "u")
     both = left.join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("_hv")), "v")
-    shared = F.size(F.array_intersect("_hu", "_hv"))
-    union = F.size("_hu") + F.size("_hv") - shared
-    return both.select("u", "v", (F.lit(100) * shared >= F.lit(percent) * union).alias("linked"),
-                       (F.lit(100) * shared >= F.lit(percent - NEAR_MISS_PERCENT) * union).alias("near"))
-
-
-def _undecided(tested: DataFrame, known: DataFrame) -> DataFrame:
-    """(id): of each near miss between two components the end with fewer links."""
-    def end(name: str) -> DataFrame:
-        return known.select(F.col("id").alias(name), F.col("component").alias(f"_c{name}"), F.col("degree").alias(f"_d{name}"))
-
-    misses = tested.where("near and not linked").join(end("u"), "u", "left").join(end("v"), "v", "left")
-    apart = misses.where(F.coalesce("_cu", "u") != F.coalesce("_cv", "v"))
-    ends = [F.struct(F.coalesce(f"_d{x}", F.lit(0)).alias("degree"), F.col(x).alias("id")) for x in ("u", "v")]
-    return apart.select(F.least(*ends)["id"].alias("id")).distinct()
+    both = both.withColumn("shared", F.size(F.array_intersect("_hu", "_hv")))
+    union = F.size("_hu") + F.size("_hv") - F.col("shared")
+    common = F.lit(100) * F.col("shared") >= F.lit(COMMON_CENTRE_PERCENT) * union
+    return both.select("u", "v", "shared", F.size("_hu").alias("n_u"), F.size("_hv").alias("n_v"),
+                       F.when(common, F.array_except("_hu", "_hv")).alias("rest_u"),
+                       F.when(common, F.array_except("_hv", "_hu")).alias("rest_v"),
+                       (F.lit(100) * F.col("shared") >= F.lit(percent) * union).alias("linked"))
+
+
+def _possible_pairs(tested: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of different components that were compared with one centre and may be linked, by what they share
+    with it and outside it."""
+    near = tested.where("rest_u is not null")
+    ends = near.select(F.col("u").alias("centre"), F.col("v").alias("id"), "shared", F.col("n_v").alias("n"), F.col("rest_v").alias("rest")).union(
+        near.select(F.col("v").alias("centre"), F.col("u").alias("id"), "shared", F.col("n_u").alias("n"), F.col("rest_u").alias("rest")))
+    placed = ends.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    split = placed.groupBy("centre").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+    placed = written(placed.join(split.where("_low <> _high").select("centre"), "centre"))
+    other = placed.select("centre", F.col("id").alias("id2"), F.col("shared").alias("shared2"), F.col("n").alias("n2"),
+                          F.col("rest").alias("rest2"), F.col("component").alias("component2"))
+    apart = (F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2"))
+
+    def may_link(outside) -> object:
+        return F.lit(100 + percent) * (F.least("shared", "shared2") + outside) >= F.lit(percent) * (F.col("n") + F.col("n2"))
+
+    left = placed.withColumn("h", F.explode("rest")).drop("rest")
+    right = other.withColumn("h", F.explode("rest2")).drop("rest2")
+    meeting = left.join(right, ["centre", "h"]).where(apart).groupBy("centre", "id", "id2", "shared", "shared2", "n", "n2").agg(
+        F.count("*").alias("outside")).where(may_link(F.col("outside")))
+    inside = placed.drop("rest").join(other.drop("rest2"), "centre").where(apart & may_link(F.lit(0)))
+    return meeting.select(F.col("id").alias("u"), F.col("id2").alias("v")).union(inside.select("id", "id2"))
 
 
 def _edge(a: str, b: str) -> list:
@@ -176,12 +196,11 @@ def class_links(members: DataFrame, sets_of, percent: int, centres: int = 3) ->
         split = placed.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
         rest = placed.join(written(split.where("_low <> _high").select("bucket")), "bucket")
         ranked = rest.withColumn("_rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("degree").desc(), "id")))
-        centre = ["bucket", F.col("id").alias("centre"), F.col("component").alias("_component")]
-        chosen = ranked.where(F.col("_rank") <= centres).select(*centre).union(
-            rest.join(_undecided(tested, known), "id").select(*centre))
-        chosen = written(chosen)
-        pairs = rest.join(chosen, "bucket").where("component <> _component").select(*_edge("id", "centre")).distinct()
-        fresh = written(_confirmed(pairs.join(tested, ["u", "v"], "left_anti"), sets, percent))
+        chosen = written(ranked.where(F.col("_rank") <= centres).select(
+            "bucket", F.col("id").alias("centre"), F.col("component").alias("_component")))
+        stars = rest.join(chosen, "bucket").where("component <> _component").select(*_edge("id", "centre"))
+        pairs = stars.union(_possible_pairs(tested, parts, percent)).distinct()
+        fresh = written(_confirmed(pairs.join(tested.select("u", "v"), ["u", "v"], "left_anti"), sets, percent))
         tested = written(tested.union(fresh))
         if not fresh.where("linked").limit(1).count():
             return tested.where("linked").select("u", "v")
