@@ -32,7 +32,7 @@ from climo.session import ship_package
 INSULTS = ("idiot moron stupid loser trash scum pathetic worthless disgusting clown imbecile dumbass "
            "bastard bitch asshole bullshit retard freak vermin filth").split()
 _WORD = re.compile(r"[^\W\d_]+")
-_SPELLED = re.compile(r"[^\s]*[A-Za-z][^\s]*[013457@$][^\s]*|[^\s]*[013457@$][^\s]*[A-Za-z][^\s]*")
+_SPELLED = re.compile(r"\S*[013457@$]\S*")
 _SPELLING = str.maketrans("013457@$", "oieastas")
 _SHOUTED = re.compile(r"\b[A-Z]{4,}\b")
 PREFIXES = (4, 5, 6)
@@ -56,105 +56,142 @@ def held_out(doc_id: Column, parts: int = 3, part: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def _training_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, toxic, sketches, words) of the labelled training rows."""
-    schema = pa.schema([("id", pa.int64()), ("toxic", pa.int32()), ("sketches", pa.list_(pa.int64())), ("words", pa.list_(pa.string()))])
+def _sketches(text: str) -> list[int]:
+    """Minima of the 3-word shingle hashes under a few orders."""
+    hashes = shingle_set(text, 3)
+    return [int((hashes * np.uint64(2 * k + 0x9E3779B97F4A7C15)).min()) - (1 << 63) for k in range(SKETCHES)] if len(hashes) else []
+
+
+def _text_words(low: str) -> set[str]:
+    """The distinct words (letters only) of a text in lower case."""
+    return set(_WORD.findall(" ".join(set(low.split()))))
+
+
+def _words(texts: DataFrame) -> DataFrame:
+    """(id, sketches, words) of (id, text)."""
+    schema = pa.schema([("id", pa.int64()), ("sketches", pa.list_(pa.int64())), ("words", pa.list_(pa.string()))])
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                part, sketches, found = batch.slice(at, 1000), [], []
-                for text in part.column(2):
-                    text = text.as_py() or ""
-                    found.append(sorted(set(_WORD.findall(text.lower()))))
-                    hashes = shingle_set(text, 3)
-                    sketches.append([int((hashes * np.uint64(2 * k + 0x9E3779B97F4A7C15)).min()) - (1 << 63) for k in range(SKETCHES)]
-                                    if len(hashes) else [])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sketches, pa.list_(pa.int64())),
-                                                  pa.array(found, pa.list_(pa.string()))], schema=schema)
+                part = batch.slice(at, 1000)
+                texts = [t.as_py() or "" for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_sketches(t) for t in texts], pa.list_(pa.int64())),
+                                                  pa.array([sorted(_text_words(t.lower())) for t in texts], pa.list_(pa.string()))], schema=schema)
 
+    return texts.select("id", "text").mapInArrow(words, "id long, sketches array<long>, words array<string>")
+
+
+def training_labels(labels: DataFrame) -> DataFrame:
+    """(id, toxic) of the labelled rows that are not held out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
-    known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    return docs.join(known, "id").select("id", "toxic", "text").mapInArrow(
-        words, "id long, toxic int, sketches array<long>, words array<string>")
+    return known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
 
 
 def _distinct_texts(training: DataFrame) -> DataFrame:
-    """Without near copies: rows that have the smallest id for each of their sketches (minima of shingle hashes)."""
+    """One row per id, without near copies: those with the smallest id for each of their sketches."""
+    training = training.dropDuplicates(["id"])
     each = training.select("id", F.posexplode("sketches").alias("k", "sketch"))
     first = each.groupBy("k", "sketch").agg(F.min("id").alias("first"))
     kept = each.join(first, ["k", "sketch"]).groupBy("id").agg(F.min(F.col("id") == F.col("first")).alias("own")).where("own")
     return training.join(kept.select("id"), "id", "left_semi")
 
 
-def _term_counts(rows: DataFrame, only: frozenset | None) -> DataFrame:
-    """(term, n): documents per term, of ``only`` these terms if given; summed up in each task first."""
+def _term_counts(rows: DataFrame) -> DataFrame:
+    """(term, n): documents per term; summed up in each task first."""
     schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for words in batch.column(0):
-                terms = set(word_terms(words.as_py()))
-                seen.update(terms if only is None else terms & only)
-            if len(seen) > 300_000:
-                yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], schema=schema)
-                seen = Counter()
+                seen.update(set(word_terms(words.as_py())))
+                if len(seen) > 300_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], schema=schema)
+                    seen = Counter()
         yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], schema=schema)
 
     return rows.select("words").mapInArrow(counts, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def mined_terms(training: DataFrame, max_candidates: int = 20_000, max_terms: int = 500, min_documents: int = 4,
-                min_precision: float = 0.7) -> list[str]:
-    """Terms that mark toxic training texts, strongest first.
+def candidate_terms(texts: DataFrame, known: DataFrame, max_candidates: int = 20_000, min_documents: int = 4) -> tuple[list[str], int]:
+    """(the most frequent terms of toxic training texts, the number of terms counted).
+
+    The toxic ids are written first, so Spark knows their size when it plans the join with the texts."""
+    toxic = written(known.where("toxic = 1").select("id"))
+    counted = written(_term_counts(_distinct_texts(written(_words(texts.join(toxic, "id"))))))
+    often = counted.where(F.col("n") >= min_documents).orderBy(F.col("n").desc(), "term").limit(max_candidates)
+    return [r.term for r in often.collect()], counted.count()
+
+
+def mined_terms(found: DataFrame, known: DataFrame, candidates: list[str], tried: int, max_terms: int = 500,
+                min_precision: float = 0.7) -> list[int]:
+    """Numbers of the candidates that mark toxic training texts, strongest first.
 
     A term needs a share of toxic documents of ``min_precision`` and evidence against chance beyond the number of terms
-    tried: (documents) * KL(share, base rate) >= ln(5 * terms).  ``max_candidates`` and ``max_terms`` bound the lexicon.
+    tried: (documents) * KL(share, base rate) >= ln(5 * terms).  ``found`` (id, terms, sketches) is counted over all
+    labelled training rows, near copies once.
     """
-    totals = {r.toxic: r.n for r in training.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    totals = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
-    if not toxic or not clean:
+    if not toxic or not clean or not candidates:
         return []
-    counted = written(_term_counts(training.where("toxic = 1"), None))
-    tried = counted.count()
-    likely = {r.term: r.n for r in counted.where(F.col("n") >= min_documents).orderBy(F.col("n").desc(), "term").limit(max_candidates).collect()}
-    elsewhere = {r.term: r.n for r in _term_counts(training.where("toxic = 0"), frozenset(likely)).collect()}
-    base, found = toxic / (toxic + clean), []
-    for term, n in likely.items():
-        both = n + elsewhere.get(term, 0)
-        share = n / both
+    marked = _distinct_texts(written(found.where(F.size("terms") > 0).join(known, "id")))
+    counts = marked.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(
+        F.sum("toxic").alias("toxic"), F.count("*").alias("n")).collect()                # at most one row per candidate
+    base, strong = toxic / (toxic + clean), []
+    for r in counts:
+        share = r.toxic / r.n
         rest = (1 - share) * math.log((1 - share) / (1 - base)) if share < 1 else 0.0
-        evidence = both * (share * math.log(share / base) + rest) if share > base else 0.0
+        evidence = r.n * (share * math.log(share / base) + rest) if share > base else 0.0
         if share >= min_precision and evidence >= math.log(5 * tried):
-            found.append((-evidence, term))
-    return [term for _, term in sorted(found)[:max_terms]]
+            strong.append((-evidence, candidates[r.term], r.term))
+    return [number for _, _, number in sorted(strong)[:max_terms]]
 
 
-def text_votes(text: str, index: dict[str, int]) -> tuple[int, list[int]]:
-    """(votes as bits in the order of VOTERS, numbers of the lexicon terms found) of a whole text."""
-    low = text.lower()
-    words = set(_WORD.findall(low))
-    terms = sorted({index[t] for t in word_terms(words) if t in index})
+def pattern_votes(text: str, low: str, words: set[str]) -> int:
+    """Votes of the fixed voters as bits, in the order of VOTERS."""
     insulted = not words.isdisjoint(INSULTS)
     spelled = any(not set(_WORD.findall(w.lower().translate(_SPELLING))).isdisjoint(INSULTS) for w in _SPELLED.findall(text))
-    shouted = len(_SHOUTED.findall(text))
-    fired = [insulted, spelled, insulted and bool(_YOU.search(low)), shouted * 10 > text.count(" ") + 10]
-    fired += [any(t % GROUPS == g for t in terms) for g in range(GROUPS)]
-    return sum(1 << i for i, f in enumerate(fired) if f), terms
+    shouted = len(_SHOUTED.findall(text)) * 10 > text.count(" ") + 10
+    fired = (insulted, spelled, insulted and bool(_YOU.search(low)), shouted)
+    return sum(1 << i for i, f in enumerate(fired) if f)
+
+
+def _observed(texts: DataFrame, candidates: list[str]) -> DataFrame:
+    """(id, fixed, terms, sketches): votes of the fixed voters, candidate terms found, and sketches where there are any."""
+    index = {t: i for i, t in enumerate(candidates)}
+    starts = {t.rstrip("*")[:PREFIXES[0]] for t in candidates}
+    schema = pa.schema([("id", pa.int64()), ("fixed", pa.int32()), ("terms", pa.list_(pa.int32())), ("sketches", pa.list_(pa.int64()))])
+
+    def look(text: str) -> tuple[int, list[int], list[int]]:
+        low = text.lower()
+        words = _text_words(low)
+        likely = [w for w in words if w[:PREFIXES[0]] in starts]
+        terms = sorted({index[t] for t in word_terms(likely) if t in index})
+        return pattern_votes(text, low, words), terms, _sketches(text) if terms else []
+
+    def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = list(zip(*(look(t.as_py() or "") for t in batch.column(1)), strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(got, list(schema)[1:], strict=True))], schema=schema)
+
+    return texts.select("id", "text").mapInArrow(observe, "id long, fixed int, terms array<int>, sketches array<long>")
 
 
-def _votes(docs: DataFrame, lexicon: list[str]) -> DataFrame:
-    index = {t: i for i, t in enumerate(lexicon)}
+def _votes(observed: DataFrame, lexicon: list[int]) -> DataFrame:
+    """(id, votes, terms): all votes as bits; terms by their place in the lexicon, term i in lexicon group i mod GROUPS."""
+    place = {number: i for i, number in enumerate(lexicon)}
+    first = len(VOTERS) - GROUPS
     schema = pa.schema([("id", pa.int64()), ("votes", pa.int32()), ("terms", pa.list_(pa.int32()))])
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [text_votes(t.as_py() or "", index) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v for v, _ in got], pa.int32()),
-                                              pa.array([t for _, t in got], pa.list_(pa.int32()))], schema=schema)
+            terms = [[place[t] for t in found if t in place] for found in batch.column(2).to_pylist()]
+            bits = [fixed | sum({1 << (first + t % GROUPS) for t in found}) for fixed, found in zip(batch.column(1).to_pylist(), terms, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.int32()), pa.array(terms, pa.list_(pa.int32()))], schema=schema)
 
-    return docs.select("id", "text").mapInArrow(votes, "id long, votes int, terms array<int>")
+    return observed.select("id", "fixed", "terms").mapInArrow(votes, "id long, votes int, terms array<int>")
 
 
 class LabelModel:
@@ -166,13 +203,14 @@ class LabelModel:
         voters = v.shape[1]
         #: Pseudo-counts: voters are meant to fire on toxic texts and seldom on others.
         fire = np.array([[0.5, 50.0], [2.0, 2.0]])
-        self.prior, self.rates, self.weights = 0.1, np.tile([[0.01], [0.5]], voters), np.ones(voters)
+        fires = (n @ v > 0).astype(float)                # a voter that fires nowhere says nothing
+        self.prior, self.rates, self.weights = 0.1, np.tile([[0.01], [0.5]], voters), fires
         for _ in range(rounds):
             p = np.where(known < 0, self.posterior(v), known)
             self.prior = float((n @ p + 1) / (n.sum() + 10))
             for c, w in ((0, n * (1 - p)), (1, n * p)):
                 self.rates[c] = (w @ v + fire[c, 0]) / (w.sum() + fire[c].sum())
-            self.weights = 1 / (1 + self._correlations(v, n, p))
+            self.weights = fires / (1 + self._correlations(v, n, p))
 
     def _correlations(self, v: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Per voter the sum of its positive correlations with the others inside the classes."""
@@ -229,11 +267,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """
     ship_package(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    training = written(_distinct_texts(written(_training_words(rows.where(F.col("id").isNotNull()), labels))))
-    lexicon = mined_terms(training)
-    voted = written(_votes(rows, lexicon))
-    truth = training.select("id", "toxic").distinct()
-    patterns = voted.join(truth, "id", "left").groupBy("votes", F.coalesce("toxic", F.lit(-1)).alias("known")).agg(
+    known = written(training_labels(labels))
+    candidates, tried = candidate_terms(rows, known)
+    observed = written(_observed(rows, candidates))
+    lexicon = mined_terms(observed, known, candidates, tried)
+    voted = written(_votes(observed, lexicon))
+    patterns = voted.join(known, "id", "left").groupBy("votes", F.coalesce("toxic", F.lit(-1)).alias("known")).agg(
         F.count("*").alias("n")).collect()                       # at most 3 * 2^voters rows
     sample = voted.where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(max_sample).select("votes", "terms").toPandas()
     if not patterns:
