@@ -8,7 +8,8 @@ Equal vectors are one class.  What is compared:
 
 1. members of one cell with the cell's smallest id (stars, so pairs grow with the members);
 2. vectors with those at home in a cell that they probe, where the two aren't already connected;
-3. all members of each connected component, in blocks of bounded size, for the exact number of links of each vector.
+3. all members of different components that are at home in one cell, in blocks of bounded size;
+4. all members of each connected component, in blocks of bounded size, for the exact number of links of each vector.
 
 Every link is confirmed by the cosine in double precision; nothing emits the pairs within a group.
 """
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from climo.llm.blocks import block_groups, block_links, split_buckets
 from climo.llm.graph import connected_components
 from climo.llm.tables import written
 from climo.session import ship_package
@@ -158,14 +160,31 @@ def _link_counts(members: DataFrame, threshold: float, block: int) -> DataFrame:
     return partial.groupBy("id").agg(F.sum("linked").alias("linked"))
 
 
+def _near_pairs(threshold: float):
+    """For lists of (label, *vector) the places (a, b) with a < b of equal labels whose cosine reaches the threshold, in stretches."""
+    def pairs(vectors: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        kinds = np.array([(v[0], len(v)) for v in vectors])
+        for kind in np.unique(kinds, axis=0):
+            places = np.flatnonzero((kinds == kind).all(axis=1))
+            x = np.vstack([vectors[p][1:] for p in places]).astype(float)
+            x /= np.abs(x).max(axis=1, keepdims=True)
+            norms = np.sqrt((x * x).sum(axis=1))
+            for k in range(0, len(x), 512):
+                near = (x[k:k + 512] @ x[k:].T) / (norms[k:k + 512, None] * norms[None, k:]) >= threshold
+                a, b = np.nonzero(np.triu(near, 1))
+                yield places[a + k], places[b + k]
+
+    return pairs
+
+
 def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
                            threshold: float = 0.93, tables: int = 8, scale: float = 0.6, probes: int = 4, seed: int = 5,
                            block: int = 2048) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per input row.
 
     Vectors are compared within equal, non-null labels and equal lengths.  With the defaults a pair at the
-    threshold meets in some cell with a probability of about 0.9996, closer pairs more surely; all
-    pairs inside a component are then compared.
+    threshold meets in some cell with a probability of about 0.9996, closer pairs more surely.  All pairs that meet are
+    compared unless they are connected already; all pairs inside a component are then compared.
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and rows without label or id, are linked
     with nothing; rows without id are kept.  Rows with equal vectors and labels are linked, repeated rows among
@@ -193,8 +212,11 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     hosts = placed(homes).select("bucket", F.col("id").alias("host"), F.col("component").alias("_of"))
     met = guests.join(hosts, "bucket").where("component <> _of")
     crossing = met.select(F.least("id", "host").alias("u"), F.greatest("id", "host").alias("v")).distinct()
-    links = first.union(_confirmed(crossing, classes, threshold))
+    links = written(first.union(_confirmed(crossing, classes, threshold)))
     parts = connected_components(links)
+    untested = written(split_buckets(placed(homes)).withColumn("weight", F.lit(1)))
+    vectors_of = classes.select("id", F.concat(F.array(F.col("label").cast("double")), "embedding").alias("item"))
+    parts = connected_components(links.union(block_links(block_groups(untested, block), vectors_of, _near_pairs(threshold))))
     members = classes.join(parts, "id")
     counts = _link_counts(members, threshold, block)
     totals = written(classes.where("copies > 1").select("id", "copies").join(parts, "id", "full").join(counts, "id", "left").select(

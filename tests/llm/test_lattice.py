@@ -89,3 +89,18 @@ def test_repeated_rows_count_as_links(spark):
     frame = spark.createDataFrame([(4, [1.0, 2.0], 1, 0, "")] * 3 + [(9, [1.0, 2.0], 1, 0, "")], SCHEMA)
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in lattice.near_duplicate_vectors(frame).collect())
     assert got == [(4, 3, 4)] * 3 + [(9, 3, 4)]
+
+
+def test_close_pairs_in_crowded_cells(spark):
+    """With the 8 tables of the default: pairs whose home cells each hold strangers with smaller ids."""
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    middle = unit(rng.normal(size=256))
+    around = lambda n: unit(0.88 ** 0.5 * middle + 0.12 ** 0.5 * unit(rng.normal(size=(n, 256))))
+    strangers, ends = around(500), around(60)
+    others = unit(ends + 1e-4 * unit(rng.normal(size=ends.shape)))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.vstack([strangers, ends, others]))]
+    frame = spark.createDataFrame([(i, e, lab, 1, "x") for i, e, lab in rows], SCHEMA)
+    for block in (2048, 5):
+        got = lattice.near_duplicate_vectors(frame, block=block).collect()
+        assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in got) == brute(rows, 0.93)
