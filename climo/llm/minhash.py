@@ -10,11 +10,9 @@
   bucket's smallest id, and links are confirmed on the full sets.  A star misses a link between two members that
   both lie too far from its centre.  So buckets whose members are in several components get further stars around
   the members with most links so far (the text that the others were made from, if there is one).
-* Members x and y compared with one centre c share at most min(|x & c|, |y & c|) shingles inside c.  Outside c
-  they share what a join of the rests x - c and y - c finds.  Where both together can reach the limit the pair is compared as
-  well; for all others the two numbers prove that there is no link.  Rounds go on until one links nothing new.
-* No bucket is cut or sampled.  What can still be missed is a link between texts that are never compared with a common centre
-  to which both are similar by half or more.
+* When such a round links nothing new, all members of different components in one bucket are compared: in blocks of bounded size,
+  by the counts of the hashes that they share, without emitting the pairs.
+* No bucket is cut or sampled: members of one bucket are in one component or were compared.
 """
 
 from __future__ import annotations
@@ -28,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from climo.llm.blocks import block_groups, block_links
 from climo.llm.graph import connected_components
 from climo.llm.tables import written
 from climo.session import ship_package
@@ -128,47 +127,59 @@ def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(sets, "id long, hashes array<long>")
 
 
-#: Centres count as common to pairs that are similar by this percentage.
-COMMON_CENTRE_PERCENT = 50
-
-
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v, shared, n_u, n_v, rest_u, rest_v, linked) of (u, v): compared on the full sets.
-
-    The rests, what one set holds beyond the other, are null for pairs below COMMON_CENTRE_PERCENT."""
+    """(u, v, linked) of (u, v): compared on the full sets."""
     left = pairs.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("_hu")), "u")
     both = left.join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("_hv")), "v")
-    both = both.withColumn("shared", F.size(F.array_intersect("_hu", "_hv")))
-    union = F.size("_hu") + F.size("_hv") - F.col("shared")
-    common = F.lit(100) * F.col("shared") >= F.lit(COMMON_CENTRE_PERCENT) * union
-    return both.select("u", "v", "shared", F.size("_hu").alias("n_u"), F.size("_hv").alias("n_v"),
-                       F.when(common, F.array_except("_hu", "_hv")).alias("rest_u"),
-                       F.when(common, F.array_except("_hv", "_hu")).alias("rest_v"),
-                       (F.lit(100) * F.col("shared") >= F.lit(percent) * union).alias("linked"))
-
-
-def _possible_pairs(tested: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of different components that were compared with one centre and may be linked, by what they share
-    with it and outside it."""
-    near = tested.where("rest_u is not null")
-    ends = near.select(F.col("u").alias("centre"), F.col("v").alias("id"), "shared", F.col("n_v").alias("n"), F.col("rest_v").alias("rest")).union(
-        near.select(F.col("v").alias("centre"), F.col("u").alias("id"), "shared", F.col("n_u").alias("n"), F.col("rest_u").alias("rest")))
-    placed = ends.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = placed.groupBy("centre").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
-    placed = written(placed.join(split.where("_low <> _high").select("centre"), "centre"))
-    other = placed.select("centre", F.col("id").alias("id2"), F.col("shared").alias("shared2"), F.col("n").alias("n2"),
-                          F.col("rest").alias("rest2"), F.col("component").alias("component2"))
-    apart = (F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2"))
-
-    def may_link(outside) -> object:
-        return F.lit(100 + percent) * (F.least("shared", "shared2") + outside) >= F.lit(percent) * (F.col("n") + F.col("n2"))
-
-    left = placed.withColumn("h", F.explode("rest")).drop("rest")
-    right = other.withColumn("h", F.explode("rest2")).drop("rest2")
-    meeting = left.join(right, ["centre", "h"]).where(apart).groupBy("centre", "id", "id2", "shared", "shared2", "n", "n2").agg(
-        F.count("*").alias("outside")).where(may_link(F.col("outside")))
-    inside = placed.drop("rest").join(other.drop("rest2"), "centre").where(apart & may_link(F.lit(0)))
-    return meeting.select(F.col("id").alias("u"), F.col("id2").alias("v")).union(inside.select("id", "id2"))
+    shared = F.size(F.array_intersect("_hu", "_hv"))
+    return both.select("u", "v", (F.lit(100 + percent) * shared >= F.lit(percent) * (F.size("_hu") + F.size("_hv"))).alias("linked"))
+
+
+#: Hashes that two blocks of sets hold at most, about, and what a set counts at least.
+BLOCK_HASHES, LEAST_HASHES = 500_000, 500
+#: Hashes in more sets than this are counted by matrix products.
+OFTEN = 32
+
+
+def shared_counts(sets: list) -> np.ndarray:
+    """The number of common hashes of each two of some sets (sorted distinct hashes); the diagonal is of no use."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(h) for h in sets])
+    hashes = np.concatenate([np.asarray(h, np.int64) for h in sets])
+    order = np.argsort(hashes, kind="stable")
+    owner, hashes = owner[order], hashes[order]
+    starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+    sizes = np.diff(np.r_[starts, len(hashes)])
+    counts = np.zeros(n * n, np.int64)
+    for size in range(2, min(OFTEN, n) + 1):                    # few owners: their pairs
+        of = starts[sizes == size]
+        if len(of):
+            holders = owner[of[:, None] + np.arange(size)]
+            for i in range(1, size):
+                at = (holders[:, :i] * n + holders[:, i:i + 1]).ravel()
+                counts += np.bincount(at, minlength=n * n) if len(at) * 8 > n * n else 0
+                if len(at) * 8 <= n * n:
+                    np.add.at(counts, at, 1)
+    counts = counts.reshape(n, n)
+    counts += counts.T.copy()
+    often = np.flatnonzero(sizes > OFTEN)
+    for k in range(0, len(often), 2048):
+        part = often[k:k + 2048]
+        held = np.zeros((n, len(part)), np.float32)
+        for column, s in enumerate(part):
+            held[owner[starts[s]:starts[s] + sizes[s]], column] = 1
+        counts += np.rint(held @ held.T).astype(np.int64)
+    return counts
+
+
+def _linked_sets(percent: int):
+    """For lists of sets the places (a, b) with a < b of those similar by ``percent``."""
+    def pairs(sets: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        sizes, shared = np.array([len(h) for h in sets]), shared_counts(sets)
+        near = (100 + percent) * shared >= percent * (sizes[:, None] + sizes[None, :])
+        yield np.nonzero(np.triu(near, 1))
+
+    return pairs
 
 
 def _edge(a: str, b: str) -> list:
@@ -176,7 +187,8 @@ def _edge(a: str, b: str) -> list:
 
 
 def class_links(members: DataFrame, sets_of, percent: int, centres: int = 3) -> DataFrame:
-    """Links (u, v) found by stars in the buckets ``members`` (bucket, id); ``centres`` per bucket and further round.
+    """Links (u, v) that join what all links inside the buckets ``members`` (bucket, id) join: by stars, ``centres`` per bucket
+    and further round, while they link anything; then by all pairs of different components.
 
     ``sets_of(ids)`` gives (id, hashes) of the ids that share a bucket with another.
     """
@@ -198,12 +210,15 @@ def class_links(members: DataFrame, sets_of, percent: int, centres: int = 3) ->
         ranked = rest.withColumn("_rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("degree").desc(), "id")))
         chosen = written(ranked.where(F.col("_rank") <= centres).select(
             "bucket", F.col("id").alias("centre"), F.col("component").alias("_component")))
-        stars = rest.join(chosen, "bucket").where("component <> _component").select(*_edge("id", "centre"))
-        pairs = stars.union(_possible_pairs(tested, parts, percent)).distinct()
+        pairs = rest.join(chosen, "bucket").where("component <> _component").select(*_edge("id", "centre")).distinct()
         fresh = written(_confirmed(pairs.join(tested.select("u", "v"), ["u", "v"], "left_anti"), sets, percent))
         tested = written(tested.union(fresh))
         if not fresh.where("linked").limit(1).count():
-            return tested.where("linked").select("u", "v")
+            break
+    weights = sets.select("id", F.greatest(F.size("hashes"), F.lit(LEAST_HASHES)).alias("weight"))
+    untested = written(rest.select("bucket", "id", "component").join(weights, "id"))
+    links = block_links(block_groups(untested, BLOCK_HASHES // 2), sets.withColumnRenamed("hashes", "item"), _linked_sets(percent))
+    return tested.where("linked").select("u", "v").union(links)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,

@@ -88,3 +88,34 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(20, 60)] + [(5, 3), (3, 5), (9, 9), (None, 4), (100, 7), (100, 8), (101, 8)]
     got = {r.id: r.component for r in graph.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 20 for i in range(20, 61)}, 3: 3, 5: 3, 9: 9, 100: 7, 7: 7, 8: 7, 101: 7}
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 120))) for _ in range(90)]
+    got = minhash.shared_counts(sets)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert i == j or got[i, j] == len(set(a.tolist()) & set(b.tolist()))
+
+
+def test_links_in_crowded_buckets(spark, monkeypatch):
+    """One bucket: strangers with smaller ids and busier groups, and pairs that only each other can link."""
+    rng = random.Random(2)
+    sets, n = {}, 0
+    for size in [1] * 20 + [4] * 8 + [2] * 15:
+        base = rng.sample(range(10 ** 9), 100)
+        for _ in range(size):
+            sets[n] = sorted([*base, *rng.sample(range(10 ** 9, 2 * 10 ** 9), 3)])
+            n += 1
+    frame = spark.createDataFrame(sorted(sets.items()), "id long, hashes array<long>")
+    members = spark.createDataFrame([(b, i) for i in sets for b in (1, 2)], "bucket long, id long")
+    for budget in (500_000, 4000):
+        monkeypatch.setattr(minhash, "BLOCK_HASHES", budget)
+        links = minhash.class_links(members, lambda ids: frame.join(ids, "id"), 85)
+        parts = {r.id: r.component for r in graph.connected_components(links).collect()}
+        want, at = {}, 20
+        for size in [4] * 8 + [2] * 15:
+            want |= {i: at for i in range(at, at + size)}
+            at += size
+        assert parts == want
