@@ -67,86 +67,76 @@ def _text_words(low: str) -> set[str]:
     return set(_WORD.findall(" ".join(set(low.split()))))
 
 
-def _words(texts: DataFrame) -> DataFrame:
-    """(id, sketches, words) of (id, text)."""
-    schema = pa.schema([("id", pa.int64()), ("sketches", pa.list_(pa.int64())), ("words", pa.list_(pa.string()))])
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                texts = [t.as_py() or "" for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_sketches(t) for t in texts], pa.list_(pa.int64())),
-                                                  pa.array([sorted(_text_words(t.lower())) for t in texts], pa.list_(pa.string()))], schema=schema)
-
-    return texts.select("id", "text").mapInArrow(words, "id long, sketches array<long>, words array<string>")
-
-
 def training_labels(labels: DataFrame) -> DataFrame:
     """(id, toxic) of the labelled rows that are not held out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
     return known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
 
 
+def _sketched(training: DataFrame) -> DataFrame:
+    """(id, toxic, sketches) of (id, toxic, text) where a text has words enough for any."""
+    schema = pa.schema([("id", pa.int64()), ("toxic", pa.int32()), ("sketches", pa.list_(pa.int64()))])
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([_sketches(t.as_py() or "") for t in batch.column(2)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], schema=schema)
+
+    return training.select("id", "toxic", "text").mapInArrow(sketch, "id long, toxic int, sketches array<long>").where(F.size("sketches") > 0)
+
+
 def _distinct_texts(training: DataFrame) -> DataFrame:
-    """One row per id, without near copies: those with the smallest id for each of their sketches."""
-    training = training.dropDuplicates(["id"])
-    each = training.select("id", F.posexplode("sketches").alias("k", "sketch"))
+    """The rows (id, toxic, text) without near copies: those with the smallest id for each of their sketches."""
+    each = written(_sketched(training)).select("id", F.posexplode("sketches").alias("k", "sketch"))
     first = each.groupBy("k", "sketch").agg(F.min("id").alias("first"))
     kept = each.join(first, ["k", "sketch"]).groupBy("id").agg(F.min(F.col("id") == F.col("first")).alias("own")).where("own")
     return training.join(kept.select("id"), "id", "left_semi")
 
 
 def _term_counts(rows: DataFrame) -> DataFrame:
-    """(term, n): documents per term; summed up in each task first."""
-    schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
+    """(term, toxic, n): toxic documents and documents per term of (toxic, text); summed up in each task first."""
+    schema = pa.schema([("term", pa.string()), ("toxic", pa.int64()), ("n", pa.int64())])
+
+    def batch_of(seen: Counter, marked: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array([marked[t] for t in seen], pa.int64()),
+                                           pa.array(list(seen.values()), pa.int64())], schema=schema)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen, marked = Counter(), Counter()
         for batch in batches:
-            for words in batch.column(0):
-                seen.update(set(word_terms(words.as_py())))
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                terms = set(word_terms(_text_words((text.as_py() or "").lower())))
+                seen.update(terms)
+                if toxic:
+                    marked.update(terms)
                 if len(seen) > 300_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], schema=schema)
-                    seen = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], schema=schema)
-
-    return rows.select("words").mapInArrow(counts, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-
-
-def candidate_terms(texts: DataFrame, known: DataFrame, max_candidates: int = 20_000, min_documents: int = 4) -> tuple[list[str], int]:
-    """(the most frequent terms of toxic training texts, the number of terms counted).
+                    yield batch_of(seen, marked)
+                    seen, marked = Counter(), Counter()
+        yield batch_of(seen, marked)
 
-    The toxic ids are written first, so Spark knows their size when it plans the join with the texts."""
-    toxic = written(known.where("toxic = 1").select("id"))
-    counted = written(_term_counts(_distinct_texts(written(_words(texts.join(toxic, "id"))))))
-    often = counted.where(F.col("n") >= min_documents).orderBy(F.col("n").desc(), "term").limit(max_candidates)
-    return [r.term for r in often.collect()], counted.count()
+    found = rows.select("toxic", "text").mapInArrow(counts, "term string, toxic long, n long")
+    return found.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
 
 
-def mined_terms(found: DataFrame, known: DataFrame, candidates: list[str], tried: int, max_terms: int = 500,
-                min_precision: float = 0.7) -> list[int]:
-    """Numbers of the candidates that mark toxic training texts, strongest first.
+def mined_terms(texts: DataFrame, known: DataFrame, min_documents: int = 4, min_precision: float = 0.7) -> list[str]:
+    """All terms that mark toxic training texts, strongest first.
 
-    A term needs a share of toxic documents of ``min_precision`` and evidence against chance beyond the number of terms
-    tried: (documents) * KL(share, base rate) >= ln(5 * terms).  ``found`` (id, terms, sketches) is counted over all
-    labelled training rows, near copies once.
+    A term needs ``min_documents`` toxic documents, a share of toxic documents of ``min_precision`` and evidence against chance
+    beyond the number of terms tried (those of toxic texts): (documents) * KL(share, base rate) >= ln(5 * terms).  Terms
+    and base rates are counted over the same rows, all labelled training texts, near copies once; only
+    the terms that pass reach the driver.
     """
-    totals = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    rows = written(_distinct_texts(written(texts.join(known, "id").dropDuplicates(["id"]))))
+    totals = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
-    if not toxic or not clean or not candidates:
+    if not toxic or not clean:
         return []
-    marked = _distinct_texts(written(found.where(F.size("terms") > 0).join(known, "id")))
-    counts = marked.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(
-        F.sum("toxic").alias("toxic"), F.count("*").alias("n")).collect()                # at most one row per candidate
-    base, strong = toxic / (toxic + clean), []
-    for r in counts:
-        share = r.toxic / r.n
-        rest = (1 - share) * math.log((1 - share) / (1 - base)) if share < 1 else 0.0
-        evidence = r.n * (share * math.log(share / base) + rest) if share > base else 0.0
-        if share >= min_precision and evidence >= math.log(5 * tried):
-            strong.append((-evidence, candidates[r.term], r.term))
-    return [number for _, _, number in sorted(strong)[:max_terms]]
+    counted = written(_term_counts(rows).where("toxic > 0"))
+    base, tried, share = toxic / (toxic + clean), counted.count(), F.col("toxic") / F.col("n")
+    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    strong = counted.where((F.col("toxic") >= min_documents) & (share >= min_precision) & (share > base)).withColumn(
+        "evidence", F.col("n") * (share * F.log(share / base) + rest)).where(F.col("evidence") >= math.log(5 * max(tried, 1)))
+    return [r.term for r in strong.orderBy(F.desc("evidence"), "term").collect()]
 
 
 def pattern_votes(text: str, low: str, words: set[str]) -> int:
@@ -158,40 +148,26 @@ def pattern_votes(text: str, low: str, words: set[str]) -> int:
     return sum(1 << i for i, f in enumerate(fired) if f)
 
 
-def _observed(texts: DataFrame, candidates: list[str]) -> DataFrame:
-    """(id, fixed, terms, sketches): votes of the fixed voters, candidate terms found, and sketches where there are any."""
-    index = {t: i for i, t in enumerate(candidates)}
-    starts = {t.rstrip("*")[:PREFIXES[0]] for t in candidates}
-    schema = pa.schema([("id", pa.int64()), ("fixed", pa.int32()), ("terms", pa.list_(pa.int32())), ("sketches", pa.list_(pa.int64()))])
+def _votes(texts: DataFrame, lexicon: list[str]) -> DataFrame:
+    """(id, votes, terms): all votes as bits; terms by their place in the lexicon, term i in lexicon group i mod GROUPS."""
+    index = {t: i for i, t in enumerate(lexicon)}
+    starts = {t.rstrip("*")[:PREFIXES[0]] for t in lexicon}
+    first = len(VOTERS) - GROUPS
+    schema = pa.schema([("id", pa.int64()), ("votes", pa.int32()), ("terms", pa.list_(pa.int32()))])
 
-    def look(text: str) -> tuple[int, list[int], list[int]]:
+    def look(text: str) -> tuple[int, list[int]]:
         low = text.lower()
         words = _text_words(low)
         likely = [w for w in words if w[:PREFIXES[0]] in starts]
         terms = sorted({index[t] for t in word_terms(likely) if t in index})
-        return pattern_votes(text, low, words), terms, _sketches(text) if terms else []
-
-    def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = list(zip(*(look(t.as_py() or "") for t in batch.column(1)), strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(got, list(schema)[1:], strict=True))], schema=schema)
-
-    return texts.select("id", "text").mapInArrow(observe, "id long, fixed int, terms array<int>, sketches array<long>")
-
-
-def _votes(observed: DataFrame, lexicon: list[int]) -> DataFrame:
-    """(id, votes, terms): all votes as bits; terms by their place in the lexicon, term i in lexicon group i mod GROUPS."""
-    place = {number: i for i, number in enumerate(lexicon)}
-    first = len(VOTERS) - GROUPS
-    schema = pa.schema([("id", pa.int64()), ("votes", pa.int32()), ("terms", pa.list_(pa.int32()))])
+        return pattern_votes(text, low, words) | sum({1 << (first + t % GROUPS) for t in terms}), terms
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms = [[place[t] for t in found if t in place] for found in batch.column(2).to_pylist()]
-            bits = [fixed | sum({1 << (first + t % GROUPS) for t in found}) for fixed, found in zip(batch.column(1).to_pylist(), terms, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.int32()), pa.array(terms, pa.list_(pa.int32()))], schema=schema)
+            got = list(zip(*(look(t.as_py() or "") for t in batch.column(1)), strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(got, list(schema)[1:], strict=True))], schema=schema)
 
-    return observed.select("id", "fixed", "terms").mapInArrow(votes, "id long, votes int, terms array<int>")
+    return texts.select("id", "text").mapInArrow(votes, "id long, votes int, terms array<int>")
 
 
 class LabelModel:
@@ -268,10 +244,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     ship_package(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     known = written(training_labels(labels))
-    candidates, tried = candidate_terms(rows, known)
-    observed = written(_observed(rows, candidates))
-    lexicon = mined_terms(observed, known, candidates, tried)
-    voted = written(_votes(observed, lexicon))
+    lexicon = mined_terms(rows, known)
+    voted = written(_votes(rows, lexicon))
     patterns = voted.join(known, "id", "left").groupBy("votes", F.coalesce("toxic", F.lit(-1)).alias("known")).agg(
         F.count("*").alias("n")).collect()                       # at most 3 * 2^voters rows
     sample = voted.where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(max_sample).select("votes", "terms").toPandas()
@@ -279,12 +253,16 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         weights = np.zeros(len(VOTERS) + len(lexicon) + 1)
     else:
         model = LabelModel(_bits(np.array([r.votes for r in patterns])), np.array([r.known for r in patterns]), np.array([r.n for r in patterns]))
-        x = np.zeros((len(sample), len(VOTERS) + len(lexicon)), np.float32)
+        used = sorted({t for terms in sample.terms for t in terms})          # the weights of the others are zero in any case
+        place = {t: i for i, t in enumerate(used)}
+        x = np.zeros((len(sample), len(VOTERS) + len(used)), np.float32)
         x[:, :len(VOTERS)] = _bits(sample.votes.to_numpy().astype(np.int64))
         for i, terms in enumerate(sample.terms):
-            x[i, len(VOTERS) + np.asarray(terms, dtype=int)] = 1
+            x[i, [len(VOTERS) + place[t] for t in terms]] = 1
         soft = model.posterior(x[:, :len(VOTERS)].astype(float))
-        weights = fit_linear(x, soft) if len(sample) else np.zeros(x.shape[1] + 1)
+        fitted = fit_linear(x, soft) if len(sample) else np.zeros(x.shape[1] + 1)
+        weights = np.zeros(len(VOTERS) + len(lexicon) + 1)
+        weights[[*range(len(VOTERS)), *(len(VOTERS) + t for t in used), -1]] = fitted
     schema = pa.schema([("doc_id", pa.int64()), ("votes", pa.int32()), ("score", pa.float64())])
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -73,3 +73,18 @@ def test_label_model_recovers_rates():
     assert abs(model.prior - 0.15) < 0.03
     assert np.abs(model.rates[1][2:] - rates[1][2:]).max() < 0.12
     assert model.weights[0] < 0.7 < model.weights[-1]
+
+
+def test_every_term_with_evidence_is_mined(spark, monkeypatch):
+    """Rare toxic words among many more frequent ones: 30,000 words that stand in toxic texts as well."""
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda i: "".join(letters[i // 26 ** k % 26] for k in range(4))
+    common, bad = [name(i * 7 + 1) for i in range(30_000)], [f"zq{name(i)}" for i in range(700)]
+    rows = []
+    for d in range(160):
+        toxic = d % 4 == 0
+        rows.append((d, int(toxic), " ".join(rng.sample(common, 30_000) if d < 80 else rng.sample(common, 50)) + " " + (" ".join(rng.sample(bad, 700)) if d % 16 == 0 else "")))
+    frame = spark.createDataFrame(rows, "id long, toxic int, text string")
+    got = toxicity.mined_terms(frame.select("id", "text"), frame.select("id", "toxic"))
+    assert set(bad) <= set(got) and not set(common) & set(got)
