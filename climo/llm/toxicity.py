@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
 1. A lexicon is mined from the labelled training rows: words and word beginnings that stand in toxic texts far
-   more often than chance allows.  Near copies count once, or one copied text would make its rare words significant.
+   more often than chance allows.  Confirmed near copies count once, or one copied text would make its rare words significant.
 2. Voters - lexicon groups and patterns - vote on every document.  A generative label model with a latent class learns each
    voter's firing rates per class by expectation maximisation over the counts of all vote patterns, labelled rows
    with their class fixed.  Voters that fire together within a class are correlated: each one's evidence is divided by one
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from climo.llm.minhash import shingle_set
+from climo.llm.minhash import _confirmed, _shingle_sets, shingle_set
 from climo.llm.tables import written
 from climo.session import ship_package
 
@@ -85,12 +85,16 @@ def _sketched(training: DataFrame) -> DataFrame:
     return training.select("id", "toxic", "text").mapInArrow(sketch, "id long, toxic int, sketches array<long>").where(F.size("sketches") > 0)
 
 
-def _distinct_texts(training: DataFrame) -> DataFrame:
-    """The rows (id, toxic, text) without near copies: those with the smallest id for each of their sketches."""
-    each = written(_sketched(training)).select("id", F.posexplode("sketches").alias("k", "sketch"))
-    first = each.groupBy("k", "sketch").agg(F.min("id").alias("first"))
-    kept = each.join(first, ["k", "sketch"]).groupBy("id").agg(F.min(F.col("id") == F.col("first")).alias("own")).where("own")
-    return training.join(kept.select("id"), "id", "left_semi")
+def _distinct_texts(training: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows (id, toxic, text) without near copies: texts that agree with the smallest id of their label and
+    sketches on all sketches, and on ``percent`` of the shingles."""
+    sketched = written(_sketched(training))
+    first = sketched.groupBy("toxic", "sketches").agg(F.min("id").alias("u"), F.count("*").alias("_n")).where("_n > 1")
+    pairs = written(sketched.join(first, ["toxic", "sketches"]).where("id <> u").select("u", F.col("id").alias("v")))
+    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+    sets = written(_shingle_sets(training.select("id", "text").join(ids, "id"), 3))
+    copies = written(_confirmed(pairs, sets, percent).where("linked").select(F.col("v").alias("id")))
+    return training.join(copies, "id", "left_anti")
 
 
 def _term_counts(rows: DataFrame) -> DataFrame:

@@ -88,3 +88,13 @@ def test_every_term_with_evidence_is_mined(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "id long, toxic int, text string")
     got = toxicity.mined_terms(frame.select("id", "text"), frame.select("id", "toxic"))
     assert set(bad) <= set(got) and not set(common) & set(got)
+
+
+def test_only_near_copies_are_dropped(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=7))
+    passage = " ".join(word() for _ in range(30))
+    rows = [(i, i % 2, passage + " " + " ".join(word() for _ in range(70))) for i in range(60)]
+    rows += [(100 + i, 1, rows[1][2]) for i in range(5)] + [(200, 0, rows[1][2])]
+    got = toxicity._distinct_texts(spark.createDataFrame(rows, "id long, toxic int, text string"))
+    assert sorted(r.id for r in got.collect()) == [*range(60), 200]
