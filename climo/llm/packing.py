@@ -119,7 +119,8 @@ class _TaskPacker:
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 2048,
-                   end_id: int = 1, ranks_path: str | None = None, window_tokens: int = 1 << 20) -> DataFrame:
+                   end_id: int = 1, ranks_path: str | None = None, window_tokens: int = 1 << 20,
+                   specials: bool = False) -> DataFrame:
     """Tokenize whole texts and pack them into sequences of at most ``max_tokens`` tokens.
 
     Returns one row per piece: doc_id, start (the document's ids before it), length, ids (little-endian
@@ -129,14 +130,14 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A null or empty text is the end id alone.  A null id stays null.  Repeated rows are packed each on
     their own; ties of length go by input order.  An empty table gives no rows.  Other columns of
-    ``docs`` are not read.
+    ``docs`` are not read.  With ``specials`` the text <|endoftext|> is the tokenizer's special id, otherwise ordinary text.
     """
     ship_package(docs.sparkSession)
     path = ranks_path or default_ranks_path()
     end = int(end_id).to_bytes(4, "little")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = TextEncoder(path), _TaskPacker(max_tokens, window_tokens)
+        encoder, packer = TextEncoder(path, specials), _TaskPacker(max_tokens, window_tokens)
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 if packer.add(doc_id.as_py(), encoder.ids_bytes(text.as_py() or "") + end):

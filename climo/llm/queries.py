@@ -41,7 +41,7 @@ def op5_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in sequences of 2048 tokens, with the CRC-32 of its ids (see ``packing``)."""
-    pieces = packing.pack_documents(table(spark, sf_dir, "documents"))
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), specials=True)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset")
 

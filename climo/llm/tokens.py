@@ -14,6 +14,8 @@ import struct
 #: The vocabulary's split pattern (fixed value).
 PATTERN = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _SPACE_RUN = re.compile(r" (?=\s|\Z)")
+#: The tokenizer's only special token (fixed values).
+END_OF_TEXT, END_OF_TEXT_ID = "<|endoftext|>", 50256
 CACHE_WORDS = 200_000
 CACHE_WORD_CHARS = 48
 
@@ -44,18 +46,26 @@ class _Parts(dict):
 class TextEncoder:
     """``ids_bytes(text)``: the ids of a whole text, packed as little-endian unsigned 32-bit integers.
 
-    Special-token strings inside a text are ordinary text.
+    ``specials``: the text of the special token is its id, as for the tokenizer by default; otherwise it is ordinary text.
     """
 
-    def __init__(self, ranks_path: str):
+    def __init__(self, ranks_path: str, specials: bool = False):
         import tiktoken
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._encode = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks,
                                          special_tokens={}).encode_ordinary
         self._parts = _Parts(self._encode)
+        self._specials = specials
 
     def ids_bytes(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if self._specials and END_OF_TEXT in text:
+            return struct.pack("<I", END_OF_TEXT_ID).join(map(self._ordinary, text.split(END_OF_TEXT)))
+        return self._ordinary(text)
+
+    def _ordinary(self, text: str) -> bytes:
         if not text:
             return b""
         if _SPACE_RUN.search(text):

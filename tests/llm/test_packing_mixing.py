@@ -3,9 +3,11 @@
 import struct
 import zlib
 
+import numpy as np
 import pytest
 
 from climo.llm import mixing, packing
+from climo.llm.tokens import TextEncoder, default_ranks_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -97,3 +99,16 @@ def test_mix_counts_and_edges(spark):
     assert mixed.columns == docs.columns
     assert mixed.count() == sum(r.copies for r in got)
     assert mixing.mixed_documents(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_special_token_as_the_tokenizer_has_it(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    plain = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y z", "<|endoftext|", "end <|endoftext|>", "no token"]
+    coder = TextEncoder(default_ranks_path(), specials=True)
+    for text in texts:
+        assert np.frombuffer(coder.ids_bytes(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.doc_tokens for r in packing.pack_documents(docs, specials=True).collect()}
+    assert got == {i: len(plain.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
