@@ -224,7 +224,98 @@ FROM embeddings e LEFT JOIN n ON e.vec_id = n.a LEFT JOIN c ON e.vec_id = c.id
 """
 
 
+#: CRC-32 (reflected polynomial 0xEDB88320): what a byte does to the state.
+CRC_TABLE = """crc_table AS (SELECT list(c ORDER BY i) AS steps FROM (
+  SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c
+  FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of ``text``'s UTF-8 bytes, with ``CRC_TABLE``'s table in scope as ``ct``."""
+    octets = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda b: ('0x' || substr(hex(encode({text})), 2 * b - 1, 2))::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, ct.steps[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
+def merkle_sql() -> str:
+    """Both trees level by level, every leaf's siblings, and every (tampered) leaf folded through them."""
+    def leaf(n_chars: str) -> str:
+        fields = ("doc_id", "source", "lang", n_chars, "text")
+        return "sha256(" + " || ".join(f"coalesce(octet_length(encode(({f})::VARCHAR)) || ':' || ({f})::VARCHAR, '-')" for f in fields) + ")"
+
+    return rf"""
+WITH RECURSIVE {CRC_TABLE},
+l AS (SELECT doc_id, coalesce('=' || lang, '-') AS tree, {leaf("n_chars")} AS leaf, {leaf("n_chars + 1")} AS changed,
+        {crc32_sql("doc_id::VARCHAR")} % 7 = 0 AS tampered FROM documents, crc_table ct),
+n AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS size FROM l),
+t(tree, level, pos, digest, size) AS (
+  SELECT tree, 0, pos, leaf, size FROM n
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (size + 1) // 2 FROM t WHERE size > 1
+  GROUP BY tree, level, pos // 2, size),
+s AS (SELECT tree, level AS height, digest FROM t WHERE size = 1),
+u(level, pos, digest, size) AS (
+  SELECT 0, row_number() OVER (ORDER BY encode(tree)) - 1, digest, count(*) OVER () FROM s
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (size + 1) // 2 FROM u WHERE size > 1
+  GROUP BY level, pos // 2, size),
+k AS (SELECT tree, height, digest AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS rank FROM s),
+p AS (SELECT n.tree, n.pos, t.level, (n.pos >> t.level) & 1 AS odd, m.digest AS mate
+      FROM n JOIN t ON t.tree = n.tree AND t.pos = n.pos >> t.level AND t.size > 1
+      LEFT JOIN t m ON m.tree = t.tree AND m.level = t.level AND m.pos = xor(t.pos, 1)
+      UNION ALL
+      SELECT n.tree, n.pos, k.height + u.level, (k.rank >> u.level) & 1, m.digest
+      FROM n JOIN k ON k.tree = n.tree JOIN u ON u.pos = k.rank >> u.level AND u.size > 1
+      LEFT JOIN u m ON m.level = u.level AND m.pos = xor(u.pos, 1)),
+a AS (SELECT n.tree, n.pos, coalesce(list(coalesce(mate, '') ORDER BY level) FILTER (level IS NOT NULL), []) AS mates,
+        list(odd ORDER BY level) AS odds FROM n LEFT JOIN p ON p.tree = n.tree AND p.pos = n.pos GROUP BY ALL),
+f(tree, pos, step, digest) AS (
+  SELECT tree, pos, 1, CASE WHEN tampered THEN changed ELSE leaf END FROM n
+  UNION ALL
+  SELECT f.tree, f.pos, step + 1, sha256(CASE WHEN odds[step] = 1 THEN mates[step] || digest ELSE digest || mates[step] END)
+  FROM f JOIN a ON a.tree = f.tree AND a.pos = f.pos WHERE step <= len(mates)),
+g AS (SELECT f.tree, f.pos, digest AS folded_root FROM f JOIN a ON a.tree = f.tree AND a.pos = f.pos WHERE step = len(mates) + 1),
+r AS (SELECT digest AS root FROM u WHERE size = 1)
+SELECT n.doc_id, n.leaf, k.subroot, r.root, sha256(array_to_string(a.mates, '')) AS proof_sha256,
+  g.folded_root, g.folded_root = r.root AS verified
+FROM n JOIN k ON k.tree = n.tree JOIN a ON a.tree = n.tree AND a.pos = n.pos JOIN g ON g.tree = n.tree AND g.pos = n.pos, r
+"""
+
+
+def exact_sql() -> str:
+    return """
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+  doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(text) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY text)
+"""
+
+
+def spelling_sql() -> str:
+    """Brute force: all words of nearly equal length against each other, letters as one byte each for ``levenshtein``."""
+    accents = "".join(map(chr, range(0xC0, 0x100)))
+    plain = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$%&()*+,-./:;<=>?@[]^_{|}~"
+    return rf"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+      FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS w FROM documents) GROUP BY ALL),
+h AS (SELECT run, n, {crc32_sql("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM r, crc_table ct),
+c AS (SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n, translate(word, '{accents}', '{plain}') AS code
+      FROM c WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+x AS (SELECT a.word, b.word AS near, b.n FROM v a JOIN v b ON length(b.code) BETWEEN length(a.code) - 1 AND length(a.code) + 1
+      WHERE levenshtein(a.code, b.code) = 1),
+b AS (SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, encode(near)) AS best, max(n) AS best_n FROM x GROUP BY word),
+w AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * v.n THEN best END AS form,
+        CASE WHEN best_n >= 5 * v.n THEN best_n END AS form_n FROM v LEFT JOIN b USING (word)),
+e(word, root) AS (SELECT word, word FROM w UNION ALL SELECT e.word, w.form FROM e JOIN w ON e.root = w.word WHERE w.form IS NOT NULL)
+SELECT w.word, w.form, e.root, w.n, w.n_near, w.form_n FROM w JOIN e ON e.word = w.word JOIN w l ON l.word = e.root WHERE l.form IS NULL
+"""
+
+
 ORACLE = {
+    "op11_merkle_manifest": merkle_sql(),
+    "op12_exact_dedup": exact_sql(),
+    "op13_spelling_variants": spelling_sql(),
     "op1_quality_rules": quality_sql(),
     "op2_personal_data": personal_sql(),
     "op3_chat_format": chat_sql(),

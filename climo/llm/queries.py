@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from climo.llm import chat, lattice, lines, minhash, mixing, packing, passages, personal, quality, toxicity
+from climo.llm import (chat, exact, lattice, lines, merkle, minhash, mixing, packing, passages, personal, quality, spelling,
+                       toxicity)
 from climo.llm.oracle import ORACLE  # noqa: F401 - read by __spark_entry__.py
 from climo.llm.tables import table
 
@@ -73,6 +74,27 @@ def op10_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, roots and proof, and the root of its version where it was tampered with (see ``merkle``)."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(docs.doc_id.cast("string")) % 7 == 0
+    leaves = merkle.dataset_manifest(docs, changes={"n_chars": docs.n_chars + 1}, where=tampered)
+    return leaves.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+                         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of its equal texts (see ``exact``)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    digests = docs.withColumn("text_sha256", F.sha2(exact.normalised(F.col("text")), 256))
+    return exact.exact_duplicates(digests).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of all documents with its near words, form and root (see ``spelling``)."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_personal_data": op2_personal_data,
@@ -84,4 +106,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_vector_near_dedup": op10_vector_near_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_spelling_variants": op13_spelling_variants,
 }
