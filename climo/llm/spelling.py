@@ -33,7 +33,7 @@ _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 #: Letter groups: code point mod GROUPS.  The trie's levels: length, then the groups in this order (frequent letters first).
 GROUPS = 16
 ORDER = (5, 1, 9, 15, 14, 4, 3, 2, 12, 0, 13, 8, 6, 7, 11, 10)
-SHARD_LEVELS, BLOCK, LEAF = 4, 20_000, 24
+SHARD_LEVELS, BLOCK, LEAF = 3, 50_000, 16
 #: Distinct words that a task gathers before it hands their counts on.
 FLUSH = 200_000
 #: Letters beyond this number are compared one word at a time.
@@ -89,12 +89,12 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _vectors(words: list[str]) -> np.ndarray:
-    """One row per word: its length, then its letters per group in ``ORDER``."""
+    """One row per word: its length, then its letters per group in ``ORDER``.  Counts are cut at 30,000, which brings no two vectors apart."""
     lengths = np.fromiter(map(len, words), np.int32, len(words))
     letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32) % GROUPS
     flat = np.repeat(np.arange(len(words)), lengths) * GROUPS + letters
     counts = np.bincount(flat, minlength=len(words) * GROUPS).reshape(len(words), GROUPS)
-    return np.concatenate([lengths[:, None], counts[:, list(ORDER)]], axis=1).astype(np.int32)
+    return np.concatenate([lengths[:, None], counts[:, list(ORDER)]], axis=1).clip(max=30_000).astype(np.int16)
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -135,20 +135,23 @@ def near_pairs(words: list[str], vectors: np.ndarray, entries: np.ndarray, visit
     codes, lengths = _codes(words)
     depth = vectors.shape[1]
 
-    def leaf(node: np.ndarray, found: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        step = max(1, 2_000_000 // (len(node) * depth))
+    def leaf(node: np.ndarray, at: int, found: np.ndarray, surplus: np.ndarray, deficit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        entry = vectors[node, at:]
+        step = max(1, 4_000_000 // (entry.size + len(node)))
         for s in range(0, len(found), step):
             part = found[s:s + step]
-            gap = vectors[part][:, None, 1:] - vectors[node][None, :, 1:]
-            i, j = np.nonzero((np.maximum(gap, 0).sum(axis=2) <= 1) & (np.maximum(-gap, 0).sum(axis=2) <= 1))
+            gap = vectors[part, at:][:, None, :] - entry[None, :, :]
+            # With g+ and g- the sums of positive and negative gaps: g+ = (|g| + g) / 2 and g- = (|g| - g) / 2.
+            size, net = np.abs(gap).sum(axis=2, dtype=np.int32), gap.sum(axis=2, dtype=np.int32)
+            i, j = np.nonzero(((size + net) // 2 + surplus[s:s + step, None] <= 1) & ((size - net) // 2 + deficit[s:s + step, None] <= 1))
             good = _verified(words, codes, lengths, part[i], node[j])
             yield part[i][good], node[j][good]
 
     def search(node: np.ndarray, at: int, found: np.ndarray, surplus: np.ndarray, deficit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if not len(found):
             return
-        if len(node) <= LEAF or at == depth:
-            yield from leaf(node, found)
+        if at and (len(node) <= LEAF or at == depth):
+            yield from leaf(node, at, found, surplus, deficit)
             return
         values = vectors[node, at]
         own = vectors[found, at]
@@ -165,7 +168,7 @@ def near_pairs(words: list[str], vectors: np.ndarray, entries: np.ndarray, visit
                 yield from search(node[s:e], at + 1, found[ok], more[ok], less[ok])
 
     order = entries[np.lexsort(vectors[entries].T[::-1])]
-    free = np.zeros(len(visitors), np.int32)
+    free = np.zeros(len(visitors), np.int16)
     yield from search(order, 0, visitors, free, free)
 
 
@@ -187,8 +190,7 @@ def _reachable() -> list[list[int]]:
 
 
 def _shard(levels: np.ndarray) -> np.ndarray:
-    """The key of the first trie levels: the counts stand side by side as digits.  Those of words beyond 30,000 letters may
-    clash, which only brings strangers together."""
+    """The key of the first trie levels: the counts stand side by side as digits."""
     code = np.zeros(levels.shape[:-1], np.int64)
     for j in range(SHARD_LEVELS):
         code = code * 32_768 + levels[..., j]
