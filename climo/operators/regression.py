@@ -1,32 +1,23 @@
 """Splines, OLS and additive decomposition.
 
-Design (see SURVEY §2.10):
-
-* Knots are quantiles of the *distinct* x values (a Spark aggregate; only the
-  df+2 knot values reach the driver).
-* OLS is solved from sufficient statistics.  When the design row depends only
-  on the day of year (normal curves, bands, CV) facts are first reduced to
-  (station, day_of_year) → (n, Σy) with a hash aggregate and the weighted
-  problem (≤ 366 rows per station) is solved per station.  For designs with a
-  continuous time term the Gram matrix [X y]ᵀ[X y] is accumulated on the
-  executors (``mapInPandas`` emits per-batch partial sums in long form,
-  ``groupBy(station, cell).sum`` combines them map-side) and only the k×k
-  matrix per station reaches a Python worker for the solve.
-* Centering ("center" constraint) is applied to the Gram matrix after the
-  pass: raw column sums are the intercept row of the raw Gram.
+* Knots are quantiles of the *distinct* x values (Spark aggregates).
+* Designs of the day of year alone (normal curves, bands, CV): facts are first reduced to (station, day_of_year)
+  statistics with a hash aggregate and the weighted problem (<= 366 rows per station) is solved per station.
+* Designs with a continuous time term are in ``least_squares``.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from climo.functions.student_t import two_sided_p
 
 # ---------------------------------------------------------------------------
 # basis functions (numpy, evaluated inside tasks)
@@ -127,7 +118,7 @@ class Term:
             return pdf[self.col].to_numpy(dtype=float)[:, None]
         if self.kind == "dummies":
             v = pdf[self.col].to_numpy()
-            return np.stack([(v == lev).astype(float) for lev in self.levels[1:]], axis=1)
+            return np.stack([np.zeros(m), *[(v == lev).astype(float) for lev in self.levels[1:]]], axis=1)[:, 1:]
         b = spline_basis(pdf[self.col].to_numpy(dtype=float), self.knots, self.kind != "cr")
         if self.kind != "by_level":
             return b
@@ -235,6 +226,10 @@ def knots_from_values(values, df_: int, lower: float | None = None, upper: float
     return np.unique(np.concatenate([[lo, hi], np.asarray(inner, dtype=float)]))
 
 
+def replace_knots(t: Term, knots: np.ndarray) -> Term:
+    return replace(t, knots=knots)
+
+
 def design(pdf: pd.DataFrame, terms: Sequence[Term]) -> np.ndarray:
     return np.concatenate([t.raw(pdf) for t in terms], axis=1)
 
@@ -312,29 +307,6 @@ def t_two_sided_p(t, dof):
 
 
 # ---------------------------------------------------------------------------
-# solving from sufficient statistics
-
-
-def _solve(xtx: np.ndarray, xty: np.ndarray, yty: float, n: float, terms: Sequence[Term]):
-    """Centered OLS from raw sufficient statistics; returns raw-basis
-    coefficients (β_raw = T β_c) and centered-coefficient inference."""
-    has_int = any(t.kind == "intercept" for t in terms)
-    col_means = xtx[0] / n if has_int else np.zeros(xtx.shape[0])
-    tm = centering_transform(terms, col_means)
-    a = tm.T @ xtx @ tm
-    g = tm.T @ xty
-    beta_c, *_ = np.linalg.lstsq(a, g, rcond=None)
-    rank = int(np.linalg.matrix_rank(a))
-    sse = float(yty - 2 * beta_c @ g + beta_c @ a @ beta_c)
-    dof = max(n - rank, 1.0)
-    sigma2 = max(sse, 0.0) / dof
-    cov = np.linalg.pinv(a) * sigma2
-    se = np.sqrt(np.clip(np.diag(cov), 0, None))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        tstat = np.where(se > 0, beta_c / se, np.nan)
-    p = t_two_sided_p(np.nan_to_num(tstat), dof)
-    p = np.where(np.isnan(tstat), np.nan, p)
-    return tm @ beta_c, beta_c, se, p, sigma2, rank
 
 
 def _ship(df: DataFrame) -> None:
@@ -352,163 +324,6 @@ def _by_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-def per_key_knots(df: DataFrame, terms: Sequence[Term], keys: Sequence[str]) -> DataFrame | None:
-    """One row per key with the knots of every spline term computed from that
-    key's own distinct values (bounds + quantiles, as a single-station fit
-    would).  A key whose knots collapse (too few distinct values) gets the
-    table-wide knots of ``fit_knots`` so that every key's design has the same
-    width.  One pass over the rows for all terms: (term, value) pairs are
-    exploded, made distinct per key, and ``distinct_quantiles`` takes every
-    term's quantiles exactly, whatever the number of values."""
-    keys = list(keys)
-    spl = [(j, t) for j, t in enumerate(terms) if t.kind in SPLINE_KINDS]
-    if not spl:
-        return None
-    probs_of = {j: _inner_probs(t) for j, t in spl}
-    all_probs = sorted({p for ps in probs_of.values() for p in ps})
-    pairs = F.explode(F.array(*[F.struct(F.lit(j).alias("_j"), F.col(t.col).cast("double").alias("_x"))
-                                for j, t in spl]))
-    dv = (df.select(*keys, pairs.alias("_p")).select(*keys, "_p._j", "_p._x")
-          .filter(F.col("_x").isNotNull()).distinct())
-    lo_fixed = F.create_map(*[x for j, t in spl if t.lower is not None for x in (F.lit(j), F.lit(float(t.lower)))]) \
-        if any(t.lower is not None for _, t in spl) else None
-    hi_fixed = F.create_map(*[x for j, t in spl if t.upper is not None for x in (F.lit(j), F.lit(float(t.upper)))]) \
-        if any(t.upper is not None for _, t in spl) else None
-    bounds = dv.groupBy(*keys, "_j").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    if lo_fixed is not None:
-        bounds = bounds.withColumn("_lo", F.coalesce(lo_fixed[F.col("_j")], F.col("_lo")))
-    if hi_fixed is not None:
-        bounds = bounds.withColumn("_hi", F.coalesce(hi_fixed[F.col("_j")], F.col("_hi")))
-    bounded = dv.join(bounds, [*keys, "_j"]).filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
-    q = distinct_quantiles(bounded.select(*keys, "_j", "_x"), keys, all_probs).join(bounds, [*keys, "_j"])
-    cols = []
-    for j, t in spl:
-        idx = [all_probs.index(p) for p in probs_of[j]]
-        inner = F.array(*[F.col("_q")[i] for i in idx])
-        kn = F.array_sort(F.array_distinct(F.concat(F.array(F.col("_lo"), F.col("_hi")), inner)))
-        fallback = F.array(*[F.lit(float(v)) for v in t.knots])
-        cols.append(F.max(F.when(F.col("_j") == j, F.when(F.size(kn) == int(t.knots.size), kn).otherwise(fallback)))
-                    .alias(f"_kn{j}"))
-    return q.groupBy(*keys).agg(*cols)
-
-
-def _use_group_knots(terms: Sequence[Term], g: pd.DataFrame) -> None:
-    """Set each spline term's knots to the key's own knots (constant per key)."""
-    for j, t in enumerate(terms):
-        col = f"_kn{j}"
-        if col in g.columns:
-            t.knots = np.asarray(g[col].iloc[0], dtype=float)
-
-
-def gram_fit(df: DataFrame, y: str, terms: Sequence[Term], keys: Sequence[str] = ("station",),
-             knots_per_key: bool = True) -> DataFrame:
-    """OLS per key over all rows: Gram accumulation on executors, k×k solve per key.
-
-    Returns one row per key with raw-basis coefficients (for prediction and
-    decomposition), centered coefficients with std errors and p-values, and
-    (with ``knots_per_key``) the key's spline knots ``_kn<j>`` used by
-    ``predict``.
-    """
-    _ship(df)
-    terms = fit_knots(df, terms)
-    k = sum(t.n_raw() for t in terms)
-    cols = sorted({c for t in terms for c in (t.col, t.by) if c})
-    keys = list(keys)
-    iu = np.triu_indices(k + 1)
-    data = df.select(*keys, *[F.col(c) for c in cols], F.col(y).cast("double").alias("_y")) \
-        .filter(F.col("_y").isNotNull())
-    kn_tbl = per_key_knots(df, terms, keys) if knots_per_key else None
-    if kn_tbl is not None:
-        # one row per key, used twice (rows and coefficients): cut its lineage once
-        from climo.session import cut_lineage
-        kn_tbl = cut_lineage(kn_tbl)
-        data = data.join(kn_tbl, keys)
-
-    ncell = iu[0].size
-
-    def partial(it):
-        for pdf in it:
-            if pdf.empty:
-                continue
-            vals, counts, key_rows = [], [], []
-            for key, g in pdf.groupby(keys, sort=False):
-                _use_group_knots(terms, g)
-                xa = np.concatenate([design(g, terms), g["_y"].to_numpy(dtype=float)[:, None]], axis=1)
-                vals.append((xa.T @ xa)[iu])
-                counts.append(float(len(g)))
-                key_rows.append(key if isinstance(key, tuple) else (key,))
-            out = pd.DataFrame({"cell": np.tile(np.arange(ncell, dtype=np.int32), len(vals)),
-                                "v": np.concatenate(vals), "n": np.repeat(counts, ncell)})
-            for i, kc in enumerate(keys):
-                out[kc] = np.repeat([kr[i] for kr in key_rows], ncell)
-            yield out[[*keys, "cell", "v", "n"]]
-
-    key_fields = ", ".join(f"{kc} {df.schema[kc].dataType.simpleString()}" for kc in keys)
-    parts = data.mapInPandas(partial, f"{key_fields}, cell int, v double, n double")
-    cells = parts.groupBy(*keys, "cell").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros((k + 1, k + 1))
-        m[iu[0][pdf["cell"].to_numpy()], iu[1][pdf["cell"].to_numpy()]] = pdf["v"].to_numpy()
-        m = m + np.triu(m, 1).T
-        n = float(pdf["n"].iloc[0]) / 1.0
-        n = float(m[0, 0]) if terms[0].kind == "intercept" else n
-        braw, bc, se, p, s2, rank = _solve(m[:k, :k], m[:k, k], m[k, k], n, terms)
-        row = {kc: pdf[kc].iloc[0] for kc in keys}
-        row.update(n=n, rank=rank, sigma2=s2, beta_raw=list(braw), coef=list(bc), std_err=list(se),
-                   p_value=list(p))
-        return pd.DataFrame([row])
-
-    schema = f"{key_fields}, n double, rank int, sigma2 double, beta_raw array<double>, " \
-             "coef array<double>, std_err array<double>, p_value array<double>"
-    coefs = _by_key(cells, keys).groupBy(*keys).applyInPandas(solve, schema)
-    return coefs.join(kn_tbl, keys) if kn_tbl is not None else coefs
-
-
-def predict(df: DataFrame, coefs: DataFrame, terms: Sequence[Term], keys: Sequence[str] = ("station",),
-            components: bool = False, out_col: str = "fitted") -> DataFrame:
-    """Fitted values (and per-term components, M12) for every row.
-
-    ``terms`` is the list passed to ``gram_fit`` (which fills in the knots);
-    per-key knots travel with ``coefs``.  Coefficients are joined on the key
-    (AQE broadcasts them when small) and the basis is evaluated per Arrow
-    batch."""
-    _ship(df)
-    keys = list(keys)
-    slices = term_slices(terms)
-    names = [t.name for t in terms]
-    kn_cols = [c for c in coefs.columns if c.startswith("_kn")]
-    j = df.join(coefs.select(*keys, "beta_raw", *kn_cols), keys)
-    out_fields = [f for f in df.schema.fields] + [T.StructField(out_col, T.DoubleType())]
-    if components:
-        out_fields += [T.StructField(f"comp_{i}", T.DoubleType()) for i in range(len(terms))]
-    schema = T.StructType(out_fields)
-
-    def run(it):
-        for pdf in it:
-            if pdf.empty:
-                continue
-            if kn_cols:
-                x = np.zeros((len(pdf), sum(t.n_raw() for t in terms)))
-                for _, g in pdf.groupby(keys, sort=False):
-                    _use_group_knots(terms, g)
-                    x[pdf.index.get_indexer(g.index)] = design(g, terms)
-            else:
-                x = design(pdf, terms)
-            b = np.stack(pdf["beta_raw"].to_numpy())
-            pdf = pdf.drop(columns=["beta_raw", *kn_cols])
-            pdf[out_col] = (x * b).sum(axis=1)
-            if components:
-                for i, sl in enumerate(slices):
-                    pdf[f"comp_{i}"] = (x[:, sl] * b[:, sl]).sum(axis=1)
-            yield pdf
-
-    res = j.mapInPandas(run, schema)
-    if components:
-        res = res.withColumnsRenamed({f"comp_{i}": f"comp_{n_}" for i, n_ in enumerate(names)})
-    return res
-
-
 # ---------------------------------------------------------------------------
 # day-of-year curves (M4-M7): solve on (station, doy) sufficient statistics
 
@@ -562,13 +377,12 @@ def smoothed_bands(df: DataFrame, metric: str, probs: Sequence[float] = (0.1, 0.
     cyclic spline (unweighted, one point per day of year)."""
     from climo.operators import normals
     bands = normals.doy_percentile_bands(df, metric, probs, keys, doy_col)
-    out = None
-    for p in probs:
-        c = f"{metric}_p{int(round(p * 100))}"
-        st = bands.select(*keys, doy_col, F.lit(1.0).alias("n"), F.col(c).alias("sy"))
-        fit = fit_doy_curve(st, spline_df, keys, doy_col, upper, out_col=c, grid=grid)
-        out = fit if out is None else out.join(fit, [*keys, doy_col])
-    return out
+    names = [f"{metric}_p{int(round(p * 100))}" for p in probs]
+    weights = [F.when(F.col(c).isNotNull(), 1.0).otherwise(0.0).alias(f"_w{i}") for i, c in enumerate(names)]
+    stats = bands.select(*keys, doy_col, *weights, *names).fillna(0.0, subset=names)
+    specs = [(f"_w{i}", c, spline_df, f"{c}_fit") for i, c in enumerate(names)]
+    out = fit_doy_curves(stats, specs, keys, doy_col, upper, grid, observed=grid is None)
+    return out.withColumnsRenamed({f"{c}_fit": c for c in names})
 
 
 # ---- fixed values: degrees of freedom chosen by the reference's CV --------
@@ -580,14 +394,15 @@ CV_DFS = list(range(2, 25))
 
 def fit_doy_curves(stats: DataFrame, specs: Sequence[tuple], keys: Sequence[str] = ("station",),
                    doy_col: str = "day_of_year", upper: float = 366.0,
-                   grid: np.ndarray | None = None) -> DataFrame:
+                   grid: np.ndarray | None = None, observed: bool = False) -> DataFrame:
     """Several day-of-year curves per station in one ``applyInPandas``.
 
     ``stats`` holds, per (keys, doy), a weight column and a sum column per
     curve; ``specs`` = [(weight_col, sum_col, df, out_col)].  Each station's
     ≤ 366 rows are solved for every curve in the same Python call, with knots
     from that station's own day indexes (as a single-station fit would).
-    Output (keys, doy, out_cols…) on ``grid`` (all 366 day indexes by default)."""
+    Output (keys, doy, out_cols…) on ``grid`` (all 366 day indexes by default), or at the station's own day indexes with
+    ``observed``.  A curve without any weight is null."""
     _ship(stats)
     keys = list(keys)
     grid = DOY_GRID if grid is None else grid
@@ -596,17 +411,21 @@ def fit_doy_curves(stats: DataFrame, specs: Sequence[tuple], keys: Sequence[str]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         x_doy = pdf[doy_col].to_numpy(dtype=float)
-        out = pd.DataFrame({doy_col: grid})
+        at = np.sort(x_doy) if observed else grid
+        out = pd.DataFrame({doy_col: at})
         for kc in keys:
             out[kc] = pdf[kc].iloc[0]
         for wcol, scol, d_, ocol in specs:
             ok = pdf[wcol].to_numpy(dtype=float) > 0
+            if not ok.any():
+                out[ocol] = np.nan
+                continue
             kn = knots_from_values(x_doy[ok], d_, upper=upper)      # this station's day indexes
             x = spline_basis(x_doy[ok], kn, True)
             w = pdf[wcol].to_numpy(dtype=float)[ok]
             beta, *_ = np.linalg.lstsq((x * w[:, None]).T @ x, x.T @ pdf[scol].to_numpy(dtype=float)[ok],
                                        rcond=None)
-            out[ocol] = spline_basis(grid, kn, True) @ beta
+            out[ocol] = spline_basis(at, kn, True) @ beta
         return out[[*keys, doy_col, *outs]]
 
     schema = f"{key_fields}, {doy_col} double, " + ", ".join(f"{o} double" for o in outs)
@@ -651,55 +470,76 @@ def daily_normals(daily: DataFrame, years: tuple, keys: Sequence[str] = ("statio
                       *[rnd(F.col(c)).alias(c) for c in cols])
 
 
+def downdated(lower: np.ndarray, rows: np.ndarray) -> np.ndarray | None:
+    """Cholesky factor of L L' - rows' rows; None where what is left is singular.
+
+    With W = L^-1 rows', the rest is L (I - W W') L', so its factor is L times the factor of I - W W'.
+    """
+    w = np.linalg.solve(lower, rows.T)
+    rest = np.eye(lower.shape[0]) - w @ w.T
+    if np.linalg.eigvalsh(rest)[0] < 1e-9:
+        return None
+    return lower @ np.linalg.cholesky(rest)
+
+
+def fold_errors(doys: np.ndarray, years: np.ndarray, n: np.ndarray, sums: np.ndarray, values: list, dfs: Sequence[int],
+                upper: float = 366.0) -> list[tuple[int, int, float]]:
+    """(df, year, mean absolute error of the year's values under the fit of all other years).
+
+    ``values`` holds, per (year, doy) row, the observed values; ``n`` and ``sums`` their count and sum.  The factor of
+    all years is downdated by the held-out year's block.  Where that leaves too few days for the basis, the fold is solved
+    by least squares on the remaining rows.
+    """
+    out = []
+    weight = np.sqrt(n)
+    counts = np.array([len(v) for v in values])
+    flat = np.concatenate([np.asarray(v, dtype=float) for v in values])
+    for k in dfs:
+        x = spline_basis(doys, knots_from_values(doys, k, upper=upper), True)
+        weighted = x * weight[:, None]
+        xty = x.T @ sums
+        gram = weighted.T @ weighted
+        whole = np.linalg.cholesky(gram) if np.linalg.cond(gram) < 1e12 else None
+        for year in np.unique(years):
+            held = years == year
+            lower = downdated(whole, weighted[held]) if whole is not None else None
+            if lower is not None:
+                beta = np.linalg.solve(lower.T, np.linalg.solve(lower, xty - x[held].T @ sums[held]))
+            elif held.all():
+                continue
+            else:
+                beta, *_ = np.linalg.lstsq(weighted[~held], sums[~held] / weight[~held], rcond=None)
+            predicted = np.repeat(x[held] @ beta, counts[held])
+            out.append((int(k), int(year), float(np.mean(np.abs(predicted - flat[np.repeat(held, counts)])))))
+    return out
+
+
 def cv_select_df(daily: DataFrame, metric: str, years: tuple, dfs: Sequence[int] = CV_DFS,
                  keys: Sequence[str] = ("station",)) -> DataFrame:
-    """M7: leave-one-year-out CV of the cyclic-spline degrees of freedom.
+    """M7: leave-one-year-out CV of the cyclic-spline degrees of freedom; (keys, df, mae), the mean over years.
 
-    Per (station, year, doy) sufficient statistics are computed once; each
-    fold's fit is the total minus the held-out year's block.  Predictions for
-    the held-out year are joined back to its rows to score the mean absolute
-    error; the result is (station, df, mae) averaged over years.
+    The facts are read once, into (key, year, doy) statistics; a key's folds are fitted and scored on them in one task
+    (at most 366 rows a year).  A key with a single year has no fold and no row.
     """
     from climo.functions import calendar as cal
     _ship(daily)
     keys = list(keys)
-    d = (daily.filter(F.year("date").between(*years))
-         .withColumns({"day_of_year": cal.doy_index("date"), "year": F.year("date")})
-         .filter(F.col(metric).isNotNull()))
-    st = doy_stats(d, metric, keys, extra=["year"])
-    key_fields = ", ".join(f"{kc} {st.schema[kc].dataType.simpleString()}" for kc in keys)
+    v = F.col(metric).cast("double")
+    d = daily.filter(F.year("date").between(*years) & v.isNotNull())
+    stats = (d.groupBy(*keys, F.year("date").alias("year"), cal.doy_index("date").alias("day_of_year"))
+             .agg(F.count(v).cast("double").alias("n"), F.sum(v).alias("sy"), F.sort_array(F.collect_list(v)).alias("ys")))
+    key_fields = ", ".join(f"{kc} {stats.schema[kc].dataType.simpleString()}" for kc in keys)
 
     def folds(pdf: pd.DataFrame) -> pd.DataFrame:
-        res = []
-        doys = np.sort(pdf["day_of_year"].unique())
-        for k_ in dfs:
-            xb = spline_basis(doys, knots_from_values(doys, k_, upper=366.0), True)
-            idx = {v: i for i, v in enumerate(doys)}
-            rows = pdf["day_of_year"].map(idx).to_numpy()
-            xr = xb[rows]
-            w = pdf["n"].to_numpy()
-            sy = pdf["sy"].to_numpy()
-            xtx_all = (xr * w[:, None]).T @ xr
-            xty_all = xr.T @ sy
-            for yr, g in pdf.groupby("year"):
-                gi = g.index.to_numpy()
-                pos = pdf.index.get_indexer(gi)
-                xg = xr[pos]
-                xtx = xtx_all - (xg * w[pos][:, None]).T @ xg
-                xty = xty_all - xg.T @ sy[pos]
-                beta, *_ = np.linalg.lstsq(xtx, xty, rcond=None)
-                pred = xb @ beta
-                res.append(pd.DataFrame({"df": k_, "year": yr, "day_of_year": doys, "pred": pred}))
-        out = pd.concat(res, ignore_index=True)
+        pdf = pdf.sort_values(["year", "day_of_year"])
+        errors = fold_errors(pdf["day_of_year"].to_numpy(dtype=float), pdf["year"].to_numpy(), pdf["n"].to_numpy(dtype=float),
+                             pdf["sy"].to_numpy(dtype=float), pdf["ys"].to_list(), dfs)
+        out = pd.DataFrame(errors, columns=["df", "year", "mae"])
         for kc in keys:
             out[kc] = pdf[kc].iloc[0]
-        return out[[*keys, "df", "year", "day_of_year", "pred"]]
+        return out[[*keys, "df", "year", "mae"]]
 
-    preds = _by_key(st, keys).groupBy(*keys).applyInPandas(
-        folds, f"{key_fields}, df int, year int, day_of_year double, pred double")
-    scored = (d.select(*keys, "year", "day_of_year", F.col(metric).alias("_y"))
-              .join(preds, [*keys, "year", "day_of_year"])
-              .groupBy(*keys, "df", "year").agg(F.avg(F.abs(F.col("pred") - F.col("_y"))).alias("mae")))
+    scored = _by_key(stats, keys).groupBy(*keys).applyInPandas(folds, f"{key_fields}, df int, year int, mae double")
     return scored.groupBy(*keys, "df").agg(F.avg("mae").alias("mae"))
 
 
@@ -707,13 +547,6 @@ def cv_select_df(daily: DataFrame, metric: str, years: tuple, dfs: Sequence[int]
 # linear trend (M8): closed-form aggregates, p-value from the t distribution
 
 
-@F.pandas_udf(T.DoubleType())
-def _slope_p(slope: pd.Series, se: pd.Series, dof: pd.Series) -> pd.Series:
-    t = np.where(se.to_numpy() > 0, slope.to_numpy() / se.to_numpy(), np.nan)
-    p = t_two_sided_p(np.nan_to_num(t), np.maximum(dof.to_numpy(dtype=float), 1.0))
-    return pd.Series(np.where(np.isnan(t), np.nan, p))
-
-
 def linear_trend(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), with_p: bool = True) -> DataFrame:
     """M8: slope, intercept, r² of y on (x − min x) per group, slope per decade
     and (optionally) the slope's two-sided p-value.
@@ -723,8 +556,6 @@ def linear_trend(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), with_p
     group) is ``avg(y) − slope · (avg(x) − x₀)`` with the means over the
     non-NULL pairs (no cancellation: avg(x) − x₀ is small)."""
     keys = list(keys)
-    if with_p:
-        _ship(df)
     xx, yy = F.col(x).cast("double"), F.col(y).cast("double")
     both = xx.isNotNull() & yy.isNotNull()
     g = df.groupBy(*keys) if keys else df.groupBy()
@@ -738,7 +569,7 @@ def linear_trend(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), with_p
     if with_p:
         sse = F.col("_syy") * (1 - F.coalesce(F.col("r2"), F.lit(1.0)))
         se = F.sqrt(F.try_divide(F.try_divide(sse, (F.col("n") - 2).cast("double")), F.col("_sxx")))
-        p = _slope_p(F.coalesce(F.col("slope"), F.lit(0.0)), F.coalesce(se, F.lit(0.0)), F.col("n") - 2)
-        res = res.withColumn("p_value", F.when((F.col("n") > 2) & se.isNotNull() & (se > 0), p))
+        p = two_sided_p(F.try_divide(F.col("slope"), se), F.col("n") - 2)
+        res = res.withColumn("p_value", F.when((F.col("n") > 2) & (se > 0), p))
     return res.select(*keys, "slope", "intercept", "r2", "n", "slope_per_decade",
                       *(["p_value"] if with_p else []))

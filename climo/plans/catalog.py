@@ -956,7 +956,27 @@ def q_linear_trend(spark, sf_dir):
     return rg.linear_trend(t, "year", "total", keys=["station", "metric_name"], with_p=False)
 
 
-@register("yearly_scatter_fit")
+def _num(x: str) -> str:
+    return f"(CASE WHEN isnan({x}) THEN NULL ELSE {x} END)"
+
+
+_SLOPE_P_SQL = _yearly_trend_sql() + f"""
+, sx AS (SELECT station, metric_name, CAST(year - min(year) OVER (PARTITION BY station, metric_name) AS DOUBLE) AS t, total FROM yt),
+sg AS (SELECT station, metric_name, {_num("regr_slope(total, t)")} AS slope, {_num("regr_intercept(total, t)")} AS intercept,
+        {_num("regr_r2(total, t)")} AS r2, CAST(regr_count(total, t) AS BIGINT) AS n, regr_sxx(total, t) AS sxx, regr_syy(total, t) AS syy
+      FROM sx GROUP BY 1, 2),
+se AS (SELECT *, n - 2 AS dof, CASE WHEN n > 2 AND sxx > 0 THEN sqrt(syy * (1 - coalesce(r2, 1.0::DOUBLE)) / (n - 2) / sxx) END AS se FROM sg),
+th AS (SELECT *, CASE WHEN se > 0 THEN atan2(abs(slope / se), sqrt(dof)) END AS th FROM se),
+sk AS (SELECT *, list_transform(range(0, dof // 2), lambda j: pow(cos(th), 2 * j)
+        * coalesce(list_product(list_transform(range(1, j + 1), lambda i:
+            CASE WHEN dof % 2 = 1 THEN 2.0::DOUBLE * i / (2 * i + 1) ELSE (2.0::DOUBLE * i - 1) / (2 * i) END)), 1)) AS terms FROM th),
+sp AS (SELECT *, CASE WHEN dof % 2 = 1 THEN 1 - 2 / pi() * (th + sin(th) * cos(th) * coalesce(list_sum(terms), 0))
+        ELSE 1 - sin(th) * list_sum(terms) END AS p FROM sk)
+SELECT station, metric_name, slope, intercept, r2, n, slope * 10 AS slope_per_decade,
+       round(greatest(least(p, 1.0::DOUBLE), 0.0::DOUBLE), 12) AS p_value FROM sp"""
+
+
+@register("yearly_scatter_fit", _SLOPE_P_SQL)
 def q_yearly_scatter_fit(spark, sf_dir):
     """Linear trend per yearly metric with the slope's p-value (t distribution)."""
     from climo.operators import regression as rg
@@ -1111,7 +1131,7 @@ def q_daily_normals(spark, sf_dir):
     """M4-M6: spline-smoothed daily normals (high df 7, low df 6, mean df 5) and
     smoothed p10/p90 bands (df 6), 366 rows per station."""
     from climo.operators import regression as rg
-    return rg.daily_normals(fx.daily_temps(spark, sf_dir, dense=True), _NORMAL_YEARS)
+    return rg.daily_normals(fx.daily_temps(spark, sf_dir), _NORMAL_YEARS)
 
 
 @register("normal_month_means")
@@ -1119,7 +1139,7 @@ def q_normal_month_means(spark, sf_dir):
     """Monthly means of the daily normal curves (1 dp, half-even)."""
     from climo.operators import normals
     from climo.operators import regression as rg
-    dn = rg.daily_normals(fx.daily_temps(spark, sf_dir, dense=True), _NORMAL_YEARS, dp=None)
+    dn = rg.daily_normals(fx.daily_temps(spark, sf_dir), _NORMAL_YEARS, dp=None)
     return normals.normal_month_means(dn, ["normal_high", "normal_low", "normal_temp"])
 
 
@@ -1135,29 +1155,31 @@ def q_smoothed_bands(spark, sf_dir):
 def q_cv_select_df(spark, sf_dir):
     """M7: leave-one-year-out CV error of the daily-high curve for df 2..24."""
     from climo.operators import regression as rg
-    return rg.cv_select_df(fx.daily_temps(spark, sf_dir, dense=True), "max_temp", _NORMAL_YEARS)
+    return rg.cv_select_df(fx.daily_temps(spark, sf_dir), "max_temp", _NORMAL_YEARS)
 
 
 def _seasonal_frame(spark, sf_dir):
     from climo.operators import reshape
-    d = fx.daily_temps(spark, sf_dir, dense=True)
+    d = fx.daily_temps(spark, sf_dir).select("station", "date", "avg_temp")
     d = reshape.attach_scalars(d, reshape.per_key_scalars(d, ["station"], _d0=F.min("date")), ["station"])
     return d.withColumns({"doy_frac": cal.fraction_of_year("date"),
                           "total_years": cal.days_since("date", "_d0") / 365.25}).drop("_d0")
 
 
+def _trend_terms():
+    from climo.operators import regression as rg
+    return [rg.intercept(), rg.linear("total_years"), rg.cc("doy_frac", 12)]
+
+
 @register("seasonal_trend_model")
 def q_seasonal_trend_model(spark, sf_dir):
     """M10 + M14: avg_temp ~ 1 + total_years + cc(doy_frac, 12) per station;
     fitted value, its intercept / trend / seasonal components, residual and
     the 365-row rolling residual mean (≥ 180 values)."""
-    from climo.operators import regression as rg
+    from climo.operators import least_squares as ls
     from climo.operators import windows
-    d = _seasonal_frame(spark, sf_dir)
-    terms = [rg.intercept(), rg.linear("total_years"), rg.cc("doy_frac", 12)]
-    coefs = rg.gram_fit(d, "avg_temp", terms)
-    p = rg.predict(d.select("station", "date", "avg_temp", "total_years", "doy_frac"), coefs, terms,
-                   components=True)
+    d, terms = _seasonal_frame(spark, sf_dir), _trend_terms()
+    p = ls.predict(d, ls.ols_fit(d, "avg_temp", terms, part=F.year("date")), terms, components=True)
     p = p.withColumnsRenamed({"comp_Intercept": "intercept_effect", "comp_total_years": "trend_effect",
                               "comp_cc(doy_frac)": "seasonal_effect"})
     p = p.withColumn("residual", F.col("avg_temp") - F.col("fitted"))
@@ -1167,29 +1189,26 @@ def q_seasonal_trend_model(spark, sf_dir):
 @register("spline_trend_model")
 def q_spline_trend_model(spark, sf_dir):
     """M2 + M10: avg_temp ~ 1 + cr(total_years, 3) + cc(doy_frac, 12): fitted values and residuals."""
+    from climo.operators import least_squares as ls
     from climo.operators import regression as rg
     d = _seasonal_frame(spark, sf_dir)
     terms = [rg.intercept(), rg.cr("total_years", 3), rg.cc("doy_frac", 12)]
-    coefs = rg.gram_fit(d, "avg_temp", terms)
-    p = rg.predict(d.select("station", "date", "avg_temp", "total_years", "doy_frac"), coefs, terms)
+    p = ls.predict(d, ls.ols_fit(d, "avg_temp", terms, part=F.year("date")), terms)
     return p.withColumn("residual", F.col("avg_temp") - F.col("fitted"))
 
 
 @register("trend_effect_by_year")
 def q_trend_effect_by_year(spark, sf_dir):
     """Mean fitted trend component per year."""
-    from climo.operators import regression as rg
-    d = _seasonal_frame(spark, sf_dir)
-    terms = [rg.intercept(), rg.linear("total_years"), rg.cc("doy_frac", 12)]
-    coefs = rg.gram_fit(d, "avg_temp", terms)
-    p = rg.predict(d.select("station", "date", "avg_temp", "total_years", "doy_frac"), coefs, terms,
-                   components=True)
+    from climo.operators import least_squares as ls
+    d, terms = _seasonal_frame(spark, sf_dir), _trend_terms()
+    p = ls.predict(d, ls.ols_fit(d, "avg_temp", terms, part=F.year("date")), terms, components=True)
     return (p.groupBy("station", F.year("date").alias("year"))
             .agg(F.avg(F.col("comp_Intercept") + F.col("comp_total_years")).alias("trend_effect")))
 
 
 def _hourly_model_frame(spark, sf_dir):
-    h = fx.hourly(spark, sf_dir)
+    h = fx.hourly(spark, sf_dir).select("station", "timestamp", "temp")
     t0 = h.groupBy("station").agg(F.min("timestamp").alias("_t0"))
     h = h.join(t0, "station")
     ti = cal.days_since("timestamp", "_t0")
@@ -1198,23 +1217,25 @@ def _hourly_model_frame(spark, sf_dir):
                     cal.month_label("timestamp").alias("month"))
 
 
-def _hourly_terms(h):
+def _hourly_terms():
+    """116 columns, always: a month that a station hasn't seen has null coefficients."""
     from climo.operators import regression as rg
-    months = [r[0] for r in h.select("month").distinct().collect()]   # ≤ 12 labels
-    months = [m for m in cal.MONTH_LABELS if m in months]
     return [rg.intercept(), rg.linear("time_index"), rg.cc("year_index", 6, upper=365.25),
-            rg.cc_by("month", months, "hourly_index", 9, upper=24.0)]
+            rg.cc_by("month", cal.MONTH_LABELS, "hourly_index", 9, upper=24.0)]
+
+
+def _hourly_fit(h):
+    from climo.operators import least_squares as ls
+    return ls.ols_fit(h, "temp", _hourly_terms(), part=F.year("timestamp"))
 
 
 @register("hourly_model_decomposition")
 def q_hourly_model_decomposition(spark, sf_dir):
     """M11 + M12: temp ~ 1 + t + cc(year_index, 6) + month:cc(hour, 9) per
     station; fitted values and the additive trend / yearly / hourly parts."""
-    from climo.operators import regression as rg
+    from climo.operators import least_squares as ls
     h = _hourly_model_frame(spark, sf_dir)
-    terms = _hourly_terms(h)
-    coefs = rg.gram_fit(h, "temp", terms)
-    p = rg.predict(h, coefs, terms, components=True)
+    p = ls.predict(h, _hourly_fit(h), _hourly_terms(), components=True)
     return p.withColumnsRenamed({"comp_Intercept": "intercept", "comp_time_index": "time_trend",
                                  "comp_cc(year_index)": "year_seasonality",
                                  "comp_month:cc(hourly_index)": "hourly_seasonality"})
@@ -1239,17 +1260,15 @@ def q_hourly_effects(spark, sf_dir):
 
 @register("hourly_model_coefficients")
 def q_hourly_model_coefficients(spark, sf_dir):
-    """Per-station coefficients, standard errors and p-values of the hourly
-    model (116 columns when all 12 months are present; one block per observed month)."""
-    from climo.operators import regression as rg
-    h = _hourly_model_frame(spark, sf_dir)
-    return rg.gram_fit(h, "temp", _hourly_terms(h))
+    """Per-station coefficients, standard errors and p-values of the hourly model (116 columns)."""
+    return _hourly_fit(_hourly_model_frame(spark, sf_dir)).drop("pieces", "constants")
 
 
 @register("trend_plus_month_effects")
 def q_trend_plus_month_effects(spark, sf_dir):
     """M9: monthly precipitation ~ 1 + month + t (treatment coding, t = months
     since start) per station; coefficients with p-values."""
+    from climo.operators import least_squares as ls
     from climo.operators import regression as rg
     s = fx.precip_silver(spark, sf_dir)
     m = (s.groupBy("station", "year", F.month("date").alias("month_num"), "month")
@@ -1257,7 +1276,7 @@ def q_trend_plus_month_effects(spark, sf_dir):
     first = m.groupBy("station").agg(F.min(F.col("year") * 12 + F.col("month_num")).alias("_m0"))
     m = m.join(first, "station").withColumn("t", (F.col("year") * 12 + F.col("month_num") - F.col("_m0")).cast("double"))
     terms = [rg.intercept(), rg.dummies("month", cal.MONTH_LABELS), rg.linear("t")]
-    return rg.gram_fit(m, "precip", terms)
+    return ls.ols_fit(m, "precip", terms, part=F.lit(0.0)).drop("pieces", "constants")
 
 
 # ---------------------------------------------------------------------------

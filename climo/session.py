@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -89,10 +90,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path for an intermediate table inside the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, name)
+def stored(df: DataFrame) -> DataFrame:
+    """A small table written as Parquet below the shared checkpoint folder and read again.
+
+    Unlike a checkpoint it has a known size, so the planner broadcasts it only when its file is below the threshold.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/climo-tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _PACKAGE_ZIP: str | None = None
