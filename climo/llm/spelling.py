@@ -148,7 +148,7 @@ def near_pairs(words: list[str], vectors: np.ndarray, entries: np.ndarray, visit
             yield part[i][good], node[j][good]
 
     def search(node: np.ndarray, at: int, found: np.ndarray, surplus: np.ndarray, deficit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if not len(found):
+        if not len(found) or not len(node):
             return
         if at and (len(node) <= LEAF or at == depth):
             yield from leaf(node, at, found, surplus, deficit)
