@@ -31,6 +31,15 @@ def percentiles(col: str | Column, probs: Sequence[float], exact: bool = True,
     return F.percentile_approx(c, list(probs), accuracy)
 
 
+def order_statistic(values: Column, p: float) -> Column:
+    """The p-quantile (linear interpolation) of an ascending array without nulls; NULL if it is empty."""
+    last = F.size(values) - 1
+    at = last * F.lit(float(p))
+    below = F.floor(at).cast("int")
+    low, high = F.get(values, below), F.get(values, F.least(below + 1, last))
+    return F.when(last >= 0, low + (high - low) * (at - below))
+
+
 def _sum0(c) -> Column:
     """pandas-style sum: all-NULL group sums to 0 (Q3)."""
     return F.coalesce(F.sum(c), F.lit(0.0))
@@ -88,24 +97,41 @@ def running_totals_wide(stacked: DataFrame, partition_cols: Sequence[str], order
 
 def _wide_stats_then_melt(rows: DataFrame, group_cols: Sequence[str], metrics: Sequence[str], value_prefix: str,
                           suffix: str, probs: Sequence[float], exact: bool = True) -> DataFrame:
-    """Per group and metric: mean and percentiles over normals-window years,
-    min and max over all years — aggregated on the wide rows (one group per
-    key, one buffer set per metric) and melted afterwards."""
-    aggs = []
-    for m in metrics:
-        v = F.col(m)
-        nv = F.when(F.col("norm_range"), v)
-        aggs += [F.avg(nv).alias(f"{m}__avg"), F.min(v).alias(f"{m}__min"), F.max(v).alias(f"{m}__max"),
-                 percentiles(nv, probs, exact).alias(f"{m}__p")]
-    wide = rows.groupBy(*group_cols).agg(*aggs)
+    """Per group and metric: mean and percentiles over normals-window years, min and max over all years.
+
+    A group holds at most one row per year, so its rows are gathered once (all metrics in one array) and each metric's
+    order statistics are read off its sorted values.  ``exact=False`` aggregates percentile sketches instead, for groups
+    without that bound."""
     stat_names = ["avg", "min", "max"] + [f"p{int(round(p * 100))}" for p in probs]
-    per_metric = []
-    for m in metrics:
-        fields = [F.col(f"{m}__avg"), F.col(f"{m}__min"), F.col(f"{m}__max")] + \
-                 [F.col(f"{m}__p")[i] for i in range(len(probs))]
-        per_metric.append(F.struct(F.lit(m).alias("metric_name"),
-                                   *[f.alias(f"{n}_{value_prefix}_{suffix}") for f, n in zip(fields, stat_names)]))
-    return wide.select(*group_cols, F.explode(F.array(*per_metric)).alias("_m")).select(*group_cols, "_m.*")
+
+    def melted(wide: DataFrame, fields_of) -> DataFrame:
+        per_metric = [F.struct(F.lit(m).alias("metric_name"), *[f.alias(f"{n}_{value_prefix}_{suffix}") for f, n in zip(fields_of(m), stat_names)])
+                      for m in metrics]
+        return wide.select(*group_cols, F.explode(F.array(*per_metric)).alias("_m")).select(*group_cols, "_m.*")
+
+    if not exact:
+        aggs = []
+        for m in metrics:
+            nv = F.when(F.col("norm_range"), F.col(m))
+            aggs += [F.avg(nv).alias(f"{m}__avg"), F.min(m).alias(f"{m}__min"), F.max(m).alias(f"{m}__max"),
+                     percentiles(nv, probs, False).alias(f"{m}__p")]
+        return melted(rows.groupBy(*group_cols).agg(*aggs),
+                      lambda m: [F.col(f"{m}__avg"), F.col(f"{m}__min"), F.col(f"{m}__max"), *[F.col(f"{m}__p")[i] for i in range(len(probs))]])
+    gathered = rows.groupBy(*group_cols).agg(F.collect_list(F.struct("norm_range", *metrics)).alias("_rows"))
+    def values(m: str, of: Column) -> Column:
+        return F.filter(F.transform(of, lambda r: r[m]), lambda v: v.isNotNull())
+
+    past = F.filter("_rows", lambda r: r["norm_range"])
+    arrays = {f"{m}__all": values(m, F.col("_rows")) for m in metrics}
+    arrays.update({f"{m}__norm": F.sort_array(values(m, past)) for m in metrics})
+    wide = gathered.select(*group_cols, *[v.alias(k) for k, v in arrays.items()])
+
+    def fields(m: str) -> list[Column]:
+        norm, every = F.col(f"{m}__norm"), F.col(f"{m}__all")
+        mean = F.when(F.size(norm) > 0, F.aggregate(norm, F.lit(0.0), lambda a, x: a + x) / F.size(norm))
+        return [mean, F.array_min(every), F.array_max(every), *[order_statistic(norm, p) for p in probs]]
+
+    return melted(wide, fields)
 
 
 def mtd_normals(silver: DataFrame, keys: Sequence[str] = ("station",), mode: str = "decade",
@@ -154,12 +180,19 @@ def monthly_totals_long(silver: DataFrame, keys: Sequence[str] = ("station",), m
                         n_years: int = 30, metrics: Sequence[str] = PRECIP_METRICS,
                         complete_months_only: bool = True,
                         year_types: Sequence[str] | None = None) -> DataFrame:
-    """A1 aggregated wide (one sum per metric over the stacked rows), then
-    melted: (keys, year_type, metric_name, year_for_dash, month, total)."""
-    st = precip_stacked(silver, keys, mode, n_years, complete_months_only,
-                        year_types=list(year_types) if year_types is not None else cal.YEAR_TYPES)
-    wide = (st.groupBy(*keys, "year_type", "year_for_dash", "month")
-            .agg(*[_sum0(_metric_double(m)).alias(m) for m in metrics]))
+    """A1: (keys, year_type, metric_name, year_for_dash, month, total).
+
+    Calendars start with a month, so the facts are summed once per (key, year, month), wide; the small monthly table is then
+    stacked by calendar and melted.  ``mode`` and ``n_years`` only matter for flags that the totals don't have."""
+    types = list(year_types) if year_types is not None else list(cal.YEAR_TYPES)
+    rows = reshape.exclude_partial_month(silver, keys) if complete_months_only else silver
+    monthly = (rows.groupBy(*keys, F.trunc("date", "MM").alias("_first"), "month")
+               .agg(*[_sum0(_metric_double(m)).alias(m) for m in metrics]))
+    labels = {"calendar_year": F.year("_first").cast("string"), "water_year": cal.water_year(F.col("_first")).cast("string"),
+              "snow_season": cal.season_label(cal.season_start(F.col("_first")))}
+    entries = F.array(*[F.struct(F.lit(t).alias("year_type"), labels[t].alias("year_for_dash")) for t in types])
+    stacked = monthly.select(*keys, "month", *metrics, F.explode(entries).alias("_cal"))
+    wide = stacked.select(*keys, "_cal.year_type", "_cal.year_for_dash", "month", *metrics)
     return reshape.unpivot_metrics(wide, [*keys, "year_type", "year_for_dash", "month"], metrics,
                                    "metric_name", "total")
 

@@ -7,9 +7,10 @@ calendar segments (station, year) — bounded by the calendar, ≤ 366 daily
 rows — and each window runs per segment; what crosses a segment boundary
 (the last event date, the last state, island and row-count offsets) comes
 from small per-segment tables (one row per station-year) combined with a
-window over segments and joined back.  The trailing mean uses a global row
-index and buckets of ``rows`` rows: each bucket sees only its own rows plus
-the previous bucket's, so every window partition holds ≤ 2 × ``rows`` rows.
+window over segments and joined back.  The trailing mean is the difference of
+prefix sums inside blocks of ``rows`` rows.  Rows with a NULL key or date have
+no place in a sequence and are left out; ``assert_unique_key`` rejects them at
+ingest.
 """
 
 from __future__ import annotations
@@ -124,20 +125,26 @@ def rolling_mean(df: DataFrame, value_col: str, rows: int = 365, min_periods: in
     """Trailing mean over ``rows`` rows, NULL until ``min_periods``
     non-NULL values are in the frame.
 
-    Rows get a global index per key; bucket b = (idx-1) // rows holds its own
-    rows plus a copy of bucket b-1's rows as context, so the frame of every
-    own row lies inside its bucket partition."""
+    Rows get a global index per key and lie in blocks of ``rows`` rows.  The frame of a row at place o of a block is the
+    block's prefix up to o and what the previous block has behind o: its total minus its own prefix at place o.  That
+    prefix is met by a window over the rows of one place (one row per block), so no row is copied, and sums are only
+    subtracted within a block.  Rows with a NULL key or order value have no place in the sequence and are left out
+    (``assert_unique_key`` rejects them at ingest)."""
     k = list(keys)
     out = out_col or f"{value_col}_rolling"
     d = with_row_index(df, k, order_col).drop("_seg")
-    b = F.floor((F.col("_idx") - 1) / rows)
-    own = d.withColumn("_b", b).withColumn("_own", F.lit(True))
-    ctx = d.withColumn("_b", b + 1).withColumn("_own", F.lit(False))
-    w = Window.partitionBy(*k, "_b").orderBy("_idx").rowsBetween(-(rows - 1), 0)
-    res = (own.unionByName(ctx)
-           .withColumn(out, F.when(F.count(value_col).over(w) >= min_periods, F.avg(value_col).over(w)))
-           .filter(F.col("_own")))
-    return res.drop("_idx", "_b", "_own")
+    place = (F.col("_idx") - 1) % rows
+    d = d.withColumns({"_b": F.floor((F.col("_idx") - 1) / rows), "_o": place})
+    block = Window.partitionBy(*k, "_b")
+    upto = block.orderBy("_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    value = F.col(value_col).cast("double")
+    d = d.withColumns({"_s": F.coalesce(F.sum(value).over(upto), F.lit(0.0)), "_c": F.count(value).over(upto)})
+    whole = block.orderBy("_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = d.withColumns({"_st": F.last("_s").over(whole) - F.col("_s"), "_ct": F.last("_c").over(whole) - F.col("_c")})
+    same_place = Window.partitionBy(*k, "_o").orderBy("_b")
+    total = F.col("_s") + F.coalesce(F.lag("_st").over(same_place), F.lit(0.0))
+    count = F.col("_c") + F.coalesce(F.lag("_ct").over(same_place), F.lit(0))
+    return d.withColumn(out, F.when((count >= min_periods) & (count > 0), total / count)).drop("_idx", "_b", "_o", "_s", "_c", "_st", "_ct")
 
 
 def deviation_from_group_mean(df: DataFrame, value_col: str, group_cols: Sequence[str],

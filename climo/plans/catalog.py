@@ -661,25 +661,20 @@ def q_daily_precip_records(spark, sf_dir):
     return records.daily_precip_records(fx.precip_silver(spark, sf_dir), _N)
 
 
-def _mpr_sql() -> str:
-    return ORACLE["monthly_precip_rank"]
-
-
-_register_monthly_records = register("monthly_precip_records", "WITH pr AS MATERIALIZED (" + _mpr_sql() + f"""),
-sy AS (SELECT * FROM pr WHERE year_type = 'snow_season' AND month = 'Year' AND metric_name = 'snow'),
-sy2 AS (SELECT *, rank() OVER (PARTITION BY station ORDER BY total DESC) AS rw FROM sy),
-ry AS (SELECT *, rank() OVER (PARTITION BY station ORDER BY total DESC) AS rw FROM pr
-       WHERE year_type = 'calendar_year' AND month = 'Year' AND metric_name = 'rain'),
-mo AS (SELECT *, month || ' ' || year_for_dash AS month_year,
-         rank() OVER (PARTITION BY station, metric_name ORDER BY total DESC) AS rw,
-         rank() OVER (PARTITION BY station, metric_name ORDER BY total ASC) AS rd
-       FROM pr WHERE year_type = 'calendar_year' AND metric_name IN ('rain', 'snow', 'precip') AND month <> 'Year')
-SELECT station, CAST(rw AS INTEGER) AS rank, month_year AS date, total AS metric_value, metric_name || 'iest_month' AS record
-  FROM mo WHERE rw <= {_N} AND metric_name <> 'precip'
-UNION ALL SELECT station, CAST(rd AS INTEGER), month_year, total, 'driest_month' FROM mo WHERE rd <= {_N} AND metric_name = 'precip'
-UNION ALL SELECT station, CAST(rank AS INTEGER), year_for_dash, total, 'least_snow_year' FROM sy WHERE rank <= {_N}
-UNION ALL SELECT station, CAST(rw AS INTEGER), year_for_dash, total, 'most_snow_year' FROM sy2 WHERE rw <= {_N}
-UNION ALL SELECT station, CAST(rw AS INTEGER), year_for_dash, total, 'most_rain_year' FROM ry WHERE rw <= {_N}""")
+_register_monthly_records = register("monthly_precip_records", with_fixtures("precip_silver") + f"""
+, mx AS (SELECT station, max(date) AS mx FROM silver GROUP BY station),
+m AS (SELECT s.station, date_trunc('month', s.date) AS first, s.month, coalesce(sum(precip), 0.0) AS precip,
+        coalesce(sum(snow), 0.0) AS snow, coalesce(sum(rain), 0.0) AS rain
+      FROM silver s JOIN mx USING (station) WHERE s.date <= {_last_month_end('mx.mx')} GROUP BY 1, 2, 3),
+t AS (SELECT *, CAST(year(first) AS VARCHAR) AS yr, CAST(year(first) - CASE WHEN month(first) >= 8 THEN 0 ELSE 1 END AS INTEGER) AS ss FROM m),
+f AS (SELECT station, month || ' ' || yr AS date, rain AS metric_value, 'rainiest_month' AS record, -rain AS k FROM t
+  UNION ALL SELECT station, month || ' ' || yr, snow, 'snowiest_month', -snow FROM t
+  UNION ALL SELECT station, month || ' ' || yr, precip, 'driest_month', precip FROM t
+  UNION ALL SELECT station, yr, sum(rain), 'most_rain_year', -sum(rain) FROM t GROUP BY station, yr HAVING count(*) = 12
+  UNION ALL SELECT station, ss || '-' || (ss + 1), sum(snow), 'most_snow_year', -sum(snow) FROM t GROUP BY station, ss HAVING count(*) = 12
+  UNION ALL SELECT station, ss || '-' || (ss + 1), sum(snow), 'least_snow_year', sum(snow) FROM t GROUP BY station, ss HAVING count(*) = 12),
+r AS (SELECT *, CAST(rank() OVER (PARTITION BY station, record ORDER BY k) AS INTEGER) AS rank FROM f)
+SELECT station, rank, date, metric_value, record FROM r WHERE rank <= {_N}""")
 
 
 @_register_monthly_records

@@ -23,6 +23,9 @@ DEFAULT_CONF = {
     # materialised side is below this size: the runtime size check behind
     # every non-hinted broadcast in the library.
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
+    # Array and percentile buffers stay in a hash table for so many groups of a task
+    # before Spark sorts the rows instead (the groups here hold one row per year).
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
