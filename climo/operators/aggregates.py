@@ -275,13 +275,40 @@ def hourly_year_summary(hourly: DataFrame, keys: Sequence[str] = ("station",)) -
 
 # ---- distributions --------------------------------------------------------
 
-def histogram_percent(df: DataFrame, col: str, width: float, origin: float = 0.0,
+def round_width(raw: Column) -> Column:
+    """The smallest of 1, 2, 5 and 10 times a power of ten that is at least ``raw`` (> 0)."""
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
+    times = raw / unit
+    return unit * F.when(times <= 1, 1.0).when(times <= 2, 2.0).when(times <= 5, 5.0).otherwise(10.0)
+
+
+def automatic_width(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFrame:
+    """One bin width per key from its quartiles and count (2 IQR / cube root of n, rounded up by ``round_width``).
+
+    Where the quartiles coincide the range is cut in about sqrt(n) bins; where all values are equal the width is 1.  Values are
+    counted before the quartiles are taken, so a key costs as much as it has distinct values."""
+    v = F.col(col).cast("double")
+    counts = df.where(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_n"))
+    stats = counts.groupBy(*keys).agg(F.percentile("_v", [0.25, 0.75], F.col("_n")).alias("_q"), F.sum("_n").alias("_n"),
+                                      F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    spread, reach = F.col("_q")[1] - F.col("_q")[0], F.col("_hi") - F.col("_lo")
+    raw = F.when(spread > 0, 2.0 * spread / F.cbrt(F.col("_n"))).when(reach > 0, reach / F.ceil(F.sqrt("_n")))
+    return stats.select(*keys, F.coalesce(round_width(raw), F.lit(1.0)).alias("bin_width"))
+
+
+def histogram_percent(df: DataFrame, col: str, width: float | None, origin: float = 0.0,
                       keys: Sequence[str] = ()) -> DataFrame:
-    """Share (percent) of non-NULL rows per fixed-width bin ``[lo, lo+w)``."""
-    b = F.floor((F.col(col) - origin) / width)
-    counts = (df.filter(F.col(col).isNotNull())
-              .groupBy(*keys, (b * width + origin).alias("bin_start")).agg(F.count(F.lit(1)).alias("n")))
+    """Share (percent) of non-NULL rows per bin ``[lo, lo+w)`` of one width for all, or, with ``width=None``, of each
+    key's automatic width (``bin_width`` is a column then)."""
     from pyspark.sql import Window
+    rows, step, more = df.filter(F.col(col).isNotNull()), F.lit(width), []
+    if width is None:
+        widths = automatic_width(df, col, keys)
+        widths = widths if keys else F.broadcast(widths.withColumn("_one", F.lit(1)))
+        rows = reshape.attach_scalars(rows, widths, keys)
+        step, more = F.col("bin_width"), ["bin_width"]
+    b = F.floor((F.col(col) - origin) / step)
+    counts = rows.groupBy(*keys, *more, (b * step + origin).alias("bin_start")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*keys)
     return counts.withColumn("percent", F.col("n") * 100.0 / F.sum("n").over(w))
 

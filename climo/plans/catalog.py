@@ -635,6 +635,16 @@ def q_temp_records(spark, sf_dir):
     return records.temp_records(fx.daily_temps(spark, sf_dir), _N, fx.HOT_THRESHOLD, fx.FREEZE_THRESHOLD)
 
 
+@register("temp_records_sorted", f"""SELECT *, row_number() OVER (ORDER BY record NULLS FIRST, rank NULLS FIRST, station NULLS FIRST, date NULLS FIRST,
+  metric_name NULLS FIRST, month NULLS FIRST, metric_value NULLS FIRST) AS position FROM ({_TEMP_RECORDS_SQL})""")
+def q_temp_records_sorted(spark, sf_dir):
+    """O1 on V29: the record table written in the global order of record and rank, read back with each row's place."""
+    from climo.sources import landing
+    path = _landing_path(spark, "records")
+    landing.write_sorted(q_temp_records(spark, sf_dir), path, ["record", "rank", "station", "date", "metric_name", "month", "metric_value"])
+    return landing.sorted_rows(spark, path)
+
+
 @register("daily_precip_records", with_fixtures("precip_silver") + f"""
 , wet AS (SELECT station, date, month, year, season_start, 'rain' AS metric_name, rain AS metric_value FROM silver WHERE rain > 0
           UNION ALL SELECT station, date, month, year, season_start, 'snow', snow FROM silver WHERE snow > 0),
@@ -1006,6 +1016,28 @@ for _m, _w in (("min_temp", 25000.0), ("max_temp", 25000.0), ("cloud_cover", 10.
     register(f"on_this_day_hist_{_m}", with_fixtures("daily_temps") + _otd_hist_sql("daily_temps", _m, _w))(_mk())
 
 
+def _auto_hist_sql(metric: str) -> str:
+    return f"""
+, o AS (SELECT station, {metric} AS v FROM daily_temps WHERE {doy_sql('date')} = {_LABEL_DOY} AND {metric} IS NOT NULL),
+s AS (SELECT station, count(*) AS n, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr, max(v) - min(v) AS reach FROM o GROUP BY 1),
+r AS (SELECT station, CASE WHEN iqr > 0 THEN 2.0::DOUBLE * iqr / cbrt(n) WHEN reach > 0 THEN reach / ceil(sqrt(n)) END AS raw FROM s),
+u AS (SELECT station, raw, pow(10.0::DOUBLE, floor(log10(raw))) AS unit FROM r),
+w AS (SELECT station, coalesce(unit * CASE WHEN raw / unit <= 1 THEN 1 WHEN raw / unit <= 2 THEN 2 WHEN raw / unit <= 5 THEN 5 ELSE 10 END,
+        1.0::DOUBLE) AS bin_width FROM u),
+b AS (SELECT station, bin_width, floor(v / bin_width) * bin_width AS bin_start, count(*) AS n FROM o JOIN w USING (station) GROUP BY 1, 2, 3)
+SELECT *, n * 100.0 / sum(n) OVER (PARTITION BY station) AS percent FROM b"""
+
+
+for _m in ("min_temp", "max_temp", "dew_point"):
+    def _mka(m=_m):
+        def q(spark, sf_dir):
+            from climo.plans import views
+            return views.on_this_day_histogram(fx.daily_temps(spark, sf_dir), _LABEL, m, None)
+        q.__doc__ = f"V19-V22 with automatic bins (A30): on-this-day histogram (percent) of {m}."
+        return q
+    register(f"on_this_day_auto_hist_{_m}", with_fixtures("daily_temps") + _auto_hist_sql(_m))(_mka())
+
+
 def _step_sql(metric: str, edges, labels) -> str:
     parts = " ".join(f"WHEN {metric} <= {e} THEN '{lab}'" for e, lab in zip(edges, labels))
     return f"CASE WHEN {metric} IS NULL THEN 'missing' {parts} ELSE '{labels[-1]}' END"
@@ -1097,6 +1129,60 @@ def q_upsert_coalesce(spark, sf_dir):
     return ingest.upsert_coalesce(existing, new)
 
 
+def _landing_path(spark, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    import uuid
+    from climo.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark)}/climo-landing/{uuid.uuid4().hex}/{name}"
+
+
+@register("upsert_partitions", ORACLE["upsert_coalesce"])
+def q_upsert_partitions(spark, sf_dir):
+    """S10, partition-wise: the batch merged into a table stored by year and month; only its partitions are rewritten."""
+    from climo.sources import ingest, landing
+    existing, new = fx.incremental_batches(spark, sf_dir)
+    parts = {"year": F.year("date"), "month": F.month("date")}
+    path = _landing_path(spark, "daily")
+    ingest.write_table(existing.withColumns(parts).repartition(*parts), path, partition_by=list(parts))
+    landing.merge_partitions(new, path, parts)
+    return spark.read.parquet(path).drop(*parts)
+
+
+def _landed(spark, sf_dir, fmt: str):
+    """The daily rows written as landing files, those of the 13th of a month with a broken date, and read back."""
+    from pyspark.sql import types as T
+    from climo.sources import landing
+    raw = fx.daily_precip_raw(spark, sf_dir)
+    broken = F.when(F.dayofmonth("date") == 13, F.lit("13th")).otherwise(F.col("date").cast("string"))
+    path = _landing_path(spark, fmt)
+    raw.withColumn("date", broken).write.format(fmt).options(**({"header": True} if fmt == "csv" else {})).save(path)
+    return landing.read_landing(spark, path, T.StructType(raw.schema.fields), fmt), path
+
+
+@register("landing_csv_round_trip", with_fixtures("daily_precip_raw") + "\nSELECT * FROM daily_precip_raw WHERE day(date) <> 13")
+def q_landing_csv_round_trip(spark, sf_dir):
+    """The clean rows of CSV landing files under an explicit schema."""
+    return _landed(spark, sf_dir, "csv")[0].rows
+
+
+@register("landing_json_round_trip", with_fixtures("daily_precip_raw") + "\nSELECT * FROM daily_precip_raw WHERE day(date) <> 13")
+def q_landing_json_round_trip(spark, sf_dir):
+    """The clean rows of JSON landing files under an explicit schema."""
+    return _landed(spark, sf_dir, "json")[0].rows
+
+
+@register("landing_quarantine", with_fixtures("daily_precip_raw") + """
+SELECT station, count(*) AS n_records, 1::BIGINT AS n_folders FROM daily_precip_raw WHERE day(date) = 13 GROUP BY 1""")
+def q_landing_quarantine(spark, sf_dir):
+    """Records that don't fit the schema, kept whole in the quarantine table with the file they came from."""
+    from climo.sources import landing
+    landed, path = _landed(spark, sf_dir, "csv")
+    kept = landing.quarantined(landed, path + "_quarantine")
+    folder = F.regexp_extract("source_file", "^(.*)/", 1)
+    return (kept.groupBy(F.split("record", ",")[0].alias("station"))
+            .agg(F.count("*").alias("n_records"), F.countDistinct(folder).alias("n_folders")))
+
+
 @register("key_violations", with_fixtures("precip_silver") + """
 SELECT (SELECT count(*) FROM (SELECT station, date FROM silver GROUP BY 1, 2 HAVING count(*) > 1)) AS duplicate_keys,
        (SELECT CAST(count_if(station IS NULL OR date IS NULL) AS BIGINT) FROM silver) AS null_keys""")
@@ -1377,6 +1463,24 @@ def q_ytd_view(spark, sf_dir):
     return views.ytd_view(fx.precip_silver(spark, sf_dir), "water_year", "precip")
 
 
+@register("ytd_chart", with_fixtures("precip_silver") + _stack_sql("trailing") + f"""
+, yn AS ({ORACLE["ytd_normals"]}),
+ln AS (SELECT station, day_of_year_dash, avg_precip_ytd AS normal_ytd, CASE WHEN dashboard_date LIKE '%01' THEN dashboard_date END AS month_tick
+       FROM yn WHERE year_type = 'water_year' AND metric_name = 'precip'),
+v AS (SELECT station, date, year_for_dash, is_current, day_of_year_dash,
+       sum(coalesce(CAST(precip AS DOUBLE), 0.0)) OVER (PARTITION BY station, year_for_dash
+         ORDER BY day_of_year_dash, date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS year_to_date,
+       strftime(date, '%b %d') AS dashboard_date
+     FROM stk WHERE year_type = 'water_year')
+SELECT v.*, normal_ytd, month_tick FROM v LEFT JOIN ln USING (station, day_of_year_dash)""")
+def q_ytd_chart(spark, sf_dir):
+    """Water-year-to-date precipitation of every year with the normals line and the month ticks."""
+    from climo.operators import normals
+    from climo.plans import views
+    s = fx.precip_silver(spark, sf_dir)
+    return views.ytd_chart(s, normals.ytd_normals(s, metrics=["precip"]), "water_year", "precip")
+
+
 @register("mtd_view", with_fixtures("precip_silver") + _stack_sql("trailing") + f"""
 , mx AS (SELECT station, max(date) AS mx FROM silver GROUP BY 1),
 cur AS (SELECT s.station, s.month, dayofmonth(s.date) AS day_of_month,
@@ -1466,6 +1570,23 @@ def q_hourly_density(spark, sf_dir):
                                 (0.0, 100.0), (0.0, 100.0), exclude_last_year=False)
 
 
+@register("hourly_density_past_years", with_fixtures("daily_temps") + """
+, f AS (SELECT *, max(year(date)) OVER (PARTITION BY station) AS last_y FROM daily_temps),
+b AS (SELECT station,
+        CASE WHEN min_temp < 0 THEN 0 WHEN min_temp >= 500000 THEN 101 ELSE CAST(floor(min_temp / 5000.0::DOUBLE) AS BIGINT) + 1 END AS x_bin,
+        CASE WHEN max_temp < 0 THEN 0 WHEN max_temp >= 500000 THEN 101 ELSE CAST(floor(max_temp / 5000.0::DOUBLE) AS BIGINT) + 1 END AS y_bin
+      FROM f WHERE min_temp IS NOT NULL AND max_temp IS NOT NULL AND year(date) BETWEEN last_y - 30 AND last_y - 1
+        AND strftime(date, '%b') IN ('Dec', 'Jan', 'Feb')),
+c AS (SELECT station, x_bin, y_bin, count(*) AS n FROM b GROUP BY 1, 2, 3)
+SELECT station, x_bin, y_bin, CAST(sum(n) AS BIGINT) AS n, CAST(grouping(x_bin, y_bin) AS INTEGER) AS level FROM c
+GROUP BY GROUPING SETS ((station, x_bin, y_bin), (station, x_bin), (station, y_bin))""")
+def q_hourly_density_past_years(spark, sf_dir):
+    """V9 with its own window: the 30 years before each station's latest one (the daily table stands in: it has several years)."""
+    from climo.plans import views
+    d = fx.daily_temps(spark, sf_dir).withColumn("timestamp", F.col("date").cast("timestamp_ntz"))
+    return views.hourly_density(d, "min_temp", "max_temp", ["Dec", "Jan", "Feb"], (0.0, 500_000.0), (0.0, 500_000.0))
+
+
 @register("sun_lines", with_fixtures("sun_times") + f"""
 SELECT station, {doy_sql('day')} AS day_of_year,
   CAST(split_part(split_part(sunrise, 'T', 2), ':', 1) AS INTEGER)

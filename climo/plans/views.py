@@ -142,9 +142,9 @@ def on_this_day(df: DataFrame, label: str) -> DataFrame:
     return d.filter(F.col("day_of_year") == target)
 
 
-def on_this_day_histogram(df: DataFrame, label: str, metric: str, width: float, origin: float = 0.0,
+def on_this_day_histogram(df: DataFrame, label: str, metric: str, width: float | None, origin: float = 0.0,
                           keys: Sequence[str] = ("station",)) -> DataFrame:
-    """Percent of years per value bin on one calendar day."""
+    """Percent of years per value bin on one calendar day; ``width=None`` picks each key's width."""
     return agg.histogram_percent(on_this_day(df, label), metric, width, origin, keys)
 
 
@@ -250,6 +250,19 @@ def ytd_view(silver: DataFrame, year_type: str, metric: str, keys: Sequence[str]
                       F.col(metric).alias("year_to_date"), F.date_format("date", "MMM dd").alias("dashboard_date"))
 
 
+def ytd_chart(silver: DataFrame, ytd_normals: DataFrame, year_type: str, metric: str, keys: Sequence[str] = ("station",),
+              mode: str = "trailing") -> DataFrame:
+    """V10 in full: every year's running totals with the normals line at the same day index, and the month ticks.
+
+    ``normal_ytd`` is the average of the normals table (A10) and ``month_tick`` its calendar label on the first of each
+    month (NULL on other days and where the table has no such day)."""
+    line = ytd_normals.where((F.col("year_type") == year_type) & (F.col("metric_name") == metric))
+    first = F.when(F.col("dashboard_date").endswith("01"), F.col("dashboard_date"))
+    line = line.select(*keys, doy_key("day_of_year_dash").alias("_dk"), F.col("avg_precip_ytd").alias("normal_ytd"), first.alias("month_tick"))
+    years = ytd_view(silver, year_type, metric, keys, mode).withColumn("_dk", doy_key("day_of_year_dash"))
+    return years.join(line, [*keys, "_dk"], "left").drop("_dk")
+
+
 def mtd_view(silver: DataFrame, metric: str, keys: Sequence[str] = ("station",), mode: str = "trailing") -> DataFrame:
     """The current (latest) month's running total of one metric per
     station next to the month-to-date normals of that month (NULL bands
