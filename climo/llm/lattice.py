@@ -113,17 +113,23 @@ def _cells(classes: DataFrame, tables: int, scale: float, probes: int, seed: int
     return classes.select("id", "label", "embedding", "component").mapInArrow(cells, "bucket long, id long, component long")
 
 
+def _scaled(x: Column) -> Column:
+    """A finite non-zero vector over its largest magnitude, so that no square over- or underflows."""
+    most = F.array_max(F.transform(x, lambda v: F.abs(v.cast("double"))))
+    return F.transform(x, lambda v: v.cast("double") / most)
+
+
 def _cosine(a: Column, b: Column) -> Column:
     def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
 
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """The pairs (u, v) whose labels are equal and whose cosine reaches the threshold."""
-    left = pairs.join(classes.select(F.col("id").alias("u"), F.col("embedding").alias("_a"), F.col("label").alias("_l")), "u")
-    both = left.join(classes.select(F.col("id").alias("v"), F.col("embedding").alias("_b"), F.col("label").alias("_m")), "v")
+    left = pairs.join(classes.select(F.col("id").alias("u"), _scaled(F.col("embedding")).alias("_a"), F.col("label").alias("_l")), "u")
+    both = left.join(classes.select(F.col("id").alias("v"), _scaled(F.col("embedding")).alias("_b"), F.col("label").alias("_m")), "v")
     same = (F.col("_l") == F.col("_m")) & (F.size("_a") == F.size("_b"))
     return both.where(same & (_cosine(F.col("_a"), F.col("_b")) >= threshold)).select("u", "v")
 
@@ -188,7 +194,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and rows without label or id, are linked
     with nothing; rows without id are kept.  Rows with equal vectors and labels are linked, repeated rows among
-    them.  An id should name one vector.  An empty table gives no rows.  Other columns are not read.
+    them.  Components of any finite size are compared by direction.  An id should name one vector.  An empty table gives no rows.  Other columns are not read.
     """
     ship_package(vectors.sparkSession)
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("embedding"),

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from climo.llm.tables import written
@@ -62,55 +62,64 @@ def without_chunks(text: str, removed) -> str:
 
 
 def _chunk_codes(texts: DataFrame) -> DataFrame:
-    """(id, chunk, code) of (id, text)."""
-    schema = pa.schema([("id", pa.int64()), ("chunk", pa.int32()), ("code", pa.int64())])
+    """(id, version, chunk, code) of (id, version, text)."""
+    schema = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("chunk", pa.int32()), ("code", pa.int64())])
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, n, xxhash.xxh3_64_intdigest(c.encode()) - (1 << 63))
-                    for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for n, c in text_chunks(t.as_py() or "")]
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
+            ids, versions = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows = [(i, v, n, xxhash.xxh3_64_intdigest(c.encode()) - (1 << 63))
+                    for i, v, t in zip(ids, versions, batch.column(2), strict=True) for n, c in text_chunks(t.as_py() or "")]
+            cols = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return texts.mapInArrow(codes, "id long, chunk int, code long")
+    return texts.mapInArrow(codes, "id long, version long, chunk int, code long")
 
 
 def _chunk_bytes(texts: DataFrame) -> DataFrame:
-    """(id, chunk, bytes) of the numbered chunks of (id, text, chunks)."""
-    schema = pa.schema([("id", pa.int64()), ("chunk", pa.int32()), ("bytes", pa.binary())])
+    """(id, version, chunk, bytes) of the numbered chunks of (id, version, text, chunks)."""
+    schema = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("chunk", pa.int32()), ("bytes", pa.binary())])
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows = []
-                for i, t, wanted in zip(part.column(0).to_pylist(), part.column(1), part.column(2), strict=True):
+                for i, v, t, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3), strict=True):
                     keep = set(wanted.as_py())
-                    rows += [(i, n, c.encode()) for n, c in text_chunks(t.as_py() or "") if n in keep]
-                cols = list(zip(*rows, strict=True)) or [(), (), ()]
+                    rows += [(i, v, n, c.encode()) for n, c in text_chunks(t.as_py() or "") if n in keep]
+                cols = list(zip(*rows, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return texts.mapInArrow(chosen, "id long, chunk int, bytes binary")
+    return texts.mapInArrow(chosen, "id long, version long, chunk int, bytes binary")
+
+
+def _version(text: Column) -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(text.cast("string"))
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, chunks): per document the numbers of the chunks that are copies of an earlier chunk."""
+    """(id, version, chunks): per text of a document the numbers of the chunks that are copies of an earlier chunk."""
     ship_package(docs.sparkSession)
-    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    texts = docs.select(docs[id_col].cast("long").alias("id"), _version(docs[text_col]).alias("version"),
+                        docs[text_col].cast("string").alias("text"))
     codes = written(_chunk_codes(texts))
     twice = codes.groupBy("code").agg(F.count("*").alias("n")).where("n > 1").select("code")
-    wanted = codes.join(written(twice), "code").groupBy("id").agg(F.collect_set("chunk").alias("chunks"))
-    bodies = written(_chunk_bytes(texts.join(wanted, "id")))
-    first = bodies.groupBy("bytes").agg(F.min(F.struct("id", "chunk")).alias("first"), F.count("*").alias("n"))
-    copies = bodies.join(written(first.where("n > 1").select("bytes", "first")), "bytes").where(F.struct("id", "chunk") != F.col("first"))
-    return written(copies.groupBy("id").agg(F.collect_set("chunk").alias("chunks")))
+    wanted = codes.join(written(twice), "code").groupBy("id", "version").agg(F.collect_set("chunk").alias("chunks"))
+    bodies = written(_chunk_bytes(texts.join(wanted, ["id", "version"]).select("id", "version", "text", "chunks")))
+    place = F.struct("id", "version", "chunk")
+    first = bodies.groupBy("bytes").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    copies = bodies.join(written(first.where("n > 1").select("bytes", "first")), "bytes").where(place != F.col("first"))
+    return written(copies.groupBy("id", "version").agg(F.collect_set("chunk").alias("chunks")))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated chunks taken out of ``text_col``, and ``removed_chunks`` (their number).
 
-    Null and empty texts, and texts of one line, stay as they are.  A text may become empty.  Rows of one id are
-    treated alike: the first occurrence stands in all of them.  Rows without an id keep their text.
+    Null and empty texts, and texts of one line, stay as they are.  A text may become empty.  Rows that repeat an id along
+    with its text are treated alike: the first occurrence stands in all of them.  Different texts of one id are
+    documents of their own, ordered by a hash of the text.  Rows without an id keep their text.
     Lines end at ``\\n`` and compare byte by byte, white space included.  An empty table gives no rows.  Names of
     other columns don't matter, ``removed_chunks`` apart.
     """
@@ -118,7 +127,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     at = {c: n for c, n in zip(reversed(docs.columns), reversed(names), strict=True)}
     gone = repeated_chunks(docs, id_col, text_col)
     rows = docs.toDF(*names)
-    joined = rows.join(gone.withColumnRenamed("id", "_id"), F.col(at[id_col]).cast("long") == F.col("_id"), "left")
+    same = (F.col(at[id_col]).cast("long") == F.col("_id")) & (_version(F.col(at[text_col])) == F.col("_version"))
+    joined = rows.join(gone.toDF("_id", "_version", "chunks"), same, "left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, chunks: pd.Series) -> pd.Series:

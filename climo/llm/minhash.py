@@ -259,5 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without those that ``near_duplicates`` doesn't keep, with the columns of ``docs``."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    at = {c: n for c, n in zip(reversed(docs.columns), reversed(names), strict=True)}
     gone = near_duplicates(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    return docs.toDF(*names).join(gone, F.col(at[id_col]).cast("long") == F.col("_gone"), "left_anti").toDF(*docs.columns)

@@ -172,13 +172,16 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     far = beyond("class_distance", class_limit) | beyond("common_distance", common_limit)
     scored = scored.withColumn("base_failed", base_failed())
-    return scored.select("doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    return scored.select("doc_id", "text_hash", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "class_distance", "common_distance", "base_failed", (~F.col("base_failed") & ~far).alias("kept"))
 
 
 def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **limits) -> DataFrame:
     """The rows of ``docs`` that ``score_documents`` keeps, with the columns of ``docs``; edge cases as there."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    at = {c: F.col(n) for c, n in zip(reversed(docs.columns), reversed(names), strict=True)}
     rejected = score_documents(docs, id_col, text_col, lang_col, **limits).where(~F.col("kept")).select(
-        F.col("doc_id").alias("_rejected"), F.col("text_hash").alias("_text_hash")).distinct()
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_rejected")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_text_hash"))
-    return docs.join(rejected, same, "left_anti")
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("lang").alias("_lang")).distinct()
+    same = (at[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(at[text_col].cast("string")) == F.col("_hash"))
+            & at[lang_col].cast("string").eqNullSafe(F.col("_lang")))
+    return docs.toDF(*names).join(rejected, same, "left_anti").toDF(*docs.columns)

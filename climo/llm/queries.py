@@ -13,7 +13,7 @@ from climo.llm.tables import table
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base quality features and the distribution-divergence verdict of every document (see ``quality``)."""
-    return quality.score_documents(table(spark, sf_dir, "documents")).drop("text_hash")
+    return quality.score_documents(table(spark, sf_dir, "documents")).drop("text_hash", "lang")
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

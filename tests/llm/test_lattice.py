@@ -8,6 +8,7 @@ import numpy as np
 
 from climo.llm import lattice
 
+DOUBLES = "vec_id long, embedding array<double>, label int, id long, component string"
 SCHEMA = "vec_id long, embedding array<float>, label int, id long, component string"
 
 
@@ -104,3 +105,32 @@ def test_close_pairs_in_crowded_cells(spark):
     for block in (2048, 5):
         got = lattice.near_duplicate_vectors(frame, block=block).collect()
         assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in got) == brute(rows, 0.93)
+
+
+def test_very_small_and_very_large_components(spark):
+    """Only the direction counts: squares that over- or underflow change no link."""
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    a = unit(rng.normal(size=(60, 16)))
+    side = rng.normal(size=a.shape)
+    side = unit(side - (side * a).sum(axis=1, keepdims=True) * a)
+    for cosine, n_links in ((0.92, 0), (0.95, 1)):
+        b = cosine * a + (1 - cosine ** 2) ** 0.5 * side
+        for scale in (1.0, 1e-200, 1e200):
+            rows = [(2 * i + k, (v * scale).tolist(), i, 1, "x") for i in range(60) for k, v in enumerate((a[i], b[i]))]
+            got = lattice.near_duplicate_vectors(spark.createDataFrame(rows, DOUBLES)).collect()
+            assert {r.n_links for r in got} == {n_links} and all(r.component_id == r.vec_id - (r.vec_id % 2) * n_links for r in got)
+    tiny = [(0, [1e-200, 0.0, 0.0], 1, 0, ""), (1, [1e200, 0.0, 0.0], 1, 0, ""), (2, [0.0, 5e-324, 0.0], 1, 0, "")]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in lattice.near_duplicate_vectors(spark.createDataFrame(tiny, DOUBLES)).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (0, 2)}
+
+
+def test_brute_force_at_the_query_setting(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.normal(size=64).tolist(), i % 3) for i in range(60)]
+    for g in range(40):
+        base = rng.normal(size=64)
+        rows += [(1000 + 5 * g + k, (base + 0.22 * rng.normal(size=64)).tolist(), g % 3) for k in range(5)]
+    frame = spark.createDataFrame([(i, e, lab, 1, "x") for i, e, lab in rows], SCHEMA)
+    got = lattice.near_duplicate_vectors(frame).collect()
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in got) == brute(rows, 0.93)

@@ -54,3 +54,10 @@ def test_bounds_resist_shifts():
     assert len(bounds ^ {m for m in moved if m > 0}) <= 3
     sizes = [b - a for a, b in lines.chunk_bounds(body)]
     assert min(sizes[:-1]) >= 2
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    shared, unique = "\n".join(f"line {i}" for i in range(30)), "\n".join(f"other {i}" for i in range(30))
+    docs = spark.createDataFrame([(0, shared, "a", 0), (1, unique, "a", 0), (1, shared, "a", 0)], DOCS)
+    left = {(r.doc_id, r.text) for r in lines.dedup_lines(docs).collect()}
+    assert (0, shared) in left and (1, unique) in left and len(left) == 3

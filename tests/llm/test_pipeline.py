@@ -73,3 +73,35 @@ def test_packing(stages):
         assert p.offset == at.get(p.sequence_id, 0)
         at[p.sequence_id] = p.offset + p.length
     assert max(at.values()) <= 2048
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+EXTRA = ", removed_chunks int, _gone long, _rejected long, _text_hash long, chunks string, component string"
+
+
+def test_edge_cases_in_every_stage(spark):
+    """Nulls, empty and blank texts, repeated rows, two texts of one id, and columns named like the stages' own."""
+    prose = " ".join(f"word{i % 37} and some{i % 11} more" for i in range(80))
+    rows = [(None, prose, "en", "s", 5), (1, None, None, None, None), (2, "", "", "", 0), (3, " \n\t", "en", "s", 4), (4, prose + " x", "en", None, 9),
+            (4, prose + " x", "en", None, 9), (5, "\n".join([prose] * 3), "en", "s", 1), (5, "the other text of it " + prose[::-1], "xx", "t", 2)]
+    for table_rows in (rows, []):
+        docs = spark.createDataFrame([(*r, 1, 2, 3, 4, "c", "d") for r in table_rows], DOCS + EXTRA)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = written(stage(spark, docs, SF))
+            assert out.columns == docs.columns
+            assert all(r.removed_chunks == 1 and r.component == "d" for r in out.collect())
+        whole = docs
+        for _, stage in corpus_pipeline.STAGES:
+            whole = written(stage(spark, whole, SF))
+        assert (whole.count() > 0) == bool(table_rows)
+
+
+def test_rejection_depends_on_the_language(spark, monkeypatch):
+    """A row goes only for its own verdict, not for that of the same text under another language."""
+    docs = spark.createDataFrame([(1, "t", "en", "s", 1), (1, "t", "de", "s", 1)], DOCS)
+    verdicts = spark.createDataFrame([(1, "t", "en", True), (1, "t", "de", False)], "doc_id long, t string, lang string, kept boolean")
+    from pyspark.sql import functions as F
+
+    from climo.llm import quality
+    monkeypatch.setattr(quality, "score_documents", lambda *a, **k: verdicts.withColumn("text_hash", F.xxhash64("t")))
+    assert [r.lang for r in quality.keep_documents(docs).collect()] == ["en"]
