@@ -21,9 +21,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated multi-line chunks leave the texts (operator 8); n_chars follows.  A document goes when all its words
     were repeats; documents that lost nothing stay as they are."""
+    removed = "removed_chunks"
+    while removed in docs.columns:
+        removed = f"_{removed}"
     left = lines.dedup_lines(docs)
-    left = left.where((F.col("removed_chunks") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    n_chars = F.when(F.col("removed_chunks") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    left = left.toDF(*docs.columns, removed)
+    left = left.where((F.col(removed) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    n_chars = F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return left.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
