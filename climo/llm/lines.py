@@ -100,7 +100,10 @@ def _version(text: Column) -> Column:
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, version, chunks): per text of a document the numbers of the chunks that are copies of an earlier chunk."""
+    """(id, version, chunks): per text of a document the numbers of the chunks that are copies of an earlier chunk.
+
+    ``version`` is null where the id has one text only, as it should: the table stays small.
+    """
     ship_package(docs.sparkSession)
     texts = docs.select(docs[id_col].cast("long").alias("id"), _version(docs[text_col]).alias("version"),
                         docs[text_col].cast("string").alias("text"))
@@ -111,7 +114,10 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place = F.struct("id", "version", "chunk")
     first = bodies.groupBy("bytes").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     copies = bodies.join(written(first.where("n > 1").select("bytes", "first")), "bytes").where(place != F.col("first"))
-    return written(copies.groupBy("id", "version").agg(F.collect_set("chunk").alias("chunks")))
+    gone = copies.groupBy("id", "version").agg(F.collect_set("chunk").alias("chunks"))
+    several = texts.groupBy("id").agg(F.min("version").alias("_low"), F.max("version").alias("_high")).where("_low <> _high")
+    told = gone.join(written(several.select("id", F.lit(True).alias("_several"))), "id", "left")
+    return written(told.select("id", F.when(F.col("_several"), F.col("version")).alias("version"), "chunks"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,7 +133,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     at = {c: n for c, n in zip(reversed(docs.columns), reversed(names), strict=True)}
     gone = repeated_chunks(docs, id_col, text_col)
     rows = docs.toDF(*names)
-    same = (F.col(at[id_col]).cast("long") == F.col("_id")) & (_version(F.col(at[text_col])) == F.col("_version"))
+    own = F.col("_version").isNull() | (_version(F.col(at[text_col])) == F.col("_version"))
+    same = (F.col(at[id_col]).cast("long") == F.col("_id")) & own
     joined = rows.join(gone.toDF("_id", "_version", "chunks"), same, "left")
 
     @F.pandas_udf("string")
