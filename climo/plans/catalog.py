@@ -978,7 +978,7 @@ sk AS (SELECT *, list_transform(range(0, dof // 2), lambda j: pow(cos(th), 2 * j
 sp AS (SELECT *, CASE WHEN dof % 2 = 1 THEN 1 - 2 / pi() * (th + sin(th) * cos(th) * coalesce(list_sum(terms), 0))
         ELSE 1 - sin(th) * list_sum(terms) END AS p FROM sk)
 SELECT station, metric_name, slope, intercept, r2, n, slope * 10 AS slope_per_decade,
-       round(greatest(least(p, 1.0::DOUBLE), 0.0::DOUBLE), 12) AS p_value FROM sp"""
+       CASE WHEN p IS NOT NULL THEN round(greatest(least(p, 1.0::DOUBLE), 0.0::DOUBLE), 12) END AS p_value FROM sp"""
 
 
 @register("yearly_scatter_fit", _SLOPE_P_SQL)
