@@ -1,7 +1,7 @@
 """Chat formatting with offset-aligned loss masks.
 
 Conversations are rendered whole and encoded once, with character offsets.  A token is under the loss as far as
-it overlaps the text of an assistant turn: the sorted turn spans are searched by bisection for each token.
+it overlaps the text of an assistant turn: the sorted turn spans are searched by bisection for all tokens of a batch of stretches at once.
 
 A template marks turns as ``<turn ROLE>\\nTEXT</turn>\\n``.  Inside roles and texts a backslash becomes ``\\\\``, ``<turn``
 becomes ``\\<turn`` and ``</turn`` becomes ``\\</turn``, so no text can hold a mark; reading back undoes it.
@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,9 @@ _MARKS = re.compile(r"\\|</?turn")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _TOKEN = re.compile(r"\\.|</turn>\n", re.DOTALL)
 
+#: Characters of short conversations that are searched and handed on together.
+BATCH_CHARS = 1 << 18
+
 
 def escape(text: str) -> str:
     return _MARKS.sub(lambda m: "\\" + m[0], text)
@@ -65,21 +70,24 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def loss_parts(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(token, start, end): what each token covers of the sorted spans.
+def loss_parts(starts: np.ndarray, ends: np.ndarray, span_starts: np.ndarray, span_ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(token, start, end) arrays: what each token covers of the sorted, disjoint spans.
 
-    Tokens that share a character (its bytes are split between them) overlap; each character is given out once.
+    Tokens stand in order.  Those that share a character (its bytes are split between them) overlap; the first of
+    them gets it.  Two binary searches per token find the spans that it meets.
     """
-    starts, out, done = [s for s, _ in spans], [], 0
-    for k, (a, b) in enumerate(offsets):
-        i = max(bisect_right(starts, a) - 1, 0)
-        while i < len(spans) and spans[i][0] < b:
-            start, end = max(a, spans[i][0], done), min(b, spans[i][1])
-            if start < end:
-                out.append((k, start, end))
-                done = end
-            i += 1
-    return out
+    none = np.zeros(0, np.int64)
+    if not len(starts) or not len(span_starts):
+        return none, none, none
+    fresh = starts.copy()
+    fresh[1:] = np.maximum(starts[1:], np.maximum.accumulate(ends)[:-1])
+    first = np.searchsorted(span_ends, fresh, "right")
+    met = np.where(fresh < ends, np.maximum(np.searchsorted(span_starts, ends, "left") - first, 0), 0)
+    token = np.repeat(np.arange(len(starts)), met)
+    span = np.arange(len(token)) - np.repeat(np.cumsum(met) - met, met) + first[token]
+    start, end = np.maximum(fresh[token], span_starts[span]), np.minimum(ends[token], span_ends[span])
+    real = start < end
+    return token[real], start[real], end[real]
 
 
 def default_tokenizer_path() -> str:
@@ -103,28 +111,50 @@ def _stretches(rows: DataFrame, path: str, stretch_chars: int) -> DataFrame:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True       # their strings in a text are ordinary text
 
-        def stretch(conv, part, turns, last):
-            formatted, spans = render(turns)
-            coded = tokenizer.encode(formatted, add_special_tokens=False)
-            covered = list(zip(*loss_parts(coded.offsets, spans), strict=True)) or [(), (), ()]
-            starts, ends = list(zip(*coded.offsets, strict=True)) or [(), ()]
-            row = (conv, part, len(turns), formatted, coded.ids, starts, ends, *covered, last)
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
-
-        conv, part, turns, chars, begun = None, 0, [], 0, False
+        held = []                                    # (conv, part, turns, formatted, spans, last)
+
+        def flush() -> pa.RecordBatch:
+            """The stretches held, as one batch; their characters stand one after the other in one row of numbers."""
+            texts = [h[3] for h in held]
+            base = np.cumsum([0, *map(len, texts)])
+            coded = [tokenizer.encode(t, add_special_tokens=False) for t in texts]
+            sizes = np.array([len(c) for c in coded], np.int64)
+            offsets = np.fromiter(chain.from_iterable(chain.from_iterable(c.offsets for c in coded)), np.int64, 2 * int(sizes.sum()))
+            shift, begun = np.repeat(base[:-1], sizes), np.cumsum([0, *sizes])
+            starts, ends = offsets[::2] + shift, offsets[1::2] + shift
+            spans = np.array([(a + at, b + at) for h, at in zip(held, base, strict=False) for a, b in h[4]], np.int64).reshape(-1, 2)
+            token, lo, hi = loss_parts(starts, ends, spans[:, 0], spans[:, 1])
+            row = np.searchsorted(begun, token, "right") - 1
+            parts_begun = np.searchsorted(row, np.arange(len(held) + 1))
+
+            def lists(values, cuts):
+                return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, pa.int32()))
+
+            ids = np.fromiter(chain.from_iterable(c.ids for c in coded), np.int64, int(sizes.sum()))
+            arrays = [pa.array([h[i] for h in held], schema.field(i).type) for i in range(4)]
+            arrays += [lists(ids, begun), lists(offsets[::2], begun), lists(offsets[1::2], begun)]
+            arrays += [lists(v, parts_begun) for v in (token - begun[row], lo - base[row], hi - base[row])]
+            arrays.append(pa.array([h[5] for h in held], pa.bool_()))
+            held.clear()
+            return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+        conv, part, turns, chars, begun, waiting = None, 0, [], 0, False, 0
         for batch in batches:
             for c, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if begun and c != conv:
-                    yield stretch(conv, part, turns, True)
-                    part, turns, chars = 0, [], 0
-                elif chars >= stretch_chars:
-                    yield stretch(conv, part, turns, False)
-                    part, turns, chars = part + 1, [], 0
+                other = begun and c != conv
+                if other or chars >= stretch_chars:
+                    held.append((conv, part, len(turns), *render(turns), other))
+                    waiting += chars
+                    part, turns, chars = 0 if other else part + 1, [], 0
+                    if waiting >= min(stretch_chars, BATCH_CHARS):
+                        yield flush()
+                        waiting = 0
                 conv, begun = c, True
                 turns.append((role or "", text or ""))
                 chars += len(role or "") + len(text or "")
         if begun:
-            yield stretch(conv, part, turns, True)
+            held.append((conv, part, len(turns), *render(turns), True))
+            yield flush()
 
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.select("conv_id", "role", "text").mapInArrow(encode, STRETCH_SCHEMA)
@@ -149,7 +179,8 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_tokens: read back from the output.
 
     Turns are parsed out of the formatted text; the loss text is cut out of it by the token parts under the mask.
-    Stretches of a conversation stand in order in one partition and are digested as a stream.
+    Stretches of a conversation must stand in order in one partition, as ``format_conversations`` leaves them, and are digested
+    as a stream.  A table read back from files needs ``repartition("conv_id").sortWithinPartitions("conv_id", "part")`` first.
     """
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()),
                         ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_tokens", pa.int64())])
@@ -157,23 +188,33 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, turns, loss, sums = [], hashlib.sha256(), hashlib.sha256(), [0, 0, 0, 0]
         for batch in batches:
-            for r in batch.to_pylist():
-                for role, text in parse(r["formatted"]):
+            conv, texts, sizes, last = (batch.column(i).to_pylist() for i in (0, 1, 2, 5))
+            lengths = pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False)
+            starts, ends = (batch.column(i).flatten().to_numpy() for i in (3, 4))
+            row = np.repeat(np.arange(len(texts)), lengths)
+            cut = np.ones(len(row), bool)            # parts that follow one another are cut out at once
+            cut[1:] = (starts[1:] != ends[:-1]) | (row[1:] != row[:-1])
+            first = np.flatnonzero(cut)
+            final = np.append(first[1:], len(row))[:len(first)] - 1
+            masks = [[] for _ in texts]
+            for i, a, b in zip(row[first].tolist(), starts[first].tolist(), ends[final].tolist(), strict=True):
+                masks[i].append(texts[i][a:b])
+            for i, formatted in enumerate(texts):
+                for role, text in parse(formatted):
                     turns.update(f"{role}\n{text}\n".encode())
                     sums[0] += 1
-                masked = "".join(r["formatted"][a:b] for a, b in zip(r["loss_starts"], r["loss_ends"], strict=True))
-                masked = unescape(masked)
+                masked = unescape("".join(masks[i]))
                 loss.update(masked.encode())
                 sums[1] += len(masked)
-                sums[2] += len(r["formatted"])
-                sums[3] += len(r["ids"])
-                if r["last"]:
-                    rows.append((r["conv_id"], sums[0], turns.hexdigest(), sums[1], loss.hexdigest(), sums[2], sums[3]))
+                sums[2] += len(formatted)
+                sums[3] += sizes[i]
+                if last[i]:
+                    rows.append((conv[i], sums[0], turns.hexdigest(), sums[1], loss.hexdigest(), sums[2], sums[3]))
                     turns, loss, sums = hashlib.sha256(), hashlib.sha256(), [0, 0, 0, 0]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                 rows = []
 
-    needed = formatted.select("conv_id", "formatted", "ids", "loss_starts", "loss_ends", "last")
+    needed = formatted.select("conv_id", "formatted", F.size("ids").alias("n"), "loss_starts", "loss_ends", "last")
     return needed.mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
                                      "formatted_chars long, n_tokens long")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from climo.llm import chat
@@ -22,6 +23,32 @@ def test_render_and_parse_are_inverse():
         assert [chat.unescape(formatted[a:b]) for a, b in spans] == [t for r, t in turns if r == "assistant"]
 
 
+def test_loss_parts_give_each_character_once():
+    rng = random.Random(3)
+    for _ in range(300):
+        tokens, at = [], 0
+        while at < 40:
+            size = rng.randrange(4)
+            tokens += [(at, at + size)] * rng.choice([1, 1, 1, 3])       # a character split over several tokens
+            at += size if rng.random() < 0.9 else max(size - 1, 0)
+        edges = sorted(rng.sample(range(45), 2 * rng.randrange(6)))
+        spans = list(zip(edges[::2], edges[1::2], strict=True))
+        if rng.random() < 0.3:
+            spans = sorted([*spans, (44, 44)])
+        given = {}
+        for k, (a, b) in enumerate(tokens):
+            for x in range(a, b):
+                if any(lo <= x < hi for lo, hi in spans):
+                    given.setdefault(x, k)
+        bounds = [np.array(v, np.int64) for v in ([a for a, _ in tokens], [b for _, b in tokens], [a for a, _ in spans], [b for _, b in spans])]
+        got = {}
+        for k, a, b in zip(*(v.tolist() for v in chat.loss_parts(*bounds)), strict=True):
+            for x in range(a, b):
+                assert x not in got
+                got[x] = k
+        assert got == given
+
+
 @pytest.mark.parametrize("stretch", [1 << 20, 40])
 def test_digests(spark, stretch):
     rng = random.Random(2)
