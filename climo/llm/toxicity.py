@@ -20,10 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from climo.llm.exact import _bitmap, _flagged
 from climo.llm.minhash import _confirmed, _shingle_sets, shingle_set
 from climo.llm.tables import written
 from climo.session import ship_package
@@ -56,10 +58,13 @@ def held_out(doc_id: Column, parts: int = 3, part: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def _sketches(text: str) -> list[int]:
-    """Minima of the 3-word shingle hashes under a few orders."""
+def _sketches(text: str) -> tuple[int | None, list[int]]:
+    """Hash of the set of 3-word shingles, and minima of the shingle hashes under a few orders; (None, []) without words."""
     hashes = shingle_set(text, 3)
-    return [int((hashes * np.uint64(2 * k + 0x9E3779B97F4A7C15)).min()) - (1 << 63) for k in range(SKETCHES)] if len(hashes) else []
+    if not len(hashes):
+        return None, []
+    least = [int((hashes * np.uint64(2 * k + 0x9E3779B97F4A7C15)).min()) - (1 << 63) for k in range(SKETCHES)]
+    return xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63), least
 
 
 def _text_words(low: str) -> set[str]:
@@ -73,28 +78,49 @@ def training_labels(labels: DataFrame) -> DataFrame:
     return known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
 
 
-def _sketched(training: DataFrame) -> DataFrame:
-    """(id, toxic, sketches) of (id, toxic, text) where a text has words enough for any."""
-    schema = pa.schema([("id", pa.int64()), ("toxic", pa.int32()), ("sketches", pa.list_(pa.int64()))])
+def _sketched(texts: DataFrame) -> DataFrame:
+    """(id, text_hash, set_hash, sketches) of (id, text_hash, text); ``set_hash`` stands for the whole set of shingles."""
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("set_hash", pa.int64()), ("sketches", longs)])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([_sketches(t.as_py() or "") for t in batch.column(2)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], schema=schema)
+            found = [_sketches(t.as_py() or "") for t in batch.column(2)]
+            arrays = [pa.array([h for h, _ in found], pa.int64()), pa.array([k for _, k in found], longs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], schema=schema)
 
-    return training.select("id", "toxic", "text").mapInArrow(sketch, "id long, toxic int, sketches array<long>").where(F.size("sketches") > 0)
+    return texts.select("id", "text_hash", "text").mapInArrow(sketch, "id long, text_hash long, set_hash long, sketches array<long>")
 
 
-def _distinct_texts(training: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows (id, toxic, text) without near copies: texts that agree with the smallest id of their label and
-    sketches on all sketches, and on ``percent`` of the shingles."""
-    sketched = written(_sketched(training))
-    first = sketched.groupBy("toxic", "sketches").agg(F.min("id").alias("u"), F.count("*").alias("_n")).where("_n > 1")
-    pairs = written(sketched.join(first, ["toxic", "sketches"]).where("id <> u").select("u", F.col("id").alias("v")))
+def _picked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (id, text_hash, ...) with ``text``, one row each.
+
+    Only texts whose code stands in a bitmap of the wanted ones (bounded in size at every scale) are shuffled; a code that falls on
+    another's bit goes in the join.
+    """
+    code = F.xxhash64("id", "text_hash")
+    some = _flagged(texts, code, _bitmap(wanted.select(code.alias("code"))), "_wanted").where("_wanted")
+    return wanted.join(some.groupBy("id", "text_hash").agg(F.first("text").alias("text")), ["id", "text_hash"])
+
+
+def _counted_documents(texts: DataFrame, known: DataFrame, percent: int = 80) -> DataFrame:
+    """(id, text_hash, toxic): the labelled documents without near copies of their label.
+
+    Texts with the same set of shingles are one class, its smallest id stays.  Of classes that agree on all sketches, those that agree
+    with the smallest id on ``percent`` of the shingles go.  Of several texts of one id the one with the smallest hash counts.
+    """
+    labelled = _flagged(texts, F.xxhash64("id"), _bitmap(known.select(F.xxhash64("id").alias("code"))), "_known").where("_known")
+    one = _sketched(labelled).groupBy("id").agg(F.min(F.struct("text_hash", "set_hash", "sketches")).alias("_t"))
+    training = written(one.select("id", "_t.*").join(known, "id"))
+    classes = written(training.where(F.size("sketches") > 0).groupBy("toxic", "set_hash", "sketches").agg(
+        F.min(F.struct("id", "text_hash")).alias("_t")).select("_t.*", "toxic", "sketches"))
+    first = classes.groupBy("toxic", "sketches").agg(F.min("id").alias("u"), F.count("*").alias("_n")).where("_n > 1")
+    pairs = written(classes.join(first, ["toxic", "sketches"]).where("id <> u").select("u", F.col("id").alias("v")))
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    sets = written(_shingle_sets(training.select("id", "text").join(ids, "id"), 3))
+    sets = written(_shingle_sets(_picked(texts, classes.select("id", "text_hash").join(ids, "id")).select("id", "text"), 3))
     copies = written(_confirmed(pairs, sets, percent).where("linked").select(F.col("v").alias("id")))
-    return training.join(copies, "id", "left_anti")
+    kept = classes.select("id", "text_hash", "toxic").union(training.where(F.size("sketches") == 0).select("id", "text_hash", "toxic"))
+    return written(kept.join(copies, "id", "left_anti"))
 
 
 def _term_counts(rows: DataFrame) -> DataFrame:
@@ -130,12 +156,14 @@ def mined_terms(texts: DataFrame, known: DataFrame, min_documents: int = 4, min_
     and base rates are counted over the same rows, all labelled training texts, near copies once; only
     the terms that pass reach the driver.
     """
-    rows = written(_distinct_texts(written(texts.join(known, "id").dropDuplicates(["id"]))))
-    totals = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    texts = texts.where(F.col("id").isNotNull()).select("id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.withColumn("text_hash", F.xxhash64("text"))
+    documents = _counted_documents(texts, known)
+    totals = {r.toxic: r.n for r in documents.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
         return []
-    counted = written(_term_counts(rows).where("toxic > 0"))
+    counted = written(_term_counts(_picked(texts, documents)).where("toxic > 0"))
     base, tried, share = toxic / (toxic + clean), counted.count(), F.col("toxic") / F.col("n")
     rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
     strong = counted.where((F.col("toxic") >= min_documents) & (share >= min_precision) & (share > base)).withColumn(
@@ -217,16 +245,44 @@ def _bits(votes: np.ndarray) -> np.ndarray:
     return (votes[:, None] >> np.arange(len(VOTERS))) & 1
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 25) -> np.ndarray:
-    """Logistic regression on soft labels by Newton steps; the last weight is the intercept (not shrunk)."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    shrink = np.full(x.shape[1], ridge)
+def _conjugate(product, right: np.ndarray, diagonal: np.ndarray, tolerance: float = 1e-9, rounds: int = 500) -> np.ndarray:
+    """Solves product(x) = right for a symmetric positive definite product by conjugate gradients, scaled by its diagonal."""
+    x, r = np.zeros_like(right), right.copy()
+    z = r / diagonal
+    d, rz, goal = z.copy(), r @ z, tolerance * math.sqrt(right @ right)
+    for _ in range(rounds):
+        if math.sqrt(r @ r) <= goal:
+            break
+        along = product(d)
+        a = rz / (d @ along)
+        x, r = x + a * d, r - a * along
+        z = r / diagonal
+        rz, before = r @ z, rz
+        d = z + rz / before * d
+    return x
+
+
+def fit_linear(columns: np.ndarray, begun: np.ndarray, width: int, y: np.ndarray, ridge: float = 0.05, rounds: int = 25) -> np.ndarray:
+    """Logistic regression on soft labels by Newton steps; the last weight is the intercept (not shrunk).
+
+    Row i has ones in ``columns[begun[i]:begun[i + 1]]`` of ``width`` columns.  Memory grows with the ones only: a step is found by
+    conjugate gradients, without a dense matrix.
+    """
+    row = np.repeat(np.arange(len(y)), np.diff(begun))
+    shrink = np.full(width + 1, ridge)
     shrink[-1] = 1e-6
-    w = np.zeros(x.shape[1])
+
+    def forward(w: np.ndarray) -> np.ndarray:
+        return np.bincount(row, w[columns], len(y)) + w[-1]
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(columns, r[row], width), r.sum())
+
+    w = np.zeros(width + 1)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(shrink)
-        step = np.linalg.solve(h, x.T @ (p - y) + shrink * w)
+        p = 1 / (1 + np.exp(-np.clip(forward(w), -30, 30)))
+        bend = np.maximum(p * (1 - p), 1e-6)
+        step = _conjugate(lambda v, bend=bend: back(bend * forward(v)) + shrink * v, back(p - y) + shrink * w, back(bend) + shrink)
         w = w - np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-6:
             break
@@ -239,7 +295,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     ``labels`` (doc_id, toxic) is read for rows that are not held out only; an id labelled twice is toxic if one label
     says so.  The classifier is fitted on the posterior labels of at most ``max_sample`` rows that are not
-    held out, smallest id hashes first; lexicon and label model cover all rows.
+    held out, smallest id hashes first; lexicon and label model cover all rows.  Of several texts of one id, the one with the
+    smallest hash counts for the lexicon; all are scored.
 
     Null and empty texts have no votes and get the score of no evidence.  Rows without id are scored and not
     held out.  Repeated rows get equal scores.  Without usable labels only the fixed voters are left.  An empty table
@@ -252,21 +309,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     voted = written(_votes(rows, lexicon))
     patterns = voted.join(known, "id", "left").groupBy("votes", F.coalesce("toxic", F.lit(-1)).alias("known")).agg(
         F.count("*").alias("n")).collect()                       # at most 3 * 2^voters rows
-    sample = voted.where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(max_sample).select("votes", "terms").toPandas()
-    if not patterns:
-        weights = np.zeros(len(VOTERS) + len(lexicon) + 1)
-    else:
+    sample = voted.where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id", "votes", "terms").limit(max_sample).select("votes", "terms").toArrow()
+    weights = np.zeros(len(VOTERS) + len(lexicon) + 1)
+    if patterns and sample.num_rows:
         model = LabelModel(_bits(np.array([r.votes for r in patterns])), np.array([r.known for r in patterns]), np.array([r.n for r in patterns]))
-        used = sorted({t for terms in sample.terms for t in terms})          # the weights of the others are zero in any case
-        place = {t: i for i, t in enumerate(used)}
-        x = np.zeros((len(sample), len(VOTERS) + len(used)), np.float32)
-        x[:, :len(VOTERS)] = _bits(sample.votes.to_numpy().astype(np.int64))
-        for i, terms in enumerate(sample.terms):
-            x[i, [len(VOTERS) + place[t] for t in terms]] = 1
-        soft = model.posterior(x[:, :len(VOTERS)].astype(float))
-        fitted = fit_linear(x, soft) if len(sample) else np.zeros(x.shape[1] + 1)
-        weights = np.zeros(len(VOTERS) + len(lexicon) + 1)
-        weights[[*range(len(VOTERS)), *(len(VOTERS) + t for t in used), -1]] = fitted
+        bits, terms = _bits(sample["votes"].to_numpy().astype(np.int64)), sample["terms"].combine_chunks()
+        fired_row, fired = np.nonzero(bits)
+        sizes = pc.list_value_length(terms).to_numpy(zero_copy_only=False)
+        row = np.concatenate([fired_row, np.repeat(np.arange(len(sizes)), sizes)])
+        column = np.concatenate([fired, len(VOTERS) + terms.flatten().to_numpy().astype(np.int64)])
+        begun = np.cumsum([0, *np.bincount(row, minlength=len(sizes))])
+        weights = fit_linear(column[np.argsort(row, kind="stable")], begun, len(weights) - 1, model.posterior(bits.astype(float)))
     schema = pa.schema([("doc_id", pa.int64()), ("votes", pa.int32()), ("score", pa.float64())])
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from climo.llm import toxicity
 
@@ -96,5 +97,30 @@ def test_only_near_copies_are_dropped(spark):
     passage = " ".join(word() for _ in range(30))
     rows = [(i, i % 2, passage + " " + " ".join(word() for _ in range(70))) for i in range(60)]
     rows += [(100 + i, 1, rows[1][2]) for i in range(5)] + [(200, 0, rows[1][2])]
-    got = toxicity._distinct_texts(spark.createDataFrame(rows, "id long, toxic int, text string"))
+    frame = spark.createDataFrame(rows, "id long, toxic int, text string").withColumn("text_hash", F.xxhash64("text"))
+    got = toxicity._counted_documents(frame.select("id", "text_hash", "text"), frame.select("id", "toxic"))
     assert sorted(r.id for r in got.collect()) == [*range(60), 200]
+
+
+def test_linear_fit_equals_dense_newton():
+    rng = np.random.default_rng(1)
+    x = (rng.random((400, 30)) < 0.2).astype(float)
+    x[:, 5] = x[:, 6]                                        # equal columns
+    y = 1 / (1 + np.exp(-(x[:, :4].sum(axis=1) * 2 - 2)))
+    row, column = np.nonzero(x)
+    got = toxicity.fit_linear(column, np.cumsum([0, *np.bincount(row, minlength=400)]), 30, y)
+    dense, shrink, want = np.hstack([x, np.ones((400, 1))]), np.append(np.full(30, 0.05), 1e-6), np.zeros(31)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-dense @ want))
+        want -= np.linalg.solve((dense * (p * (1 - p))[:, None]).T @ dense + np.diag(shrink), dense.T @ (p - y) + shrink * want)
+    assert np.abs(got - want).max() < 1e-5
+
+
+def test_reruns_and_partitions_agree_with_several_texts_of_one_id(spark):
+    docs, labels = corpus(random.Random(6), 300)
+    docs += [(d, docs[(d + 1) % 300][1], "x", 0) for d in range(0, 60, 3)] + docs[:20]
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    frame = spark.createDataFrame(docs, DOCS)
+    seen = [sorted((r.doc_id, round(r.score, 9)) for r in toxicity.toxicity_scores(f, marks).collect())
+            for f in (frame.repartition(3, "text"), frame.orderBy(F.desc("doc_id"), "text"))]
+    assert len(seen[0]) == len(docs) and seen[0] == seen[1]
