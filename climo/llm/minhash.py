@@ -23,7 +23,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from climo.llm.blocks import block_groups, block_links
@@ -186,11 +186,13 @@ def _edge(a: str, b: str) -> list:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
-def class_links(members: DataFrame, sets_of, percent: int, centres: int = 3) -> DataFrame:
-    """Links (u, v) that join what all links inside the buckets ``members`` (bucket, id) join: by stars, ``centres`` per bucket
-    and further round, while they link anything; then by all pairs of different components.
+def class_links(members: DataFrame, sets_of, percent: int) -> DataFrame:
+    """Links (u, v) that join what all links inside the buckets ``members`` (bucket, id) join: by stars around the smallest id of
+    a bucket, then round for round around the id of most links in buckets of several components, while that links anything; then
+    by all pairs of different components.
 
-    ``sets_of(ids)`` gives (id, hashes) of the ids that share a bucket with another.
+    A round makes one row per member of such a bucket; no centre is met twice by one member.  ``sets_of(ids)`` gives (id, hashes)
+    of the ids that share a bucket with another.
     """
     shared = written(members.groupBy("bucket").agg(F.count("*").alias("members"), F.min("id").alias("centre"))
                      .where("members > 1"))
@@ -205,12 +207,11 @@ def class_links(members: DataFrame, sets_of, percent: int, centres: int = 3) ->
         placed = inside.where("members > 2").select("bucket", "id").join(known, "id", "left")
         placed = written(placed.select("bucket", "id", F.coalesce("component", "id").alias("component"),
                                        F.coalesce("degree", F.lit(0)).alias("degree")))
-        split = placed.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
-        rest = placed.join(written(split.where("_low <> _high").select("bucket")), "bucket")
-        ranked = rest.withColumn("_rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("degree").desc(), "id")))
-        chosen = written(ranked.where(F.col("_rank") <= centres).select(
-            "bucket", F.col("id").alias("centre"), F.col("component").alias("_component")))
-        pairs = rest.join(chosen, "bucket").where("component <> _component").select(*_edge("id", "centre")).distinct()
+        hub = F.max(F.struct("degree", (-F.col("id")).alias("_minus"), "component"))
+        split = written(placed.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), hub.alias("_hub"))
+                        .where("_low <> _high").select("bucket", (-F.col("_hub._minus")).alias("centre"), F.col("_hub.component").alias("_component")))
+        rest = written(placed.join(split, "bucket"))
+        pairs = rest.where("component <> _component").select(*_edge("id", "centre")).distinct()
         fresh = written(_confirmed(pairs.join(tested.select("u", "v"), ["u", "v"], "left_anti"), sets, percent))
         tested = written(tested.union(fresh))
         if not fresh.where("linked").limit(1).count():
