@@ -20,6 +20,8 @@ from climo.llm.tables import written
 #: Characters that a document of low quality has many of (fixed value).
 SYMBOLS = "#*$%&|<>!"
 BIN_BITS = 12
+#: Tables of at most so many sources (about 100 bytes each) are broadcast; otherwise a source is dealt to so many tasks.
+FEW_SOURCES, SALTS = 50_000, 64
 
 
 def word_count(text: Column) -> Column:
@@ -71,6 +73,20 @@ def _same_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataF
     return left.join(other, left["source"].eqNullSafe(other["_source"]), how).drop("_source")
 
 
+def _beside(rows: DataFrame, per_source: DataFrame, sources: int, source: str = "source") -> DataFrame:
+    """``rows`` (with ``_key``) with the columns of their source in ``per_source``, one row each of ``sources`` in all.
+
+    Up to FEW_SOURCES rows are broadcast.  Beyond that each source is dealt to SALTS tasks by the rows' keys, so that a source that
+    holds most rows isn't met by one task.
+    """
+    other = per_source.withColumnRenamed("source", "_source")
+    same = rows[source].eqNullSafe(other["_source"])
+    if sources <= FEW_SOURCES:
+        return rows.join(F.broadcast(other), same).drop("_source")
+    other = other.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.join(other, same & (F.pmod(F.xxhash64("_key"), F.lit(SALTS)) == other["_salt"])).drop("_source", "_salt")
+
+
 def _ending_bin(bins: DataFrame, by: str) -> DataFrame:
     """The bin of each source in which ``rest`` ends; ``rest`` becomes what is left for that bin."""
     upto = Window.partitionBy("source").orderBy(by)
@@ -82,8 +98,8 @@ def _ending_bin(bins: DataFrame, by: str) -> DataFrame:
 
 
 def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                weights=(1, 2, 3), max_epochs: int = 3, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(sized documents, one row per source with its target, epochs and where its last epoch ends)."""
+                weights=(1, 2, 3), max_epochs: int = 3, seed: int = 7) -> tuple[DataFrame, DataFrame, int]:
+    """(sized documents, one row per source with its target, epochs and where its last epoch ends, the number of sources)."""
     coarse = 1 << BIN_BITS
     sized = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"),
                         word_count(docs[text_col]).alias("size"),
@@ -96,19 +112,19 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     epochs = F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("long")
     targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, epochs).otherwise(F.lit(0)))
     targets = written(targets.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
-    wanted = targets.select("source", "rest")
+    wanted, sources = targets.select("source", "rest"), targets.count()
     end = _ending_bin(_same_source(by_bin, wanted), "_coarse")
-    inside = _same_source(sized.withColumn("_in", F.shiftright("_code", BIN_BITS)), end)
+    inside = _beside(sized.withColumn("_in", F.shiftright("_code", BIN_BITS)), end, sources)
     inside = inside.where(F.col("_in") == F.col("_coarse"))
     end = _ending_bin(inside.groupBy("source", "_code", "rest").agg(F.sum("size").alias("_words")), "_code")
-    last = _same_source(sized, end.withColumnRenamed("_code", "_end"))
+    last = _beside(sized, end.withColumnRenamed("_code", "_end"), sources)
     last = last.where(F.col("_code") == F.col("_end"))
     order = Window.partitionBy("source").orderBy("_key", "size", "doc_id")
     upto = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     near = F.col("_upto") - F.col("size") / 2 <= F.col("rest")
     cut = last.withColumn("_upto", upto).groupBy("source").agg(
         F.first("_end").alias("end_code"), F.max(F.when(near, F.col("_key"))).alias("end_key"))
-    return sized, _same_source(targets, cut, "left")
+    return sized, _same_source(targets, cut, "left"), sources
 
 
 def copies_taken() -> Column:
@@ -126,8 +142,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     empty text has size 0, counts as a document and adds no words.  A null source is a source of its own.  Null
     ids share one draw.  Equal rows share a key and are taken together.  An empty table gives no rows.
     """
-    sized, plan = mixing_plan(docs, **options)
-    out = _same_source(sized, plan).withColumn("copies", copies_taken())
+    sized, plan, sources = mixing_plan(docs, **options)
+    out = _beside(sized, plan, sources).withColumn("copies", copies_taken())
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -137,7 +153,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Edge cases as for ``mixed_documents``; documents without words count as taken in each complete epoch.
     """
-    _, plan = mixing_plan(docs, id_col, text_col, source_col, seed=seed, **options)
+    _, plan, sources = mixing_plan(docs, id_col, text_col, source_col, seed=seed, **options)
     names = [f"_c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names)
     at = {c: names[i] for i, c in reversed(list(enumerate(docs.columns)))}
@@ -145,7 +161,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     bins = 1 << (2 * BIN_BITS)
     rows = rows.withColumn("_key", key).withColumn(
         "_code", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * bins), F.lit(bins - 1)).cast("long"))
-    plan = plan.withColumnRenamed("source", "_source")
-    joined = rows.join(plan, F.col(at[source_col]).eqNullSafe(F.col("_source")))
-    taken = joined.withColumn("_n", copies_taken()).where("_n > 0")
+    taken = _beside(rows, plan, sources, at[source_col]).withColumn("_n", copies_taken()).where("_n > 0")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*names).toDF(*docs.columns)

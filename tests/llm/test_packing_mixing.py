@@ -112,3 +112,13 @@ def test_special_token_as_the_tokenizer_has_it(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.doc_tokens for r in packing.pack_documents(docs, specials=True).collect()}
     assert got == {i: len(plain.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
+def test_many_sources_mix_as_few_do(spark, monkeypatch):
+    """Beyond the broadcast limit sources are salted: the same rows, with a hot source, a null one and repeated rows."""
+    rows = [(i % 390, " ".join(["w"] * (i % 17)), None if i % 11 == 0 else "hot" if i % 3 else f"s{i % 7}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    few = [sorted(map(str, f(docs).collect())) for f in (mixing.mixed_documents, mixing.mix)]
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
+    assert "_salt" in mixing.mixed_documents(docs)._jdf.queryExecution().analyzed().toString()
+    assert few == [sorted(map(str, f(docs).collect())) for f in (mixing.mixed_documents, mixing.mix)]
