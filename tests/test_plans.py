@@ -74,3 +74,24 @@ def test_no_single_partition_window_over_facts(spark):
             assert "SinglePartition" not in plan, name
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_station_days_are_dealt_by_counted_partitions(spark, monkeypatch):
+    import datetime
+    import os
+    import tempfile
+    monkeypatch.setattr(fx, "PARTITION_ROWS", 10)
+    d = tempfile.mkdtemp(prefix="run-")
+    rows = [(i % 7 if i % 5 else None, datetime.datetime(2001, 1, 1 + i % 20), float(i % 9), "R", "O", 0.05) for i in range(165)]
+    names = "l_suppkey long, l_shipdate timestamp, l_quantity double, l_returnflag string, l_linestatus string, l_discount double"
+    spark.createDataFrame(rows, names).write.parquet(os.path.join(d, "lineitem.parquet"))
+    assert fx.daily_precip_raw(spark, d).rdd.getNumPartitions() == 17
+    assert fx.daily_precip_raw(spark, d).groupBy().sum("precip").first()[0] == sum(r[2] for r in rows)
+
+
+def test_melted_rows_keep_their_partitions(spark):
+    from climo.operators import reshape
+    wide = spark.range(20).selectExpr("id % 3 AS station", "id", "id * 2 AS a", "null AS b").repartition(3, "station")
+    long = reshape.unpivot_metrics(wide, ["station", "id"], ["a", "b"])
+    assert _plan(long.groupBy("station", "metric_name").count()).count("Exchange hashpartitioning") == 1
+    assert {(r.metric_name, r.metric_value) for r in long.where("id = 4").collect()} == {("a", 8.0), ("b", None)}
