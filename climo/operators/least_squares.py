@@ -10,11 +10,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,10 +69,10 @@ def _own_terms(terms: Sequence[Term], row) -> list[Term]:
     return out
 
 
-def _pack(r: np.ndarray, width: int) -> np.ndarray:
+def _pack(r: np.ndarray, width: int, upper: tuple | None = None) -> np.ndarray:
     full = np.zeros((width, width))
     full[:r.shape[0]] = r
-    return full[np.triu_indices(width)]
+    return full[upper or np.triu_indices(width)]
 
 
 def _unpack(packed) -> np.ndarray:
@@ -90,35 +91,42 @@ def merged(factors: list[np.ndarray]) -> np.ndarray:
     return factors[0]
 
 
-def solved(r: np.ndarray, n: float, terms: Sequence[Term]) -> dict:
-    """Centred coefficients with their inference from the factor ``r`` of [design, response]."""
-    k = r.shape[1] - 1
-    means = r[0, 0] * r[0, :k] / n if terms[0].kind == "intercept" else np.zeros(k)
-    to_centred = rg.centering_transform(terms, means)
-    width = to_centred.shape[1]
-    small = np.linalg.qr(np.column_stack([r[:, :k] @ to_centred, r[:, k]]), mode="r")
-    small = np.vstack([small, np.zeros((width + 1 - small.shape[0], width + 1))])
-    scale = np.linalg.norm(small[:, :width], axis=0)
+def solved_all(r: np.ndarray, n: np.ndarray, to_centred: np.ndarray) -> dict[str, np.ndarray]:
+    """Coefficients with their inference, a row per factor of the stack ``r`` of [design, response]; absent ones are null (NaN)."""
+    width = to_centred.shape[-1]
+    small = np.linalg.qr(np.concatenate([r[..., :-1] @ to_centred, r[..., -1:]], axis=-1), mode="r")
+    scale = np.linalg.norm(small[..., :width], axis=1)
     absent = scale == 0
     unit = np.where(absent, 1.0, scale)
-    u, s, vt = np.linalg.svd(small[:width, :width] / unit)
-    kept = s > (s[0] if s.size else 0.0) * max(n, width) * np.finfo(float).eps
-    projected = u.T @ small[:width, width]
-    beta = (vt[kept].T @ (projected[kept] / s[kept])) / unit
-    sse = float(small[width, width] ** 2 + np.sum(projected[~kept] ** 2))
-    rank = int(kept.sum())
+    u, s, vt = np.linalg.svd(small[:, :width, :width] / unit[:, None, :])
+    kept = s > s[:, :1] * np.maximum(n, width)[:, None] * np.finfo(float).eps
+    projected = np.einsum("bji,bj->bi", u, small[:, :width, width])
+    inverse = np.where(kept, 1 / np.where(kept, s, 1.0), 0.0)
+    beta = np.einsum("bji,bj->bi", vt, projected * inverse) / unit
+    sse = small[:, width, width] ** 2 + np.sum(np.where(kept, 0.0, projected) ** 2, axis=1)
+    rank = kept.sum(axis=1)
     dof = n - rank
-    sigma2 = sse / dof if dof >= 1 else np.nan
-    err = np.sqrt(sigma2 * np.sum((vt[kept] / s[kept][:, None]) ** 2, axis=0)) / unit
+    sigma2 = np.where(dof >= 1, sse / np.where(dof >= 1, dof, 1.0), np.nan)
+    err = np.sqrt(sigma2[:, None] * np.sum((vt * inverse[:, :, None]) ** 2, axis=1)) / unit
     with np.errstate(divide="ignore", invalid="ignore"):
         t = np.where(err > 0, beta / err, np.nan)
-    p = np.where(np.isnan(t), np.nan, rg.t_two_sided_p(np.nan_to_num(t), max(dof, 1.0)))
+    p = rg.t_two_sided_p(np.nan_to_num(t).ravel(), np.repeat(np.maximum(dof, 1.0), width)).reshape(t.shape)
+    beta_raw = np.einsum("...ij,bj->bi", to_centred, np.where(absent, 0.0, beta))
+    return {"n": n, "rank": rank, "sigma2": sigma2, "coef": np.where(absent, np.nan, beta), "std_err": np.where(absent, np.nan, err),
+            "p_value": np.where(absent | np.isnan(t), np.nan, p), "beta_raw": beta_raw}
+
+
+def solved(r: np.ndarray, n: float, terms: Sequence[Term]) -> dict:
+    """Centred coefficients with their inference from the factor ``r`` of [design, response]."""
+    k = r.shape[1] - 1
+    means = r[0, 0] * r[0, :k] / n if terms[0].kind == "intercept" else np.zeros(k)
+    row = {c: v[0] for c, v in solved_all(r[None], np.array([n]), rg.centering_transform(terms, means)).items()}
 
     def plain(x: np.ndarray) -> list:
-        return [None if gone or np.isnan(v) else float(v) for v, gone in zip(x, absent, strict=True)]
+        return [None if np.isnan(v) else float(v) for v in x]
 
-    return {"n": n, "rank": rank, "sigma2": None if np.isnan(sigma2) else float(sigma2), "coef": plain(beta), "std_err": plain(err),
-            "p_value": plain(p), "beta_raw": [float(x) for x in to_centred @ np.where(absent, 0.0, beta)]}
+    return {"n": n, "rank": int(row["rank"]), "sigma2": None if np.isnan(row["sigma2"]) else float(row["sigma2"]),
+            **{c: plain(row[c]) for c in ("coef", "std_err", "p_value")}, "beta_raw": [float(x) for x in row["beta_raw"]]}
 
 
 def cubic_pieces(knots: np.ndarray, values: np.ndarray, cyclic: bool) -> list[tuple]:
@@ -163,6 +171,96 @@ def _model_row(r: np.ndarray, n: float, terms: Sequence[Term]) -> dict:
     return row
 
 
+def _key_starts(batch: pa.RecordBatch, n_keys: int) -> np.ndarray:
+    """The rows of a sorted batch that begin another key (its first columns)."""
+    begun = np.zeros(batch.num_rows, bool)
+    begun[:1] = True
+    for column in batch.columns[:n_keys]:
+        codes = column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        begun[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(begun)
+
+
+def _listed(values: np.ndarray) -> pa.ListArray:
+    """One list per row; NaN is null."""
+    offsets = np.arange(values.shape[0] + 1, dtype=np.int32) * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel(), pa.float64(), mask=np.isnan(values).ravel()))
+
+
+def _plain_parts(beta: np.ndarray, terms: Sequence[Term]) -> tuple[pa.Array, pa.Array]:
+    """``constants`` and ``pieces`` of ``_model_row`` for many keys at once; ``terms`` without splines."""
+    constants, levels = np.full((len(beta), len(terms)), np.nan), []
+    for j, (t, sl) in enumerate(zip(terms, rg.term_slices(terms), strict=True)):
+        if t.kind == "dummies":
+            levels += [(j, str(level), at) for level, at in zip(t.levels[1:], range(sl.start, sl.stop), strict=True)]
+        else:
+            constants[:, j] = beta[:, sl.start]
+    size = len(beta) * len(levels)
+    nothing, zeros = pa.nulls(size, pa.float64()), pa.array(np.zeros(size))
+    value = _listed(beta[:, [at for _, _, at in levels]]).flatten()
+    pieces = pa.StructArray.from_arrays(
+        [pa.array([j for j, _, _ in levels] * len(beta), pa.int32()), pa.array([level for _, level, _ in levels] * len(beta), pa.string()),
+         nothing, nothing, nothing, value, zeros, zeros, zeros], names=_PIECE)
+    return _listed(constants), pa.ListArray.from_arrays(pa.array(np.arange(len(beta) + 1, dtype=np.int32) * len(levels)), pieces)
+
+
+def _plain_fit(rows: DataFrame, terms: Sequence[Term], keys: Sequence[str], out: str) -> DataFrame:
+    """``ols_fit`` where no term has knots of its own: the design needs no look at a key, so a task takes its rows sorted, batch by
+    batch, with one factor per key and batch, and solves the keys of a batch of factors at once."""
+    k, width = len(keys), sum(t.n_raw() for t in terms) + 1
+    upper = np.triu_indices(width)
+    identity = np.identity(width - 1)
+    fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys)
+
+    def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts = _key_starts(batch, k)
+            pdf = batch.to_pandas()
+            whole = np.column_stack([rg.design(pdf, terms), pdf["_y"].to_numpy(dtype=float)])
+            packed = np.stack([_pack(np.linalg.qr(part, mode="r"), width, upper) for part in np.split(whole, starts[1:])])
+            sizes = np.diff(np.r_[starts, batch.num_rows]).astype(float)
+            offsets = pa.array(np.arange(len(starts) + 1, dtype=np.int32) * packed.shape[1])
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(starts)) for c in batch.columns[:k]), pa.array(sizes),
+                                              pa.ListArray.from_arrays(offsets, pa.array(packed.ravel()))], names=[*keys, "_n", "_r"])
+
+    def rows_of(names: list[pa.Array], factors: list[np.ndarray], sizes: list[float]) -> pa.RecordBatch:
+        row = solved_all(np.stack(factors), np.array(sizes), identity)
+        constants, pieces = _plain_parts(row["beta_raw"], terms)
+        lists = [_listed(row[c]) for c in ("coef", "std_err", "p_value", "beta_raw")]
+        sigma2 = pa.array(row["sigma2"], pa.float64(), mask=np.isnan(row["sigma2"]))
+        return pa.RecordBatch.from_arrays([*names, pa.array(row["n"]), pa.array(row["rank"], pa.int32()), sigma2, *lists, constants, pieces],
+                                          names=[*keys, "n", "rank", "sigma2", "coef", "std_err", "p_value", "beta_raw", "constants", "pieces"])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None                                             # the last key of a batch may go on in the next one
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts = _key_starts(batch, k)
+            packed = batch.column(k + 1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            square = np.zeros((batch.num_rows, width, width))
+            square[:, upper[0], upper[1]] = packed
+            factors = [part[0] if len(part) == 1 else merged(list(part)) for part in np.split(square, starts[1:])]
+            sizes = np.add.reduceat(batch.column(k).to_numpy(), starts).tolist()
+            names = [c.take(pa.array(starts)) for c in batch.columns[:k]]
+            if held is not None:
+                if all(a[0].as_py() == b[0].as_py() for a, b in zip(held[0], names, strict=True)):
+                    factors[0], sizes[0] = merged([held[1], factors[0]]), held[2] + sizes[0]
+                else:
+                    yield rows_of(held[0], [held[1]], [held[2]])
+            if len(starts) > 1:
+                yield rows_of([c[:-1] for c in names], factors[:-1], sizes[:-1])
+            held = [c[-1:] for c in names], factors[-1], sizes[-1]
+        if held is not None:
+            yield rows_of(held[0], [held[1]], [held[2]])
+
+    used = rows.select(*keys, "_part", *[c for c in rows.columns if c not in (*keys, "_part")])
+    factors = rg._by_key(used, [*keys, "_part"]).sortWithinPartitions(*keys).mapInArrow(factor, f"{fields}, _n double, _r array<double>")
+    return rg._by_key(factors, keys).sortWithinPartitions(*keys).mapInArrow(solve, f"{fields}, {out}")
+
+
 def ols_fit(df: DataFrame, y: str, terms: Sequence[Term], keys: Sequence[str] = ("station",), part: Column | None = None) -> DataFrame:
     """OLS per key over all rows: one row per key with coefficients, standard errors, p-values and the model's pieces.
 
@@ -178,7 +276,12 @@ def ols_fit(df: DataFrame, y: str, terms: Sequence[Term], keys: Sequence[str] =
     dealt = F.pmod(F.xxhash64(*values, F.col(y)), F.lit(DEALT_PARTS)) if part is None else part
     rows = df.select(*keys, *values, F.col(y).cast("double").alias("_y"), dealt.cast("double").alias("_part"))
     rows = rows.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*cols, "_y", "_part"]]))
+    piece = "struct<term:int,level:string,lo:double,hi:double,at:double,c0:double,c1:double,c2:double,c3:double>"
+    out = ("n double, rank int, sigma2 double, coef array<double>, std_err array<double>, p_value array<double>, "
+           f"beta_raw array<double>, constants array<double>, pieces array<{piece}>")
     knot_cols = [f"_kn{j}" for j, t in enumerate(terms) if t.kind in SPLINE_KINDS]
+    if not knot_cols:
+        return _plain_fit(rows, terms, keys, out)
     shared = key_knots(rows, terms, keys, "_part")
     names = [*[f"_k{i}" for i in range(len(keys))], "_p"]
     per_part = shared.select(*keys, F.explode("parts").alias("_part"), *knot_cols).toDF(*names, *knot_cols)
@@ -187,9 +290,9 @@ def ols_fit(df: DataFrame, y: str, terms: Sequence[Term], keys: Sequence[str] =
     def factor(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         design = rg.design(left, _own_terms(terms, right.iloc[0]))
         r = np.linalg.qr(np.column_stack([design, left["_y"].to_numpy(dtype=float)]), mode="r")
-        out = right.head(1).rename(columns=dict(zip(names, [*keys, "_part"], strict=True)))
-        out["_n"], out["_r"] = float(len(left)), [_pack(r, design.shape[1] + 1)]
-        return out[[*keys, "_part", "_n", "_r", *knot_cols]]
+        found = right.head(1).rename(columns=dict(zip(names, [*keys, "_part"], strict=True)))
+        found["_n"], found["_r"] = float(len(left)), [_pack(r, design.shape[1] + 1)]
+        return found[[*keys, "_part", "_n", "_r", *knot_cols]]
 
     knot_fields = "".join(f", {c} array<double>" for c in knot_cols)
     factors = rows.groupBy(*keys, "_part").cogroup(per_part.groupBy(*names)).applyInPandas(
@@ -199,15 +302,12 @@ def ols_fit(df: DataFrame, y: str, terms: Sequence[Term], keys: Sequence[str] =
         pdf = pdf.sort_values("_part")
         first = pdf.iloc[0]
         row = _model_row(merged([_unpack(x) for x in pdf["_r"]]), float(pdf["_n"].sum()), _own_terms(terms, first))
-        out = pd.DataFrame({c: [first[c]] for c in [*keys, *knot_cols]})
+        found = pd.DataFrame({c: [first[c]] for c in [*keys, *knot_cols]})
         for c, v in row.items():
-            out[c] = pd.Series([v], dtype=object) if isinstance(v, list) else v
-        return out[[*keys, "n", "rank", "sigma2", "coef", "std_err", "p_value", "beta_raw", "constants", "pieces", *knot_cols]]
+            found[c] = pd.Series([v], dtype=object) if isinstance(v, list) else v
+        return found[[*keys, "n", "rank", "sigma2", "coef", "std_err", "p_value", "beta_raw", "constants", "pieces", *knot_cols]]
 
-    piece = "struct<term:int,level:string,lo:double,hi:double,at:double,c0:double,c1:double,c2:double,c3:double>"
-    return factors.groupBy(*keys).applyInPandas(
-        solve, f"{key_fields}, n double, rank int, sigma2 double, coef array<double>, std_err array<double>, p_value array<double>, "
-               f"beta_raw array<double>, constants array<double>, pieces array<{piece}>{knot_fields}")
+    return factors.groupBy(*keys).applyInPandas(solve, f"{key_fields}, {out}{knot_fields}")
 
 
 def _cell(x: Column, lo: Column, hi: Column) -> Column:

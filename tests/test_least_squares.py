@@ -187,3 +187,34 @@ def test_normals_equal_a_full_fit(spark):
             for p in (0.1, 0.9):
                 band = pdf.groupby("doy")[metric].quantile(p)
                 assert np.allclose(got[f"{metric}_p{int(p * 100)}"], curve(band.index.to_numpy(), band.to_numpy(), 6), rtol=1e-7)
+
+
+def test_fits_without_splines_are_batched(spark, capsys):
+    """One read of the facts, and the same fits however the sorted rows fall into batches; null keys are a key."""
+    catalog.QUERIES["trend_plus_month_effects"](spark, SF_MID).explain("simple")
+    plan = capsys.readouterr().out
+    assert plan.count("FileScan") == 1 and "InPandas" not in plan and "Join" not in plan
+    rng = np.random.default_rng(5)
+    rows = [(s, p, "ab"[i % 2], float(i), float(rng.normal())) for s, size in (("x", 3), ("y", 41), (None, 29), ("z", 1)) for p in (1, 2) for i in range(size)]
+    df = spark.createDataFrame(rows, "station string, part int, m string, t double, y double")
+    terms = [rg.intercept(), rg.dummies("m", ["a", "b", "c"]), rg.linear("t")]
+    one = {r.station: r for r in ls.ols_fit(df, "y", terms, part=F.lit(0.0)).collect()}
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "7")
+    try:
+        few = {r.station: r for r in ls.ols_fit(df, "y", terms, part=F.col("part")).collect()}
+        fitted = ls.predict(df, ls.ols_fit(df, "y", terms), terms).toPandas()
+    finally:
+        spark.conf.set(size, before)
+    assert set(one) == set(few) == {"x", "y", "z", None}
+    for station, r in one.items():
+        own = [row for row in rows if row[0] == station]
+        design = np.array([[1.0, row[2] == "b", 0.0, row[3]] for row in own])
+        beta = np.linalg.lstsq(design, np.array([row[4] for row in own]), rcond=None)[0]
+        for got in (r, few[station]):
+            assert got.n == len(own) and got.rank == np.linalg.matrix_rank(design) and got.coef[2] is None
+            assert np.allclose(got.beta_raw, beta, atol=1e-9)
+            assert [p.c0 for p in got.pieces] == got.beta_raw[1:3] and got.constants == [got.beta_raw[0], None, got.beta_raw[3]]
+        here = fitted[fitted.station.isna() if station is None else fitted.station == station]
+        assert np.allclose(here["fitted"].sort_values(), np.sort(design @ beta), atol=1e-9)
