@@ -3,6 +3,8 @@
 * Facts are reduced in groups of one key and one part (a year): each group leaves one triangular factor of its design with the
   response, packed in an array.  A key's factors are merged pairwise, so the work of a key grows with its parts and
   the order of the rows costs nothing.  Residual sums come from the factor's last entry, not from differences of sums.
+* Models without splines have the same design for all keys: their rows go through a task sorted, batch by batch, and the keys of a
+  batch of factors are solved at once, so many small keys cost no Python call each.
 * A fitted spline is handed out as its cubic pieces, one per interval between knots.  Facts find their piece by the number of the cell
   (of ``CELLS`` of equal width) that their value lies in, and evaluate it by Horner's rule as Column expressions: no coefficients
   travel with the facts and no Python sees them.
